@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mpeg, url_reputation
+from . import bpe, licenses, minhash_hamming, mpeg, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,3 +115,10 @@ QUERIES = {
     "op6_url_reputation": op6_url_reputation,
 }
 ORACLES = {"op5_license_sentences": _license_sql(), "op6_url_reputation": _URL_SQL}
+
+
+def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_minhash_hamming"] = op7_minhash_hamming

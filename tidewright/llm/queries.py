@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash_hamming, mpeg, url_reputation
+from . import bpe, licenses, minhash_hamming, mpeg, ppm_langid, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,3 +122,10 @@ def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_minhash_hamming"] = op7_minhash_hamming
+
+
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_ppm_language"] = op9_ppm_language

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash_hamming, mpeg, ppm_langid, url_reputation
+from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,3 +129,10 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_ppm_language"] = op9_ppm_language
+
+
+def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.ids_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op8_huffman_ids"] = op8_huffman_ids

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, url_reputation
+from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, spaced_seeds, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,3 +136,11 @@ def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_huffman_ids"] = op8_huffman_ids
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; item_ids is a list."""
+    return spaced_seeds.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op10_spaced_seeds"] = op10_spaced_seeds

@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of bytes other than white space, A-Z as a-z. A mask is a window of words of which only some count; the words it
+Words are runs of bytes other than white space, in lower case. A mask is a window of words of which only some count; the words it
 ignores may have been replaced. Benchmark items are hashed under every mask at every place, texts likewise, and equal hashes
 under the same mask are hits. A hit puts an item beside a text at one shift; both are compared word by word over all places
 that they share at that shift, and the best stretch (matches count 1, differing words -3, so about three of four words agree)
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class Items:
 
     @staticmethod
     def of(ids: list[int], texts: list[str], shortest: int) -> Items | None:
-        words, first = hashed_words(pa.array(texts, pa.string()))
+        words, first = hashed_words(pc.utf8_lower(pa.array(texts, pa.string())))
         size = np.diff(first)
         long_enough = size >= shortest
         kinds = [([i for i, c in enumerate(m) if c == "1"], len(m), k + 1, size >= len(m)) for k, m in enumerate(MASKS)]
@@ -122,7 +123,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WOR
         def run(batches, shared=shared):
             for whole in batches:
                 for batch in slices(whole, 1, 4 << 20):
-                    rows = shared.value.overlaps(*hashed_words(batch.column(1)), least_words) if batch.num_rows else []
+                    rows = shared.value.overlaps(*hashed_words(pc.utf8_lower(batch.column(1))), least_words) if batch.num_rows else []
                     ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     yield pa.record_batch([ids, pa.array([shared.value.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "n_equal", "first_word"])
 

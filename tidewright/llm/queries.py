@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, spaced_seeds, url_reputation
+from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,3 +144,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_spaced_seeds"] = op10_spaced_seeds
+
+
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES["op1_suffix_repeats"] = op1_suffix_repeats

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman_ids, licenses, minhash_hamming, mpeg, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
+from . import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,3 +151,29 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_repeats"] = op1_suffix_repeats
+
+
+def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_line_edit_join"] = op3_line_edit_join
+ORACLES["op3_line_edit_join"] = """
+    WITH pos AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+    ), occ AS (SELECT doc_id, i, line, length(line) AS l FROM pos WHERE length(line) >= 20),
+    dis AS (SELECT line, l, min((doc_id, i)) AS first FROM occ GROUP BY ALL),
+    ix AS (SELECT line, l AS l0, 1 AS s, left(line, l // 2) AS seg FROM dis UNION ALL SELECT line, l, 2, right(line, l - l // 2) FROM dis),
+    pr AS (SELECT line, l AS l0, 1 AS s, left(line, l // 2) AS seg FROM dis UNION ALL SELECT line, l, 2, right(line, l - l // 2) FROM dis
+        UNION ALL SELECT line, l - 1, 1, left(line, (l - 1) // 2) FROM dis UNION ALL SELECT line, l - 1, 2, right(line, (l - 1) - (l - 1) // 2) FROM dis),
+    cand AS (SELECT DISTINCT ix.line AS a, pr.line AS b FROM ix JOIN pr USING (l0, s, seg) WHERE ix.line <> pr.line),
+    link AS (SELECT a, b FROM cand WHERE len(list_filter(range(0, length(a) + 1), lambda i: left(a, i) = left(b, i) AND
+        CASE WHEN length(a) = length(b) THEN i < length(a) AND right(a, length(a) - i - 1) = right(b, length(a) - i - 1) ELSE right(a, length(a) - i) = right(b, length(a) - i) END)) > 0),
+    both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    facts AS (SELECT a AS line, count(*) AS n_links, min(dis.first) AS least FROM both_ways JOIN dis ON dis.line = b GROUP BY a),
+    judged AS (SELECT occ.doc_id, (occ.doc_id, i) > dis.first AS copy, coalesce(least < dis.first, false) AS near, coalesce(n_links, 0) AS n_links
+        FROM occ JOIN dis USING (line) LEFT JOIN facts USING (line)),
+    sums AS (SELECT doc_id, sum(copy::INT) AS n_copies, sum((near AND NOT copy)::INT) AS n_near, sum(n_links) AS n_links FROM judged GROUP BY 1)
+    SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n_copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(sums.n_links, 0) AS BIGINT) AS n_links
+    FROM documents d LEFT JOIN sums USING (doc_id)
+"""

@@ -203,3 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = feats.join(classes.select("print", "id"), "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
     found = of_class.join(comp3, of_class["id"] == comp3["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) that stand for their group of near duplicates; texts without words all stay."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

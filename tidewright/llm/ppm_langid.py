@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, utf8
+from .common import keep_rows, map_batches, utf8
 
 ORDER = 4
 _START = b"\n" * ORDER  # every text begins in this context
@@ -224,3 +224,24 @@ def identify(docs: DataFrame, rows_per_language: int = 1000) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     found = predict(docs, train(docs, rows_per_language))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def keep_known(docs: DataFrame, rows_per_language: int = 1000, most_bits_per_byte: float = 12.0) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) whose text is in a learnt language: not `und`, and no dearer a byte than the bound.
+
+    The default bound is above anything but bytes that no learnt text has; lower it to refuse unlike languages.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
+
+    def make():
+        def keep(texts: pa.Array) -> pa.Array:
+            known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
+            if shared.value is None:
+                return pa.array([False] * len(texts))
+            raw = utf8(texts)
+            cost = shared.value.bits(raw).min(axis=1) / np.maximum(1, [len(t) for t in raw])
+            return pc.and_(known, pa.array(cost <= most_bits_per_byte))
+
+        return keep
+
+    return keep_rows(docs, "text", make)

@@ -17,6 +17,7 @@ looked for; repeated items count once for each item_id; rows of one doc_id share
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import keep_rows, slices, written
 from .words import hashed_words, mix
 
 #: Fixed masks: 1 counts, 0 is ignored. Six words of eight to twelve; no two ignore the same places.
@@ -105,19 +106,24 @@ class Items:
         return [(t, i, equal, at) for (t, i), (equal, at) in best.items()]
 
 
+def _item_blocks(benchmark: DataFrame, shortest_item: int, block_words: int) -> Iterator[Items]:
+    """The benchmark in blocks of about block_words words."""
+    items = benchmark.where("text is not null").select("item_id", "text").distinct()
+    words = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"]
+    blocks = -(-int(words or 0) // block_words)
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # bounded by block_words
+        made = Items.of([r["item_id"] for r in block], [r["text"] for r in block], shortest_item)
+        if made is not None:
+            yield made
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, shortest_item: int = SHORTEST_ITEM, block_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_equal and first_word of every verified overlap of docs(doc_id, text) with benchmark(item_id, text)."""
-    items = benchmark.where("text is not null").select("item_id", "text").distinct()
-    sizes = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()
-    blocks = -(-int(sizes["n"] or 0) // block_words)
     docs = docs.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, n_equal long, first_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # block_words words, about
-        made = Items.of([r["item_id"] for r in block], [r["text"] for r in block], shortest_item)
-        if made is None:
-            continue
+    for made in _item_blocks(benchmark, shortest_item, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, shared=shared):
@@ -131,6 +137,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WOR
     return found
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, shortest_item: int = SHORTEST_ITEM, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs (all columns) whose text overlaps with no item."""
+    for made in _item_blocks(benchmark, shortest_item, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+
+        def make(shared=shared):
+            def keep(texts: pa.Array) -> pa.Array:
+                out = np.ones(len(texts), bool)
+                out[[r[0] for r in shared.value.overlaps(*hashed_words(pc.utf8_lower(texts)), least_words)]] = False
+                return pa.array(out)
+
+            return keep
+
+        docs = keep_rows(docs, "text", make)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id of every row, n_items (benchmark items it overlaps with), item_ids (sorted), most_words (longest overlap) and contaminated."""
     hits = written(overlaps(docs, benchmark, **how), "overlaps")

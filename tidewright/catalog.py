@@ -1,4 +1,736 @@
-"""Registered queries over the given tables, each with its DuckDB SQL."""
+"""Registered queries over the given tables, each with its DuckDB SQL where SQL can say it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Names begin with the number of the operator in the inventory. Doubles are rounded to four decimals on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import exprs as x
+from .operators import decode, evaluate, features, forecast, marts, models, panel, stats, weather
+from .plans.declarations import BREAKS, CARGO, FOLDS, THRESHOLD, declarations, hourly_weather, table, weather_config
+from .sources import pages, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+KEYS = ["port", "direction"]
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, doubles: str = ""):
+    """Registers a query; doubles: result columns of the SQL that are rounded."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            body = f"SELECT * REPLACE ({', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+            ORACLES[name] = body
+        return f
+
+    return add
+
+
+DECL = """decl AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, sn.n_name AS port,
+    CASE WHEN l_linestatus = 'O' THEN 'import' ELSE 'export' END AS direction, l_extendedprice AS value_usd, CASE WHEN l_linestatus <> 'O' THEN l_quantity * 10 END AS weight_kg,
+    l_quantity AS quantity, p_type AS hs2, p_brand AS hs4, p_name AS hs6, cn.n_name AS country, r_name AS continent, o_orderpriority AS cargo, l_returnflag AS clause
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region ON cn.n_regionkey = r_regionkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN part ON l_partkey = p_partkey)"""
+_MODES = {"dominant_hs2": "hs2", "dominant_cargo_type": "cargo", "dominant_country": "country", "dominant_continent": "continent"}
+
+
+def _mode_sql(of: str, source: str, keys: str) -> str:
+    return f"(SELECT {keys}, {of} AS v FROM (SELECT {keys}, {of}, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, {of}) AS r FROM {source} WHERE {of} IS NOT NULL GROUP BY {keys}, {of}) WHERE r = 1)"
+
+
+_PK = "port, direction, year, month"
+PANEL = DECL + f""", panel AS (SELECT {_PK}, count(*) AS shipment_count, coalesce(sum(value_usd), 0) AS total_value_usd, sum(weight_kg) / 1000 AS total_weight_mt, coalesce(sum(quantity), 0) AS total_quantity,
+    count(DISTINCT hs2) AS commodity_diversity, count(DISTINCT hs4) AS hs4_diversity, count(DISTINCT country) AS country_diversity, count(DISTINCT continent) AS continent_diversity,
+    {", ".join(f"count(*) FILTER (cargo ILIKE '%{w}%') AS {c}" for c, w in CARGO.items())}, avg(value_usd) AS avg_value_per_shipment_usd FROM decl GROUP BY {_PK})"""
+FEATURES = PANEL + """, f0 AS (SELECT *, lag(shipment_count, 1) OVER w AS lag_1, lag(shipment_count, 2) OVER w AS lag_2, lag(shipment_count, 3) OVER w AS lag_3, lag(shipment_count, 12) OVER w AS lag_12,
+    lag(shipment_count, 24) OVER w AS _lag_24, lag(shipment_count, 36) OVER w AS _lag_36, lag(shipment_count, 48) OVER w AS _lag_48, lag(total_value_usd, 12) OVER w AS lag_value_12, lag(total_weight_mt, 12) OVER w AS lag_weight_12,
+    avg(shipment_count) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS rolling_3_mean, avg(shipment_count) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rolling_12_mean,
+    avg(total_value_usd) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rolling_value_12_mean,
+    coalesce(CAST(lag(year, 12) OVER w IN (1998, 1999, 9999) AS INT), 0) AS lag_12_is_break, avg(shipment_count) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3_inclusive
+    FROM panel WINDOW w AS (PARTITION BY port, direction ORDER BY year, month)),
+    f1 AS (SELECT *, (shipment_count - lag_12) / nullif(lag_12, 0)::DOUBLE AS yoy_growth, (total_value_usd - lag_value_12) / nullif(lag_value_12, 0) AS yoy_value_growth,
+    CASE WHEN year - 1 NOT IN (1998, 1999) THEN lag_12 WHEN year - 2 NOT IN (1998, 1999) AND _lag_24 IS NOT NULL THEN _lag_24 WHEN year - 3 NOT IN (1998, 1999) AND _lag_36 IS NOT NULL THEN _lag_36
+    WHEN year - 4 NOT IN (1998, 1999) AND _lag_48 IS NOT NULL THEN _lag_48 ELSE lag_12 END AS lag_12_clean FROM f0),
+    feats AS (SELECT *, CASE WHEN lag_12_is_break = 0 THEN yoy_growth ELSE (shipment_count - lag_12_clean) / nullif(lag_12_clean, 0)::DOUBLE END AS yoy_growth_clean FROM f1 WHERE lag_1 IS NOT NULL AND lag_12 IS NOT NULL)"""
+INDEX = FEATURES + """, norms AS (SELECT *, (shipment_count - min(shipment_count) OVER s) / nullif(max(shipment_count) OVER s - min(shipment_count) OVER s, 0)::DOUBLE AS sc_norm,
+    (total_value_usd - min(total_value_usd) OVER s) / nullif(max(total_value_usd) OVER s - min(total_value_usd) OVER s, 0) AS v_norm, (total_weight_mt - min(total_weight_mt) OVER s) / nullif(max(total_weight_mt) OVER s - min(total_weight_mt) OVER s, 0) AS w_norm,
+    (country_diversity - min(country_diversity) OVER s) / nullif(max(country_diversity) OVER s - min(country_diversity) OVER s, 0)::DOUBLE AS cd_norm, cnt_container / shipment_count::DOUBLE AS pct_container, cnt_refrigerated / shipment_count::DOUBLE AS pct_refrigerated FROM feats WINDOW s AS (PARTITION BY port, direction)),
+    ci AS (SELECT *, CASE WHEN direction = 'import' THEN 0.4 * coalesce(sc_norm, 0) + 0.3 * coalesce(v_norm, 0) + 0.2 * coalesce(cd_norm, 0) + 0.1 * coalesce(pct_container, 0)
+    ELSE 0.4 * coalesce(w_norm, 0) + 0.3 * coalesce(sc_norm, 0) + 0.2 * coalesce(v_norm, 0) + 0.1 * coalesce(pct_refrigerated, 0) END AS congestion_index FROM norms)"""
+
+
+def the_panel(spark: SparkSession, d: str) -> DataFrame:
+    return panel.monthly_panel(declarations(spark, d), cargo=CARGO)
+
+
+def the_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.build_features(the_panel(spark, d), breaks=BREAKS)
+
+
+def the_index(spark: SparkSession, d: str) -> DataFrame:
+    return features.congestion_index(the_features(spark, d))
+
+
+# ---- A: sources and sinks ------------------------------------------------------------------------------------------
+
+@query("a3_split_valid", """SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM (SELECT CASE WHEN len(m) > 0 THEN array_to_string(m, ',') END AS reason FROM (
+    SELECT list_filter([CASE WHEN nullif(l_returnflag, 'R') IS NULL THEN 'l_returnflag' END, CASE WHEN nullif(l_linenumber, 7) IS NULL THEN 'l_linenumber' END], lambda v: v IS NOT NULL) AS m FROM lineitem)) GROUP BY 1""")
+def _(s, d):
+    rows = table(s, d, "lineitem").withColumns({"l_returnflag": F.nullif("l_returnflag", F.lit("R")), "l_linenumber": F.nullif("l_linenumber", F.lit(7))})
+    return tables.rejection_counts(rows, ["l_returnflag", "l_linenumber"])
+
+
+@query("a8_year_audit", "SELECT CAST(year(l_shipdate) AS INT) AS year, count(*) AS n FROM lineitem GROUP BY 1")
+def _(s, d):
+    return tables.year_audit(table(s, d, "lineitem").select(F.year("l_shipdate").alias("year")))
+
+
+@query("a14_append_missing", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
+def _(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return tables.missing_rows(o, o.where("o_orderstatus = 'F'"), ["o_orderkey"]).drop("o_orderstatus")
+
+
+@query("a17_nan_to_null", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS s_acctbal FROM supplier", "s_acctbal")
+def _(s, d):
+    return tables.nan_to_null(table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("s_acctbal")).alias("s_acctbal")))
+
+
+@query("a18_reconcile", """SELECT 'orders' AS "table", (SELECT count(*) FROM orders) AS n_left, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS n_right, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') = 0 AS same
+    UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), true""")
+def _(s, d):
+    o, n = table(s, d, "orders"), table(s, d, "nation")
+    return tables.reconcile({"orders": o, "nation": n}, {"orders": o.where("o_orderstatus <> 'P'"), "nation": n})
+
+
+@query("a20_panel_meta", f"WITH {PANEL} SELECT min(year) AS first_year, max(year) AS last_year, count(*) AS n_rows, count(DISTINCT (port, direction)) AS n_series FROM panel")
+def _(s, d):
+    return tables.panel_meta(the_panel(s, d), KEYS)
+
+
+# ---- B: expressions ------------------------------------------------------------------------------------------------
+
+@query("b1_parse_dirty_text", """SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CAST(l_suppkey AS INT) AS code_strict, CAST(l_suppkey AS INT) AS code, substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 1, 6) AS hs6, substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 1, 4) AS hs4, substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 1, 2) AS hs2 FROM lineitem""", "price")
+def _(s, d):
+    raw = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.replace(F.format_string("%.2f", "l_extendedprice"), F.lit("."), F.lit(",")).alias("p"), F.concat(F.lit(" "), "l_suppkey", F.lit(",0")).alias("c"), F.col("l_partkey").cast("string").alias("h"))
+    return raw.select("l_orderkey", "l_linenumber", x.text_to_double(F.col("p")).alias("price"), x.code_to_int(F.col("c"), strict=True).alias("code_strict"), x.code_to_int(F.col("c")).alias("code"), *[c.alias(n) for n, c in x.hs_levels(F.col("h"), 8).items()])
+
+
+@query("b6_not_airport", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE (n_name <> 'FRANCE') AND NOT n_name ILIKE 'uni%'")
+def _(s, d):
+    df = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return df.where(x.not_airport((F.col("n_name"), "=", "FRANCE"), (F.col("n_name"), "^", "uni"))).select("s_suppkey", "n_name")
+
+
+@query("b10_calendar", """SELECT o_orderkey, ['Summer', 'Autumn', 'Winter', 'Spring'][(m % 12) // 3 + 1] AS season, CAST((m - 1) // 3 + 1 AS DOUBLE) AS quarter, sin(2 * pi() * m / 12) AS month_sin, cos(2 * pi() * m / 12) AS month_cos,
+    CAST((y * 12 + m - 1 + 5) // 12 AS INT) AS next_year, CAST((y * 12 + m - 1 + 5) % 12 + 1 AS INT) AS next_month, CAST(y * 100 + m AS INT) AS period, y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') AS label, CAST(make_date(y, m, 1) AS VARCHAR) AS month_start FROM (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders)""", "month_sin month_cos quarter")
+def _(s, d):
+    df = table(s, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    sin, cos = x.cyclic(F.col("m"))
+    ny, nm = x.add_months(F.col("y"), F.col("m"), F.lit(5))
+    return df.select("o_orderkey", x.season(F.col("m")).alias("season"), x.quarter(F.col("m")).alias("quarter"), sin.alias("month_sin"), cos.alias("month_cos"), ny.alias("next_year"), nm.alias("next_month"), x.period(F.col("y"), F.col("m")).alias("period"), x.month_label(F.col("y"), F.col("m")).alias("label"), x.month_start(F.col("y"), F.col("m")).cast("string").alias("month_start"))
+
+
+@query("b17_clamp_labels", """SELECT s_suppkey, CASE WHEN s_acctbal IS NOT NULL THEN least(0.4, greatest(-0.3, coalesce(nullif(s_acctbal / 10000, 0), 0.025))) END AS growth, CASE WHEN s_acctbal < 2500 THEN 'Low' WHEN s_acctbal < 5000 THEN 'Moderate' WHEN s_acctbal < 7500 THEN 'High' ELSE 'Critical' END AS label,
+    ln(1 + abs(s_acctbal)) AS log_value, 100 * pow(1 + 0.1, s_suppkey % 12 / 12.0) AS grown, CASE WHEN s_acctbal / 20000 >= 0.4 THEN 'Critical' WHEN s_acctbal / 20000 >= 0.25 THEN 'High' WHEN s_acctbal / 20000 >= 0.15 THEN 'Moderate' ELSE 'Low' END AS delay FROM supplier""", "growth log_value grown")
+def _(s, d):
+    a = F.col("s_acctbal")
+    return table(s, d, "supplier").select("s_suppkey", x.clamp(a / 10000, -0.3, 0.4, 0.025).alias("growth"), x.bin_label(a, (2500, 5000, 7500), ("Low", "Moderate", "High", "Critical")).alias("label"), F.log1p(F.abs(a)).alias("log_value"), x.compound(F.lit(100.0), F.lit(0.1), F.col("s_suppkey") % 12).alias("grown"), x.delay_label(a / 20000, F.lit(0.0)).alias("delay"))
+
+
+# ---- C: joins ------------------------------------------------------------------------------------------------------
+
+@query("c1_star_decode", """SELECT l_orderkey, l_linenumber, s_name, a.n_name AS supplier_nation, c_name, b.n_name AS customer_nation, p_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation a ON s_nationkey = a.n_nationkey
+    LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation b ON c_nationkey = b.n_nationkey LEFT JOIN part ON l_partkey = p_partkey""")
+def _(s, d):
+    t = lambda n: table(s, d, n)
+    L = decode.Lookup
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    df = decode.decode(df, [L(t("supplier"), "l_suppkey", "s_suppkey", {"s_name": "s_name", "s_nationkey": "sn"}), L(t("nation"), "sn", "n_nationkey", {"n_name": "supplier_nation"}), L(t("orders"), "l_orderkey", "o_orderkey", {"o_custkey": "ck"}), L(t("customer"), "ck", "c_custkey", {"c_name": "c_name", "c_nationkey": "cn"}), L(t("nation"), "cn", "n_nationkey", {"n_name": "customer_nation"}), L(t("part"), "l_partkey", "p_partkey", {"p_name": "p_name"})])
+    return df.select("l_orderkey", "l_linenumber", "s_name", "supplier_nation", "c_name", "customer_nation", "p_name")
+
+
+@query("c5_prefix_fallback", """WITH dim AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name FROM part WHERE p_partkey % 2 = 0), ex AS (SELECT code, min(p_name) AS n FROM dim GROUP BY 1), pre AS (SELECT left(code, 4) AS p, arg_min(p_name, (code, p_name)) AS n FROM dim GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, coalesce(ex.n, pre.n) AS description FROM lineitem LEFT JOIN ex ON ex.code = lpad(CAST(l_partkey AS VARCHAR), 6, '0') LEFT JOIN pre ON pre.p = left(lpad(CAST(l_partkey AS VARCHAR), 6, '0'), 4)""")
+def _(s, d):
+    dim = table(s, d, "part").where("p_partkey % 2 = 0").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), "p_name")
+    facts = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("c"))
+    return decode.prefix_fallback(facts, dim, "c", "code", "p_name", "description").drop("c")
+
+
+@query("c14_active_series", f"WITH {PANEL} SELECT port, direction FROM panel GROUP BY 1, 2 HAVING count(*) >= 36 AND max(year) >= 2001")
+def _(s, d):
+    p = the_panel(s, d)
+    return panel.eligible_series(p).select(*KEYS).join(p.where("year >= 2001").select(*KEYS).distinct(), KEYS, "left_semi")
+
+
+@query("d8_miss_report", "SELECT count(*) AS n_rows, count(*) FILTER (n_name IS NULL) AS miss_nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON s_nationkey = n_nationkey")
+def _(s, d):
+    df = decode.decode(table(s, d, "supplier"), [decode.Lookup(table(s, d, "nation").where("n_regionkey <> 2"), "s_nationkey", "n_nationkey", {"n_name": "nation"})])
+    return decode.miss_report(df, ["nation"])
+
+
+@query("d9_leak_check", """SELECT 'orders' AS "table", (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS n_leaks UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE l_discount > 0.05)""")
+def _(s, d):
+    return decode.leak_check({"orders": (table(s, d, "orders"), F.col("o_totalprice") < 0), "lineitem": (table(s, d, "lineitem"), F.col("l_discount") > 0.05)})
+
+
+# ---- D: panels and aggregates --------------------------------------------------------------------------------------
+
+@query("d1_monthly_panel", f"WITH {PANEL} SELECT p.*, {', '.join(f'm{i}.v AS {out}' for i, out in enumerate(_MODES))} FROM panel p " + " ".join(f"LEFT JOIN {_mode_sql(of, 'decl', _PK)} m{i} USING ({_PK})" for i, of in enumerate(_MODES.values())), "total_value_usd total_weight_mt total_quantity avg_value_per_shipment_usd")
+def _(s, d):
+    return the_panel(s, d)
+
+
+_CK = "hs2, port, direction, year, month"
+
+
+@query("d2_commodity_panel", f"WITH {DECL}, p AS (SELECT {_CK}, count(*) AS shipment_count, coalesce(sum(value_usd), 0) AS total_value_usd, coalesce(sum(weight_kg) / 1000, 0) AS total_weight_mt, coalesce(sum(quantity), 0) AS total_quantity FROM decl GROUP BY {_CK}) SELECT p.*, m.v AS dominant_description FROM p LEFT JOIN {_mode_sql('hs6', 'decl', _CK)} m USING ({_CK})", "total_value_usd total_weight_mt total_quantity")
+def _(s, d):
+    return panel.commodity_panel(declarations(s, d))
+
+
+@query("d3_panel_extra_key", f"WITH {DECL} SELECT port, direction, clause, year, month, count(*) AS shipment_count, sum(value_usd) AS total_value_usd FROM decl GROUP BY port, direction, clause, year, month", "total_value_usd")
+def _(s, d):
+    return panel.monthly_panel(declarations(s, d), [*KEYS, "clause"], CARGO).select(*KEYS, "clause", "year", "month", "shipment_count", "total_value_usd")
+
+
+@query("d10_seasonal_index", f"WITH {PANEL}, m AS (SELECT port, direction, month, avg(shipment_count) AS a, avg(total_value_usd) AS b FROM panel WHERE year >= 1996 GROUP BY 1, 2, 3) SELECT port, direction, month, a / avg(a) OVER w AS factor_shipment_count, b / avg(b) OVER w AS factor_total_value_usd FROM m WINDOW w AS (PARTITION BY port, direction)", "factor_shipment_count factor_total_value_usd")
+def _(s, d):
+    return panel.seasonal_index(the_panel(s, d), KEYS, ["shipment_count", "total_value_usd"], 1996)
+
+
+@query("d11_seasonal_two_level", f"WITH {DECL}, p AS (SELECT hs2, port, direction, year, month, sum(value_usd) AS v FROM decl GROUP BY {_CK}), w AS (SELECT hs2, port, direction, count(DISTINCT year) AS n_years, avg(v) AS a FROM p GROUP BY 1, 2, 3 HAVING count(DISTINCT year) >= 4) SELECT p.hs2, p.port, p.direction, month, any_value(n_years) AS n_years, count(*) AS n, avg(v) / any_value(a) AS season_factor FROM p JOIN w ON p.hs2 = w.hs2 AND p.port = w.port AND p.direction = w.direction GROUP BY 1, 2, 3, 4", "season_factor")
+def _(s, d):
+    return panel.seasonal_index_two_level(panel.commodity_panel(declarations(s, d)))
+
+
+@query("d12_trend_params", f"WITH {FEATURES} SELECT port, direction, CAST(max(year * 100 + month) // 100 AS INT) AS last_year, CAST(max(year * 100 + month) % 100 AS INT) AS last_month, avg(shipment_count) AS avg_shipment_count, avg(total_value_usd) AS avg_total_value_usd, avg(yoy_growth) AS avg_yoy_growth, count(*) AS n_obs FROM feats WHERE year >= 1996 GROUP BY 1, 2 HAVING count(*) >= 24", "avg_shipment_count avg_total_value_usd avg_yoy_growth")
+def _(s, d):
+    return panel.trend_params(the_features(s, d), ["shipment_count", "total_value_usd", "yoy_growth"], year_floor=1996)
+
+
+@query("d13_positive_growth", f"WITH {PANEL}, g AS (SELECT port, direction, shipment_count, total_value_usd, lag(shipment_count, 12) OVER w AS a, lag(total_value_usd, 12) OVER w AS b FROM panel WINDOW w AS (PARTITION BY port, direction ORDER BY year, month)) SELECT port, direction, avg(CASE WHEN a > 0 THEN shipment_count / a::DOUBLE - 1 END) AS growth_shipment_count, avg(CASE WHEN b > 0 THEN total_value_usd / b - 1 END) AS growth_total_value_usd, count(*) AS n_obs, avg(shipment_count) * count(*) AS weight FROM g GROUP BY 1, 2 HAVING count(*) >= 48", "growth_shipment_count growth_total_value_usd weight")
+def _(s, d):
+    return panel.mean_positive_growth(the_panel(s, d), ["shipment_count", "total_value_usd"], KEYS)
+
+
+_Q = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@query("d15_describe", f"WITH {PANEL} SELECT direction, count(*) AS n, avg(shipment_count) AS mean, stddev_samp(shipment_count) AS std, min(shipment_count) AS min, max(shipment_count) AS max, {', '.join(f'quantile_cont(shipment_count, {q}) AS p{round(100 * q)}' for q in _Q)} FROM panel GROUP BY 1", "mean std " + " ".join(f"p{round(100 * q)}" for q in _Q))
+def _(s, d):
+    return stats.describe_by(the_panel(s, d), "direction", "shipment_count", _Q)
+
+
+@query("d16_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) FILTER ({c} IS NULL) AS n_null, 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS pct_null, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS example FROM orders""" for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))), "pct_null")
+def _(s, d):
+    return stats.profile(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("d17_coverage", f"WITH {PANEL} SELECT port, direction, min(year) AS first_year, max(year) AS last_year, count(*) AS n_months, CAST(max(year) - min(year) + 1 AS INT) AS span_years FROM panel GROUP BY 1, 2")
+def _(s, d):
+    return stats.coverage(the_panel(s, d), KEYS)
+
+
+@query("d18_volatility", f"WITH {PANEL} SELECT port, direction, avg(shipment_count) AS mean, stddev_samp(shipment_count) AS std, count(*) AS n, max(year) AS last_year, stddev_samp(shipment_count) / avg(shipment_count) AS cv FROM panel GROUP BY 1, 2", "mean std cv")
+def _(s, d):
+    return stats.volatility(the_panel(s, d), KEYS, "shipment_count")
+
+
+@query("d19_break_impact", f"WITH {PANEL}, b AS (SELECT port, direction, avg(shipment_count) FILTER (year BETWEEN 1995 AND 1997) AS pre_mean, avg(shipment_count) FILTER (year = 1998) AS y1_mean, avg(shipment_count) FILTER (year = 1999) AS y2_mean, count(*) FILTER (year IN (1998, 1999)) AS n_touched FROM panel GROUP BY 1, 2) SELECT *, 100 * (y1_mean - pre_mean) / pre_mean AS change_y1_pct, 100 * (y2_mean - pre_mean) / pre_mean AS change_y2_pct FROM b WHERE pre_mean IS NOT NULL AND y1_mean IS NOT NULL AND y2_mean IS NOT NULL", "pre_mean y1_mean y2_mean change_y1_pct change_y2_pct")
+def _(s, d):
+    return stats.break_impact(the_panel(s, d), KEYS, "shipment_count", (1995, 1997), 1998, 1999)
+
+
+@query("d20_national_series", f"WITH {PANEL} SELECT year, month, direction, CAST(sum(shipment_count) AS BIGINT) AS shipment_count FROM panel GROUP BY 1, 2, 3")
+def _(s, d):
+    return panel.national_series(the_panel(s, d))
+
+
+@query("d21_national_totals", f"WITH {PANEL} SELECT year, coalesce(direction, 'total') AS direction, CAST(sum(shipment_count) AS BIGINT) AS shipment_count FROM panel GROUP BY GROUPING SETS ((year, direction), (year))")
+def _(s, d):
+    return panel.national_totals(the_panel(s, d))
+
+
+_CORR = ("shipment_count", "total_value_usd", "total_quantity", "country_diversity")
+
+
+@query("d23_corr_matrix", f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM panel" for i, a in enumerate(_CORR) for b in _CORR[i:]), "rho")
+def _(s, d):
+    return stats.corr_matrix(the_panel(s, d), _CORR)
+
+
+@query("d24_leak_corr", f"WITH {FEATURES}, c AS (SELECT port, direction, corr(shipment_count, rolling_3_inclusive) AS rho FROM feats GROUP BY 1, 2) SELECT count(*) AS n_series, min(rho) AS min_rho, max(rho) AS max_rho, avg(rho) AS mean_rho, avg(CAST(abs(rho) > 0.999 AS INT)) AS share_one FROM c WHERE rho IS NOT NULL AND NOT isnan(rho)", "min_rho max_rho mean_rho share_one")
+def _(s, d):
+    p = the_panel(s, d).withColumn("rolling_3_inclusive", features.rolling_inclusive("shipment_count", 3, KEYS))
+    return stats.leak_corr(features.build_features(p, breaks=BREAKS), KEYS, "shipment_count", "rolling_3_inclusive")
+
+
+@query("d34_leak_identity", f"WITH {FEATURES}, g AS (SELECT shipment_count::DOUBLE AS y, 3 * rolling_3_inclusive - lag_1 - lag_2 AS g FROM feats) SELECT count(*) AS n, max(abs(y - g)) AS max_residual, avg(abs(y - g)) AS mean_residual, 1 - sum((y - g) ** 2) / (count(*) * var_pop(y)) AS r2 FROM g", "max_residual mean_residual r2")
+def _(s, d):
+    p = the_panel(s, d).withColumn("rolling_3_inclusive", features.rolling_inclusive("shipment_count", 3, KEYS))
+    return stats.leak_identity(features.build_features(p, breaks=BREAKS), "shipment_count")
+
+
+@query("d25_medians", f"WITH {PANEL} SELECT port, median(shipment_count) AS median_count FROM panel GROUP BY 1", "median_count")
+def _(s, d):
+    return the_panel(s, d).groupBy("port").agg(F.median("shipment_count").alias("median_count"))
+
+
+@query("d26_wavg", "SELECT o_orderpriority, sum(o_totalprice * o_custkey) FILTER (o_custkey > 0) / sum(o_custkey) FILTER (o_custkey > 0) AS w FROM orders GROUP BY 1", "w")
+def _(s, d):
+    return table(s, d, "orders").groupBy("o_orderpriority").agg(x.wavg(F.col("o_totalprice"), F.col("o_custkey")).alias("w"))
+
+
+@query("d32_label_dist", "SELECT event_type, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM events GROUP BY 1", "pct")
+def _(s, d):
+    return stats.label_dist(table(s, d, "events"), "event_type")
+
+
+@query("d52_repair_rate", f"WITH {FEATURES} SELECT count(*) FILTER (lag_12 IS DISTINCT FROM lag_12_clean) AS n_repaired, 100 * avg(CAST(lag_12 IS DISTINCT FROM lag_12_clean AS INT)) AS pct_repaired FROM feats", "pct_repaired")
+def _(s, d):
+    return stats.repair_rate(the_features(s, d))
+
+
+@query("d53_histogram", f"WITH {PANEL}, l AS (SELECT 'shipment_count' AS c, shipment_count::DOUBLE AS v FROM panel UNION ALL SELECT 'total_value_usd', total_value_usd FROM panel), e AS (SELECT c, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1) SELECT c AS \"column\", CAST(CASE WHEN hi > lo THEN least(20, floor((v - lo) / (hi - lo) * 20) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM l JOIN e USING (c) GROUP BY 1, 2")
+def _(s, d):
+    return stats.histogram(the_panel(s, d), ["shipment_count", "total_value_usd"], 20)
+
+
+@query("d54_box_summary", f"WITH {PANEL}, q AS (SELECT port, count(*) AS n, quantile_cont(shipment_count, 0.25) AS q1, quantile_cont(shipment_count, 0.5) AS median, quantile_cont(shipment_count, 0.75) AS q3 FROM panel GROUP BY 1) SELECT port, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3, min(shipment_count) AS whisker_low, max(shipment_count) AS whisker_high FROM panel JOIN q USING (port) WHERE shipment_count BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1", "q1 median q3")
+def _(s, d):
+    return stats.box_summary(the_panel(s, d), ["port"], "shipment_count")
+
+
+# ---- E and H: features, index, models, forecasts -------------------------------------------------------------------
+
+_FEATURE_COLUMNS = "lag_1 lag_2 lag_3 lag_12 lag_12_clean lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean lag_12_is_break".split()
+_FEATURE_DOUBLES = "lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean"
+
+
+@query("h1_features", f"WITH {FEATURES} SELECT {_PK}, {', '.join(_FEATURE_COLUMNS)} FROM feats", _FEATURE_DOUBLES)
+def _(s, d):
+    return the_features(s, d).select(*KEYS, "year", "month", *_FEATURE_COLUMNS)
+
+
+@query("h5_trend_clean_lag", f"""WITH {FEATURES}, g AS (SELECT *, avg(CASE WHEN year < 1998 THEN shipment_count END) OVER (PARTITION BY port, direction, month) AS base, coalesce(median(CASE WHEN year NOT IN (1998, 1999) AND year - 1 NOT IN (1998, 1999) THEN yoy_growth END) OVER (PARTITION BY port, direction), 0.03) AS g FROM feats)
+    SELECT {_PK}, CASE WHEN year - 1 IN (1998, 1999) AND base IS NOT NULL THEN greatest(1.0, base * pow(1 + least(0.15, greatest(-0.15, g)), year - 1 - 1997)) ELSE lag_12::DOUBLE END AS lag_12_trend, CASE WHEN year - 1 IN (1998, 1999) THEN g ELSE yoy_growth END AS growth_trend FROM g""", "lag_12_trend growth_trend")
+def _(s, d):
+    return features.trend_clean_lag(the_features(s, d), breaks=BREAKS).select(*KEYS, "year", "month", "lag_12_trend", "growth_trend")
+
+
+@query("h6_congestion_index", f"WITH {INDEX} SELECT {_PK}, sc_norm, v_norm, w_norm, cd_norm, congestion_index, CASE WHEN congestion_index < 0.25 THEN 'Low' WHEN congestion_index < 0.5 THEN 'Moderate' WHEN congestion_index < 0.75 THEN 'High' ELSE 'Critical' END AS label FROM ci", "sc_norm v_norm w_norm cd_norm congestion_index")
+def _(s, d):
+    from .config import CONGESTION_CUTS
+
+    df = the_index(s, d).withColumn("label", x.bin_label(F.col("congestion_index"), *CONGESTION_CUTS))
+    return df.select(*KEYS, "year", "month", "sc_norm", "v_norm", "w_norm", "cd_norm", "congestion_index", "label")
+
+
+@query("e9_latest_per_key", f"WITH {DECL}, p AS (SELECT {_CK}, count(*) AS shipment_count FROM decl GROUP BY {_CK}) SELECT hs2, arg_max(shipment_count, (year, month, shipment_count)) AS shipment_count FROM p GROUP BY 1")
+def _(s, d):
+    return features.latest_per_key(panel.commodity_panel(declarations(s, d)), ["hs2"], "shipment_count")
+
+
+@query("e12_last_rows", f"WITH {PANEL} SELECT port, direction, year, month, shipment_count FROM panel QUALIFY row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12")
+def _(s, d):
+    return features.last_rows(the_panel(s, d), 12).select(*KEYS, "year", "month", "shipment_count")
+
+
+@query("e13_acf", f"""WITH {PANEL}, z AS (SELECT port, direction, row_number() OVER (PARTITION BY port, direction ORDER BY year, month) AS i, shipment_count - avg(shipment_count) OVER (PARTITION BY port, direction) AS v FROM panel), q AS (SELECT port, direction, sum(v * v) AS q, count(*) AS n FROM z GROUP BY 1, 2)
+    SELECT port, direction, CAST(k AS INT) AS lag, (SELECT sum(a.v * b.v) FROM z a JOIN z b ON a.port = b.port AND a.direction = b.direction AND b.i = a.i + k WHERE a.port = q.port AND a.direction = q.direction) / nullif(q, 0) AS acf FROM q, range(0, 13) r(k) WHERE k < n""", "acf")
+def _(s, d):
+    return features.acf(the_panel(s, d), "shipment_count", 12)
+
+
+_DENSE = f"WITH {PANEL}, r AS (SELECT port, direction, min(year * 12 + month - 1) AS a, max(year * 12 + month - 1) AS b FROM panel GROUP BY 1, 2), sp AS (SELECT port, direction, unnest(range(a, b + 1)) AS p FROM r) SELECT sp.port, sp.direction, CAST(p // 12 AS INT) AS year, CAST(p % 12 + 1 AS INT) AS month, shipment_count FROM sp LEFT JOIN panel x ON x.port = sp.port AND x.direction = sp.direction AND x.year = p // 12 AND x.month = p % 12 + 1"
+
+
+@query("t1_densify", _DENSE)
+def _(s, d):
+    return panel.densify(the_panel(s, d)).select(*KEYS, "year", "month", "shipment_count")
+
+
+@query("h9_eligible_series", f"WITH {PANEL} SELECT port, direction, count(*) AS n_months, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2 HAVING count(*) >= 36", "avg_volume")
+def _(s, d):
+    return panel.eligible_series(the_panel(s, d))
+
+
+WALK = FEATURES + """, folds(train_end, fold_year) AS (VALUES (1998, 1999), (1999, 2000), (2000, 2001)), wf0 AS (SELECT feats.*, fold_year, year = fold_year AS is_test FROM feats JOIN folds ON year <= train_end OR year = fold_year),
+    wf AS (SELECT * FROM wf0 QUALIFY sum(CAST(NOT is_test AS INT)) OVER (PARTITION BY port, direction, fold_year) >= 24 AND sum(CAST(is_test AS INT)) OVER (PARTITION BY port, direction, fold_year) > 0)"""
+_NAIVE = "greatest(1.0, coalesce(lag_12_clean, 1) * (1 + coalesce(least(0.2, greatest(-0.2, yoy_growth_clean)), 0)))"
+_FALLBACK = "greatest(1.0, coalesce(nullif(lag_12_clean, 0), nullif(rolling_12_mean, 0), 1) * (1 + coalesce(least(0.2, greatest(-0.2, yoy_growth_clean)), 0)))"
+_ROLL = "greatest(1.0, coalesce(rolling_12_mean, 1.0))"
+SCORES = WALK + ", preds AS (" + " UNION ALL ".join(f"SELECT port, direction, fold_year, '{n}' AS model, shipment_count::DOUBLE AS y, {e} AS p FROM wf WHERE is_test" for n, e in (("naive", _NAIVE), ("naive_fallback", _FALLBACK), ("rolling", _ROLL))) + """),
+    scores AS (SELECT port, direction, fold_year, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 100 * avg(CASE WHEN y > 0 THEN abs(y - p) / y END) AS mape, CASE WHEN count(*) > 1 THEN 1 - sum((y - p) ** 2) / nullif(regr_sxx(y, y), 0) END AS r2, count(*) AS n FROM preds GROUP BY 1, 2, 3, 4),
+    vol AS (SELECT port, direction, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2),
+    cv AS (SELECT port, direction, model, avg(mape) AS m FROM scores GROUP BY 1, 2, 3), best AS (SELECT port, direction, arg_min(model, (m, model)) AS best_model, min(m) AS best_cv_mape FROM cv WHERE m IS NOT NULL GROUP BY 1, 2),
+    sel AS (SELECT b.port, b.direction, avg_volume, CASE WHEN avg_volume >= 15 THEN 'naive' ELSE best_model END AS selected_model, best_model, best_cv_mape, c.m AS baseline_cv_mape, CASE WHEN avg_volume >= 15 THEN c.m ELSE best_cv_mape END AS final_cv_mape FROM best b LEFT JOIN vol USING (port, direction) LEFT JOIN cv c ON c.port = b.port AND c.direction = b.direction AND c.model = 'naive')"""
+
+
+def the_scores(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = the_panel(s, d)
+    folds = evaluate.walk_forward(features.build_features(p, breaks=BREAKS), FOLDS)
+    found = evaluate.evaluate(folds, {"naive": evaluate.seasonal_naive(), "naive_fallback": evaluate.naive_with_fallback(), "rolling": evaluate.rolling_mean()})
+    volumes = p.groupBy(*KEYS).agg(F.avg("shipment_count").alias("avg_volume"))
+    return found, volumes, evaluate.select_hybrid(found, volumes, THRESHOLD)
+
+
+@query("h13_walk_forward", f"WITH {WALK} SELECT fold_year, is_test, count(*) AS n, count(DISTINCT (port, direction)) AS n_series FROM wf GROUP BY 1, 2")
+def _(s, d):
+    return evaluate.walk_forward(the_features(s, d), FOLDS).groupBy("fold_year", "is_test").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*KEYS)).alias("n_series"))
+
+
+@query("h14_evaluate", f"WITH {SCORES} SELECT * FROM scores", "mae rmse mape r2")
+def _(s, d):
+    return the_scores(s, d)[0]
+
+
+@query("h26_select_hybrid", f"WITH {SCORES} SELECT * FROM sel", "avg_volume best_cv_mape baseline_cv_mape final_cv_mape")
+def _(s, d):
+    return the_scores(s, d)[2]
+
+
+@query("d27_summarise", f"WITH {SCORES} SELECT model, fold_year, count(DISTINCT (port, direction)) AS n_series, {', '.join(f'sum({m} * avg_volume) FILTER ({m} IS NOT NULL) / sum(avg_volume) FILTER ({m} IS NOT NULL) AS w{m}' for m in ('mae', 'rmse', 'mape', 'r2'))} FROM scores JOIN vol USING (port, direction) GROUP BY 1, 2", "wmae wrmse wmape wr2")
+def _(s, d):
+    found, volumes, _sel = the_scores(s, d)
+    return stats.summarise(found.join(volumes, KEYS))
+
+
+@query("d29_pivot_scores", f"WITH {SCORES} SELECT port, direction, {', '.join(f'avg(mape) FILTER (model = {chr(39)}{m}{chr(39)}) AS {m}' for m in ('naive', 'naive_fallback', 'rolling'))} FROM scores GROUP BY 1, 2", "naive naive_fallback rolling")
+def _(s, d):
+    return stats.pivot_scores(the_scores(s, d)[0], KEYS, "model", ["naive", "naive_fallback", "rolling"], "mape")
+
+
+@query("d30_head_to_head", f"WITH {SCORES}, j AS (SELECT a.mape AS ma, b.mape AS mb FROM scores a JOIN scores b USING (port, direction, fold_year) WHERE a.model = 'naive' AND b.model = 'rolling' AND a.mape IS NOT NULL AND b.mape IS NOT NULL) SELECT count(*) AS n, avg(CAST(ma < mb AS INT)) AS win_rate, median(ma - mb) AS median_gap, avg(ma - mb) AS mean_gap, count(*) FILTER (ma < mb) AS wins, count(*) FILTER (ma > mb) AS losses FROM j", "win_rate median_gap mean_gap")
+def _(s, d):
+    return stats.head_to_head(the_scores(s, d)[0], "naive", "rolling", [*KEYS, "fold_year"])
+
+
+@query("d33_residuals", f"WITH {SCORES} SELECT avg(y - p) AS mean, stddev_pop(y - p) AS std, count(*) AS n, abs(avg(y - p)) < 0.1 * stddev_pop(y - p) AS unbiased FROM preds WHERE model = 'naive'", "mean std")
+def _(s, d):
+    folds = evaluate.walk_forward(the_features(s, d), FOLDS).where("is_test")
+    return stats.residual_stats(folds.select(F.col("shipment_count").cast("double").alias("y"), evaluate.seasonal_naive().alias("prediction")))
+
+
+@query("h28_compare_strategies", f"WITH {SCORES}, r AS (SELECT scores.*, avg_volume, selected_model FROM scores JOIN sel USING (port, direction) WHERE fold_year = 2001), e AS (SELECT *, model AS strategy FROM r UNION ALL SELECT *, 'hybrid' FROM r WHERE model = selected_model) SELECT strategy, count(*) AS n_series, sum(mape * avg_volume) FILTER (mape IS NOT NULL) / sum(avg_volume) FILTER (mape IS NOT NULL) AS wmape FROM e GROUP BY 1", "wmape")
+def _(s, d):
+    found, _v, sel = the_scores(s, d)
+    return evaluate.compare_strategies(found, sel, 2001)
+
+
+@query("c12_improvement", f"WITH {SCORES} SELECT port, direction, a.mape AS selected_mape, b.mape AS baseline_mape, b.mape - a.mape AS gain FROM sel JOIN scores a USING (port, direction) JOIN scores b USING (port, direction) WHERE a.model = selected_model AND b.model = 'naive' AND a.fold_year = 2001 AND b.fold_year = 2001", "selected_mape baseline_mape gain")
+def _(s, d):
+    found, _v, sel = the_scores(s, d)
+    return evaluate.improvement(found, sel, 2001)
+
+
+@query("c13_compare_metrics", f"WITH {SCORES}, a AS (SELECT port, direction, mape FROM scores WHERE model = 'naive' AND fold_year = 1999), b AS (SELECT port, direction, mape FROM scores WHERE model = 'naive' AND fold_year = 2001) SELECT port, direction, a.mape AS left_value, b.mape AS right_value, b.mape - a.mape AS delta FROM a FULL JOIN b USING (port, direction)", "left_value right_value delta")
+def _(s, d):
+    found = the_scores(s, d)[0].where("model = 'naive'")
+    return evaluate.compare_metrics(found.where("fold_year = 1999"), found.where("fold_year = 2001"), KEYS)
+
+
+@query("h29_winner", f"WITH {SCORES}, w AS (SELECT model, sum(mape * avg_volume) FILTER (mape IS NOT NULL) / sum(avg_volume) FILTER (mape IS NOT NULL) AS wmape FROM scores JOIN vol USING (port, direction) WHERE fold_year = 2001 GROUP BY 1) SELECT arg_min(model, (wmape, model)) AS winner, min(wmape) AS wmape FROM w", "wmape")
+def _(s, d):
+    found, volumes, _sel = the_scores(s, d)
+    return evaluate.winner(found.join(volumes, KEYS), 2001)
+
+
+PARAMS = FEATURES + """, params AS (SELECT port, direction, max(year * 100 + month) // 100 AS ly, max(year * 100 + month) % 100 AS lm, avg(shipment_count) AS a, avg(total_value_usd) AS b, avg(yoy_growth) AS g FROM feats GROUP BY 1, 2 HAVING count(*) >= 24),
+    sm AS (SELECT port, direction, month, avg(shipment_count) AS a, avg(total_value_usd) AS b FROM panel GROUP BY 1, 2, 3), si AS (SELECT port, direction, month, a / avg(a) OVER w AS fa, b / avg(b) OVER w AS fb FROM sm WINDOW w AS (PARTITION BY port, direction)),
+    grid AS (SELECT params.*, CAST(k AS INT) AS step, CAST((ly * 12 + lm - 1 + k) // 12 AS INT) AS year, CAST((ly * 12 + lm - 1 + k) % 12 + 1 AS INT) AS month, least(0.4, greatest(-0.3, coalesce(nullif(g, 0), 0.025))) AS growth FROM params, range(1, 13) r(k)),
+    fc AS (SELECT grid.port, grid.direction, year, grid.month, step, growth, grid.a * coalesce(fa, 1) * pow(1 + growth, step / 12.0) AS pred_shipment_count, grid.b * coalesce(fb, 1) * pow(1 + growth, step / 12.0) AS pred_total_value_usd FROM grid LEFT JOIN si ON si.port = grid.port AND si.direction = grid.direction AND si.month = grid.month)"""
+
+
+def the_forecast(s, d) -> DataFrame:
+    p = the_panel(s, d)
+    params = panel.trend_params(features.build_features(p, breaks=BREAKS), ["shipment_count", "total_value_usd", "yoy_growth"])
+    seasonal = panel.seasonal_index(p, KEYS, ["shipment_count", "total_value_usd"])
+    return forecast.seasonal_trend_forecast(params, seasonal, {"shipment_count": "factor_shipment_count", "total_value_usd": "factor_total_value_usd"}, "avg_yoy_growth")
+
+
+@query("h7_seasonal_trend_forecast", f"WITH {PARAMS} SELECT * FROM fc", "growth pred_shipment_count pred_total_value_usd")
+def _(s, d):
+    return the_forecast(s, d)
+
+
+@query("k8_forecast_index", f"WITH {PARAMS}, h AS (SELECT port, direction, min(shipment_count) AS lo, max(shipment_count) AS hi FROM panel GROUP BY 1, 2) SELECT fc.port, fc.direction, year, month, least(1.0, greatest(0.0, (pred_shipment_count - lo) / nullif(hi - lo, 0))) AS hist_index, pred_shipment_count >= hi AS at_or_above_hist_peak FROM fc JOIN h ON h.port = fc.port AND h.direction = fc.direction", "hist_index")
+def _(s, d):
+    return forecast.forecast_index(the_forecast(s, d), the_panel(s, d), "pred_shipment_count", "shipment_count").select(*KEYS, "year", "month", "hist_index", "at_or_above_hist_peak")
+
+
+RECURSE = FEATURES + """, gr AS (SELECT port, direction, coalesce(least(0.15, greatest(-0.15, median(yoy_growth_clean))), 0) AS g FROM feats WHERE year < 2001 GROUP BY 1, 2),
+    sd AS (SELECT * FROM feats WHERE year < 2001 QUALIFY CASE WHEN max(CAST(year = 2000 AS INT)) OVER (PARTITION BY port, direction) = 1 THEN year = 2000 ELSE row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12 END),
+    rec AS (SELECT sd.port, sd.direction, CAST(2001 AS INT) AS year, month, greatest(1.0, shipment_count * (1 + g)) AS prediction FROM sd JOIN gr ON gr.port = sd.port AND gr.direction = sd.direction)"""
+
+
+@query("h30_recursive_naive", f"WITH {RECURSE} SELECT * FROM rec", "prediction")
+def _(s, d):
+    return forecast.recursive_naive(the_features(s, d), 2001)
+
+
+@query("h32_published", f"WITH {RECURSE} SELECT year, month, port, direction, prediction AS pred_shipment_count, 'naive' AS model, CAST(round_even(prediction, 0) AS INT) AS forecast_shipments FROM rec", "pred_shipment_count")
+def _(s, d):
+    return forecast.published(forecast.recursive_naive(the_features(s, d), 2001), F.lit("naive")).drop("created_at")
+
+
+@query("h33_forecast_totals", f"WITH {RECURSE} SELECT direction, sum(prediction) AS total FROM rec GROUP BY 1", "total")
+def _(s, d):
+    return forecast.forecast_totals(forecast.recursive_naive(the_features(s, d), 2001))
+
+
+@query("d22_annual_growth", f"WITH {RECURSE}, a AS (SELECT direction, CAST(sum(shipment_count) AS BIGINT) AS actual FROM panel WHERE year = 2000 GROUP BY 1), f AS (SELECT direction, sum(prediction) AS forecast FROM rec GROUP BY 1) SELECT direction, forecast, actual, 100 * (forecast - actual) / nullif(actual, 0) AS growth_pct FROM f FULL JOIN a USING (direction)", "forecast growth_pct")
+def _(s, d):
+    return forecast.annual_growth(the_panel(s, d), forecast.recursive_naive(the_features(s, d), 2001), 2000)
+
+
+@query("h30_recursive_linear", f"""WITH RECURSIVE {PANEL}, h AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, max(year * 100 + month) AS lp FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
+    r AS (SELECT port, direction, lp, v[-3:] AS v, 0 AS i FROM h UNION ALL SELECT port, direction, lp, list_append(v, greatest(1.0, 1.0 + 0.5 * v[-1] + 0.3 * v[-2] + 0.1 * v[-3])), i + 1 FROM r WHERE i < 12)
+    SELECT port, direction, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) // 12 AS INT) AS year, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM r WHERE i > 0""", "prediction")
+def _(s, d):
+    return forecast.recursive_linear(the_panel(s, d), (0.5, 0.3, 0.1), 1.0)
+
+
+@query("h37_decompose", f"""WITH {PANEL}, t AS (SELECT port, direction, year, month, shipment_count::DOUBLE AS value, CASE WHEN count(*) OVER (w ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(shipment_count) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(shipment_count, 6) OVER w + lead(shipment_count, 6) OVER w) / 2.0) / 12 END AS trend FROM panel WINDOW w AS (PARTITION BY port, direction ORDER BY year, month)),
+    u AS (SELECT *, avg(value - trend) OVER (PARTITION BY port, direction, month) AS s0 FROM t), v AS (SELECT *, s0 - avg(s0) OVER (PARTITION BY port, direction) AS season FROM u) SELECT port, direction, year, month, value, trend, season, value - trend - season AS remainder FROM v""", "value trend season remainder")
+def _(s, d):
+    return stats.decompose(the_panel(s, d), "shipment_count")
+
+
+@query("h38_df_test", f"""WITH {PANEL}, l AS (SELECT port, direction, lag(shipment_count) OVER (PARTITION BY port, direction ORDER BY year, month)::DOUBLE AS v, shipment_count::DOUBLE AS now FROM panel), z AS (SELECT port, direction, v, now - v AS dy FROM l WHERE v IS NOT NULL),
+    g AS (SELECT port, direction, count(*) AS n, regr_slope(dy, v) AS b, regr_sxx(dy, v) AS sxx, regr_syy(dy, v) AS syy, regr_sxy(dy, v) AS sxy FROM z GROUP BY 1, 2) SELECT port, direction, n, b / nullif(sqrt((syy - b * sxy) / (n - 2) / nullif(sxx, 0)), 0) AS t_stat, b / nullif(sqrt((syy - b * sxy) / (n - 2) / nullif(sxx, 0)), 0) < -2.86 AS stationary FROM g WHERE n > 3""", "t_stat")
+def _(s, d):
+    return stats.df_test(the_panel(s, d), "shipment_count")
+
+
+@query("h15_inner_validation", f"""WITH {WALK}, v AS (SELECT *, max(CASE WHEN NOT is_test AND year NOT IN (1998, 1999) THEN year END) OVER (PARTITION BY port, direction, fold_year) AS vy, row_number() OVER (PARTITION BY port, direction, fold_year ORDER BY is_test, year DESC, month DESC) AS b FROM wf)
+    SELECT fold_year, CAST(count(*) FILTER (NOT is_test AND coalesce(year = vy, b <= 12)) AS BIGINT) AS n_valid FROM v GROUP BY 1""")
+def _(s, d):
+    rows = evaluate.inner_validation(evaluate.walk_forward(the_features(s, d), FOLDS), (1998, 1999))
+    return rows.groupBy("fold_year").agg(F.count_if("is_valid").alias("n_valid"))
+
+
+@query("h12_sample_weight", f"WITH {PANEL} SELECT year, sum(CASE year WHEN 1998 THEN 0.1 WHEN 1999 THEN 0.4 ELSE 1.0 END) AS w FROM panel GROUP BY 1", "w")
+def _(s, d):
+    return the_panel(s, d).groupBy("year").agg(F.sum(evaluate.sample_weight({1998: 0.1, 1999: 0.4})).alias("w"))
+
+
+_LEARNERS = ("ridge", "lasso", "elastic_net", "random_forest", "gbt", "gbt_sampled")
+_LEARN = ("month_sin", "month_cos", "lag_1", "lag_2", "lag_12_clean", "rolling_3_mean", "rolling_12_mean")
+
+
+def _learnt(kind: str):
+    def run(s, d):
+        folds = evaluate.walk_forward(the_features(s, d), FOLDS)
+        drop = (1998,) if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
+        model = models.pooled(kind, _LEARN, [f for _, f in FOLDS], drop, {1998: 0.1, 1999: 0.4})
+        return evaluate.evaluate(folds, {kind: model})
+
+    return run
+
+
+for _kind in _LEARNERS:
+    query(f"h18_model_{_kind}")(_learnt(_kind))
+
+
+# ---- D35 and K: weather and marts ----------------------------------------------------------------------------------
+
+_CFG = "cfg(port_code, ht, hc, wt, wc, gt, gc, ex, sw) AS (VALUES ('click', 0.5, 1.5, 40.0, 90.0, 100.0, 150.0, 1.0, 1.0), ('view', 0.5, 1.2, 40.0, 80.0, 90.0, 140.0, 1.1, 0.9), ('purchase', 0.4, 1.5, 30.0, 90.0, 100.0, 160.0, 0.9, 1.2), ('signup', 0.6, 1.4, 35.0, 85.0, 95.0, 150.0, 1.0, 1.0))"
+WEATHER = _CFG + """, hourly AS (SELECT event_type AS port_code, date_trunc('hour', ts) AS ts, avg(value) / 100 AS wave, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 20 AS swell, avg(value) AS wind, max(value) AS gusts FROM events GROUP BY 1, 2),
+    risk AS (SELECT h.*, coalesce(least(1, greatest(0, (greatest(wave * coalesce(ex, 1), swell * coalesce(sw, 1)) - ht) / (hc - ht))), 0) AS wave_risk, coalesce(least(1, greatest(0, (wind - wt) / (wc - wt))), 0) AS wind_risk, coalesce(least(1, greatest(0, (gusts - gt) / (gc - gt))), 0) AS gusts_risk, coalesce(swell > wave, false) AS swell_dominant FROM hourly h LEFT JOIN cfg USING (port_code)),
+    r1 AS (SELECT *, greatest(wave_risk, wind_risk, gusts_risk) AS combined_risk FROM risk),
+    scored AS (SELECT *, 100 * (1 - combined_risk) AS operability, CASE WHEN combined_risk < 0.25 THEN 'Open' WHEN combined_risk < 0.5 THEN 'Watch' WHEN combined_risk < 1 THEN 'Warning' ELSE 'Closed' END AS risk_label, CASE WHEN combined_risk < 1 THEN NULL WHEN wave_risk = combined_risk THEN 'wave' WHEN wind_risk = combined_risk THEN 'wind' ELSE 'gusts' END AS closure_driver FROM r1),
+    daily AS (SELECT port_code, CAST(ts AS DATE) AS day, count(*) AS n_hours, count(*) FILTER (risk_label = 'Closed') AS hours_closed, count(*) FILTER (risk_label = 'Warning') AS hours_warning, count(*) FILTER (closure_driver = 'wave') AS closed_by_wave, count(*) FILTER (closure_driver = 'wind') AS closed_by_wind, count(*) FILTER (closure_driver = 'gusts') AS closed_by_gusts,
+    count(*) FILTER (risk_label = 'Closed') / count(*) AS pct_closed, count(*) FILTER (risk_label = 'Warning') / count(*) AS pct_warning, avg(operability) AS avg_operability, min(operability) AS min_operability, max(wave) AS max_wave, max(wind) AS max_wind, count(*) FILTER (risk_label = 'Closed') >= 6 AS closure_day FROM scored GROUP BY 1, 2),
+    monthly AS (SELECT port_code, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, CAST(sum(n_hours) AS BIGINT) AS n_hours, CAST(sum(hours_closed) AS BIGINT) AS hours_closed, CAST(sum(hours_warning) AS BIGINT) AS hours_warning, CAST(sum(closed_by_wave) AS BIGINT) AS closed_by_wave, CAST(sum(closed_by_wind) AS BIGINT) AS closed_by_wind, CAST(sum(closed_by_gusts) AS BIGINT) AS closed_by_gusts,
+    sum(hours_closed) / sum(n_hours) AS pct_closed, sum(hours_warning) / sum(n_hours) AS pct_warning, sum(avg_operability * n_hours) / sum(n_hours) AS avg_operability, min(min_operability) AS min_operability, max(max_wave) AS max_wave, max(max_wind) AS max_wind, count(*) FILTER (closure_day) AS closure_days FROM daily GROUP BY 1, 2, 3),
+    clim AS (SELECT port_code, month, avg(pct_closed) AS closed, avg(pct_warning) AS warn, avg(avg_operability) AS operability, avg(closure_days) AS closure_days, sum(closed_by_wave) / nullif(sum(hours_closed), 0)::DOUBLE AS share_wave, sum(closed_by_wind) / nullif(sum(hours_closed), 0)::DOUBLE AS share_wind, sum(closed_by_gusts) / nullif(sum(hours_closed), 0)::DOUBLE AS share_gusts, min(pct_closed) AS closed_min, max(pct_closed) AS closed_max FROM monthly GROUP BY 1, 2)"""
+
+
+def the_scored(s, d) -> DataFrame:
+    return weather.score_operability(hourly_weather(s, d), weather_config(s))
+
+
+@query("k6_score_operability", f"WITH {WEATHER} SELECT port_code, epoch(ts)::BIGINT AS ts, wave_risk, wind_risk, gusts_risk, combined_risk, swell_dominant, operability, risk_label, closure_driver FROM scored", "wave_risk wind_risk gusts_risk combined_risk operability")
+def _(s, d):
+    return the_scored(s, d).drop("wave", "swell", "wind", "gusts").withColumn("ts", F.unix_timestamp("ts"))
+
+
+_W = "pct_closed pct_warning avg_operability min_operability max_wave max_wind"
+
+
+@query("d35_weather_daily", f"WITH {WEATHER} SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM daily", _W)
+def _(s, d):
+    return weather.weather_daily(the_scored(s, d)).withColumn("day", F.col("day").cast("string"))
+
+
+@query("d36_weather_monthly", f"WITH {WEATHER} SELECT * FROM monthly", _W)
+def _(s, d):
+    return weather.weather_monthly(weather.weather_daily(the_scored(s, d)))
+
+
+@query("d37_climatology", f"WITH {WEATHER} SELECT * FROM clim", "closed warn operability closure_days share_wave share_wind share_gusts closed_min closed_max")
+def _(s, d):
+    return weather.weather_climatology(weather.weather_monthly(weather.weather_daily(the_scored(s, d))))
+
+
+@query("d38_driver_split", f"WITH {WEATHER} SELECT port_code, avg(closed) AS annual_closed, avg(share_wave) AS share_wave, avg(share_wind) AS share_wind, avg(share_gusts) AS share_gusts FROM clim GROUP BY 1", "annual_closed share_wave share_wind share_gusts")
+def _(s, d):
+    return weather.driver_split(weather.weather_climatology(weather.weather_monthly(weather.weather_daily(the_scored(s, d)))))
+
+
+@query("i3_windowed_rollup", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, avg(value) AS mean, max(value) AS max FROM events GROUP BY 1, 2", "mean max")
+def _(s, d):
+    from .streaming.rollup import windowed_rollup
+
+    return windowed_rollup(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "value").select("event_type", F.col("window_start").cast("date").cast("string").alias("day"), "n", "mean", "max")
+
+
+_ADJ = INDEX + ", " + WEATHER + """, bridge AS (SELECT n_name AS port, ['click', 'view', 'purchase', 'signup', 'error'][n_nationkey % 5 + 1] AS port_code FROM nation), wm AS (SELECT port_code, month, avg(pct_closed) AS pct_closed, avg(pct_warning) AS pct_warning FROM monthly GROUP BY 1, 2),
+    adj AS (SELECT ci.port, direction, year, ci.month, congestion_index, b.port_code, coalesce(wm.pct_closed, 0) AS pct_closed, 1 + coalesce(wm.pct_closed, 0) + 0.5 * coalesce(wm.pct_warning, 0) AS weather_multiplier FROM ci LEFT JOIN bridge b ON b.port = ci.port LEFT JOIN wm ON wm.port_code = b.port_code AND wm.month = ci.month),
+    adj2 AS (SELECT *, least(1, congestion_index * weather_multiplier) AS ci_adjusted FROM adj)"""
+
+
+def the_bridge(s, d) -> DataFrame:
+    codes = F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error")))
+    return table(s, d, "nation").select(F.col("n_name").alias("port"), F.element_at(codes, F.col("n_nationkey") % 5 + 1).alias("port_code"))
+
+
+def the_adjusted(s, d) -> DataFrame:
+    """The weather of the given month stands for that calendar month of all years."""
+    months = weather.weather_monthly(weather.weather_daily(the_scored(s, d))).groupBy("port_code", "month").agg(F.avg("pct_closed").alias("pct_closed"), F.avg("pct_warning").alias("pct_warning"))
+    years = the_index(s, d)
+    every = months.join(years.select("year").distinct().withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).drop("k")
+    return weather.weather_adjust(years, every, the_bridge(s, d))
+
+
+@query("k7_weather_adjust", f"WITH {_ADJ} SELECT port, direction, year, month, weather_multiplier, ci_adjusted, CASE WHEN weather_multiplier < 1.01 THEN 'none' WHEN weather_multiplier < 1.03 THEN 'minor' WHEN weather_multiplier < 1.08 THEN 'moderate' ELSE 'severe' END AS adjustment_type FROM adj2", "weather_multiplier ci_adjusted")
+def _(s, d):
+    return the_adjusted(s, d).select(*KEYS, "year", "month", "weather_multiplier", "ci_adjusted", "adjustment_type")
+
+
+_OVER = _ADJ + ", ov AS (SELECT port, avg(congestion_index) AS ci_raw, avg(ci_adjusted) AS ci_adjusted, 100 * avg(pct_closed) AS closed_pct FROM adj2 GROUP BY 1)"
+
+
+def the_overview(s, d) -> DataFrame:
+    months = the_adjusted(s, d).select("port", F.col("congestion_index").alias("ci_raw"), "ci_adjusted", F.coalesce("pct_closed", F.lit(0.0)).alias("pct_closed"))
+    return marts.mart_port_overview(months, the_bridge(s, d), ["KENYA"])
+
+
+@query("k9_port_overview", f"""WITH {_OVER} SELECT ov.*, port_code, CASE WHEN ci_adjusted < 0.15 THEN 'Low' WHEN ci_adjusted < 0.25 THEN 'Moderate' WHEN ci_adjusted < 0.4 THEN 'High' ELSE 'Critical' END AS congestion_label, CASE WHEN closed_pct < 1 THEN 'Low' WHEN closed_pct < 3 THEN 'Moderate' WHEN closed_pct < 8 THEN 'High' ELSE 'Critical' END AS closure_label,
+    CASE WHEN ci_adjusted >= 0.4 OR closed_pct >= 8 THEN 'Critical' WHEN ci_adjusted >= 0.25 OR closed_pct >= 3 THEN 'High' WHEN ci_adjusted >= 0.15 OR closed_pct >= 1 THEN 'Moderate' ELSE 'Low' END AS delay_label, coalesce(closed_pct >= 1, false) AS exposed FROM ov LEFT JOIN bridge USING (port) WHERE port <> 'KENYA'""", "ci_raw ci_adjusted closed_pct")
+def _(s, d):
+    return the_overview(s, d)
+
+
+_COMPARE = _OVER + ", cm AS (SELECT hs2, direction, port, count(*) AS volume FROM decl GROUP BY 1, 2, 3), cmp AS (SELECT cm.*, ci_adjusted, closed_pct, rank() OVER (PARTITION BY hs2, direction ORDER BY volume * (1 - coalesce(ci_adjusted, 0)) DESC) AS rank_in_commodity FROM cm LEFT JOIN (SELECT * FROM ov WHERE port <> 'KENYA') USING (port))"
+
+
+def the_compare(s, d) -> DataFrame:
+    volume = declarations(s, d).groupBy("hs2", "direction", "port").agg(F.count("*").alias("shipments"))
+    return marts.mart_port_compare(volume, the_overview(s, d))
+
+
+@query("k10_port_compare", f"WITH {_COMPARE} SELECT hs2, direction, port, CAST(volume AS BIGINT) AS volume, ci_adjusted, closed_pct, CAST(rank_in_commodity AS INT) AS rank_in_commodity FROM cmp", "ci_adjusted closed_pct")
+def _(s, d):
+    return the_compare(s, d)
+
+
+@query("k11_recommend_port", f"WITH {_COMPARE}, b AS (SELECT hs2, direction, min(port) AS best_port FROM cmp WHERE rank_in_commodity = 1 GROUP BY 1, 2) SELECT hs2, direction, port, CAST(rank_in_commodity AS INT) AS rank_in_commodity, best_port, best_port <> port AS better_option FROM cmp LEFT JOIN b USING (hs2, direction)")
+def _(s, d):
+    return marts.recommend_port(the_compare(s, d))
+
+
+@query("d40_peak_month", f"WITH {PANEL}, m AS (SELECT port, month, sum(shipment_count) AS v FROM panel GROUP BY 1, 2) SELECT port, arg_max(month, (v, -month)) AS peak_month, arg_min(month, (v, month)) AS low_month FROM m GROUP BY 1")
+def _(s, d):
+    return marts.peak_month(the_panel(s, d).groupBy("port", "month").agg(F.sum("shipment_count").alias("v")), ["port"], "v")
+
+
+@query("d41_year_summary", f"WITH {PANEL}, n AS (SELECT year, month, CAST(sum(shipment_count) AS BIGINT) AS v FROM panel GROUP BY 1, 2) SELECT year, count(*) AS n_months, CAST(sum(v) AS BIGINT) AS total, avg(v) AS mean, arg_max(month, (v, -month)) AS peak, arg_min(month, (v, month)) AS low FROM n GROUP BY 1", "mean")
+def _(s, d):
+    return marts.year_summary(the_panel(s, d).groupBy("year", "month").agg(F.sum("shipment_count").alias("v")), "v")
+
+
+@query("d42_yoy_pivot", f"WITH {PANEL} SELECT month, {', '.join(f'CAST(sum(shipment_count) FILTER (year = {y}) AS BIGINT) AS y{y}' for y in (1999, 2000, 2001))} FROM panel WHERE true GROUP BY 1")
+def _(s, d):
+    return marts.yoy_pivot(the_panel(s, d), "shipment_count", (1999, 2000, 2001))
+
+
+@query("d43_season_means", f"WITH {PANEL} SELECT ['Summer', 'Autumn', 'Winter', 'Spring'][(month % 12) // 3 + 1] AS season, avg(shipment_count) AS mean FROM panel GROUP BY 1", "mean")
+def _(s, d):
+    return the_panel(s, d).groupBy(x.season(F.col("month")).alias("season")).agg(F.avg("shipment_count").alias("mean"))
+
+
+@query("d44_month_deviation", f"WITH {PANEL}, v AS (SELECT port, direction, year, month, shipment_count, 100 * (shipment_count - avg(shipment_count) OVER w) / avg(shipment_count) OVER w AS deviation_pct FROM panel WINDOW w AS (PARTITION BY port, direction, year)) SELECT *, CASE WHEN deviation_pct > 10 THEN 'high' WHEN deviation_pct < -10 THEN 'low' ELSE 'usual' END AS flag FROM v", "deviation_pct")
+def _(s, d):
+    return marts.month_deviation(the_panel(s, d), "shipment_count", KEYS)
+
+
+@query("d45_top_n_share", f"WITH {DECL}, s AS (SELECT direction, port, sum(value_usd) AS v FROM decl GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY v DESC, port) AS r FROM s), g AS (SELECT direction, CASE WHEN r <= 5 THEN port ELSE 'Others' END AS port, sum(v) AS v FROM r GROUP BY 1, 2) SELECT *, 100 * v / sum(v) OVER (PARTITION BY direction) AS share_pct FROM g", "v share_pct")
+def _(s, d):
+    return marts.top_n_share(declarations(s, d), "port", "value_usd", 5, ["direction"])
+
+
+@query("d46_category_mix", f"WITH {DECL} SELECT port, count(*) AS n, 100 * avg(CAST(clause = 'A' AS INT)) AS pct_a, 100 * avg(CAST(clause = 'N' AS INT)) AS pct_n, 100 * avg(CAST(clause = 'R' AS INT)) AS pct_r, 100 * avg(CAST(clause IN ('A', 'R') AS INT)) AS pct_target FROM decl GROUP BY 1", "pct_a pct_n pct_r pct_target")
+def _(s, d):
+    return marts.category_mix(declarations(s, d), "port", "clause", ["A", "N", "R"], ["A", "R"])
+
+
+@query("d47_port_scorecard", f"WITH {DECL}, m AS (SELECT port, month, count(*) AS n FROM decl GROUP BY 1, 2), p AS (SELECT port, arg_max(month, (n, -month)) AS peak_month, arg_min(month, (n, month)) AS low_month FROM m GROUP BY 1), w AS (SELECT port, count(*) AS shipments, sum(value_usd) AS value_usd, count(DISTINCT country) AS n_countries, count(DISTINCT hs4) AS n_products FROM decl GROUP BY 1) SELECT * FROM w LEFT JOIN p USING (port)", "value_usd")
+def _(s, d):
+    return marts.port_scorecard(declarations(s, d))
+
+
+@query("d48_month_array", f"WITH {PANEL}, k AS (SELECT DISTINCT port, direction FROM panel WHERE year = 2001), g AS (SELECT port, direction, m AS month FROM k, range(1, 13) r(m)), v AS (SELECT g.port, g.direction, g.month, coalesce(CAST(p.shipment_count AS BIGINT), 0) AS v FROM g LEFT JOIN panel p ON p.port = g.port AND p.direction = g.direction AND p.month = g.month AND p.year = 2001) SELECT port, direction, string_agg(CAST(v AS VARCHAR), ',' ORDER BY month) AS months FROM v GROUP BY 1, 2")
+def _(s, d):
+    arrays = marts.month_array(the_panel(s, d).where("year = 2001"), KEYS, "shipment_count")
+    return arrays.select(*KEYS, F.concat_ws(",", F.transform("months", lambda v: v.cast("long").cast("string"))).alias("months"))
+
+
+
+@query("d51_product_profile", f"WITH {DECL}, g AS (SELECT port, hs2, count(*) AS n, sum(value_usd) AS v FROM decl GROUP BY 1, 2) SELECT *, 100.0 * n / sum(n) OVER w AS share_pct, CAST(rank() OVER (PARTITION BY port ORDER BY v DESC) AS INT) AS rank, v / max(v) OVER w AS of_largest FROM g WINDOW w AS (PARTITION BY port)", "v share_pct of_largest")
+def _(s, d):
+    return marts.product_profile(declarations(s, d), "port", "hs2", "value_usd")
+
+
+@query("f3_top_series", f"WITH {PANEL} SELECT port, direction, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 8", "avg_volume")
+def _(s, d):
+    return marts.top_rows(the_panel(s, d).groupBy(*KEYS).agg(F.avg("shipment_count").alias("avg_volume")), "avg_volume", 8, *KEYS)
+
+
+@query("g1_union_flows", f"WITH {DECL} SELECT direction, country, count(*) AS n FROM decl GROUP BY 1, 2")
+def _(s, d):
+    df = declarations(s, d)
+    parts = [df.where(F.col("direction") == k).select("direction", "country") for k in ("import", "export")]
+    return reduce(DataFrame.unionByName, parts).groupBy("direction", "country").agg(F.count("*").alias("n"))
+
+
+@query("g3_distinct_labels", f"WITH {DECL} SELECT hs2, min(hs6) AS label, count(DISTINCT hs4) AS n FROM decl GROUP BY 1")
+def _(s, d):
+    return declarations(s, d).groupBy("hs2").agg(F.min("hs6").alias("label"), F.count_distinct("hs4").alias("n"))
+
+
+# ---- K4, K5: pages -------------------------------------------------------------------------------------------------
+
+@query("k4_extract_links", "SELECT page_id, generate_subscripts(m, 1) AS pos, regexp_extract(unnest(m), 'href=\"([^\"]*)\"', 1) AS href, regexp_extract(unnest(m), '>([^<]*)<', 1) AS label FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS m FROM pages)")
+def _(s, d):
+    return pages.extract_rows(table(s, d, "pages"), '<a href="[^"]*">[^<]*</a>', {"href": 'href="([^"]*)"', "label": ">([^<]*)<"}).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("k5_extract_fields", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages")
+def _(s, d):
+    return pages.first_fields(table(s, d, "pages"), {"title": "<title>([^<]*)</title>", "lang": '<html lang="([^"]*)"', "heading": "<h1>([^<]*)</h1>"})

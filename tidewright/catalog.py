@@ -25,13 +25,13 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, doubles: str = ""):
-    """Registers a query; doubles: result columns of the SQL that are rounded."""
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 4):
+    """Registers a query; doubles: result columns of the SQL that are rounded to so many digits."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
-            body = f"SELECT * REPLACE ({', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+            body = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
             ORACLES[name] = body
         return f
 
@@ -377,7 +377,7 @@ _ROLL = "greatest(1.0, coalesce(rolling_12_mean, 1.0))"
 SCORES = WALK + ", preds AS (" + " UNION ALL ".join(f"SELECT port, direction, fold_year, '{n}' AS model, shipment_count::DOUBLE AS y, {e} AS p FROM wf WHERE is_test" for n, e in (("naive", _NAIVE), ("naive_fallback", _FALLBACK), ("rolling", _ROLL))) + """),
     scores AS (SELECT port, direction, fold_year, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 100 * avg(CASE WHEN y > 0 THEN abs(y - p) / y END) AS mape, CASE WHEN count(*) > 1 THEN 1 - sum((y - p) ** 2) / nullif(regr_sxx(y, y), 0) END AS r2, count(*) AS n FROM preds GROUP BY 1, 2, 3, 4),
     vol AS (SELECT port, direction, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2),
-    cv AS (SELECT port, direction, model, avg(mape) AS m FROM scores GROUP BY 1, 2, 3), best AS (SELECT port, direction, arg_min(model, (m, model)) AS best_model, min(m) AS best_cv_mape FROM cv WHERE m IS NOT NULL GROUP BY 1, 2),
+    cv AS (SELECT port, direction, model, round(avg(mape), 9) AS m FROM scores GROUP BY 1, 2, 3), best AS (SELECT port, direction, arg_min(model, (m, model)) AS best_model, min(m) AS best_cv_mape FROM cv WHERE m IS NOT NULL GROUP BY 1, 2),
     sel AS (SELECT b.port, b.direction, avg_volume, CASE WHEN avg_volume >= 15 THEN 'naive' ELSE best_model END AS selected_model, best_model, best_cv_mape, c.m AS baseline_cv_mape, CASE WHEN avg_volume >= 15 THEN c.m ELSE best_cv_mape END AS final_cv_mape FROM best b LEFT JOIN vol USING (port, direction) LEFT JOIN cv c ON c.port = b.port AND c.direction = b.direction AND c.model = 'naive')"""
 
 
@@ -500,7 +500,7 @@ def _(s, d):
 
 @query("h30_recursive_linear", f"""WITH RECURSIVE {PANEL}, h AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, max(year * 100 + month) AS lp FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
     r AS (SELECT port, direction, lp, v[-3:] AS v, 0 AS i FROM h UNION ALL SELECT port, direction, lp, list_append(v, greatest(1.0, 1.0 + 0.5 * v[-1] + 0.3 * v[-2] + 0.1 * v[-3])), i + 1 FROM r WHERE i < 12)
-    SELECT port, direction, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) // 12 AS INT) AS year, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM r WHERE i > 0""", "prediction")
+    SELECT port, direction, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) // 12 AS INT) AS year, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM r WHERE i > 0""", "prediction", 7)
 def _(s, d):
     return forecast.recursive_linear(the_panel(s, d), (0.5, 0.3, 0.1), 1.0)
 
@@ -565,7 +565,7 @@ def the_scored(s, d) -> DataFrame:
     return weather.score_operability(hourly_weather(s, d), weather_config(s))
 
 
-@query("k6_score_operability", f"WITH {WEATHER} SELECT port_code, epoch(ts)::BIGINT AS ts, wave_risk, wind_risk, gusts_risk, combined_risk, swell_dominant, operability, risk_label, closure_driver FROM scored", "wave_risk wind_risk gusts_risk combined_risk operability")
+@query("k6_score_operability", f"WITH {WEATHER} SELECT port_code, epoch(ts)::BIGINT AS ts, wave_risk, wind_risk, gusts_risk, combined_risk, swell_dominant, operability, risk_label, closure_driver FROM scored", "wave_risk wind_risk gusts_risk combined_risk operability", 7)
 def _(s, d):
     return the_scored(s, d).drop("wave", "swell", "wind", "gusts").withColumn("ts", F.unix_timestamp("ts"))
 

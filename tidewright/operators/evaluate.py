@@ -67,7 +67,8 @@ def evaluate(folds: DataFrame, models: dict[str, Column | Callable[[DataFrame],
 
 
 def mean_scores(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
-    return scores.groupBy(*keys, "model").agg(F.avg("mape").alias("cv_mape"))
+    """Mean error over folds, to nine decimals: models that differ only by the order of additions are equal."""
+    return scores.groupBy(*keys, "model").agg(F.round(F.avg("mape"), 9).alias("cv_mape"))
 
 
 def best_model(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:

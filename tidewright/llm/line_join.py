@@ -73,22 +73,28 @@ def banded_distance(a: Column, b: Column, k: int) -> Column:
         for t in range(width):
             row = j - k + t
             equal = equal + F.when((row >= 1) & (row <= m) & (F.substring(a, F.greatest(row, F.lit(1)), F.lit(1)) == here), F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long"))
-        one = F.transform(F.array(F.struct(acc.alias("s"), equal.alias("eq"))), lambda x: _column(x, k, mask))[0]
-        d0, hp, hn = one["d0"], one["hp"], one["hn"]
+        # one transform for each stage, so that each value is computed once
+        now = F.array(F.struct(acc.alias("s"), equal.alias("eq")))
+        now = F.transform(now, lambda x: F.struct(x["s"].alias("s"), _diagonal(x["s"]["vp"], x["s"]["vn"], x["eq"], mask).alias("d0")))
+        now = F.transform(now, lambda x: _across(x["s"], x["d0"], mask))
+        return F.transform(now, lambda x: moved_on(x, j))[0]
+
+    def moved_on(x: Column, j: Column) -> Column:
         at = (m - j + k).cast("int")
-        score = acc["score"] + F.when(j + k <= m, 1 - bit(d0, F.lit(2 * k))).otherwise(bit(hp, at) - bit(hn, at))
-        moved = F.shiftright(d0, 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(moved.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"), moved.bitwiseAND(hp).alias("vn"), score.alias("score"),
-        )
+        score = x["score"] + F.when(j + k <= m, 1 - bit(x["d0"], F.lit(2 * k))).otherwise(bit(x["hp"], at) - bit(x["hn"], at))
+        down = F.shiftright(x["d0"], 1)
+        return F.struct(x["hn"].bitwiseOR(F.bitwise_not(down.bitwiseOR(x["hp"])).bitwiseAND(mask)).alias("vp"), down.bitwiseAND(x["hp"]).alias("vn"), score.alias("score"))
 
     return F.when(n == 0, m.cast("long")).when(m == 0, n.cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda acc: acc["score"]))
 
 
-def _column(x: Column, k: int, mask: int) -> Column:
-    vp, vn, eq = x["s"]["vp"], x["s"]["vn"], x["eq"]
-    d0 = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(mask)
-    return F.struct(d0.alias("d0"), vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(mask)).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+def _diagonal(vp: Column, vn: Column, eq: Column, mask: int) -> Column:
+    return (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(mask)
+
+
+def _across(s: Column, d0: Column, mask: int) -> Column:
+    hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"])).bitwiseAND(mask))
+    return F.struct(s["score"].alias("score"), d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(s["vp"]).alias("hn"))
 
 
 def _stripped(x: Column, y: Column, front: bool) -> Column:
@@ -105,12 +111,16 @@ def _stripped(x: Column, y: Column, front: bool) -> Column:
 
 def within(pairs: DataFrame, k: int = 1) -> DataFrame:
     """Rows of pairs(x, y: strings, among others) whose strings are within k edits."""
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """A column that is computed once for each row; a plain column would be put into every place that reads it."""
+        return df.withColumn(name, F.explode(F.array(value)))
+
     df = pairs.where(F.abs(F.length("x") - F.length("y")) <= k)
-    df = df.withColumn("_w", _stripped(F.col("x"), F.col("y"), True)).withColumn("_w", _stripped(F.col("_w.u"), F.col("_w.v"), False))
+    df = once(once(df, "_v", _stripped(F.col("x"), F.col("y"), True)), "_w", _stripped(F.col("_v.u"), F.col("_v.v"), False))
     # within one edit, what the steps leave is short; with more edits the part between the outer two may be long
     if k == 1:
         df = df.where(F.greatest(F.length("_w.u"), F.length("_w.v")) <= 17)
-    return df.where(banded_distance(F.col("_w.u"), F.col("_w.v"), k) <= k).drop("_w")
+    return once(df, "_d", banded_distance(F.col("_w.u"), F.col("_w.v"), k)).where(F.col("_d") <= k).drop("_v", "_w", "_d")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, shortest: int, most_broadcast: int) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 _VESSEL = "struct<time: string, vessel_name: string, vessel_type: string, imo: string, flag: string, built: int, gt: int, dwt: int, size: string>"
 LISTS = ("expected_vessels", "vessels_in_port", "recent_arrivals", "recent_departures")
-SNAPSHOT = StructType.fromDDL(
+SNAPSHOT = (
     "scrape_type string, scrape_timestamp string, ports_scraped int, data array<struct<source: string, port_code: string, port_name: string, scrape_timestamp: string, summary: struct<expected_ships: int, ships_in_port: int>, "
     + ", ".join(f"{name}: array<{_VESSEL}>" for name in LISTS) + ">>"
 )

@@ -111,7 +111,7 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder for a rank file and a split pattern."""
 
-    def __init__(self, path: str, pattern: str, most_remembered: int = 800_000):
+    def __init__(self, path: str, pattern: str, most_remembered: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.table = PerfectHash(self.ranks)

@@ -1,10 +1,10 @@
 """Removal of long repeated strings by a common-prefix interval tree over a sparse, enhanced suffix array.
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another. Suffixes are
-sampled so that no such string is missed: an anchor is a place whose 128-byte word has the least hash among the words of some
+sampled so that no such string is missed: an anchor is a place whose 200-byte word has the least hash among the words of some
 window of `length` bytes. Equal windows have equal anchors, so all occurrences of a repeat meet at anchors of one word.
 
-1. Anchors of all texts (about one in 140 bytes): hash of the word, and hash of the word with up to length - 128 bytes on
+1. Anchors of all texts (about one in 100 bytes): hash of the word, and hash of the word with up to length - 200 bytes on
    either side, within the text. Words that occur once are dropped by an aggregate and a join.
 2. Anchors that share word and both sides are whole repeats: settled by a count. One of them stands for all from here on.
 3. What is left is sorted by word, and each word's anchors form a suffix array by what follows them, enhanced by common-prefix
@@ -12,9 +12,11 @@ window of `length` bytes. Equal windows have equal anchors, so all occurrences o
    reversed left sides gives the groups with a common left extension. A group whose members do not all lie in one child of
    the node and that is diverse to the left is a maximal repeat with all its occurrences, not only neighbouring ones; if it
    has at least `length` bytes, it covers all its members.
-4. Words with more than `most_group` different surroundings never meet in one task: each window of `length` bytes around such
-   an anchor is hashed and counted by a shuffle, which is the cut of the interval tree at depth `length`; an anchor then covers
-   from its leftmost to its rightmost repeated window. This is exact for any number of members.
+4. Words with more than `most_group` different surroundings never meet in one task. They are split by what windows of
+   `length` bytes must share on the left and on the right, first into 2 and then into 8 classes; groups that have become small
+   are settled as in 3. In what is still crowded each window is hashed and counted by a shuffle, which is the cut of the
+   interval tree at depth `length`; an anchor then covers from its leftmost to its rightmost repeated window. So no group is
+   too large, and none is left out.
 5. Covered spans are joined to their texts, merged and cut out.
 
 The union of repeated windows around one anchor is one span, as all of them hold the anchor's word.
@@ -30,14 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, written
 from .words import _BASE, _INVERSE, _VALUE, _pow, mix, text_bytes
 
 LENGTH = 400
-WORD = 128
+WORD = 200
+#: Classes of windows that crowded words are split into, one level after the other.
+SPLITS = (2, 8)
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -124,14 +128,15 @@ def common(a: bytes, b: bytes) -> int:
 
 
 def maximal_repeats(left: list[bytes], right: list[bytes], length: int, word: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(bytes before the anchor, bytes from it on, members) of every maximal repeat of `length` bytes or more.
+    """(bytes before the anchor's word, bytes behind it, members) of every maximal repeat of `length` bytes or more.
 
-    left: what stands before each anchor, reversed; right: the anchor's word and what follows.
+    left: what stands before each word, reversed; right: what follows it. The word itself is the same for all.
     """
     n = len(right)
     array = sorted(range(n), key=right.__getitem__)
     lcp = [common(right[a], right[b]) for a, b in zip(array, array[1:])]
-    for first, last, depth in intervals(lcp, word):
+    root = [(0, n - 1, 0)] if n > 1 and 0 in lcp else []  # the node where nothing behind the word is shared
+    for first, last, depth in [*root, *intervals(lcp, 1)]:
         members = array[first : last + 1]
         # the child of the node that each member lies in
         child, k = {members[0]: 0}, 0
@@ -140,27 +145,26 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int, word: in
             child[array[i + 1]] = k
         members.sort(key=left.__getitem__)
         lcs = [common(left[a], left[b]) for a, b in zip(members, members[1:])]
-        if depth >= length:  # no left side is needed: the whole node repeats
+        if word + depth >= length:  # no left side is needed: the whole node repeats
             yield 0, depth, members
-        for a, b, back in intervals(lcs, max(1, length - depth)):
+        for a, b, back in intervals(lcs, max(1, length - word - depth)):
             group = members[a : b + 1]
             if len({child[m] for m in group}) > 1:
                 yield back, depth, group
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, word: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word (word, around, l, part) -> the span before and behind each anchor that repeats cover."""
+    """Rows sorted by group (group, word, around, left, right) -> the span before and behind each anchor that repeats of its group cover."""
     held: list[tuple] = []
 
     def settle(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         if len(rows) < 2:
             return []
-        left, right = [r[3][: r[2]][::-1] for r in rows], [r[3][r[2] :] for r in rows]
         before, behind = [-1] * len(rows), [0] * len(rows)
-        for back, ahead, members in maximal_repeats(left, right, length, word):
+        for back, ahead, members in maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length, word):
             for m in members:
                 before[m], behind[m] = max(before[m], back), max(behind[m], ahead)
-        return [(r[0], r[1], b, e) for r, b, e in zip(rows, before, behind) if b >= 0]
+        return [(r[1], r[2], b, word + e) for r, b, e in zip(rows, before, behind) if b >= 0]
 
     for batch in batches:
         out: list[tuple[int, int, int, int]] = []
@@ -178,18 +182,23 @@ def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "around", "before", "behind"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Hash of each window of `length` bytes in the surroundings of an anchor, with the anchor's distance from its begin."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int, word: int) -> Iterator[pa.RecordBatch]:
+    """A hash of each window of `length` bytes around an anchor, with the anchor's distance from its begin.
+
+    The distance counts: one window that is seen from two anchors of the same word is one occurrence.
+    """
     for whole in batches:
-        for batch in slices(whole, 3, 1 << 18):
+        for batch in slices(whole, 2, 1 << 17):
             words, arounds, gone, hashes = [], [], [], []
-            for word, around, l, part in zip(*(c.to_pylist() for c in batch.columns)):
-                sums = _prefix(np.frombuffer(part, np.uint8))
-                begin = np.arange(len(part) - length + 1)
-                # the distance counts: one window seen from two anchors of the same word is one occurrence
-                hashes.append(mix(mix(_range(sums, begin, begin + length)) ^ np.uint64(word & 0xFFFFFFFFFFFFFFFF)) ^ mix((l - begin).astype(np.uint64)))
-                gone.append(l - begin)
-                words.append(np.full(len(begin), word, np.int64))
+            for key, around, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                sums = _prefix(np.frombuffer(left + right, np.uint8))
+                begin = np.arange(max(0, len(left) + len(right) + word - length + 1))
+                begin = begin[begin <= len(left)]
+                o = len(left) - begin
+                # in periodic texts the sides may hash as the word does, so the parts are not combined alike
+                hashes.append(mix(_range(sums, begin, begin + length - word) + mix(np.uint64(key & 0xFFFFFFFFFFFFFFFF) ^ mix(o.astype(np.uint64) + np.uint64(1)))))
+                gone.append(o)
+                words.append(np.full(len(begin), key, np.int64))
                 arounds.append(np.full(len(begin), around, np.int64))
             if words:
                 yield pa.record_batch([pa.array(np.concatenate(words)), pa.array(np.concatenate(arounds)), pa.array(np.concatenate(gone).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=["word", "around", "o", "window"])
@@ -219,7 +228,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 256) -> DataFrame:
+def _class_keys(classes: int, length: int, word: int) -> Column:
+    """A key for each class of windows that fits into an anchor's surroundings.
+
+    Class c holds the windows that begin c to c + 1 steps of (length - word) / classes bytes before the word. All of them hold
+    the c steps on its left and the rest of the steps but one on its right, so two anchors with an equal window share a key.
+    """
+    step = -(-(length - word) // classes)
+    keys = []
+    for c in range(classes):
+        left, right = c * step, max(0, length - word - (c + 1) * step)
+        fits = (F.octet_length("left") >= left) & (F.octet_length("right") >= right)
+        keys.append(F.when(fits, F.xxhash64(F.lit(c), "word", F.substring(F.col("left"), F.octet_length("left") - left + 1, F.lit(left)), F.substring(F.col("right"), 1, right))))
+    return F.array_compact(F.array(*keys))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512, most_broadcast: int = 300_000) -> DataFrame:
     """doc_id, th, begin, end of covered spans of docs(doc_id, th, text); spans may overlap."""
     all_anchors = written(find_anchors(docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text"), length, word), "anchors")
     repeated = all_anchors.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
@@ -231,25 +255,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most
     # words with several surroundings, at least one of which stands alone
     open_words = kinds.groupBy("word").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("word", "m")
     wanted = kinds.join(open_words, "word")
-    places = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("word", "around", "m", "at", "l", "r")).alias("places"))
-    piece = F.expr(f"transform(places, p -> struct(p.word as word, p.around as around, p.m as m, p.l as l, substring(bytes, p.at - p.l + 1, p.l + p.r + {word}) as part))")
-    # equal rows give the same parts: one of them is enough
-    texts = docs.select("doc_id", "th", F.col("text").cast("binary").alias("bytes")).alias("d")
-    joined = texts.join(places.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.th = p.th")).select(F.explode(piece).alias("p")).select("p.*")
-    parts = written(joined, "parts")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = parts.where(F.col("m") <= most_group).select("word", "around", "l", "part").repartition(n, "word").sortWithinPartitions("word", "around")
+    row = ["word", "around", "left", "right"]
     schema = "word long, around long, before int, behind int"
-    spans = small.mapInArrow(lambda batches: _settle(batches, length, word), schema)
-    large = parts.where(F.col("m") > most_group).select("word", "around", "l", "part").mapInArrow(lambda batches: _windows(batches, length), "word long, around long, o int, window long")
-    often = large.groupBy("window").agg(F.min(F.struct("word", "around", "o")).alias("a"), F.max(F.struct("word", "around", "o")).alias("b")).where("a <> b").select("window")
+    piece = F.expr(f"transform(places, p -> struct(p.word as word, p.around as around, substring(bytes, p.at - p.l + 1, p.l) as left, substring(bytes, p.at + {word + 1}, p.r) as right))")
+
+    def parts(kinds: DataFrame, few: bool) -> DataFrame:
+        """The surroundings of anchors. The places go to the texts if they are few; else both meet by a shuffle that the last join uses again."""
+        places = kinds.groupBy("doc_id", "th").agg(F.collect_list(F.struct("word", "around", "at", "l", "r")).alias("places"))
+        d, p = docs.alias("d"), (F.broadcast(places) if few else places).alias("p")
+        found = d.join(p, F.expr("d.doc_id <=> p.doc_id and d.th = p.th")).select("places", F.col("d.text").cast("binary").alias("bytes"))
+        return found.select(F.explode(piece).alias("p")).select("p.*")
+
+    def settled(groups: DataFrame) -> DataFrame:
+        return groups.select("group", *row).repartition(n, "group").sortWithinPartitions("group").mapInArrow(lambda batches: _settle(batches, length, word), schema)
+
+    spans = settled(parts(wanted.where(F.col("m") <= most_group), False).withColumn("group", F.col("word")))
+    crowded = written(wanted.where(F.col("m") > most_group), "crowded")
+    crowded = written(parts(crowded, crowded.count() <= most_broadcast), "parts")
+    for classes in SPLITS:
+        keyed = crowded.withColumn("group", F.explode(_class_keys(classes, length, word)))
+        sizes = keyed.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = written(keyed.join(sizes, "group"), "classes")
+        spans = spans.union(settled(keyed.where(F.col("n") <= most_group)))
+        crowded = keyed.where(F.col("n") > most_group).select("word", "around").distinct().join(crowded, ["word", "around"])
+    large = crowded.mapInArrow(lambda batches: _windows(batches, length, word), "word long, around long, o int, window long")
+    often = large.groupBy("window").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a <> b").select("window")
     covered = large.join(often, "window").groupBy("word", "around").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("behind"))
     spans = spans.union(covered)
     alone = spans.join(kinds.where("n = 1"), ["word", "around"]).select("doc_id", "th", (F.col("at") - F.col("before")).alias("begin"), (F.col("at") + F.col("behind")).alias("end"))
     return whole.union(alone)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     spans = repeated_spans(docs, length, word, most_group).select("doc_id", "th", F.expr("begin * 4294967296L + end").alias("s"))

@@ -243,7 +243,7 @@ def _class_keys(classes: int, length: int, word: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512, most_broadcast: int = 300_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, th, begin, end of covered spans of docs(doc_id, th, text); spans may overlap."""
     all_anchors = written(find_anchors(docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text"), length, word), "anchors")
     repeated = all_anchors.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")

@@ -12,7 +12,8 @@ Links are confirmed on full sets (100 * intersection >= 75 * union). All pairs o
 2. In each bucket of the index every class meets only the bucket's smallest (a star); close pairs are confirmed and joined
    to components. A second star does the same with the largest class that is still in another component.
 3. Classes that share a bucket and are still in different components are compared exactly, except where the triangle
-   inequality of the Jaccard distance to the bucket's hub, already known, or the sizes of the sets rule a link out.
+   inequality of the Jaccard distance to the bucket's hub, already known, or the shingles that a text shares with any other
+   of these classes (counted once for all) rule a link out: copies with many edits of their own never become pairs.
 
 So components are those of the full link graph among candidates, while the work of a group of n copies grows as n.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, slices, written
 from .graph import components
 from .words import hashed_words, mix
 
@@ -84,7 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, print binary, sig binary", sized_by=1, limit=4 << 20)
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, print binary, sig binary", sized_by=1, limit=1 << 20)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -129,23 +130,67 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
-def _shared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, shared, united: sizes of intersection and union of the full sets of each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+def _sets(ids: DataFrame, docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """doc_id and shingles (sorted 64-bit hashes) of the texts whose id is in ids(doc_id).
+
+    Up to most_broadcast ids (8 bytes each) are sent to the texts, more are joined to them by a shuffle.
+    """
+    ids = written(ids.distinct(), "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_semi")
 
-    def make_sets():
+    def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.record_batch([batch.column(0), pa.array((s.tobytes() for s in shingle_sets(batch.column(1))), pa.binary())], names=["doc_id", "shingles"])
 
         return each
 
-    sets = map_batches(texts.select("doc_id", "text"), make_sets, "doc_id long, shingles binary", sized_by=1, limit=4 << 20)
+    return map_batches(texts.select("doc_id", "text"), make, "doc_id long, shingles binary", sized_by=1, limit=1 << 20)
+
+
+def _common_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and n_common: how many of its shingles at least one other of the ids(id) has too."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.frombuffer(raw, "<i8") for raw in batch.column(1).to_pylist()]
+            return pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+        return each
+
+    sets = map_batches(_sets(ids.select(F.col("id").alias("doc_id")), docs), make, "id long, shingle long", sized_by=1, limit=1 << 20)
+    sets = written(sets, "shingles")
+    often = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    return sets.join(often, "shingle").groupBy("id").agg(F.count("*").alias("n_common"))
+
+
+def _outside(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members(hub, id, ...) with a row for each shingle of the id's set that the hub's set lacks."""
+    sets = written(_sets(members.select(F.col("id").alias("doc_id")).union(members.select("hub")), docs), "sets")
+    both = members.join(sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("own")), "id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hubs")), "hub")
+    columns = members.columns
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own, hubs = ([np.frombuffer(raw, "<u8") for raw in batch.column(len(columns) + i).to_pylist()] for i in (0, 1))
+            rest = [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(own, hubs)]
+            at = pa.array(np.repeat(np.arange(len(rest)), [len(r) for r in rest]))
+            return pa.record_batch([*(batch.column(i).take(at) for i in range(len(columns))), pa.array(np.concatenate(rest).view(np.int64))], names=[*columns, "shingle"])
+
+        return each
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    return map_batches(both.select(*columns, "own", "hubs"), make, f"{schema}, shingle long", sized_by=len(columns), limit=1 << 20)
+
+
+def _shared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, shared, united: sizes of intersection and union of the full sets of each pair."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
+    sets = _sets(wanted.select("doc_id"), docs)
     sides = wanted.join(sets, "doc_id").select("a", "b", "shingles")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the first side of a pair, maybe from the batch before
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, 8 << 20)):
             out: list[tuple[int, int, int, int]] = []
             for a, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if kept is None or kept[:2] != (a, b):
@@ -189,15 +234,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = left.where("comp <> far_comp").select(F.least("id", "far").alias("a"), F.greatest("id", "far").alias("b")).distinct()
     star2 = confirmed(second.join(star, ["a", "b"], "left_anti"))
     comp2 = grouped(star, star2)
-    # what is still in different components of a bucket
-    known = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("united")).alias("d"))
+    # what is still in different components of a bucket; `same` is the known intersection with the bucket's hub, d the distance to it
+    known = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("shared").alias("same"), (1 - F.col("shared") / F.col("united")).alias("d"))
     rest = left.select("key", "id", "hub").join(comp2, left["id"] == comp2["node"], "left").select("key", "id", "hub", F.coalesce("component", "id").alias("comp"))
     several = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    rest = rest.join(several, "key", "left_semi").join(known, ["hub", "id"], "left").join(classes.select("id", "n_shingles"), "id")
-    rest = written(rest.select("key", "id", "comp", "d", "n_shingles"), "rest")
+    rest = written(rest.join(several, "key", "left_semi").join(known, ["hub", "id"], "left"), "rest")
+    # shingles that no other class of these has are in no intersection, so they bound the similarity of every pair
+    sizes = _common_sizes(rest.select("id").distinct(), docs).join(classes.select("id", "n_shingles"), "id").where("100 * n_common >= 75 * n_shingles")
+    rest = written(rest.join(sizes, "id"), "rest")
+    # outside the hub's set two classes must share enough shingles to make up for what the hub's set cannot give
+    outside = written(_outside(rest.where("d is not null").select("hub", "id", "comp", "same", "n_shingles").distinct(), docs), "outside")
+    x, y = outside.alias("x"), outside.alias("y")
+    met = x.join(y, F.expr("x.hub = y.hub and x.shingle = y.shingle and x.id < y.id and x.comp <> y.comp"))
+    enough = "175 * (least(first(x.same), first(y.same)) + count(*)) >= 75 * (first(x.n_shingles) + first(y.n_shingles))"
+    third = met.groupBy(F.col("x.hub").alias("hub"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.expr(enough).alias("ok")).where("ok").select("a", "b")
+    # pairs without a common measured hub, and those for which the hub's set alone may be enough
     x, y = rest.alias("x"), rest.alias("y")
-    near = "x.key = y.key and x.id < y.id and x.comp <> y.comp and 100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles) and coalesce(abs(x.d - y.d) <= 0.2500001, true)"
-    third = x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near = "x.key = y.key and x.id < y.id and x.comp <> y.comp and coalesce(abs(x.d - y.d) <= 0.2500001, true)"
+    near += " and 175 * least(x.n_common, y.n_common) >= 75 * (x.n_shingles + y.n_shingles)"
+    near += " and (x.d is null or y.d is null or 175 * least(x.same, y.same) >= 75 * (x.n_shingles + y.n_shingles))"
+    third = third.union(x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
     star3 = confirmed(third.join(star.select("a", "b").union(star2.select("a", "b")), ["a", "b"], "left_anti"))
     comp3 = grouped(star, star2, star3)
     of_class = feats.join(classes.select("print", "id"), "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))

@@ -214,6 +214,63 @@ def test_licences(spark):
     assert all(re.search(licenses.HINT, p) for _, p in licenses.SENTENCES)
 
 
+GPL = """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version {}
+# of the License, or (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_wrapped_licences(spark):
+    cases = [
+        (GPL.format(2), ["GPL-2.0-or-later"]), (GPL.format(3), ["GPL-3.0-or-later"]), (GPL.format(2).replace("# ", ""), ["GPL-2.0-or-later"]), (MIT, ["MIT"]), (MIT.replace("\n", "\r\n"), ["MIT"]), (BSD, ["BSD-2-Clause"]), (BSD + ENDORSE, ["BSD-3-Clause"]),
+        (APACHE, ["Apache-2.0"]), (MPL, ["MPL-2.0"]), (MPL.replace(", v.", ",\n * v."), ["MPL-2.0"]), ("This is free and unencumbered software released\ninto the public\ndomain.", ["Unlicense"]), ("prose without an end\nAll rights\nreserved", ["Proprietary"]),
+        ("This library is\nlicensed under the GNU Lesser General\nPublic License version 2.1.", ["LGPL"]), ("Licensed under the GNU Affero\nGeneral Public License, version 3.", ["AGPL-3.0"]), ("# SPDX-License-Identifier: MIT", ["MIT"]), ("/* SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: (MIT OR GPL-3.0-or-later)", ["GPL-3.0-or-later", "MIT"]), ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", ["GPL-2.0-only"]), ("SPDX-License-Identifier: Own-1.0", []), ("All rights. Reserved", []), ("all rights\n\nreserved", []),
+    ]
+    got = licenses.scan_licenses(docs_of(spark, [t for t, _ in cases])).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [want for _, want in cases]
+    assert got[0].license_ids == ["GPL2Later", "NoWarranty"] and got[3].license_ids == ["MITGrant", "MITNotice", "MITAsIs"] and got[7].license_ids == ["Apache20", "ApacheFull", "ApacheAsIs"]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://b.com/en/"), (3, None), (4, "no scheme"), (5, "x://h#f"), (6, "http://example.net/de/8"), (7, "http://q.net/de/1"), (8, "http://z.org/es/?"), (9, "http://bad.xyz/a")]
     pages = spark.createDataFrame(rows, "page_id long, url string")

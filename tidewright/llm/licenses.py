@@ -1,10 +1,11 @@
 r"""Licence scan: normalised sentences become licence-sentence identifiers, identifier sequences are matched to ordered rules.
 
-1. A text is cut into sentences at line ends and after `. ` `; ` `: `.
-2. A sentence is normalised: lower case, comment marks and list numbers at its start dropped, everything but letters, digits
-   and inner dots becomes one blank, so layout and quotes do not matter.
-3. The whole normalised sentence is looked up among the licence sentences (some with a wildcard: a pattern for the whole
-   sentence); a hit gives an identifier such as `GPL` or `GPLv3`.
+1. A text becomes one normalised line: lower case, comment marks and list numbers at line starts dropped, everything but
+   letters, digits and inner dots one blank, so layout and quotes do not matter. Marks stay in it: hard ones behind `. ` (not
+   `v. `) and at the end of a paragraph, soft ones at other line ends and behind `; ` and `: `.
+2. A sentence stands between two marks. It may run over soft marks, so wrapped notices are found whole, but over no hard one.
+3. Sentences are looked up among the licence sentences (some with a wildcard: a pattern for the whole
+   sentence, whose open end stops at the first mark); a hit gives an identifier such as `GPL` or `GPLv3`.
 4. Rules are tried in order on the identifiers that are left, each a sequence of identifiers that must stand together in the
    text's order of hits. A rule that fits adds its licence and consumes those identifiers, so `GPL` followed by
    `AnyLater` gives GPL-2.0-or-later and is not seen again by the rule for GPL-2.0-only.
@@ -17,6 +18,7 @@ both. Other columns pass through untouched unless their names are those of the r
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,34 +82,70 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["Proprietary"]),
 ]
 
-#: Every licence sentence holds one of these; a sentence without any is not normalised further. A speed-up that changes nothing.
+#: SPDX ids after normalisation (`+` as `or later`), and their licences. An expression gives an identifier for each id of it;
+#: ids that are not listed give SPDX.
+SPDX_IDS: dict[str, str] = {
+    "apache 2.0": "Apache-2.0", "mit": "MIT", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause",
+    "gpl 2.0": "GPL-2.0-only", "gpl 2.0 only": "GPL-2.0-only", "gpl 2.0 or later": "GPL-2.0-or-later",
+    "gpl 3.0": "GPL-3.0-only", "gpl 3.0 only": "GPL-3.0-only", "gpl 3.0 or later": "GPL-3.0-or-later",
+    **{f"lgpl {v}{end}": "LGPL" for v in ("2.0", "2.1", "3.0") for end in ("", " only", " or later")},
+    **{f"agpl 3.0{end}": "AGPL-3.0" for end in ("", " only", " or later")},
+    "mpl 2.0": "MPL-2.0", "cc by nc 4.0": "CC-BY-NC-4.0", "cc by sa 4.0": "CC-BY-SA-4.0", "cc by 4.0": "CC-BY-4.0", "cc0 1.0": "CC0-1.0", "unlicense": "Unlicense",
+}
+SPDX_RULES: list[tuple[str, list[str]]] = [(name, [f"SPDX-{name}"]) for name in sorted(set(SPDX_IDS.values()))]
+
+#: Every licence sentence holds one of these; a text without any is not normalised. A speed-up that changes nothing.
 HINT = r"(?i)licen|warrant|copyright|permission|permitted|redistribut|cc0|any later version|public domain|rights reserved|endorse"
-
-
-def normalised(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), r"^[\s/*#;%!>-]*(\(?[0-9a-z][.)]\s)?", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}.]+", " ")
-    return F.trim(F.regexp_replace(s, r"\.+(?=\s|$)(?<!\bv\.)", ""))
-
-
-def sentences(text: Column) -> Column:
-    """Cut at line ends and behind `. `, `; ` and `: ` (not behind `v. `, as in `v. 2.0`)."""
-    return F.split(text, r"\r\n|\n|\r|(?<!\bv)(?<=[.;:]) +")
+_WRAPPED_HINT = HINT.replace(" ", r"[^\p{L}\p{N}]+")
+_SPDX = "spdx license identifier "
+
+
+def stream(text: Column) -> Column:
+    """The normalised text between marks: | where a sentence must end, ~ where it may."""
+    s = F.translate(F.lower(text), "|~", "  ")
+    for pattern, put in (
+        (r"\r\n|\n|\r", "~"),
+        (r"(?<=gpl-\d\.\d)\+", " or later"),
+        (r"(?<=\.)(?<!\bv\.)(?: +|(?=~))", "|"),
+        (r"~(?=[\s/*#;%!>-]*~)", "|"),
+        (r"(?<=[;:]) +", "~"),
+        (r"(^|[|~])[\s/*#;%!>-]*\(?(?:[0-9a-z]\)|[0-9a-uw-z]\.)\s", "$1"),
+        (r"[^\p{L}\p{N}.|~]+", " "),
+        (r"\.+(?=[ |~]|$)(?<!\bv\.)", ""),
+        (r" *([|~]) *", "$1"),
+    ):
+        s = F.regexp_replace(s, pattern, put)
+    return F.concat(F.lit("|"), F.trim(s), F.lit("|"))
+
+
+def _over_marks(pattern: str) -> str:
+    """The pattern of a sentence in a stream: blanks may be soft marks, a wildcard ends where it can; one at the begin stays in its line."""
+    begin, pattern = ("[^|~]*", pattern[2:]) if pattern.startswith(".*") else ("", pattern)
+    return begin + re.sub(r"(\[[^]]*\])|\.\*| ", lambda m: m[1] or {".*": "[^|]*?", " ": "(?: |~+)"}[m[0]], pattern)
 
 
 def identifiers(text: Column, table: list[tuple[str, str]] = SENTENCES) -> Column:
     """Array of the identifiers of a text's licence sentences, in order."""
-    near = F.filter(sentences(text), lambda s: s.rlike(HINT))
+    any_of = "|".join(f"(?:{_over_marks(p)})" for _, p in table)
+    # "v. " may be the number of a list
+    hits = F.regexp_extract_all(stream(text), F.lit(rf"(?<=[|~])(?:v\. )?({any_of})(?=[|~])"), 1)
 
     def known(s: Column) -> Column:
         return F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in table])
 
-    found = F.array_compact(F.transform(F.transform(near, normalised), known))
+    def named(s: Column) -> Column:
+        ids = F.split(F.regexp_replace(F.substring(s, len(_SPDX) + 1, 1 << 20), " or later", "+"), " (?:or|and) ")
+        ids = F.transform(ids, lambda i: F.regexp_replace(F.replace(i, F.lit("+"), F.lit(" or later")), " with .*", ""))
+        spdx = F.transform(ids, lambda i: F.coalesce(*[F.when(i == x, F.lit(f"SPDX-{name}")) for x, name in SPDX_IDS.items()], F.lit("SPDX")))
+        name = known(s)
+        return F.when(name == "SPDX", spdx).otherwise(F.array(name))
+
+    found = F.array_compact(F.flatten(F.transform(F.transform(hits, lambda s: F.regexp_replace(s, "~+", " ")), named)))
     # most texts hold no licence word at all
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_WRAPPED_HINT), found).otherwise(F.array().cast("array<string>"))
 
 
-def scan_licenses(docs: DataFrame, rules: list[tuple[str, list[str]]] = RULES, table: list[tuple[str, str]] = SENTENCES, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, rules: list[tuple[str, list[str]]] = [*RULES, *SPDX_RULES], table: list[tuple[str, str]] = SENTENCES, text: str = "text") -> DataFrame:
     """Adds license_ids (identifiers in order), licenses (sorted, distinct), n_sentences and n_rules."""
     df = docs.withColumn("license_ids", F.coalesce(identifiers(F.col(text), table), F.array().cast("array<string>")))
     # Identifiers become words of one line: |A|B|. A rule that fits turns its words into |+licence|, which no later rule matches.

@@ -317,6 +317,23 @@ def plain_components(texts):
     return [(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
+def test_rows_that_repeat_an_id_make_no_links(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    rows = []
+    for i in range(0, 40, 2):
+        one = [word() for _ in range(400)]
+        other = one[:300] + [word() for _ in range(100)]  # similarity about 0.6
+        rows += [(i, " ".join(one))] * (1 + i % 3) + [(i + 1, " ".join(other))] * (1 + (i + 2) % 4)
+    # 101 has two texts and is linked by both; 104 and 105 have only texts of their own
+    a, b, c, d, e = (" ".join(word() for _ in range(100)) for _ in range(5))
+    rows += [(100, a), (101, a), (101, b + " x"), (101, b + " x"), (102, b), (103, c), (104, d), (104, e), (105, c + " " + d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.component_id) for x in minhash_hamming.near_duplicates(docs).collect()}
+    assert got == {(i, i) for i in (*range(40), 100, 103, 104, 105)} | {(101, 100), (102, 100)}
+    assert {x.doc_id for x in minhash_hamming.keep_first(docs).collect()} == {*range(40), 100, 103, 104, 105}
+
+
 def test_near_duplicates(spark):
     r = random.Random(11)
     texts = [*HARD, "one two", "ONE two"]

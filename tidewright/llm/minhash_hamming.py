@@ -8,7 +8,7 @@ similarity 0.75 differs in more than 31 symbols with a probability of about 1e-5
 
 Links are confirmed on full sets (100 * intersection >= 75 * union). All pairs of a large group are never made:
 
-1. Texts of equal sets form a class; its smallest id stands for it.
+1. Texts of equal sets form a class; its smallest id stands for it (a hash, if that id has another text that does so already).
 2. In each bucket of the index every class meets only the bucket's smallest (a star); close pairs are confirmed and joined
    to components. A second star does the same with the largest class that is still in another component.
 3. Classes that share a bucket and are still in different components are compared exactly, except where the triangle
@@ -18,17 +18,18 @@ Links are confirmed on full sets (100 * intersection >= 75 * union). All pairs o
 So components are those of the full link graph among candidates, while the work of a group of n copies grows as n.
 
 Cases: null or empty texts and texts without words have an empty set, n_shingles 0, and are linked with nothing; fewer than
-five words make one shingle; repeated rows are one class. Batches are bounded by bytes; skewed keys of joins are split by AQE.
+five words make one shingle; repeated rows are one class, and an id with several texts is linked by each of them. Batches are bounded by bytes; skewed keys of joins are split by AQE.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, written
@@ -69,6 +70,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def _print(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (128 bits of a hash of the set) and sig of every text."""
 
@@ -77,7 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column(1))
             return pa.record_batch(
                 [
-                    batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array((hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), pa.binary()),
+                    batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array((_print(s.tobytes()) for s in sets), pa.binary()),
                     pa.array((signature(s).tobytes() if len(s) else None for s in sets), pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "print", "sig"],
@@ -130,24 +135,27 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """doc_id and shingles (sorted 64-bit hashes) of the texts whose id is in ids(doc_id).
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """id and shingles (sorted 64-bit hashes) of each class in ids(id), one row for each, however often its text stands in docs.
 
-    Up to most_broadcast ids (8 bytes each) are sent to the texts, more are joined to them by a shuffle.
+    Up to most_broadcast classes (32 bytes each) are sent to the texts, more are joined to them by a shuffle.
     """
-    ids = written(ids.distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_semi")
+    wanted = written(classes.select("id", "print", F.col("rep").alias("doc_id")).join(ids.distinct(), "id", "left_semi"), "ids")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted, "doc_id").select("id", "text", "print")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([batch.column(0), pa.array((s.tobytes() for s in shingle_sets(batch.column(1))), pa.binary())], names=["doc_id", "shingles"])
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            own = pa.array([_print(s) == p for s, p in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            return pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"]).filter(own)
 
         return each
 
-    return map_batches(texts.select("doc_id", "text"), make, "doc_id long, shingles binary", sized_by=1, limit=1 << 20)
+    sets = map_batches(texts, make, "id long, shingles binary", sized_by=1, limit=1 << 20)
+    return sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
-def _common_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _common_sizes(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id and n_common: how many of its shingles at least one other of the ids(id) has too."""
 
     def make():
@@ -157,16 +165,16 @@ def _common_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
         return each
 
-    sets = map_batches(_sets(ids.select(F.col("id").alias("doc_id")), docs), make, "id long, shingle long", sized_by=1, limit=1 << 20)
+    sets = map_batches(_sets(ids.select("id"), classes, docs), make, "id long, shingle long", sized_by=1, limit=1 << 20)
     sets = written(sets, "shingles")
     often = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     return sets.join(often, "shingle").groupBy("id").agg(F.count("*").alias("n_common"))
 
 
-def _outside(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _outside(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """members(hub, id, ...) with a row for each shingle of the id's set that the hub's set lacks."""
-    sets = written(_sets(members.select(F.col("id").alias("doc_id")).union(members.select("hub")), docs), "sets")
-    both = members.join(sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("own")), "id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hubs")), "hub")
+    sets = written(_sets(members.select("id").union(members.select("hub")), classes, docs), "sets")
+    both = members.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hubs")), "hub")
     columns = members.columns
 
     def make():
@@ -182,19 +190,20 @@ def _outside(members: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(both.select(*columns, "own", "hubs"), make, f"{schema}, shingle long", sized_by=len(columns), limit=1 << 20)
 
 
-def _shared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _shared(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, shared, united: sizes of intersection and union of the full sets of each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    sets = _sets(wanted.select("doc_id"), docs)
-    sides = wanted.join(sets, "doc_id").select("a", "b", "shingles")
+    wanted = pairs.select(F.posexplode(F.array("a", "b")).alias("side", "id"), "a", "b")
+    sets = _sets(wanted.select("id"), classes, docs)
+    sides = wanted.join(sets, "id").select("a", "b", "side", "shingles")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the first side of a pair, maybe from the batch before
-        for batch in (part for whole in batches for part in slices(whole, 2, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 3, 8 << 20)):
             out: list[tuple[int, int, int, int]] = []
-            for a, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if kept is None or kept[:2] != (a, b):
+            for a, b, side, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if side == 0:
                     kept = (a, b, raw)
+                if side == 0 or kept is None or kept[:2] != (a, b):
                     continue
                 x, y, kept = np.frombuffer(kept[2], "<u8"), np.frombuffer(raw, "<u8"), None
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
@@ -203,7 +212,7 @@ def _shared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["a", "b", "shared", "united"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sides.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(meet, "a long, b long, shared long, united long")
+    return sides.repartition(n, "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(meet, "a long, b long, shared long, united long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -211,18 +220,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = written(features(docs), "features")
     # equal sets: one class, named by its smallest id (empty sets are in none)
-    classes = written(feats.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = feats.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("print"))
+    classes = written(classes.withColumn("id", F.when(nth == 1, F.col("rep")).otherwise(F.xxhash64("print"))), "classes")
     keys = written(index_keys(classes), "keys")
     # buckets of one class give no pair
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     keys = written(keys.join(hubs, "key").select("key", "id", "hub"), "buckets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_shared(_close(pairs, classes), docs), "pairs")
+        return written(_shared(_close(pairs, classes), classes, docs), "pairs")
 
-    def grouped(*tested: DataFrame) -> DataFrame:
+    def grouped(*tested: DataFrame, more: DataFrame | None = None) -> DataFrame:
         links = [t.where("100 * shared >= 75 * united").select("a", "b") for t in tested]
-        return written(components(links[0] if len(links) == 1 else links[0].union(links[1]) if len(links) == 2 else links[0].union(links[1]).union(links[2])), "components")
+        return written(components(reduce(DataFrame.union, links if more is None else [*links, more])), "components")
 
     star = confirmed(keys.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     comp = grouped(star)
@@ -240,10 +251,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
     rest = written(rest.join(several, "key", "left_semi").join(known, ["hub", "id"], "left"), "rest")
     # shingles that no other class of these has are in no intersection, so they bound the similarity of every pair
-    sizes = _common_sizes(rest.select("id").distinct(), docs).join(classes.select("id", "n_shingles"), "id").where("100 * n_common >= 75 * n_shingles")
+    sizes = _common_sizes(rest.select("id").distinct(), classes, docs).join(classes.select("id", "n_shingles"), "id").where("100 * n_common >= 75 * n_shingles")
     rest = written(rest.join(sizes, "id"), "rest")
     # outside the hub's set two classes must share enough shingles to make up for what the hub's set cannot give
-    outside = written(_outside(rest.where("d is not null").select("hub", "id", "comp", "same", "n_shingles").distinct(), docs), "outside")
+    outside = written(_outside(rest.where("d is not null").select("hub", "id", "comp", "same", "n_shingles").distinct(), classes, docs), "outside")
     x, y = outside.alias("x"), outside.alias("y")
     met = x.join(y, F.expr("x.hub = y.hub and x.shingle = y.shingle and x.id < y.id and x.comp <> y.comp"))
     enough = "175 * (least(first(x.same), first(y.same)) + count(*)) >= 75 * (first(x.n_shingles) + first(y.n_shingles))"
@@ -255,9 +266,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near += " and (x.d is null or y.d is null or 175 * least(x.same, y.same) >= 75 * (x.n_shingles + y.n_shingles))"
     third = third.union(x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
     star3 = confirmed(third.join(star.select("a", "b").union(star2.select("a", "b")), ["a", "b"], "left_anti"))
-    comp3 = grouped(star, star2, star3)
-    of_class = feats.join(classes.select("print", "id"), "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
-    found = of_class.join(comp3, of_class["id"] == comp3["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    of_class = written(feats.join(classes.select("print", "id", "rep"), "print", "left").select("doc_id", "n_shingles", "id", "rep"), "of-class")
+    # an id with several texts links their classes
+    ends = of_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
+    one_id = of_class.join(ends, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    comp3 = grouped(star, star2, star3, more=one_id)
+    least = comp3.join(classes.select("id", "rep"), comp3["node"] == classes["id"]).groupBy("component").agg(F.min("rep").alias("least"))
+    comp3 = comp3.join(least, "component").select("node", "least")
+    found = of_class.join(comp3, of_class["id"] == comp3["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
+import corpus_pipeline  # noqa: E402
 from tidewright.llm import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, ppm_langid, queries, spaced_seeds, suffix_repeats, url_reputation  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,6 +147,15 @@ def test_line_texts_keep_what_stays(spark):
     assert got.columns == docs.columns and [r.text for r in got.collect()] == [f"{line}\nx", "", None, ""]
 
 
+def test_short_lines_are_judged_for_copies(spark):
+    line = "a line that is long enough to be judged"
+    texts = [f"Menu\nx\n\n{line}\nMenu", f"Menu\nMenv\n\n{line}!\ny", None, "", "x"]
+    lines = corpus_pipeline.lines(spark, docs_of(spark, texts), SMALL).orderBy("doc_id")
+    assert [r.text for r in lines.collect()] == [f"Menu\nx\n\n{line}", "Menv\n\ny", None, "", ""]
+    links = {(r.doc_id, r.line_no): (r.copy, r.near, r.n_links) for r in line_join.judged_lines(docs_of(spark, texts), shortest_copies=1).collect()}
+    assert links[0, 4] == (True, False, 0) and links[1, 1] == (False, False, 0) and links[1, 3] == (False, True, 1) and (0, 2) not in links
+
+
 # ---- op4, op8 ----
 
 @pytest.fixture(scope="module")

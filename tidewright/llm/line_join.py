@@ -17,7 +17,8 @@ pairs or crowded keys (a broadcast of their hashes up to `most_broadcast` of the
 A line is removed if an equal line stands before it (doc_id, then line number), or if a linked line has its first place before
 its own first place. The earliest line of a chain of links always stays.
 
-Cases: null and empty texts have no lines; lines shorter than `shortest` characters are never removed and linked with nothing;
+Cases: null and empty texts have no lines; lines shorter than `shortest` characters are linked with nothing, and are removed as
+copies only if they have `shortest_copies` characters (1 in the pipeline: every line but the empty one; `shortest` if not given);
 rows that repeat a doc_id are taken as one document; a null doc_id is before all others. Other columns are not touched.
 """
 
@@ -183,12 +184,16 @@ def line_links(docs: DataFrame, lines: DataFrame, shortest: int, most_bucket: in
     return out.select("lid", (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_same", F.lit(0))).alias("n_links"), F.least("least", "least_same").alias("least"))
 
 
-def judged_lines(docs: DataFrame, shortest: int = SHORTEST, most_bucket: int = 32, most_broadcast: int = 2_000_000) -> DataFrame:
-    """doc_id, line_no, copy (an equal line stands before), near (a linked line does) and n_links of every line of `shortest` characters or more."""
+def judged_lines(docs: DataFrame, shortest: int = SHORTEST, most_bucket: int = 32, most_broadcast: int = 2_000_000, shortest_copies: int | None = None) -> DataFrame:
+    """doc_id, line_no, copy (an equal line stands before), near (a linked line does) and n_links of every line of `shortest` or `shortest_copies` characters or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = lines_of(docs).where(F.length("line") >= shortest)
+    length = F.length("line")
+    every = lines_of(docs).where(length >= min(shortest, shortest if shortest_copies is None else shortest_copies))
+    keys = _keys(F.col("line"), length, LEVELS[0])
+    if shortest_copies is not None:  # short lines have no keys, so no pairs
+        keys = F.when(length >= shortest, keys).otherwise(F.filter(keys, lambda k: F.lit(False)))
     place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).cast("decimal(38,0)") * F.lit(_SHIFT).cast("decimal(12,0)") + F.col("line_no")
-    every = written(every.select("doc_id", "line_no", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("lid"), _keys(F.col("line"), F.length("line"), LEVELS[0]).alias("keys")), "lines")
+    every = written(every.select("doc_id", "line_no", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("lid"), keys.alias("keys")), "lines")
     distinct = every.groupBy("lid", "keys").agg(F.min("place").alias("first"))
     distinct = written(distinct, "distinct-lines")
     linked = written(line_links(docs, distinct, shortest, most_bucket, most_broadcast), "linked")

@@ -156,6 +156,12 @@ def test_short_lines_are_judged_for_copies(spark):
     assert links[0, 4] == (True, False, 0) and links[1, 1] == (False, False, 0) and links[1, 3] == (False, True, 1) and (0, 2) not in links
 
 
+def test_edit_in_a_line_of_over_a_million_characters(spark):
+    half = "0123456789abcdef" * 70_000
+    pairs = spark.createDataFrame([(1, half + "x" + half, half + "y" + half), (2, half + "x", half + "y"), (3, half + "x" + half, half + "yz" + half)], "n int, x string, y string")
+    assert sorted(r.n for r in line_join.within(pairs).select("n").collect()) == [1, 2]
+
+
 # ---- op4, op8 ----
 
 @pytest.fixture(scope="module")

@@ -99,7 +99,7 @@ def _across(s: Column, d0: Column, mask: int) -> Column:
 
 
 def _stripped(x: Column, y: Column, front: bool) -> Column:
-    """struct(u, v): both without most of their common begin (or end), in steps from 2^19 down to 8 characters."""
+    """struct(u, v): both without most of their common begin (or end), in steps from 2^30 (no string is twice as long) down to 8 characters."""
 
     def step(acc: Column, n: Column) -> Column:
         u, v = acc["u"], acc["v"]
@@ -107,7 +107,7 @@ def _stripped(x: Column, y: Column, front: bool) -> Column:
         rest = (lambda c: F.substring(c, n + 1, F.length(c))) if front else (lambda c: F.substring(c, F.lit(1), F.length(c) - n))
         return F.when((F.length(u) >= n) & (F.length(v) >= n) & (side(u) == side(v)), F.struct(rest(u).alias("u"), rest(v).alias("v"))).otherwise(acc)
 
-    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(19, 2, -1)]), F.struct(x.alias("u"), y.alias("v")), step)
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(30, 2, -1)]), F.struct(x.alias("u"), y.alias("v")), step)
 
 
 def within(pairs: DataFrame, k: int = 1) -> DataFrame:

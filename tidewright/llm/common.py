@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """spark.checkpoint.dir: the folder that the driver and all executors see.
+
+    Where it is unset, a session of a single process (tests) gets a new folder of its own; on a cluster it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -25,7 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() has made, once the last step that reads it is itself written."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_at
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def give_back() -> None:
+    """At the end of a task: memory that a reused Python worker would only hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -40,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, sized_by: int | None = None, limit: int = 8 << 20) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, sized_by: int | None = None, limit: int = 2 << 20) -> DataFrame:
     """mapInArrow where make() runs once in each task; its result turns one batch into one.
 
     sized_by: the column whose bytes bound a batch, so that very long texts do not add up.
@@ -52,6 +77,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for part in [batch] if sized_by is None else slices(batch, sized_by, limit):
                 if part.num_rows:
                     yield each(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -71,5 +97,6 @@ def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array],
             for part in slices(batch, at, 4 << 20):
                 if part.num_rows:
                     yield part.filter(keep(part.column(at)))
+        give_back()
 
     return df.mapInArrow(run, df.schema)

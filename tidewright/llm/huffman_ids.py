@@ -17,6 +17,7 @@ ids; a null doc_id comes first; an empty table gives no file. Work is by batches
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,42 +40,60 @@ _PLAIN = re.compile(r" ?\S+")
 
 @functools.lru_cache(maxsize=2)
 def library_store(path: str) -> PieceStore:
-    """Encodes with the tokenizers library; one for each Python worker."""
+    """Encodes with the tokenizers library; one for each Python worker.
+
+    Texts are cut into pieces only if the tokenizer splits by the pattern for which that is exact and does nothing else to a
+    text; texts with one of its added tokens in them, and all texts of other tokenizers, go to the library whole.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    added = tokenizer.get_added_tokens_decoder().values()
+    about = json.loads(tokenizer.to_str())
+    splits = about["pre_tokenizer"] or {}
+    plain_split = (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex")) == ("ByteLevel", False, True)
+    cut = plain_split and not any(about[k] for k in ("normalizer", "post_processor", "truncation", "padding"))
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
 
+    def keep_whole(texts: pa.Array) -> np.ndarray:
+        found = pc.match_substring_regex(texts, "|".join(map(re.escape, added))) if added else pa.array([False] * len(texts))
+        return np.flatnonzero(found.fill_null(False).to_numpy(zero_copy_only=False))
+
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # words go to the library by lines: a line feed is a pre-token of its own between them, so its id parts their ids
-        counts, parts = np.zeros(len(pieces), np.int64), {}
-        plain = [i for i, p in enumerate(pieces) if _PLAIN.fullmatch(p)] if len(line_feed) == 1 else []
-        lines, size, begin = [], 0, 0
-        for k, i in enumerate(plain):
+        plain = [i for i, p in enumerate(pieces) if _PLAIN.fullmatch(p)] if cut and len(line_feed) == 1 else []
+        lines, cuts, size = [], [0], 0
+        for k, i in enumerate(plain, 1):
             size += len(pieces[i]) + 1
-            if size > 30_000 or k + 1 == len(plain):
-                lines.append(plain[begin : k + 1])
-                begin, size = k + 1, 0
-        for group, found in zip(lines, tokenizer.encode_batch_fast(["\n".join(pieces[i] for i in g) for g in lines], add_special_tokens=False)):
+            if size > 1000 or k == len(plain):
+                lines.append("\n".join([pieces[j] for j in plain[cuts[-1] : k]]))
+                cuts.append(k)
+                size = 0
+        rows, sizes, parts, apart = [], [], [], np.zeros(len(pieces), bool)
+        for a, b, found in zip(cuts, cuts[1:], tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
-            cuts = np.flatnonzero(ids == line_feed[0])
-            if len(cuts) == len(group) - 1:
-                for i, part in zip(group, np.split(ids, cuts)):
-                    parts[i] = part
-                first = group[0]
-                for i in group[1:]:
-                    parts[i] = parts[i][1:]
-                assert len(parts[first]) or not pieces[first]
-        rest = [i for i in range(len(pieces)) if i not in parts]
+            feed = ids == line_feed[0]
+            ends = np.flatnonzero(feed)
+            if len(ends) == b - a - 1:
+                rows.append(plain[a:b])
+                sizes.append(np.diff(np.concatenate(([-1], ends, [len(ids)]))) - 1)
+                parts.append(ids[~feed])
+                apart[plain[a:b]] = True
+        rest = np.flatnonzero(~apart).tolist()
         for i, found in zip(rest, tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            parts[i] = np.array(found.ids, np.uint32)
-        for i, part in parts.items():
-            counts[i] = len(part)
-        return counts, np.concatenate([parts[i] for i in range(len(pieces))]) if pieces else np.zeros(0, np.uint32)
+            rows.append([i])
+            sizes.append(np.array([len(found.ids)]))
+            parts.append(np.array(found.ids, np.uint32))
+        # back in the order of the pieces
+        row, got, ids = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, sizes, parts))
+        order = np.argsort(row.astype(np.int64))
+        counts, start = got[order].astype(np.int64), (np.cumsum(got) - got)[order].astype(np.int64)
+        ends = np.cumsum(counts)
+        at = np.repeat(start - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return counts, ids[at].astype(np.uint32)
 
-    return PieceStore(encode_new, keep_whole="|".join(re.escape(t.content) for t in added) or None)
+    return PieceStore(encode_new, cut=cut, keep_whole=keep_whole)
 
 
 def encode_texts(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -221,24 +241,34 @@ def write_blocks(tokens: DataFrame, code: Code, files: int, block_bytes: int = 1
     """Blocks of coded texts in ascending doc_id order; `start` counts the ids of all texts before a block."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(code)  # bounded by the vocabulary
-    bounds = sorted({int(x) for x in tokens.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.001)}) if files > 1 else []
-    # the number of bounds that are below doc_id
-    file = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    tokens = tokens.withColumn("file", F.when(F.col("doc_id").isNull(), 0).otherwise(file).cast("int"))
-    sums = {r["file"]: r["n"] for r in tokens.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()}  # one row for each file
+    bounds = np.array(sorted({int(x) for x in tokens.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.001)}) if files > 1 else [], np.int64)
+
+    def file_of(doc_id: pa.Array) -> np.ndarray:
+        """The number of bounds that are below doc_id; 0 for null."""
+        return np.searchsorted(bounds, doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)).astype(np.int32)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(bounds) + 1, np.int64)
+        for batch in batches:
+            np.add.at(total, file_of(batch.column(0)), batch.column(1).to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["file", "n"])
+
+    sums = tokens.select("doc_id", "n_tokens").mapInArrow(sizes, "file int, n long").groupBy("file").agg(F.sum("n").alias("n"))
     starts, total = {}, 0
-    for k in sorted(sums):
-        starts[k], total = total, total + sums[k]
+    for file, n in sorted(tuple(r) for r in sums.collect()):  # one row for each file
+        starts[file], total = total, total + n
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits, checks = shared.value.encode(_unpacked(batch, 3, 4))
-            return pa.record_batch([*batch.columns[:3], pa.array(bits, pa.binary()), pa.array(checks, pa.list_(pa.int64()))], names=["file", "doc_id", "n_tokens", "bits", "checks"])
+            bits, checks = shared.value.encode(_unpacked(batch, 2, 3))
+            return pa.record_batch([pa.array(file_of(batch.column(0))), *batch.columns[:2], pa.array(bits, pa.binary()), pa.array(checks, pa.list_(pa.int64()))], names=["file", "doc_id", "n_tokens", "bits", "checks"])
 
         return each
 
-    coded = map_batches(tokens.select("file", "doc_id", "n_tokens", "width", "ids"), make, "file int, doc_id long, n_tokens long, bits binary, checks array<long>", sized_by=4, limit=4 << 20)
-    placed = coded.repartition(files, "file").sortWithinPartitions("file", "doc_id")
+    coded = map_batches(tokens.select("doc_id", "n_tokens", "width", "ids"), make, "file int, doc_id long, n_tokens long, bits binary, checks array<long>", sized_by=3, limit=4 << 20)
+    # each file is a partition of its own, whatever a hash of its number would say
+    placed = coded.repartitionById(files, "file").sortWithinPartitions("file", "doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block, start, size, rows = None, 0, 0, 0, []

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tidewright.llm import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, ppm_langid, queries, spaced_seeds, suffix_repeats, url_reputation  # noqa: E402
+from tidewright.llm import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, pieces, ppm_langid, queries, spaced_seeds, suffix_repeats, url_reputation  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -181,6 +181,39 @@ def test_bpe_equals_the_library(tik, texts):
     assert [c.decode(p).decode() for p in packed] == texts
 
 
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab é'sTl1²½.,!\n\t \u00a0\u3000日\0\x1c")) | st.characters(codec="utf-8"), max_size=40) | st.sampled_from(["a <|endoftext|> b\nc", "x" * 40, "word " * 9]), max_size=6))
+def test_library_ids_of_cut_texts(library, texts):
+    ids, bounds = huffman_ids.library_store(P.path("byte_bpe_50k.json")).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("most", [0, 3, 50, 10_000])
+def test_pieces_are_found_again_in_a_full_memory(most):
+    def lengths(pieces):
+        made.extend(pieces)
+        return np.array([len(p.encode()) for p in pieces]), np.concatenate([np.frombuffer(p.encode(), np.uint8) for p in pieces]).astype(np.uint32)
+
+    r, made = random.Random(2), []
+    store = pieces.PieceStore(lengths, most=most)
+    for _ in range(6):
+        texts = [" ".join("".join(r.choices("abcé", k=r.choice((1, 2, 3, 8, 9, 16, 17, 31, 32, 33, 70)))) for _ in range(r.randrange(60))) for _ in range(9)] + [None, "", "a\0", "a"]
+        ids, bounds = store.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].astype(np.uint8).tobytes().decode() for a, b in zip(bounds, bounds[1:])] == [t or "" for t in texts]
+        assert store.n <= most
+    assert most < 10_000 or len(made) == len(set(made)) + sum(len(p.encode()) > 32 for p in made) - len({p for p in made if len(p.encode()) > 32})
+    whole = pieces.PieceStore(lengths, cut=False)
+    ids, bounds = whole.encode(pa.array(["a b", None, "a b", ""]))
+    assert bounds.tolist() == [0, 3, 3, 6, 6] and whole.n == 1
+
+
 def test_bpe_query(spark, tik):
     got = bpe.round_trip(docs_of(spark, HARD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).orderBy("doc_id").collect()
     assert [g.n_tokens for g in got] == [len(tik.encode_ordinary(t or "")) for t in HARD] and all(g.lossless for g in got)

@@ -21,6 +21,8 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +31,25 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import map_batches, utf8
-from .pieces import PieceStore
+from .pieces import CUTTABLE, PieceStore
 
 
 class PerfectHash:
-    """Minimal perfect hash over distinct byte strings with values; get() gives the value or None for other strings."""
+    """Minimal perfect hash over distinct byte strings with values >= 0; get() gives the value or None for other strings.
+
+    Keys lie in one row of bytes by slot, so 50,000 of them take about a megabyte.
+    """
 
     def __init__(self, items: dict[bytes, int], load: int = 2):
         n = self.n = len(items)
         self.buckets = max(1, n // load)
-        self.keys: list[bytes] = [b""] * n
-        self.values = [-1] * n
+        slot_of: dict[bytes, int] = {}
         groups: list[list[tuple[int, bytes]]] = [[] for _ in range(self.buckets)]
         for k in items:
             h = xxhash.xxh3_64_intdigest(k)
             groups[h % self.buckets].append((h, k))
         free = bytearray(b"\1") * n
-        self.shift = [0] * self.buckets
+        self.shift = array("q", [0] * self.buckets)
         order = sorted(range(self.buckets), key=lambda b: -len(groups[b]))
         for b in order:
             if len(groups[b]) < 2:
@@ -59,13 +63,16 @@ class PerfectHash:
             self.shift[b] = d
             for h, k in groups[b]:
                 s = self._slot(h, d)
-                free[s], self.keys[s], self.values[s] = 0, k, items[k]
+                free[s], slot_of[k] = 0, s
         # buckets of one key take the slots that are left: a negative displacement names the slot itself
         left = (s for s in range(n) if free[s])
         for b in order:
             if len(groups[b]) == 1:
                 k, s = groups[b][0][1], next(left)
-                self.shift[b], self.keys[s], self.values[s] = -1 - s, k, items[k]
+                self.shift[b], slot_of[k] = -1 - s, s
+        keys = sorted(slot_of, key=slot_of.__getitem__)
+        self.blob, self.values = b"".join(keys), array("q", (items[k] for k in keys))
+        self.ends = array("q", [0, *accumulate(map(len, keys))])
 
     def _slot(self, h: int, d: int) -> int:
         if d < 0:
@@ -77,7 +84,7 @@ class PerfectHash:
             return None
         h = xxhash.xxh3_64_intdigest(key)
         s = self._slot(h, self.shift[h % self.buckets])
-        return self.values[s] if self.keys[s] == key else None
+        return self.values[s] if self.blob[self.ends[s] : self.ends[s + 1]] == key else None
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -109,22 +116,27 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder for a rank file and a split pattern."""
+    """Encoder and decoder for a rank file and a split pattern. What it remembers is bounded: pieces as in pieces.py, and pre-tokens of up to 32 bytes."""
 
-    def __init__(self, path: str, pattern: str, most_remembered: int = 300_000):
+    def __init__(self, path: str, pattern: str, most_pieces: int = 1_000_000, most_words: int = 100_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.table = PerfectHash(self.ranks)
-        self.token = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.words: dict[str, list[int]] = {}  # pre-tokens that pieces share
-        self.most_words = most_remembered
-        self.store = PieceStore(self._encode_new, most_remembered)
+        self.most_words = most_words
+        self.store = PieceStore(self._encode_new, most_pieces, cut=pattern in CUTTABLE)
+        # the bytes of each id, in one row
+        tokens = dict(map(reversed, self.ranks.items()))
+        sizes = np.zeros(max(tokens, default=-1) + 1, np.int64)
+        sizes[list(tokens)] = [len(x) for x in tokens.values()]
+        self.token_size, self.token_start = sizes, np.cumsum(sizes) - sizes
+        self.token_bytes = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
 
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > self.most_words:
             self.words.clear()
-        words, find, ids = self.words, self.find, []
+        words, find, ids = self.words, self.find, array("I")
         counts = np.empty(len(pieces), np.int64)
         for i, piece in enumerate(pieces):
             before = len(ids)
@@ -133,10 +145,12 @@ class Codec:
                 if known is None:
                     word = match.encode()
                     whole = self.table.get(word)
-                    known = words[match] = [whole] if whole is not None else merge_bytes(word, self.ranks)
-                ids += known
+                    known = [whole] if whole is not None else merge_bytes(word, self.ranks)
+                    if len(word) <= 32:
+                        words[match] = known
+                ids.extend(known)
             counts[i] = len(ids) - before
-        return counts, np.array(ids, np.uint32)
+        return counts, np.frombuffer(ids, np.uint32) if ids else np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, packed."""
@@ -145,7 +159,16 @@ class Codec:
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        """The bytes that packed ids stand for; KeyError if an id is none of the vocabulary's."""
+        ids, out = np.frombuffer(packed, "<u4"), []
+        for i in range(0, len(ids), 1 << 18):  # bounds the memory of one very long text
+            part = ids[i : i + (1 << 18)]
+            if len(bad := part[(part >= len(self.token_size)) | (self.token_size[np.minimum(part, len(self.token_size) - 1)] == 0)]):
+                raise KeyError(int(bad[0]))
+            sizes = self.token_size[part]
+            ends = np.cumsum(sizes)
+            out.append(self.token_bytes[np.repeat(self.token_start[part] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)

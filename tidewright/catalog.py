@@ -22,7 +22,8 @@ KEYS = ["port", "direction"]
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    """Doubles to so many digits. They are moved by a thousandth of the last digit first: sums that differ by their order alone then never lie on two sides of a half."""
+    return df.select(*[(F.round(F.col(c) + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 4):
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 4)
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
-            body = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+            body = f"SELECT * REPLACE ({', '.join(f'round({c} + 1e-{digits + 3}, {digits}) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
             ORACLES[name] = body
         return f
 
@@ -61,12 +62,12 @@ FEATURES = PANEL + """, f0 AS (SELECT *, lag(shipment_count, 1) OVER w AS lag_1,
     coalesce(CAST(lag(year, 12) OVER w IN (1998, 1999, 9999) AS INT), 0) AS lag_12_is_break, avg(shipment_count) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3_inclusive
     FROM panel WINDOW w AS (PARTITION BY port, direction ORDER BY year, month)),
     f1 AS (SELECT *, (shipment_count - lag_12) / nullif(lag_12, 0)::DOUBLE AS yoy_growth, (total_value_usd - lag_value_12) / nullif(lag_value_12, 0) AS yoy_value_growth,
-    CASE WHEN year - 1 NOT IN (1998, 1999) THEN lag_12 WHEN year - 2 NOT IN (1998, 1999) AND _lag_24 IS NOT NULL THEN _lag_24 WHEN year - 3 NOT IN (1998, 1999) AND _lag_36 IS NOT NULL THEN _lag_36
+    CASE WHEN lag_12_is_break = 0 THEN lag_12 WHEN year - 2 NOT IN (1998, 1999) AND _lag_24 IS NOT NULL THEN _lag_24 WHEN year - 3 NOT IN (1998, 1999) AND _lag_36 IS NOT NULL THEN _lag_36
     WHEN year - 4 NOT IN (1998, 1999) AND _lag_48 IS NOT NULL THEN _lag_48 ELSE lag_12 END AS lag_12_clean FROM f0),
     feats AS (SELECT *, CASE WHEN lag_12_is_break = 0 THEN yoy_growth ELSE (shipment_count - lag_12_clean) / nullif(lag_12_clean, 0)::DOUBLE END AS yoy_growth_clean FROM f1 WHERE lag_1 IS NOT NULL AND lag_12 IS NOT NULL)"""
 INDEX = FEATURES + """, norms AS (SELECT *, (shipment_count - min(shipment_count) OVER s) / nullif(max(shipment_count) OVER s - min(shipment_count) OVER s, 0)::DOUBLE AS sc_norm,
-    (total_value_usd - min(total_value_usd) OVER s) / nullif(max(total_value_usd) OVER s - min(total_value_usd) OVER s, 0) AS v_norm, (total_weight_mt - min(total_weight_mt) OVER s) / nullif(max(total_weight_mt) OVER s - min(total_weight_mt) OVER s, 0) AS w_norm,
-    (country_diversity - min(country_diversity) OVER s) / nullif(max(country_diversity) OVER s - min(country_diversity) OVER s, 0)::DOUBLE AS cd_norm, cnt_container / shipment_count::DOUBLE AS pct_container, cnt_refrigerated / shipment_count::DOUBLE AS pct_refrigerated FROM feats WINDOW s AS (PARTITION BY port, direction)),
+    (total_value_usd - min(total_value_usd) OVER s) / nullif(max(total_value_usd) OVER s - min(total_value_usd) OVER s, 0) AS v_norm, (coalesce(total_weight_mt, 0) - min(coalesce(total_weight_mt, 0)) OVER s) / nullif(max(coalesce(total_weight_mt, 0)) OVER s - min(coalesce(total_weight_mt, 0)) OVER s, 0) AS w_norm,
+    (commodity_diversity - min(commodity_diversity) OVER s) / nullif(max(commodity_diversity) OVER s - min(commodity_diversity) OVER s, 0)::DOUBLE AS cd_norm, cnt_container / shipment_count::DOUBLE AS pct_container, cnt_refrigerated / shipment_count::DOUBLE AS pct_refrigerated FROM feats WINDOW s AS (PARTITION BY port, direction)),
     ci AS (SELECT *, CASE WHEN direction = 'import' THEN 0.4 * coalesce(sc_norm, 0) + 0.3 * coalesce(v_norm, 0) + 0.2 * coalesce(cd_norm, 0) + 0.1 * coalesce(pct_container, 0)
     ELSE 0.4 * coalesce(w_norm, 0) + 0.3 * coalesce(sc_norm, 0) + 0.2 * coalesce(v_norm, 0) + 0.1 * coalesce(pct_refrigerated, 0) END AS congestion_index FROM norms)"""
 
@@ -162,10 +163,11 @@ def _(s, d):
     return df.select("l_orderkey", "l_linenumber", "s_name", "supplier_nation", "c_name", "customer_nation", "p_name")
 
 
-@query("c5_prefix_fallback", """WITH dim AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name FROM part WHERE p_partkey % 2 = 0), ex AS (SELECT code, min(p_name) AS n FROM dim GROUP BY 1), pre AS (SELECT left(code, 4) AS p, arg_min(p_name, (code, p_name)) AS n FROM dim GROUP BY 1)
+@query("c5_prefix_fallback", """WITH dim AS (SELECT CASE WHEN p_type LIKE 'S%' THEN left(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 4) ELSE lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS code, p_name FROM part), ex AS (SELECT code, min(p_name) AS n FROM dim GROUP BY 1), pre AS (SELECT left(code, 4) AS p, arg_min(p_name, (code, p_name)) AS n FROM dim GROUP BY 1)
     SELECT l_orderkey, l_linenumber, coalesce(ex.n, pre.n) AS description FROM lineitem LEFT JOIN ex ON ex.code = lpad(CAST(l_partkey AS VARCHAR), 6, '0') LEFT JOIN pre ON pre.p = left(lpad(CAST(l_partkey AS VARCHAR), 6, '0'), 4)""")
 def _(s, d):
-    dim = table(s, d, "part").where("p_partkey % 2 = 0").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), "p_name")
+    code = F.lpad(F.col("p_partkey").cast("string"), 6, "0")  # standard and small parts have no code of their own, only a prefix
+    dim = table(s, d, "part").select(F.when(F.col("p_type").startswith("S"), F.left(code, F.lit(4))).otherwise(code).alias("code"), "p_name")
     facts = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("c"))
     return decode.prefix_fallback(facts, dim, "c", "code", "p_name", "description").drop("c")
 
@@ -473,29 +475,36 @@ def _(s, d):
     return forecast.forecast_index(the_forecast(s, d), the_panel(s, d), "pred_shipment_count", "shipment_count").select(*KEYS, "year", "month", "hist_index", "at_or_above_hist_peak")
 
 
-RECURSE = FEATURES + """, gr AS (SELECT port, direction, coalesce(least(0.15, greatest(-0.15, median(yoy_growth_clean))), 0) AS g FROM feats WHERE year < 2001 GROUP BY 1, 2),
-    sd AS (SELECT * FROM feats WHERE year < 2001 QUALIFY CASE WHEN max(CAST(year = 2000 AS INT)) OVER (PARTITION BY port, direction) = 1 THEN year = 2000 ELSE row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12 END),
-    rec AS (SELECT sd.port, sd.direction, CAST(2001 AS INT) AS year, month, greatest(1.0, shipment_count * (1 + g)) AS prediction FROM sd JOIN gr ON gr.port = sd.port AND gr.direction = sd.direction)"""
+#: The recursion is run step by step: a month takes the latest value of its kind, or the mean of all rows so far.
+RECURSE = "RECURSIVE " + FEATURES + """, sd AS (SELECT * FROM feats WHERE year < 2001 QUALIFY CASE WHEN max(CAST(year = 2000 AS INT)) OVER (PARTITION BY port, direction) = 1 THEN year = 2000 ELSE row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12 END),
+    seed AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, list(month::INT ORDER BY year, month) AS m, max(year * 12 + month - 1) AS p, coalesce(least(0.15, greatest(-0.15, coalesce(median(yoy_growth_clean) FILTER (year NOT IN (1998, 1999)), CASE WHEN count(*) FILTER (year NOT IN (1998, 1999)) = 0 THEN median(yoy_growth_clean) END))), 0) AS g FROM sd GROUP BY 1, 2),
+    steps AS (SELECT port, direction, v, m, p, g, 0 AS i FROM seed UNION ALL SELECT port, direction,
+        list_append(v, greatest(1.0, coalesce(v[len(m) - list_position(list_reverse(m), CAST((p + 1) % 12 + 1 AS INT)) + 1], list_avg(v)) * (1 + g))), list_append(m, CAST((p + 1) % 12 + 1 AS INT)), p + 1, g, i + 1 FROM steps WHERE i < 12),
+    rec AS (SELECT port, direction, CAST(p // 12 AS INT) AS year, CAST(p % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM steps WHERE i > 0)"""
+
+
+def the_recursion(s, d) -> DataFrame:
+    return forecast.recursive_naive(the_features(s, d), 2001, clean_years=[y for y in range(BREAKS.base_year, 2001) if y not in BREAKS.years])
 
 
 @query("h30_recursive_naive", f"WITH {RECURSE} SELECT * FROM rec", "prediction")
 def _(s, d):
-    return forecast.recursive_naive(the_features(s, d), 2001)
+    return the_recursion(s, d)
 
 
 @query("h32_published", f"WITH {RECURSE} SELECT year, month, port, direction, prediction AS pred_shipment_count, 'naive' AS model, CAST(round_even(prediction, 0) AS INT) AS forecast_shipments FROM rec", "pred_shipment_count")
 def _(s, d):
-    return forecast.published(forecast.recursive_naive(the_features(s, d), 2001), F.lit("naive")).drop("created_at")
+    return forecast.published(the_recursion(s, d), F.lit("naive")).drop("created_at")
 
 
 @query("h33_forecast_totals", f"WITH {RECURSE} SELECT direction, sum(prediction) AS total FROM rec GROUP BY 1", "total")
 def _(s, d):
-    return forecast.forecast_totals(forecast.recursive_naive(the_features(s, d), 2001))
+    return forecast.forecast_totals(the_recursion(s, d))
 
 
 @query("d22_annual_growth", f"WITH {RECURSE}, a AS (SELECT direction, CAST(sum(shipment_count) AS BIGINT) AS actual FROM panel WHERE year = 2000 GROUP BY 1), f AS (SELECT direction, sum(prediction) AS forecast FROM rec GROUP BY 1) SELECT direction, forecast, actual, 100 * (forecast - actual) / nullif(actual, 0) AS growth_pct FROM f FULL JOIN a USING (direction)", "forecast growth_pct")
 def _(s, d):
-    return forecast.annual_growth(the_panel(s, d), forecast.recursive_naive(the_features(s, d), 2001), 2000)
+    return forecast.annual_growth(the_panel(s, d), the_recursion(s, d), 2000)
 
 
 @query("h30_recursive_linear", f"""WITH RECURSIVE {PANEL}, h AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, max(year * 100 + month) AS lp FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -613,9 +622,7 @@ def the_bridge(s, d) -> DataFrame:
 def the_adjusted(s, d) -> DataFrame:
     """The weather of the given month stands for that calendar month of all years."""
     months = weather.weather_monthly(weather.weather_daily(the_scored(s, d))).groupBy("port_code", "month").agg(F.avg("pct_closed").alias("pct_closed"), F.avg("pct_warning").alias("pct_warning"))
-    years = the_index(s, d)
-    every = months.join(years.select("year").distinct().withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).drop("k")
-    return weather.weather_adjust(years, every, the_bridge(s, d))
+    return weather.weather_adjust(the_index(s, d), months, the_bridge(s, d), on=("month",))
 
 
 @query("k7_weather_adjust", f"WITH {_ADJ} SELECT port, direction, year, month, weather_multiplier, ci_adjusted, CASE WHEN weather_multiplier < 1.01 THEN 'none' WHEN weather_multiplier < 1.03 THEN 'minor' WHEN weather_multiplier < 1.08 THEN 'moderate' ELSE 'severe' END AS adjustment_type FROM adj2", "weather_multiplier ci_adjusted")

@@ -41,10 +41,12 @@ CLOSURE_CUTS = ((1.0, 3.0, 8.0), ("Low", "Moderate", "High", "Critical"))
 SEASON_CUTS = ((0.90, 1.30), ("Low season", "Normal", "Peak season"))
 SEASONS = ("Summer", "Autumn", "Winter", "Spring")
 
-#: Canonical feature lists of the learners (port level and commodity level).
+#: The features that learners may use at port level; norms over the whole history are left out, they see the future.
 PORT_FEATURES = (
-    "month_sin", "month_cos", "quarter", "year_index", "lag_1", "lag_2", "lag_3", "lag_12", "lag_12_clean", "lag_value_12", "lag_weight_12",
-    "rolling_3_mean", "rolling_12_mean", "rolling_value_12_mean", "yoy_growth", "yoy_value_growth", "yoy_growth_clean",
-    "is_shock", "is_rebound", "is_aftershock", "lag_12_is_break",
+    "lag_1", "lag_2", "lag_3", "lag_12_clean", "lag_value_12", "lag_weight_12", "yoy_growth_clean", "yoy_value_growth",
+    "month_sin", "month_cos", "quarter", "year_index", "commodity_diversity", "hs4_diversity", "country_diversity", "continent_diversity",
+    "pct_general", "pct_bulk", "pct_refrigerated", "pct_container", "avg_value_per_shipment_usd", "weight_per_shipment_mt", "avg_quantity_per_shipment",
+    "rolling_3_mean", "rolling_12_mean", "rolling_value_12_mean", "is_shock", "is_rebound", "is_aftershock", "lag_12_is_break",
 )
-COMMODITY_FEATURES = tuple(c for c in PORT_FEATURES if c not in ("yoy_value_growth",))
+#: The same at commodity level, which has no diversity and no cargo mix.
+COMMODITY_FEATURES = tuple(c for c in PORT_FEATURES if not c.endswith("_diversity") and not c.startswith("pct_"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,12 +59,15 @@ def sample_weight(weights: dict[int, float]) -> Column:
 
 def evaluate(folds: DataFrame, models: dict[str, Column | Callable[[DataFrame], DataFrame]], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
     """Scores of each series, model and fold. A model is an expression over the test rows, or a function of the folds that adds `prediction`."""
-    out = None
+    plain = [F.struct(F.lit(name).alias("model"), model.cast("double").alias("prediction")) for name, model in models.items() if isinstance(model, Column)]
+    parts = []
+    if plain:  # all expressions in one pass over the test rows
+        rows = folds.where("is_test").select(*keys, "fold_year", F.col(target).cast("double").alias("y"), F.explode(F.array(*plain)).alias("_m"))
+        parts.append(rows.select(*keys, "fold_year", "y", "_m.model", "_m.prediction"))
     for name, model in models.items():
-        rows = folds.where("is_test").withColumn("prediction", model) if isinstance(model, Column) else model(folds).where("is_test")
-        one = stats.score(rows.withColumn("y", F.col(target).cast("double")), [*keys, "fold_year"]).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        if not isinstance(model, Column):
+            parts.append(model(folds).where("is_test").select(*keys, "fold_year", F.col(target).cast("double").alias("y"), F.lit(name).alias("model"), "prediction"))
+    return stats.score(reduce(DataFrame.unionByName, parts), [*keys, "fold_year", "model"])
 
 
 def mean_scores(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
@@ -79,8 +83,9 @@ def best_model(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -
 
 def select_hybrid(scores: DataFrame, volumes: DataFrame, threshold: float = 500, baseline: str = "naive", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
     """Series of at least the threshold's volume take the baseline, the others their best model; with the score of what was taken."""
-    base = mean_scores(scores, keys).where(F.col("model") == baseline).select(*keys, F.col("cv_mape").alias("baseline_cv_mape"))
-    df = best_model(scores, keys).join(volumes, list(keys), "left").join(base, list(keys), "left")
+    best = F.min(F.when(F.col("cv_mape").isNotNull(), F.struct("cv_mape", "model")))
+    df = mean_scores(scores, keys).groupBy(*keys).agg(best.alias("_b"), F.max(F.when(F.col("model") == baseline, F.col("cv_mape"))).alias("baseline_cv_mape")).where("_b is not null")
+    df = df.select(*keys, F.col("_b.model").alias("best_model"), F.col("_b.cv_mape").alias("best_cv_mape"), "baseline_cv_mape").join(volumes, list(keys), "left")
     large = F.col("avg_volume") >= threshold
     return df.select(
         *keys, "avg_volume", F.when(large, F.lit(baseline)).otherwise(F.col("best_model")).alias("selected_model"), "best_model", "best_cv_mape", "baseline_cv_mape",

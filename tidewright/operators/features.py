@@ -15,11 +15,6 @@ def series_window(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("year", "month")
 
 
-def lags(df: DataFrame, column: str, steps: Sequence[int], keys: Sequence[str] = ("port", "direction"), prefix: str = "lag_") -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns({f"{prefix}{n}": F.lag(column, n).over(w) for n in steps})
-
-
 def rolling_past(c: str, n: int, keys: Sequence[str]) -> Column:
     """Mean of the n rows before this one."""
     return F.avg(c).over(series_window(keys).rowsBetween(-n, -1))
@@ -43,8 +38,9 @@ def build_features(panel: DataFrame, keys: Sequence[str] = ("port", "direction")
     df = panel.withColumns({
         "season": season(F.col("month")), "quarter": quarter(F.col("month")), "year_index": F.col("year") - breaks.base_year, "month_sin": sin, "month_cos": cos,
         **{f"pct_{m}": safe_div(F.col(f"cnt_{m}"), F.col("shipment_count")) for m in mix},
-        "weight_per_shipment_mt": safe_div(F.col("total_weight_mt"), F.col("shipment_count")),
+        "weight_per_shipment_mt": safe_div(F.coalesce(F.col("total_weight_mt"), F.lit(0.0)), F.col("shipment_count")),
         "avg_quantity_per_shipment": safe_div(F.col("total_quantity"), F.col("shipment_count")),
+        **({} if "avg_value_per_shipment_usd" in panel.columns else {"avg_value_per_shipment_usd": safe_div(F.col("total_value_usd"), F.col("shipment_count"))}),
         **{f"lag_{n}": F.lag("shipment_count", n).over(w) for n in (1, 2, 3, 12)},
         **{f"_lag_{n}": F.lag("shipment_count", n).over(w) for n in (24, 36, 48)},
         "lag_value_12": F.lag("total_value_usd", 12).over(w), "lag_weight_12": F.lag("total_weight_mt", 12).over(w),
@@ -58,12 +54,15 @@ def build_features(panel: DataFrame, keys: Sequence[str] = ("port", "direction")
 
 
 def clean_lag(df: DataFrame, breaks: Breaks = Breaks()) -> DataFrame:
-    """lag_12_clean: where the year before is a break year, the first of two, three or four years before that is none, else lag_12; and the growth over it."""
-    out = F.when(~(F.col("year") - 1).isin(*breaks.years), F.col("lag_12"))
+    """lag_12_clean: where the row of lag_12 lies in a break year, the first of two, three or four years before that is none, else lag_12; and the growth over it.
+
+    The gate looks at the lagged row, which in a series with gaps is not of the year before.
+    """
+    good = F.col("lag_12_is_break") == 0
+    out = F.when(good, F.col("lag_12"))
     for years, lag in ((2, "_lag_24"), (3, "_lag_36"), (4, "_lag_48")):
         out = out.when(~(F.col("year") - years).isin(*breaks.years) & F.col(lag).isNotNull(), F.col(lag))
     df = df.withColumn("lag_12_clean", out.otherwise(F.col("lag_12")))
-    good = F.col("lag_12_is_break") == 0
     return df.withColumn("yoy_growth_clean", F.when(good, F.col("yoy_growth")).otherwise(growth(F.col("shipment_count"), F.col("lag_12_clean"))))
 
 
@@ -86,8 +85,9 @@ def trend_clean_lag(df: DataFrame, keys: Sequence[str] = ("port", "direction"),
 
 
 def congestion_index(features: DataFrame, keys: Sequence[str] = ("port", "direction"), weights: CongestionWeights = CongestionWeights()) -> DataFrame:
-    """Norms of counts, value, weight and country diversity within each series, and their weighted sum by direction (null counts 0)."""
-    df = features.withColumns({out: minmax_norm(c, keys) for out, c in (("sc_norm", "shipment_count"), ("v_norm", "total_value_usd"), ("w_norm", "total_weight_mt"), ("cd_norm", "country_diversity"))})
+    """Norms of counts, value, weight (null is 0) and commodity diversity within each series, and their weighted sum by direction (null counts 0)."""
+    df = features.withColumn("_weight", F.coalesce(F.col("total_weight_mt"), F.lit(0.0)))
+    df = df.withColumns({out: minmax_norm(c, keys) for out, c in (("sc_norm", "shipment_count"), ("v_norm", "total_value_usd"), ("w_norm", "_weight"), ("cd_norm", "commodity_diversity"))}).drop("_weight")
 
     def total(parts: dict[str, float]) -> Column:
         return sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in parts.items()), F.lit(0.0))

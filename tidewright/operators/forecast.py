@@ -42,15 +42,32 @@ def seed_rows(features: DataFrame, target_year: int, keys: Sequence[str] = ("por
     return rows.where(((F.col("_has") == 1) & (F.col("year") == target_year - 1)) | ((F.col("_has") == 0) & (F.col("_b") <= 12))).drop("_has", "_b")
 
 
-def recursive_naive(features: DataFrame, target_year: int, keys: Sequence[str] = ("port", "direction"), limit: float = 0.15) -> DataFrame:
-    """Closed form of the twelve-step recursion of the seasonal naive model: the same month a year before, grown by the series' median growth within +-limit.
+def recursive_naive(features: DataFrame, target_year: int, keys: Sequence[str] = ("port", "direction"), limit: float = 0.15, clean_years: Sequence[int] | None = None, horizon: int = 12) -> DataFrame:
+    """Recursion of the seasonal naive model over the months that follow the seed: the latest value of the same month, grown by the seed's growth.
 
-    A missing median counts as no growth. Months without a row a year before are not forecast.
+    A month that the seed lacks takes the mean of the seed, its own predictions included. The growth is the median growth of the
+    seed's clean rows (of all its rows if none is clean) within +-limit; a missing median counts as no growth. Each series is one
+    array and the steps are a fold over it, so all series are forecast in one pass.
     """
-    g = features.where(F.col("year") < target_year).groupBy(*keys).agg(F.coalesce(clamp(F.median("yoy_growth_clean"), -limit, limit), F.lit(0.0)).alias("g"))
-    seeds = seed_rows(features, target_year, keys).select(*keys, "month", F.col("shipment_count").alias("base"))
-    pred = F.greatest(F.lit(1.0), F.col("base") * (1 + F.col("g")))
-    return seeds.join(g, list(keys)).select(*keys, F.lit(target_year).alias("year"), "month", pred.alias("prediction"))
+    clean = F.lit(True) if clean_years is None else F.col("year").isin(*clean_years)
+    seeds = seed_rows(features, target_year, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("year", "month", F.col("shipment_count").cast("double").alias("v")))).alias("h"),
+        F.coalesce(F.median(F.when(clean, F.col("yoy_growth_clean"))), F.when(~F.max(clean), F.median("yoy_growth_clean"))).alias("g"),
+    )
+    g = F.coalesce(clamp(F.col("g"), -limit, limit), F.lit(0.0))
+
+    def step(rows: Column, _: Column) -> Column:
+        end = F.element_at(rows, -1)
+        year, month = add_months(end["year"], end["month"], F.lit(1))
+        same = F.filter(rows, lambda r: r["month"] == month)
+        mean = F.aggregate(rows, F.lit(0.0), lambda total, r: total + r["v"]) / F.size(rows)
+        base = F.when(F.size(same) > 0, F.element_at(same, -1)["v"]).otherwise(mean)
+        return F.concat(rows, F.array(F.struct(year.alias("year"), month.alias("month"), F.greatest(F.lit(1.0), base * (1 + F.col("g"))).alias("v"))))
+
+    state = F.transform("h", lambda r: F.struct(r["year"].cast("int").alias("year"), r["month"].cast("int").alias("month"), r["v"].alias("v")))
+    out = seeds.select(*keys, "h", g.alias("g")).withColumn("n", F.size("h"))
+    out = out.select(*keys, F.explode(F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), state, step), F.col("n") + 1, horizon)).alias("p"))
+    return out.select(*keys, F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
 
 
 def recursive_linear(history: DataFrame, coefficients: Sequence[float], intercept: float, horizon: int = 12, keys: Sequence[str] = ("port", "direction"), target: str = "shipment_count") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import contains_any_case, safe_div
 
-#: Words that name the four cargo classes; a text may match several.
+#: Words that name the four cargo classes; a text may match several.
 CARGO = {"cnt_general": "GENERAL", "cnt_bulk": "GRANEL", "cnt_refrigerated": "FRIGORIZAD", "cnt_container": "CONTAINER"}
 
 
@@ -20,23 +20,21 @@ def monthly_panel(decl: DataFrame, keys: Sequence[str] = ("port", "direction"),
         rows = rows.where(F.col(k).isNotNull())
     if years:
         rows = rows.where(F.col("year").between(*years))
-    zero = F.lit(0.0)
-    return rows.groupBy(*keys, "year", "month").agg(
+    zero, month = F.lit(0.0), [*keys, "year", "month"]
+    # sums and label counts in one pass: each label's values of a month are collected as a set once, not by expanding the rows
+    labels = {"hs2": "commodity_diversity", "hs4": "hs4_diversity", "country": "country_diversity", "continent": "continent_diversity"}
+    modes = {"dominant_hs2": "hs2", "dominant_cargo_type": "cargo", "dominant_country": "country", "dominant_continent": "continent"}
+    sums = rows.groupBy(*month).agg(
         F.count("*").alias("shipment_count"),
         F.coalesce(F.sum("value_usd"), zero).alias("total_value_usd"),
         (F.sum("weight_kg") / 1000).alias("total_weight_mt"),
         F.coalesce(F.sum("quantity"), zero).alias("total_quantity"),
-        F.count_distinct("hs2").alias("commodity_diversity"),
-        F.count_distinct("hs4").alias("hs4_diversity"),
-        F.count_distinct("country").alias("country_diversity"),
-        F.count_distinct("continent").alias("continent_diversity"),
-        F.mode("hs2", True).alias("dominant_hs2"),
-        F.mode("cargo", True).alias("dominant_cargo_type"),
-        F.mode("country", True).alias("dominant_country"),
-        F.mode("continent", True).alias("dominant_continent"),
+        *[F.mode(c, True).alias(out) for out, c in modes.items()],
+        *[F.size(F.collect_set(c)).cast("long").alias(out) for c, out in labels.items()],
         *[F.count_if(contains_any_case(F.col("cargo"), word)).alias(name) for name, word in cargo.items()],
         F.avg("value_usd").alias("avg_value_per_shipment_usd"),
     )
+    return sums
 
 
 def commodity_panel(decl: DataFrame, keys: Sequence[str] = ("hs2", "port", "direction"), label: str = "hs6") -> DataFrame:

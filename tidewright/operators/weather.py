@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,12 @@ def driver_split(climatology: DataFrame) -> DataFrame:
     return climatology.groupBy("port_code").agg(F.avg("closed").alias("annual_closed"), *[F.avg(f"share_{d}").alias(f"share_{d}") for d in DRIVERS])
 
 
-def weather_adjust(congestion: DataFrame, monthly: DataFrame, bridge: DataFrame, minor: float = 1.01, moderate: float = 1.03, severe: float = 1.08) -> DataFrame:
-    """congestion(port, year, month, congestion_index) by the weather of the port's code: multiplier 1 + closed + warning / 2, index at most 1."""
-    w = monthly.select("port_code", "year", "month", "pct_closed", "pct_warning")
-    df = congestion.join(bridge.select("port", "port_code"), "port", "left").join(w, ["port_code", "year", "month"], "left")
+def weather_adjust(congestion: DataFrame, monthly: DataFrame, bridge: DataFrame, minor: float = 1.01, moderate: float = 1.03, severe: float = 1.08, on: Sequence[str] = ("year", "month")) -> DataFrame:
+    """congestion(port, year, month, congestion_index) by the weather of the port's code: multiplier 1 + closed + warning / 2, index at most 1.
+
+    on: the columns of time that both share; ("month",) takes the weather of a calendar month for all years.
+    """
+    w = monthly.select("port_code", *on, "pct_closed", "pct_warning")
+    df = congestion.join(bridge.select("port", "port_code"), "port", "left").join(w, ["port_code", *on], "left")
     times = 1 + F.coalesce("pct_closed", F.lit(0.0)) + 0.5 * F.coalesce("pct_warning", F.lit(0.0))
     return df.withColumns({"weather_multiplier": times, "ci_adjusted": F.least(F.lit(1.0), F.col("congestion_index") * times), "adjustment_type": bin_label(times, (minor, moderate, severe), ("none", "minor", "moderate", "severe"))})

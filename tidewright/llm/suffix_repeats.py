@@ -1,28 +1,31 @@
 """Removal of long repeated strings by a common-prefix interval tree over a sparse, enhanced suffix array.
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another. Suffixes are
-sampled so that no such string is missed: an anchor is a place whose 200-byte word has the least hash among the words of some
-window of `length` bytes. Equal windows have equal anchors, so all occurrences of a repeat meet at anchors of one word.
-
-1. Anchors of all texts (about one in 100 bytes): hash of the word, and hash of the word with up to length - 200 bytes on
-   either side, within the text. Words that occur once are dropped by an aggregate and a join.
-2. Anchors that share word and both sides are whole repeats: settled by a count. One of them stands for all from here on.
+sampled so that no such string is missed: the anchor of a window of `length` bytes is its word of `word` bytes with the least
+hash, the leftmost of equals. Equal windows have their anchors at the same place, so all occurrences of a repeated window meet
+at anchors of one word, and each window is looked at from one anchor only. The windows of an anchor follow each other; together
+they are its run, which begins l bytes before the word and ends r bytes behind it.
+
+1. Anchors of all texts (about one in 140 bytes): hash of the word and hash of the run. Words that occur once are dropped by an
+   aggregate and a join.
+2. Runs that occur more than once are whole repeats: settled by a count (the leaves of the tree whose strings are all of the
+   run). One of them stands for all from here on.
 3. What is left is sorted by word, and each word's anchors form a suffix array by what follows them, enhanced by common-prefix
    lengths. A stack scan gives its intervals (nodes of the common-prefix tree), and within a node a second scan over the
    reversed left sides gives the groups with a common left extension. A group whose members do not all lie in one child of
    the node and that is diverse to the left is a maximal repeat with all its occurrences, not only neighbouring ones; if it
    has at least `length` bytes, it covers all its members.
-4. Words with more than `most_group` different surroundings never meet in one task. They are split by what windows of
-   `length` bytes must share on the left and on the right, first into 2 and then into 8 classes; groups that have become small
-   are settled as in 3. In what is still crowded each window is hashed and counted by a shuffle, which is the cut of the
-   interval tree at depth `length`; an anchor then covers from its leftmost to its rightmost repeated window. So no group is
-   too large, and none is left out.
+4. Words with more than `most_group` different runs never meet in one task: each of their windows is hashed and counted by a
+   shuffle, which is the cut of the interval tree at depth `length`; an anchor then covers from its leftmost to its rightmost
+   repeated window. So no group is too large, and none is left out.
 5. Covered spans are joined to their texts, merged and cut out.
 
-The union of repeated windows around one anchor is one span, as all of them hold the anchor's word.
+The union of repeated windows of one anchor is one span, as all of them hold the anchor's word. Words, runs and windows of
+steps 2 and 4 are compared by two 64-bit hashes together (the word's and their own), not byte by byte.
 
 Cases: null and empty texts, and texts shorter than `length`, lose nothing; rows that repeat a doc_id are told apart by their
-text, equal rows are copies of each other and go; runs of one byte are repeats of themselves and go.
+text, equal rows are copies of each other and go; runs of one byte are repeats of themselves and go; a very long text is worked
+on alone, with some 60 bytes of memory for each of its bytes; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -32,16 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, written
+from .common import discard, give_back, map_batches, slices, written
 from .words import _BASE, _INVERSE, _VALUE, _pow, mix, text_bytes
 
 LENGTH = 400
-WORD = 200
-#: Classes of windows that crowded words are split into, one level after the other.
-SPLITS = (2, 8)
+WORD = 128
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -69,40 +70,41 @@ def _sliding(values: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndar
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, word: int = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: position, word hash, hash with both sides, and bytes on the left and on the right that belong to the sides."""
+    """Of one text: position, word hash and run hash of its anchors, and the bytes of the run on the left and on the right of the word."""
     n = len(data)
     if n < length:
         empty = np.zeros(0, np.int64)
         return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
     sums = _prefix(data)
     words = mix((sums[word:] - sums[:-word]) * _pow(_INVERSE, n + 1)[: n - word + 1])
-    width = length - word + 1
-    least = _sliding(words, width, np.minimum, 0xFFFFFFFFFFFFFFFF)
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    at = np.flatnonzero(words == _sliding(padded, width, np.maximum, 0))
-    left, right = np.minimum(length - word, at), np.minimum(length - word, n - word - at)
-    around = mix(_range(sums, at - left, at + word + right) + mix((left * 100_003 + right).astype(np.uint64)))
-    return at, words[at], around, left, right
+    # the least of the upper half of the hashes, the leftmost of equals
+    ranked = words >> np.uint64(32) << np.uint64(32) | np.arange(len(words), dtype=np.uint64)
+    least = (_sliding(ranked, length - word + 1, np.minimum, 0xFFFFFFFFFFFFFFFF) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    end = np.append(begin[1:], len(least)) - 1 + length
+    at = least[begin]
+    left, right = at - begin, end - at - word
+    run = mix(_range(sums, begin, end) + mix((left * 100_003 + right).astype(np.uint64)))
+    return at, words[at], run, left, right
 
 
 def find_anchors(docs: DataFrame, length: int, word: int) -> DataFrame:
-    """docs(doc_id, th, text) -> doc_id, th, at, word, around, l, r."""
+    """docs(doc_id, th, text) -> doc_id, th, place (position * 2^24 + bytes on the left * 2^12 + bytes on the right), word, run."""
+    assert length - word < 1 << 12
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, bounds = text_bytes(batch.column(2))
             found = [anchors(data[a:b], length, word) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            at, words, around, left, right = (np.concatenate([f[i] for f in found]) for i in range(5))
-            pick = pa.array(row)
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            at, words, runs, left, right = (np.concatenate([f[i] for f in found]) for i in range(5))
             return pa.record_batch(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)), pa.array(around.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))],
-                names=["doc_id", "th", "at", "word", "around", "l", "r"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(at << 24 | left << 12 | right), pa.array(words.view(np.int64)), pa.array(runs.view(np.int64))], names=["doc_id", "th", "place", "word", "run"]
             )
 
         return each
 
-    return map_batches(docs, make, "doc_id long, th long, at int, word long, around long, l int, r int", sized_by=2, limit=1 << 20)
+    return map_batches(docs, make, "doc_id long, th long, place long, word long, run long", sized_by=2, limit=1 << 20)
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -154,17 +156,17 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int, word: in
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, word: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group (group, word, around, left, right) -> the span before and behind each anchor that repeats of its group cover."""
+    """Rows sorted by word (word, run, left, right) -> the span before and behind each anchor that repeats of its word cover."""
     held: list[tuple] = []
 
     def settle(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         if len(rows) < 2:
             return []
         before, behind = [-1] * len(rows), [0] * len(rows)
-        for back, ahead, members in maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length, word):
+        for back, ahead, members in maximal_repeats([r[2][::-1] for r in rows], [r[3] for r in rows], length, word):
             for m in members:
                 before[m], behind[m] = max(before[m], back), max(behind[m], ahead)
-        return [(r[1], r[2], b, word + e) for r, b, e in zip(rows, before, behind) if b >= 0]
+        return [(r[0], r[1], b, word + e) for r, b, e in zip(rows, before, behind) if b >= 0]
 
     for batch in batches:
         out: list[tuple[int, int, int, int]] = []
@@ -175,33 +177,31 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, word: int) -> Iterat
             held.append(row)
         yield _spans(out)
     yield _spans(settle(held))
+    give_back()
 
 
 def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "around", "before", "behind"])
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "run", "before", "behind"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, word: int) -> Iterator[pa.RecordBatch]:
-    """A hash of each window of `length` bytes around an anchor, with the anchor's distance from its begin.
-
-    The distance counts: one window that is seen from two anchors of the same word is one occurrence.
-    """
+    """A hash of each window of an anchor's run, with the anchor's distance from its begin."""
     for whole in batches:
         for batch in slices(whole, 2, 1 << 17):
-            words, arounds, gone, hashes = [], [], [], []
-            for key, around, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            words, runs, gone, hashes = [], [], [], []
+            for key, run, left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 sums = _prefix(np.frombuffer(left + right, np.uint8))
-                begin = np.arange(max(0, len(left) + len(right) + word - length + 1))
-                begin = begin[begin <= len(left)]
+                begin = np.arange(len(left) + len(right) + word - length + 1)
                 o = len(left) - begin
                 # in periodic texts the sides may hash as the word does, so the parts are not combined alike
                 hashes.append(mix(_range(sums, begin, begin + length - word) + mix(np.uint64(key & 0xFFFFFFFFFFFFFFFF) ^ mix(o.astype(np.uint64) + np.uint64(1)))))
                 gone.append(o)
                 words.append(np.full(len(begin), key, np.int64))
-                arounds.append(np.full(len(begin), around, np.int64))
+                runs.append(np.full(len(begin), run, np.int64))
             if words:
-                yield pa.record_batch([pa.array(np.concatenate(words)), pa.array(np.concatenate(arounds)), pa.array(np.concatenate(gone).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=["word", "around", "o", "window"])
+                yield pa.record_batch([pa.array(np.concatenate(words)), pa.array(np.concatenate(runs)), pa.array(np.concatenate(gone).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=["word", "run", "o", "window"])
+    give_back()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,77 +221,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = end
                     run_end = max(run_end, end)
                 kept.append(text[at:])
-                rows.append((len(text), removed, runs, b"".join(kept)))
+                rows.append((removed, runs, len(text), b"".join(kept)))
             yield pa.record_batch(
                 [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                names=["doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", "kept"],
             )
+    give_back()
 
 
-def _class_keys(classes: int, length: int, word: int) -> Column:
-    """A key for each class of windows that fits into an anchor's surroundings.
-
-    Class c holds the windows that begin c to c + 1 steps of (length - word) / classes bytes before the word. All of them hold
-    the c steps on its left and the rest of the steps but one on its right, so two anchors with an equal window share a key.
-    """
-    step = -(-(length - word) // classes)
-    keys = []
-    for c in range(classes):
-        left, right = c * step, max(0, length - word - (c + 1) * step)
-        fits = (F.octet_length("left") >= left) & (F.octet_length("right") >= right)
-        keys.append(F.when(fits, F.xxhash64(F.lit(c), "word", F.substring(F.col("left"), F.octet_length("left") - left + 1, F.lit(left)), F.substring(F.col("right"), 1, right))))
-    return F.array_compact(F.array(*keys))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512, most_broadcast: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 1000) -> DataFrame:
     """doc_id, th, begin, end of covered spans of docs(doc_id, th, text); spans may overlap."""
-    all_anchors = written(find_anchors(docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text"), length, word), "anchors")
-    repeated = all_anchors.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
-    found = written(all_anchors.join(repeated, "word"), "repeated")
-    kinds = found.groupBy("word", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "l", "r")).alias("one"))
-    kinds = written(kinds.select("word", "around", "n", "one.*"), "kinds")
-    whole = found.join(kinds.where("n > 1").select("word", "around"), ["word", "around"])
-    whole = whole.select("doc_id", "th", (F.col("at") - F.col("l")).alias("begin"), (F.col("at") + F.col("r") + word).alias("end"))
-    # words with several surroundings, at least one of which stands alone
+    every = written(find_anchors(docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text"), length, word), "anchors")
+    repeated = every.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
+    found = written(every.join(repeated, "word", "left_semi"), "repeated")
+    discard(every)
+    kinds = written(found.groupBy("word", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one")).select("word", "run", "n", "one.*"), "kinds")
+    at, left, right = (F.expr(e) for e in ("shiftright(place, 24)", "shiftright(place, 12) & 4095", "place & 4095"))
+    whole = found.join(kinds.where("n > 1").select("word", "run"), ["word", "run"], "left_semi")
+    whole = written(whole.select("doc_id", "th", (at - left).alias("begin"), (at + right + word).alias("end")), "whole")
+    discard(found)
+
+    # words with several runs, at least one of which stands alone; their texts are read once
     open_words = kinds.groupBy("word").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("word", "m")
-    wanted = kinds.join(open_words, "word")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row = ["word", "around", "left", "right"]
-    schema = "word long, around long, before int, behind int"
-    piece = F.expr(f"transform(places, p -> struct(p.word as word, p.around as around, substring(bytes, p.at - p.l + 1, p.l) as left, substring(bytes, p.at + {word + 1}, p.r) as right))")
-
-    def parts(kinds: DataFrame, few: bool) -> DataFrame:
-        """The surroundings of anchors. The places go to the texts if they are few; else both meet by a shuffle that the last join uses again."""
-        places = kinds.groupBy("doc_id", "th").agg(F.collect_list(F.struct("word", "around", "at", "l", "r")).alias("places"))
-        d, p = docs.alias("d"), (F.broadcast(places) if few else places).alias("p")
-        found = d.join(p, F.expr("d.doc_id <=> p.doc_id and d.th = p.th")).select("places", F.col("d.text").cast("binary").alias("bytes"))
-        return found.select(F.explode(piece).alias("p")).select("p.*")
-
-    def settled(groups: DataFrame) -> DataFrame:
-        return groups.select("group", *row).repartition(n, "group").sortWithinPartitions("group").mapInArrow(lambda batches: _settle(batches, length, word), schema)
-
-    spans = settled(parts(wanted.where(F.col("m") <= most_group), False).withColumn("group", F.col("word")))
-    crowded = written(wanted.where(F.col("m") > most_group), "crowded")
-    crowded = written(parts(crowded, crowded.count() <= most_broadcast), "parts")
-    for classes in SPLITS:
-        keyed = crowded.withColumn("group", F.explode(_class_keys(classes, length, word)))
-        sizes = keyed.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = written(keyed.join(sizes, "group"), "classes")
-        spans = spans.union(settled(keyed.where(F.col("n") <= most_group)))
-        crowded = keyed.where(F.col("n") > most_group).select("word", "around").distinct().join(crowded, ["word", "around"])
-    large = crowded.mapInArrow(lambda batches: _windows(batches, length, word), "word long, around long, o int, window long")
-    often = large.groupBy("window").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a <> b").select("window")
-    covered = large.join(often, "window").groupBy("word", "around").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("behind"))
-    spans = spans.union(covered)
-    alone = spans.join(kinds.where("n = 1"), ["word", "around"]).select("doc_id", "th", (F.col("at") - F.col("before")).alias("begin"), (F.col("at") + F.col("behind")).alias("end"))
-    return whole.union(alone)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of docs(doc_id, text)."""
+    places = kinds.join(open_words, "word").groupBy("doc_id", "th").agg(F.collect_list(F.struct("word", "run", "m", at.alias("at"), left.alias("l"), right.alias("r"))).alias("places"))
+    d, p = docs.alias("d"), places.alias("p")
+    sides = d.join(p, F.expr("d.doc_id <=> p.doc_id and d.th = p.th")).select("places", F.col("d.text").cast("binary").alias("bytes"))
+    piece = f"transform(places, p -> struct(p.word, p.run, p.m, substring(bytes, p.at - p.l + 1, p.l) as left, substring(bytes, p.at + {word + 1}, p.r) as right))"
+    sides = written(sides.select(F.explode(F.expr(piece)).alias("p")).select("p.*"), "sides")
+    row = ["word", "run", "left", "right"]
+    small = sides.where(F.col("m") <= most_group).select(*row).repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _settle(batches, length, word), "word long, run long, before int, behind int")
+    windows = sides.where(F.col("m") > most_group).select(*row).mapInArrow(lambda batches: _windows(batches, length, word), "word long, run long, o int, window long")
+    often = windows.groupBy("word", "window").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("word", "window")
+    crowded = windows.join(often, ["word", "window"], "left_semi").groupBy("word", "run").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("behind"))
+    spans = small.union(crowded).join(kinds.where("n = 1"), ["word", "run"])
+    return whole.union(spans.select("doc_id", "th", (at - F.col("before")).alias("begin"), (at + F.col("behind")).alias("end")))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 1000) -> DataFrame:
+    """doc_id, n_removed, n_spans, n_bytes, kept_sha256 and kept (bytes) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     spans = repeated_spans(docs, length, word, most_group).select("doc_id", "th", F.expr("begin * 4294967296L + end").alias("s"))
-    spans = spans.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans"))
+    spans = written(spans.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")), "spans")
     d, s = docs.alias("d"), spans.alias("s")
     joined = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.th = s.th"), "left").select("d.doc_id", "d.text", "s.spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, n_bytes long, kept_sha256 string, kept binary")

@@ -13,11 +13,12 @@ _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 
 def _pow(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept for the next batch."""
+    """base^0 .. base^(n-1) modulo 2^64; the first two million are kept for the next batch."""
     have = _powers[base]
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
+        if len(have) <= 1 << 21:
+            _powers[base] = have
     return have[:n]
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import MAP_SIZES, PORT_FEATURES, SEASON_CUTS
 from .functions import exprs as x
 from .operators import decode, evaluate, features, forecast, marts, models, panel, stats, weather
 from .plans.declarations import BREAKS, CARGO, FOLDS, THRESHOLD, declarations, hourly_weather, table, weather_config
@@ -135,6 +136,17 @@ def _(s, d):
     return df.where(x.not_airport((F.col("n_name"), "=", "FRANCE"), (F.col("n_name"), "^", "uni"))).select("s_suppkey", "n_name")
 
 
+@query("b5_transport_mode", "SELECT l_orderkey, l_linenumber, l_linenumber = 1 AS by_sea FROM lineitem")
+def _(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", x.is_transport_mode(F.concat(F.lit(" "), "l_linenumber", F.lit(",00 "))).alias("by_sea"))
+
+
+@query("b24_season_strength", f"WITH {PANEL}, m AS (SELECT port, direction, month, avg(shipment_count) AS a FROM panel GROUP BY 1, 2, 3), f AS (SELECT port, direction, month, round(a / avg(a) OVER (PARTITION BY port, direction), 9) AS f FROM m) SELECT port, direction, month, least(1.0, greatest(0.0, (f - 0.1) / 2.9)) AS activity, CASE WHEN f < 0.9 THEN 'Low Season' WHEN f < 1.3 THEN 'Normal' ELSE 'High Season' END AS label FROM f", "activity")
+def _(s, d):
+    f = panel.seasonal_index(the_panel(s, d)).withColumn("f", F.round("factor_shipment_count", 9))
+    return f.select(*KEYS, "month", x.activity_index(F.col("f")).alias("activity"), x.bin_label(F.col("f"), *SEASON_CUTS).alias("label"))
+
+
 @query("b10_calendar", """SELECT o_orderkey, ['Summer', 'Autumn', 'Winter', 'Spring'][(m % 12) // 3 + 1] AS season, CAST((m - 1) // 3 + 1 AS DOUBLE) AS quarter, sin(2 * pi() * m / 12) AS month_sin, cos(2 * pi() * m / 12) AS month_cos,
     CAST((y * 12 + m - 1 + 5) // 12 AS INT) AS next_year, CAST((y * 12 + m - 1 + 5) % 12 + 1 AS INT) AS next_month, CAST(y * 100 + m AS INT) AS period, y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') AS label, CAST(make_date(y, m, 1) AS VARCHAR) AS month_start FROM (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders)""", "month_sin month_cos quarter")
 def _(s, d):
@@ -163,6 +175,16 @@ def _(s, d):
     return df.select("l_orderkey", "l_linenumber", "s_name", "supplier_nation", "c_name", "customer_nation", "p_name")
 
 
+@query("c2_export_decode", """SELECT l_orderkey, l_linenumber, s_name AS exporter, n_name AS country, r_name AS region, o_orderpriority AS cargo, l_returnflag AS clause FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey
+    LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE l_linestatus <> 'O'""")
+def _(s, d):
+    t = lambda n: table(s, d, n)
+    L = decode.Lookup
+    df = t("lineitem").where("l_linestatus <> 'O'").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_returnflag").alias("clause"))
+    df = decode.decode(df, [L(t("supplier"), "l_suppkey", "s_suppkey", {"s_name": "exporter"}), L(t("orders"), "l_orderkey", "o_orderkey", {"o_custkey": "ck", "o_orderpriority": "cargo"}), L(t("customer"), "ck", "c_custkey", {"c_nationkey": "cn"}), L(t("nation"), "cn", "n_nationkey", {"n_name": "country", "n_regionkey": "rk"}), L(t("region"), "rk", "r_regionkey", {"r_name": "region"})])
+    return df.select("l_orderkey", "l_linenumber", "exporter", "country", "region", "cargo", "clause")
+
+
 @query("c5_prefix_fallback", """WITH dim AS (SELECT CASE WHEN p_type LIKE 'S%' THEN left(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 4) ELSE lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS code, p_name FROM part), ex AS (SELECT code, min(p_name) AS n FROM dim GROUP BY 1), pre AS (SELECT left(code, 4) AS p, arg_min(p_name, (code, p_name)) AS n FROM dim GROUP BY 1)
     SELECT l_orderkey, l_linenumber, coalesce(ex.n, pre.n) AS description FROM lineitem LEFT JOIN ex ON ex.code = lpad(CAST(l_partkey AS VARCHAR), 6, '0') LEFT JOIN pre ON pre.p = left(lpad(CAST(l_partkey AS VARCHAR), 6, '0'), 4)""")
 def _(s, d):
@@ -319,13 +341,36 @@ def _(s, d):
 
 # ---- E and H: features, index, models, forecasts -------------------------------------------------------------------
 
-_FEATURE_COLUMNS = "lag_1 lag_2 lag_3 lag_12 lag_12_clean lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean lag_12_is_break".split()
-_FEATURE_DOUBLES = "lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean"
+_FEATURE_SQL = {
+    **{c: c for c in "lag_1 lag_2 lag_3 lag_12 lag_12_clean lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean lag_12_is_break".split()},
+    "season": "['Summer', 'Autumn', 'Winter', 'Spring'][(month % 12) // 3 + 1]", "quarter": "CAST((month - 1) // 3 + 1 AS DOUBLE)", "year_index": "CAST(year - 1995 AS INT)",
+    "month_sin": "sin(2 * pi() * month / 12)", "month_cos": "cos(2 * pi() * month / 12)", "is_shock": "CAST(year = 1998 AS INT)", "is_rebound": "CAST(year = 1999 AS INT)", "is_aftershock": "CAST(year = 9999 AS INT)",
+    "weight_per_shipment_mt": "coalesce(total_weight_mt, 0) / shipment_count", "avg_quantity_per_shipment": "total_quantity / shipment_count",
+}
+_PORT_SQL = {**_FEATURE_SQL, **{f"pct_{m}": f"cnt_{m} / shipment_count::DOUBLE" for m in ("general", "bulk", "refrigerated", "container")}}
+_FEATURE_DOUBLES = "lag_value_12 lag_weight_12 rolling_3_mean rolling_12_mean rolling_value_12_mean yoy_growth yoy_value_growth yoy_growth_clean quarter month_sin month_cos weight_per_shipment_mt avg_quantity_per_shipment"
+_PORT_DOUBLES = f"{_FEATURE_DOUBLES} pct_general pct_bulk pct_refrigerated pct_container"
+
 
+@query("h1_features", f"WITH {FEATURES} SELECT {_PK}, {', '.join(f'{e} AS {c}' for c, e in _PORT_SQL.items())} FROM feats", _PORT_DOUBLES)
+def _(s, d):
+    return the_features(s, d).select(*KEYS, "year", "month", *_PORT_SQL)
+
+
+#: The panel of a commodity at a port, and its features by the same rules as a port's.
+COMMODITY = DECL + f""", cpanel AS (SELECT hs2, {_PK}, count(*) AS shipment_count, coalesce(sum(value_usd), 0) AS total_value_usd, coalesce(sum(weight_kg) / 1000, 0) AS total_weight_mt, coalesce(sum(quantity), 0) AS total_quantity,
+    arg_min(hs6, (-n6, hs6)) FILTER (hs6 IS NOT NULL) AS dominant_description FROM (SELECT *, count(*) OVER (PARTITION BY hs2, {_PK}, hs6) AS n6 FROM decl) GROUP BY hs2, {_PK})"""
+COMMODITY_FEATURES = COMMODITY + FEATURES[len(PANEL):].replace("FROM panel", "FROM cpanel").replace("PARTITION BY port, direction", "PARTITION BY hs2, port, direction")
+CK = ["hs2", *KEYS]
+
+
+def the_commodities(s, d) -> DataFrame:
+    return panel.commodity_panel(declarations(s, d))
 
-@query("h1_features", f"WITH {FEATURES} SELECT {_PK}, {', '.join(_FEATURE_COLUMNS)} FROM feats", _FEATURE_DOUBLES)
+
+@query("h2_commodity_features", f"WITH {COMMODITY_FEATURES} SELECT hs2, {_PK}, total_value_usd / shipment_count AS avg_value_per_shipment_usd, {', '.join(f'{e} AS {c}' for c, e in _FEATURE_SQL.items())} FROM feats", f"{_FEATURE_DOUBLES} avg_value_per_shipment_usd")
 def _(s, d):
-    return the_features(s, d).select(*KEYS, "year", "month", *_FEATURE_COLUMNS)
+    return features.build_features(the_commodities(s, d), CK, BREAKS, mix=()).select(*CK, "year", "month", "avg_value_per_shipment_usd", *_FEATURE_SQL)
 
 
 @query("h5_trend_clean_lag", f"""WITH {FEATURES}, g AS (SELECT *, avg(CASE WHEN year < 1998 THEN shipment_count END) OVER (PARTITION BY port, direction, month) AS base, coalesce(median(CASE WHEN year NOT IN (1998, 1999) AND year - 1 NOT IN (1998, 1999) THEN yoy_growth END) OVER (PARTITION BY port, direction), 0.03) AS g FROM feats)
@@ -452,6 +497,54 @@ def _(s, d):
     return evaluate.winner(found.join(volumes, KEYS), 2001)
 
 
+_BOARD = "SELECT model, round(sum(mape * avg_volume) FILTER (mape IS NOT NULL) / sum(avg_volume) FILTER (mape IS NOT NULL) + 1e-9, 2) AS wmape, round(sum(mae * avg_volume) FILTER (mae IS NOT NULL) / sum(avg_volume) FILTER (mae IS NOT NULL) + 1e-9, 0) AS wmae, round(sum(r2 * avg_volume) FILTER (r2 IS NOT NULL) / sum(avg_volume) FILTER (r2 IS NOT NULL) + 1e-9, 3) AS wr2, count(DISTINCT (port, direction)) AS n_series FROM scores JOIN vol USING (port, direction)"
+
+
+@query("d28_leaderboard", f"WITH {SCORES} {_BOARD} GROUP BY 1", "wmape wmae wr2")
+def _(s, d):
+    found, volumes, _sel = the_scores(s, d)
+    return stats.leaderboard(found.join(volumes, KEYS))
+
+
+@query("d28_leaderboard_fold", f"WITH {SCORES} {_BOARD} WHERE fold_year = 2001 GROUP BY 1", "wmape wmae wr2")
+def _(s, d):
+    found, volumes, _sel = the_scores(s, d)
+    return stats.leaderboard(found.join(volumes, KEYS), 2001)
+
+
+@query("h27_best_model", f"WITH {SCORES} SELECT port, direction, best_model, best_cv_mape FROM best", "best_cv_mape")
+def _(s, d):
+    return evaluate.best_model(the_scores(s, d)[0])
+
+
+@query("h28_strategy_gain", f"WITH {SCORES}, g AS (SELECT avg_volume, a.mape AS sm, b.mape AS bm FROM sel JOIN scores a USING (port, direction) JOIN scores b USING (port, direction) WHERE a.model = selected_model AND b.model = 'naive' AND a.fold_year = 2001 AND b.fold_year = 2001), t AS (SELECT sum(bm * avg_volume) FILTER (bm IS NOT NULL) / sum(avg_volume) FILTER (bm IS NOT NULL) AS baseline_wmape, sum(sm * avg_volume) FILTER (sm IS NOT NULL) / sum(avg_volume) FILTER (sm IS NOT NULL) AS hybrid_wmape, count(*) FILTER (bm - sm > 0) AS n_improved, count(*) AS n_series, median(bm - sm) AS median_gain FROM g) SELECT *, baseline_wmape - hybrid_wmape AS gain_pp FROM t", "baseline_wmape hybrid_wmape median_gain gain_pp")
+def _(s, d):
+    found, _v, sel = the_scores(s, d)
+    return evaluate.strategy_gain(found, sel, 2001)
+
+
+@query("c19_default_model", f"WITH {SCORES} SELECT p.port, p.direction, coalesce(CASE WHEN avg_volume < 15 THEN selected_model END, 'naive') AS selected_model FROM (SELECT DISTINCT port, direction FROM panel) p LEFT JOIN sel USING (port, direction)")
+def _(s, d):
+    small = the_scores(s, d)[2].where(F.col("avg_volume") < THRESHOLD)
+    return evaluate.with_default(the_panel(s, d).select(*KEYS).distinct(), small, KEYS, "selected_model", "naive")
+
+
+@query("f4_both_ends", f"WITH {SCORES}, r AS (SELECT port, direction, mape, row_number() OVER (ORDER BY round(mape, 9) DESC, port, direction) AS a, row_number() OVER (ORDER BY round(mape, 9), port, direction) AS b FROM scores WHERE model = 'naive' AND fold_year = 2001 AND mape IS NOT NULL) SELECT port, direction, mape, 'largest' AS side FROM r WHERE a <= 8 UNION ALL SELECT port, direction, mape, 'smallest' FROM r WHERE b <= 8", "mape")
+def _(s, d):
+    rows = the_scores(s, d)[0].where("model = 'naive' and fold_year = 2001").select(*KEYS, F.round("mape", 9).alias("mape"))
+    return marts.both_ends(rows, "mape", 8, *KEYS)
+
+
+_FEATURE_LIST = tuple(c for c in PORT_FEATURES)
+_PAIRS = ", ".join(f"{{'a': {i}, 'b': {j}, 'r': corr(x{i}, x{j})}}" for j in range(len(_FEATURE_LIST)) for i in range(j))
+
+
+@query("h11_select_features", f"WITH {FEATURES}, named AS (SELECT year, {', '.join(f'{ {**{c: c for c in PORT_FEATURES}, **_PORT_SQL}[c]} AS n_{c}' for c in _FEATURE_LIST)} FROM feats), x AS (SELECT {', '.join(f'coalesce(n_{c}, 0)::DOUBLE AS x{i}' for i, c in enumerate(_FEATURE_LIST))} FROM named WHERE year <= 1999), pairs AS (SELECT unnest([{_PAIRS}]) AS p FROM x), dropped AS (SELECT DISTINCT p.b AS pos FROM pairs WHERE NOT isnan(p.r) AND abs(p.r) > 0.95) SELECT CAST(pos AS INT) AS pos, feature FROM (VALUES {', '.join(f'({i}, {chr(39)}{c}{chr(39)})' for i, c in enumerate(_FEATURE_LIST))}) f(pos, feature) WHERE pos NOT IN (SELECT pos FROM dropped)")
+def _(s, d):
+    kept = stats.select_features(the_features(s, d).where("year <= 1999"), _FEATURE_LIST)
+    return s.createDataFrame([(i, c) for i, c in enumerate(_FEATURE_LIST) if c in kept], "pos int, feature string")
+
+
 PARAMS = FEATURES + """, params AS (SELECT port, direction, max(year * 100 + month) // 100 AS ly, max(year * 100 + month) % 100 AS lm, avg(shipment_count) AS a, avg(total_value_usd) AS b, avg(yoy_growth) AS g FROM feats GROUP BY 1, 2 HAVING count(*) >= 24),
     sm AS (SELECT port, direction, month, avg(shipment_count) AS a, avg(total_value_usd) AS b FROM panel GROUP BY 1, 2, 3), si AS (SELECT port, direction, month, a / avg(a) OVER w AS fa, b / avg(b) OVER w AS fb FROM sm WINDOW w AS (PARTITION BY port, direction)),
     grid AS (SELECT params.*, CAST(k AS INT) AS step, CAST((ly * 12 + lm - 1 + k) // 12 AS INT) AS year, CAST((ly * 12 + lm - 1 + k) % 12 + 1 AS INT) AS month, least(0.4, greatest(-0.3, coalesce(nullif(g, 0), 0.025))) AS growth FROM params, range(1, 13) r(k)),
@@ -507,6 +600,82 @@ def _(s, d):
     return forecast.annual_growth(the_panel(s, d), the_recursion(s, d), 2000)
 
 
+@query("h34_forecast_all", f"WITH {RECURSE}{PARAMS[len(FEATURES):]}, every AS (SELECT 'naive' AS model, port, direction, prediction FROM rec UNION ALL SELECT 'trend', port, direction, pred_shipment_count FROM fc) SELECT model, sum(prediction) FILTER (direction = 'import') AS import, sum(prediction) FILTER (direction = 'export') AS export, coalesce(sum(prediction) FILTER (direction = 'import'), 0) + coalesce(sum(prediction) FILTER (direction = 'export'), 0) AS total FROM every GROUP BY 1", "import export total")
+def _(s, d):
+    every = forecast.forecast_all({"naive": the_recursion(s, d), "trend": the_forecast(s, d).withColumnRenamed("pred_shipment_count", "prediction")})
+    return forecast.totals_by_model(every)
+
+
+_CM = ("total_value_usd", "total_weight_mt", "shipment_count")
+COMMODITY_FORECAST = COMMODITY + f""", lagged AS (SELECT *, {', '.join(f'lag({m}, 12) OVER w AS b_{m}' for m in _CM)}, lag(year, 12) OVER w AS there FROM cpanel WINDOW w AS (PARTITION BY hs2, port, direction ORDER BY year, month)),
+    labels AS (SELECT hs2, port, direction, arg_min(dominant_description, (-n, dominant_description)) AS dominant_description FROM (SELECT hs2, port, direction, dominant_description, count(*) AS n FROM lagged WHERE there IS NOT NULL AND dominant_description IS NOT NULL GROUP BY ALL) GROUP BY 1, 2, 3),
+    cparams AS (SELECT hs2, port, direction, max(year * 100 + month) // 100 AS ly, max(year * 100 + month) % 100 AS lm, count(there) AS n_obs, {', '.join(f'avg({m}) FILTER (there IS NOT NULL) AS a_{m}, avg({m} / b_{m}::DOUBLE - 1) FILTER (b_{m} > 0) AS g_{m}' for m in _CM)} FROM lagged GROUP BY 1, 2, 3 HAVING count(there) >= 48),
+    cm AS (SELECT hs2, port, direction, month, avg(total_value_usd) AS a, avg(total_weight_mt) AS b FROM cpanel GROUP BY 1, 2, 3, 4), cs AS (SELECT hs2, port, direction, month, a / nullif(avg(a) OVER w, 0) AS fa, b / nullif(avg(b) OVER w, 0) AS fb FROM cm WINDOW w AS (PARTITION BY hs2, port, direction)),
+    cgrid AS (SELECT p.*, k, CAST((ly * 12 + lm - 1 + k) // 12 AS INT) AS year, CAST((ly * 12 + lm - 1 + k) % 12 + 1 AS INT) AS month FROM cparams p, range(1, 13) r(k)),
+    cf AS (SELECT g.*, least(3.0, greatest(0.1, coalesce(fa, 1.0))) AS sv, least(3.0, greatest(0.1, coalesce(fb, 1.0))) AS sw FROM cgrid g LEFT JOIN cs USING (hs2, port, direction, month)),
+    cfc AS (SELECT cf.hs2, cf.port, cf.direction, year, month, ['Summer', 'Autumn', 'Winter', 'Spring'][(month % 12) // 3 + 1] AS season, {', '.join(f'a_{m} * {f} * pow(1 + least(0.4, greatest(-0.3, coalesce(nullif(g_{m}, 0), 0.025))), k / 12.0) AS x_{m}' for m, f in zip(_CM, ('sv', 'sw', 'sv')))}, sv, dominant_description, n_obs FROM cf LEFT JOIN labels USING (hs2, port, direction)),
+    cout AS (SELECT hs2, port, direction, year, month, season, round(x_total_value_usd, 2) AS pred_value_usd, round(x_total_weight_mt, 2) AS pred_weight_mt, CAST(greatest(1, round(x_shipment_count)) AS INT) AS pred_shipment_count, round(least(1.0, greatest(0.0, (sv - 0.1) / 2.9)), 4) AS season_activity_index,
+        CASE WHEN sv < 0.9 THEN 'Low Season' WHEN sv < 1.3 THEN 'Normal' ELSE 'High Season' END AS season_label, dominant_description, n_obs AS historical_months FROM cfc)"""
+
+
+def the_commodity_forecast(s, d) -> DataFrame:
+    p = the_commodities(s, d)
+    return forecast.commodity_forecast(panel.series_params(p, _CM), panel.seasonal_index(p, CK, _CM[:2]))
+
+
+@query("h8_commodity_forecast", f"WITH {COMMODITY_FORECAST} SELECT * REPLACE (round(pred_value_usd, 0) AS pred_value_usd, round(pred_weight_mt, 1) AS pred_weight_mt) FROM cout", "season_activity_index pred_value_usd pred_weight_mt")
+def _(s, d):
+    return the_commodity_forecast(s, d).withColumns({"pred_value_usd": F.round("pred_value_usd", 0), "pred_weight_mt": F.round("pred_weight_mt", 1)})
+
+
+@query("h31_active_commodities", f"WITH {COMMODITY_FORECAST}, act AS (SELECT DISTINCT hs2, port, direction FROM cpanel WHERE year >= 2001), ld AS (SELECT hs2, arg_max(dominant_description, (year, month, dominant_description)) AS latest FROM cpanel GROUP BY 1) SELECT hs2, port, direction, year, month, pred_shipment_count, latest AS description FROM cout SEMI JOIN act USING (hs2, port, direction) LEFT JOIN ld USING (hs2)")
+def _(s, d):
+    p = the_commodities(s, d)
+    found = the_commodity_forecast(s, d).drop("dominant_description").join(forecast.active_series(p, 2001), CK, "left_semi")
+    return evaluate.with_descriptions(found, p).select(*CK, "year", "month", "pred_shipment_count", F.col("dominant_description").alias("description"))
+
+
+@query("d49_top_commodities", f"WITH {COMMODITY_FORECAST}, t AS (SELECT port, hs2, sum(pred_shipment_count) AS total FROM cout GROUP BY 1, 2) SELECT port, hs2, CAST(total AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY port ORDER BY total DESC, hs2) AS INT) AS rank FROM t QUALIFY rank <= 8")
+def _(s, d):
+    return marts.top_commodities(the_commodity_forecast(s, d))
+
+
+@query("f2_by_computed", f"WITH {COMMODITY_FORECAST} SELECT hs2, port, direction, n_obs, a_total_value_usd AS avg_total_value_usd FROM cparams ORDER BY round(a_total_value_usd * n_obs, 2) DESC, hs2, port, direction LIMIT 25", "avg_total_value_usd", 2)
+def _(s, d):
+    params = panel.series_params(the_commodities(s, d), _CM)
+    return marts.top_rows(params, F.round(F.col("avg_total_value_usd") * F.col("n_obs"), 2), 25, *CK).select(*CK, "n_obs", "avg_total_value_usd")
+
+
+@query("f6_first_in_rank", f"WITH {PANEL} SELECT port, year, month, shipment_count, CAST(row_number() OVER (PARTITION BY port ORDER BY shipment_count DESC, year, month, direction) AS INT) AS rank FROM panel QUALIFY rank <= 10")
+def _(s, d):
+    return marts.first_in_rank(the_panel(s, d), ["port"], "shipment_count", 10, "year", "month", "direction").select("port", "year", "month", "shipment_count", "rank")
+
+
+@query("g6_year_sets", "SELECT CAST(year(l_shipdate) AS INT) AS year FROM lineitem EXCEPT SELECT * FROM (VALUES (1998), (1999)) b(year) INTERSECT SELECT CAST(year(o_orderdate) AS INT) FROM orders")
+def _(s, d):
+    shipped = table(s, d, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
+    ordered = table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    breaks = shipped.where(F.col("year").isin(*BREAKS.years)).intersect(ordered)
+    return shipped.exceptAll(breaks)
+
+
+@query("h10_single_series", f"WITH {PANEL} SELECT year, month, shipment_count FROM panel WHERE port = 'CHINA' AND direction = 'import' OR port = 'NATION_3' AND direction = 'import'")
+def _(s, d):
+    return panel.single_series(the_panel(s, d).where("port in ('CHINA', 'NATION_3')"), direction="import").select("year", "month", "shipment_count")
+
+
+_RIDGE = ("lag_12_clean", "rolling_12_mean")
+
+
+@query("j5_per_series_ridge", f"""WITH {WALK}, g AS (SELECT port, direction, fold_year, count(*)::DOUBLE AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12 FROM (SELECT port, direction, fold_year, is_test, coalesce(lag_12_clean, 0)::DOUBLE AS x1, coalesce(rolling_12_mean, 0) AS x2, shipment_count::DOUBLE AS y FROM wf) WHERE NOT is_test GROUP BY 1, 2, 3),
+    z AS (SELECT *, (n + 1.0) * (n + 1.0) - (n * c12 / (s1 * s2)) ** 2 AS det, n * c1 / s1 AS b1, n * c2 / s2 AS b2, n * c12 / (s1 * s2) AS a12 FROM g WHERE s1 > 0 AND s2 > 0),
+    w AS (SELECT *, ((n + 1.0) * b1 - a12 * b2) / det / s1 AS k1, ((n + 1.0) * b2 - a12 * b1) / det / s2 AS k2 FROM z)
+    SELECT port, direction, fold_year, year, month, greatest(1.0, my + k1 * (coalesce(lag_12_clean, 0) - m1) + k2 * (coalesce(rolling_12_mean, 0) - m2)) AS prediction FROM wf JOIN w USING (port, direction, fold_year) WHERE is_test""", "prediction", 3)
+def _(s, d):
+    folds = evaluate.walk_forward(the_features(s, d), FOLDS)
+    return models.SeriesRidge(_RIDGE, 1.0, (*KEYS, "fold_year")).fit(folds.where("not is_test")).transform(folds.where("is_test")).select(*KEYS, "fold_year", "year", "month", "prediction")
+
+
 @query("h30_recursive_linear", f"""WITH RECURSIVE {PANEL}, h AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, max(year * 100 + month) AS lp FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
     r AS (SELECT port, direction, lp, v[-3:] AS v, 0 AS i FROM h UNION ALL SELECT port, direction, lp, list_append(v, greatest(1.0, 1.0 + 0.5 * v[-1] + 0.3 * v[-2] + 0.1 * v[-3])), i + 1 FROM r WHERE i < 12)
     SELECT port, direction, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) // 12 AS INT) AS year, CAST(((lp // 100) * 12 + lp % 100 - 1 + i) % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM r WHERE i > 0""", "prediction", 7)
@@ -662,6 +831,17 @@ def _(s, d):
     return marts.recommend_port(the_compare(s, d))
 
 
+@query("k12_commodity_month", f"WITH {COMMODITY_FORECAST}, {_ADJ[len(DECL) + 2:]}, im AS (SELECT port, month, avg(congestion_index) AS ci_raw, avg(ci_adjusted) AS ci_adjusted FROM adj2 GROUP BY 1, 2), ck AS (SELECT DISTINCT hs2, port, direction FROM cout) SELECT ck.hs2, ck.port, ck.direction, CAST(k AS INT) AS month, CAST(coalesce(f.v, 0) AS BIGINT) AS forecast, ci_raw, ci_adjusted FROM ck CROSS JOIN range(1, 13) r(k) LEFT JOIN (SELECT hs2, port, direction, month, sum(pred_shipment_count) AS v FROM cout GROUP BY 1, 2, 3, 4) f ON f.hs2 = ck.hs2 AND f.port = ck.port AND f.direction = ck.direction AND f.month = k LEFT JOIN im ON im.port = ck.port AND im.month = k", "ci_raw ci_adjusted")
+def _(s, d):
+    index = the_adjusted(s, d).groupBy("port", "month").agg(F.avg("congestion_index").alias("ci_raw"), F.avg("ci_adjusted").alias("ci_adjusted"))
+    return marts.mart_commodity_month(the_commodity_forecast(s, d), index).withColumn("forecast", F.col("forecast").cast("long"))
+
+
+@query("k14_map_sizes", f"WITH {_OVER} SELECT port, CAST(CASE WHEN ci_adjusted > 0.3 THEN 10 WHEN ci_adjusted > 0.15 THEN 7 ELSE 5 END AS INT) AS size_by_index, CAST(CASE WHEN closed_pct >= 8 THEN 10 WHEN closed_pct >= 3 THEN 7 ELSE 5 END AS INT) AS size_by_weather FROM ov WHERE port <> 'KENYA'")
+def _(s, d):
+    return the_overview(s, d).select("port", x.size_class(F.col("ci_adjusted"), MAP_SIZES["index"]).alias("size_by_index"), x.size_class(F.col("closed_pct"), MAP_SIZES["closed_pct"], True).alias("size_by_weather"))
+
+
 @query("d40_peak_month", f"WITH {PANEL}, m AS (SELECT port, month, sum(shipment_count) AS v FROM panel GROUP BY 1, 2) SELECT port, arg_max(month, (v, -month)) AS peak_month, arg_min(month, (v, month)) AS low_month FROM m GROUP BY 1")
 def _(s, d):
     return marts.peak_month(the_panel(s, d).groupBy("port", "month").agg(F.sum("shipment_count").alias("v")), ["port"], "v")
@@ -738,6 +918,26 @@ def _(s, d):
     return pages.extract_rows(table(s, d, "pages"), '<a href="[^"]*">[^<]*</a>', {"href": 'href="([^"]*)"', "label": ">([^<]*)<"}).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("k5_extract_fields", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages")
+@query("k5_first_fields", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages")
 def _(s, d):
     return pages.first_fields(table(s, d, "pages"), {"title": "<title>([^<]*)</title>", "lang": '<html lang="([^"]*)"', "heading": "<h1>([^<]*)</h1>"})
+
+
+#: Tags of a page as labels of fields: the first field that fits takes the tag, the last text of a field is kept.
+_TAGS = {"title": ("title",), "heading": ("h1", "h2"), "link": ("a",), "text": ("p", "b")}
+_TAG_PAIR = "<(title|h1|h2|a|b|p)(?: [^>]*)?>([^<]*)<"
+_TAG_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(l, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{n}'" for n, words in _TAGS.items()) + " END"
+
+
+@query("k5_extract_fields", f"WITH m AS (SELECT page_id, regexp_extract_all(html, '{_TAG_PAIR}', 1) AS ls, regexp_extract_all(html, '{_TAG_PAIR}', 2) AS vs FROM pages), e AS (SELECT page_id, unnest(ls) AS l, trim(unnest(vs)) AS v, generate_subscripts(ls, 1) AS i FROM m), f AS (SELECT page_id, {_TAG_CASE} AS field, v, i FROM e WHERE v NOT IN ('', '-')) SELECT page_id, {', '.join(f'max_by(v, i) FILTER (field = {chr(39)}{n}{chr(39)}) AS {chr(34)}{n}{chr(34)}' for n in _TAGS)} FROM (SELECT page_id FROM pages) LEFT JOIN f USING (page_id) GROUP BY 1")
+def _(s, d):
+    return pages.extract_fields(table(s, d, "pages"), _TAG_PAIR, _TAGS)
+
+
+@query("k4_page_counts", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM pages")
+def _(s, d):
+    t = table(s, d, "pages")
+    count = lambda row, name: pages.extract_rows(t, row, {}).groupBy("page_id").agg(F.count("*").alias(name))
+    zero = F.lit(0).cast("long")
+    both = t.select("page_id").join(count("<p>", "n_paragraphs"), "page_id", "left").join(count("<a href=", "n_links"), "page_id", "left")
+    return both.select("page_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_links", zero).alias("n_links"))

@@ -38,8 +38,9 @@ class CongestionWeights:
 CONGESTION_CUTS = ((0.25, 0.50, 0.75), ("Low", "Moderate", "High", "Critical"))
 MAP_CUTS = ((0.15, 0.25, 0.40), ("Low", "Moderate", "High", "Critical"))
 CLOSURE_CUTS = ((1.0, 3.0, 8.0), ("Low", "Moderate", "High", "Critical"))
-SEASON_CUTS = ((0.90, 1.30), ("Low season", "Normal", "Peak season"))
-SEASONS = ("Summer", "Autumn", "Winter", "Spring")
+SEASON_CUTS = ((0.90, 1.30), ("Low Season", "Normal", "High Season"))
+#: Cuts of map sizes by index and by percent of hours closed.
+MAP_SIZES = {"index": (0.15, 0.3), "closed_pct": (3.0, 8.0)}
 
 #: The features that learners may use at port level; norms over the whole history are left out, they see the future.
 PORT_FEATURES = (
@@ -50,3 +51,29 @@ PORT_FEATURES = (
 )
 #: The same at commodity level, which has no diversity and no cargo mix.
 COMMODITY_FEATURES = tuple(c for c in PORT_FEATURES if not c.endswith("_diversity") and not c.startswith("pct_"))
+
+
+def clean_years(first: int, last: int, breaks: Breaks = Breaks(), incomplete: tuple[int, ...] = ()) -> list[int]:
+    """All years but the breaks and those with months missing."""
+    return sorted(set(range(first, last + 1)) - set(breaks.years) - set(incomplete))
+
+
+#: Fields of a vessel page and the words, any of which in a label names the field; the first field that fits takes the label.
+VESSEL_FIELDS: dict[str, tuple[str, ...]] = {
+    "destination": ("destination", "dest", "destino"),
+    "eta": ("eta", "estimated arrival"),
+    "status": ("status", "navigation status", "nav status"),
+    "speed": ("speed", "velocity"),
+    "course": ("course", "heading", "direction"),
+    "position": ("position", "coordinates", "lat/lon"),
+    "flag": ("flag", "country"),
+    "vessel_type": ("type", "ship type", "vessel type"),
+    "mmsi": ("mmsi",),
+    "callsign": ("call sign", "callsign"),
+    "length": ("length", "loa"),
+    "beam": ("beam", "width"),
+    "draught": ("draught", "draft"),
+    "dwt": ("dwt", "deadweight"),
+    "gt": ("gt", "gross tonnage"),
+    "built": ("built", "year built", "year"),
+}

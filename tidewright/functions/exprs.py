@@ -129,3 +129,25 @@ def nan_to_null(c: Column) -> Column:
 
 def half_even(c: Column) -> Column:
     return F.rint(c)
+
+
+def is_transport_mode(c: Column, code: str = "1") -> Column:
+    """Whether the part of a dirty code text before its comma is the code of a mode of transport ('1': by sea)."""
+    return F.split_part(F.trim(c), F.lit(","), F.lit(1)) == code
+
+
+def activity_index(factor: Column) -> Column:
+    """Place of a seasonal factor between 0.1 and 3, from 0 to 1."""
+    return clamp((factor - 0.1) / 2.9, 0.0, 1.0)
+
+
+def size_class(value: Column, cuts: tuple[float, float], inclusive: bool = False) -> Column:
+    """Size of a port's mark on the map: 10 above the higher cut, 7 above the lower, else 5; null is small."""
+    low, high = cuts
+    above = (lambda cut: value >= cut) if inclusive else (lambda cut: value > cut)
+    return F.when(above(high), 10).when(above(low), 7).otherwise(5)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Correlation of two columns, null where one of them does not vary."""
+    return safe_div(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -122,3 +122,19 @@ def winner(scores: DataFrame, fold: int, weight: str = "avg_volume") -> DataFram
 
 def with_descriptions(df: DataFrame, panel: DataFrame, key: str = "hs2", label: str = "dominant_description") -> DataFrame:
     return df.join(latest_per_key(panel, [key], label), key, "left")
+
+
+def with_default(df: DataFrame, lookup: DataFrame, keys: Sequence[str], column: str, default: str) -> DataFrame:
+    """df with a column of the lookup, and the default where its key is missing there."""
+    found = lookup.groupBy(*keys).agg(F.min(column).alias("_v"))
+    return df.join(found, list(keys), "left").withColumn(column, F.coalesce("_v", F.lit(default))).drop("_v")
+
+
+def strategy_gain(scores: DataFrame, selection: DataFrame, fold: int, baseline: str = "naive", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
+    """One row for one fold: volume-weighted error of baseline and hybrid, the gain in points, how many series improved and the median gain."""
+    rows = improvement(scores, selection, fold, baseline, keys).join(selection.select(*keys, "avg_volume"), list(keys))
+    w = F.col("avg_volume")
+    sums = rows.agg(
+        wavg(F.col("baseline_mape"), w).alias("baseline_wmape"), wavg(F.col("selected_mape"), w).alias("hybrid_wmape"), F.count_if(F.col("gain") > 0).alias("n_improved"), F.count("*").alias("n_series"), F.median("gain").alias("median_gain"),
+    )
+    return sums.withColumn("gain_pp", F.col("baseline_wmape") - F.col("hybrid_wmape"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_months, bin_label, clamp, compound, half_even
+from ..config import SEASON_CUTS
+from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, half_even, season
 
 
 def forecast_grid(params: DataFrame, horizon: int = 12) -> DataFrame:
@@ -27,8 +29,40 @@ def seasonal_trend_forecast(params: DataFrame, seasonal: DataFrame, measures: di
     return df.select(*keys, "year", "month", "step", g.alias("growth"), *[compound(F.col(f"avg_{m}") * F.coalesce(F.col(f), F.lit(1.0)), g, F.col("step")).alias(f"pred_{m}") for m, f in measures.items()])
 
 
-def labelled(forecast: DataFrame, index: Column, cuts: Sequence[float], labels: Sequence[str]) -> DataFrame:
-    return forecast.withColumn("congestion_label", bin_label(index, cuts, labels))
+def commodity_forecast(params: DataFrame, seasonal: DataFrame, keys: Sequence[str] = ("hs2", "port", "direction"), horizon: int = 12, default_growth: float = 0.025, bounds: tuple[float, float] = (-0.30, 0.40)) -> DataFrame:
+    """Closed-form forecast of value, weight and count of each commodity at a port, with the season's activity and label.
+
+    params: series_params() of total_value_usd, total_weight_mt and shipment_count; seasonal: keys, month, factor_total_value_usd
+    and factor_total_weight_mt. Factors are held between 0.1 and 3 (1 if unknown); counts follow the value's season, at least 1.
+    """
+    df = forecast_grid(params, horizon).join(seasonal, [*keys, "month"], "left")
+    s_value, s_weight = (clamp(F.coalesce(F.col(f"factor_{m}"), F.lit(1.0)), 0.1, 3.0) for m in ("total_value_usd", "total_weight_mt"))
+
+    def grown(measure: str, factor: Column) -> Column:
+        g = clamp(F.coalesce(F.nullif(F.col(f"growth_{measure}"), F.lit(0.0)), F.lit(default_growth)), *bounds)
+        return compound(F.col(f"avg_{measure}") * factor, g, F.col("step"))
+
+    return df.select(
+        *keys, "year", "month", season(F.col("month")).alias("season"), F.round(grown("total_value_usd", s_value), 2).alias("pred_value_usd"), F.round(grown("total_weight_mt", s_weight), 2).alias("pred_weight_mt"),
+        F.greatest(F.lit(1), F.round(grown("shipment_count", s_value))).cast("int").alias("pred_shipment_count"), F.round(activity_index(s_value), 4).alias("season_activity_index"),
+        bin_label(s_value, *SEASON_CUTS).alias("season_label"), "dominant_description", F.col("n_obs").alias("historical_months"),
+    )
+
+
+def active_series(panel: DataFrame, since: int, keys: Sequence[str] = ("hs2", "port", "direction")) -> DataFrame:
+    """The keys of series that were seen in or after a year."""
+    return panel.where(F.col("year") >= since).select(*keys).distinct()
+
+
+def forecast_all(forecasts: dict[str, DataFrame], keys: Sequence[str] = ("port", "direction")) -> DataFrame:
+    """The forecasts of several models in one table: model, keys, year, month, prediction."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), *keys, "year", "month", F.col("prediction").cast("double").alias("prediction")) for name, df in forecasts.items()])
+
+
+def totals_by_model(forecasts: DataFrame, values: Sequence[str] = ("import", "export"), column: str = "direction") -> DataFrame:
+    """Sums of each model by direction, side by side, with their total."""
+    out = forecasts.groupBy("model").pivot(column, list(values)).agg(F.sum("prediction"))
+    return out.withColumn("total", reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0.0)) for v in values]))
 
 
 def seed_rows(features: DataFrame, target_year: int, keys: Sequence[str] = ("port", "direction")) -> DataFrame:

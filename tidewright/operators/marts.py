@@ -96,11 +96,31 @@ def recommend_port(compared: DataFrame) -> DataFrame:
     return compared.join(best, ["hs2", "direction"], "left").select("hs2", "direction", "port", "rank_in_commodity", "best_port", (F.col("best_port") != F.col("port")).alias("better_option"))
 
 
-def mode_ranking(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys from the greatest value down, absent ones last."""
-    return df.select(key, value).orderBy(F.coalesce(F.col(value), F.lit(-1.0)).desc(), key)
-
-
 def top_rows(df: DataFrame, value: Column | str, n: int, *ties: str, ascending: bool = False) -> DataFrame:
     c = F.col(value) if isinstance(value, str) else value
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *ties).limit(n)
+
+
+def both_ends(df: DataFrame, value: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of the greatest and the n of the least values, with `side`; nulls are in neither."""
+    rows = df.where(F.col(value).isNotNull())
+    return top_rows(rows, value, n, *ties).withColumn("side", F.lit("largest")).unionByName(top_rows(rows, value, n, *ties, ascending=True).withColumn("side", F.lit("smallest")))
+
+
+def first_in_rank(df: DataFrame, keys: Sequence[str], value: Column | str, k: int, *ties: str) -> DataFrame:
+    """Of each key the rows of the k greatest values, with their rank; equal values go by the ties."""
+    c = F.col(value) if isinstance(value, str) else value
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(c.desc_nulls_last(), *ties))).where(F.col("rank") <= k)
+
+
+def top_commodities(forecast: DataFrame, k: int = 8, keys: Sequence[str] = ("port",), commodity: str = "hs2", value: str = "pred_shipment_count") -> DataFrame:
+    """The k commodities of a port with the greatest sum of forecasts."""
+    sums = forecast.groupBy(*keys, commodity).agg(F.sum(value).alias("total"))
+    return first_in_rank(sums, keys, "total", k, commodity)
+
+
+def mart_commodity_month(forecast: DataFrame, index: DataFrame, keys: Sequence[str] = ("hs2", "port", "direction"), value: str = "pred_shipment_count") -> DataFrame:
+    """Twelve rows for each commodity at a port: the month's forecast (0 if absent) beside index(port, month, ci_raw, ci_adjusted)."""
+    months = forecast.select(*keys).distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    sums = forecast.groupBy(*keys, "month").agg(F.sum(value).alias("forecast"))
+    return months.join(sums, [*keys, "month"], "left").withColumn("forecast", F.coalesce("forecast", F.lit(0))).join(index.select("port", "month", "ci_raw", "ci_adjusted"), ["port", "month"], "left")

@@ -101,3 +101,23 @@ def densify(panel: DataFrame, keys: Sequence[str] = ("port", "direction")) -> Da
     spine = panel.groupBy(*keys).agg(F.min(p).alias("a"), F.max(p).alias("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("p"))
     spine = spine.select(*keys, F.floor(F.col("p") / 12).cast("int").alias("year"), (F.col("p") % 12 + 1).cast("int").alias("month"))
     return spine.join(panel, [*keys, "year", "month"], "left")
+
+
+def single_series(panel: DataFrame, **key) -> DataFrame:
+    """The rows of one series, e.g. port=..., direction=..., in order of time; the filter reaches the scan of a saved panel."""
+    for name, value in key.items():
+        panel = panel.where(F.col(name) == value)
+    return panel.orderBy("year", "month")
+
+
+def series_params(panel: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("hs2", "port", "direction"), label: str | None = "dominant_description", least: int = 48, lag: int = 12) -> DataFrame:
+    """Of each series with at least `least` months that have a month a year before: last period of the series, and over these months
+    avg_<measure>, growth_<measure> (mean growth over positive bases), n_obs and the most frequent label."""
+    w = Window.partitionBy(*keys).orderBy("year", "month")
+    rows = panel.select("*", *[F.lag(m, lag).over(w).alias(f"_{m}") for m in measures], F.lag("year", lag).over(w).alias("_there"))
+    had = F.col("_there").isNotNull()
+    out = rows.groupBy(*keys).agg(
+        F.max(F.struct("year", "month")).alias("_last"), F.count_if(had).alias("n_obs"), *([F.mode(F.when(had, F.col(label)), True).alias(label)] if label else []),
+        *[F.avg(F.when(had, F.col(m))).alias(f"avg_{m}") for m in measures], *[F.avg(F.when(F.col(f"_{m}") > 0, F.col(m) / F.col(f"_{m}") - 1)).alias(f"growth_{m}") for m in measures],
+    ).where(F.col("n_obs") >= least)
+    return out.select(*keys, F.col("_last.year").alias("last_year"), F.col("_last.month").alias("last_month"), *[c for c in out.columns if c not in keys and c != "_last"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div, wavg
+from ..functions.exprs import correlation, safe_div, wavg
 from .features import series_window
 
 
@@ -42,13 +42,13 @@ def break_impact(df: DataFrame, keys: Sequence[str], column: str, pre: tuple[int
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, rho for every pair of columns, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs]
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("rho")) for a, b in pairs]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
 def leak_corr(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Correlation of two columns within each series, summed up: least, greatest, mean, share of series at 1."""
-    per = df.groupBy(*keys).agg(F.corr(a, b).alias("rho")).where("rho is not null and not isnan(rho)")
+    per = df.groupBy(*keys).agg(correlation(a, b).alias("rho")).where("rho is not null and not isnan(rho)")
     return per.agg(F.count("*").alias("n_series"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"), F.avg("rho").alias("mean_rho"), F.avg((F.abs("rho") > 0.999).cast("int")).alias("share_one"))
 
 
@@ -148,5 +148,10 @@ def select_features(df: DataFrame, columns: Sequence[str], limit: float = 0.95)
     return [b for j, b in enumerate(columns) if not any((v := rho.get((a, b))) is not None and v == v and abs(v) > limit for a in columns[:j])]
 
 
-def per_series_label(x: Column, cut: float) -> Column:
-    return F.when(x > cut, F.lit("high")).when(x < -cut, F.lit("low")).otherwise(F.lit("usual"))
+def leaderboard(scores: DataFrame, fold: int | None = None, weight: str = "avg_volume", series: Sequence[str] = ("port", "direction")) -> DataFrame:
+    """Models from the least volume-weighted error up, over all folds or one: rounded wmape (2), wmae (0) and wr2 (3), and series."""
+    rows = scores if fold is None else scores.where(F.col("fold_year") == fold)
+    out = rows.groupBy("model").agg(
+        *[F.round(wavg(F.col(m), F.col(weight)), d).alias(f"w{m}") for m, d in (("mape", 2), ("mae", 0), ("r2", 3))], F.count_distinct(F.struct(*series)).alias("n_series"),
+    )
+    return out.orderBy(F.col("wmape").asc_nulls_last(), "model")

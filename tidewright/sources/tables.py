@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.exprs import nan_to_null as _nan_to_null
 
 #: Types of other stores, by name; what is not listed becomes text.
-TYPES = {"tinyint": "tinyint", "smallint": "smallint", "integer": "int", "int": "int", "bigint": "bigint", "hugeint": "bigint", "float": "float", "real": "float", "double": "double", "decimal": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "varchar": "string"}
+TYPES = {"tinyint": "tinyint", "smallint": "smallint", "integer": "int", "int": "int", "bigint": "bigint", "hugeint": "bigint", "float": "float", "real": "float", "double": "double", "decimal": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp_ntz", "string": "string", "varchar": "string"}
 
 
 def read_raw(spark: SparkSession, base: str, schema: StructType, sep: str = ",") -> DataFrame:
@@ -146,3 +146,12 @@ def panel_meta(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def export_feed(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def save_panel(panel: DataFrame, path: str, keys: Sequence[str] = ("port", "direction")) -> None:
+    """Keeps a panel as Parquet; rows of a series lie together and in order, so a single series is read from few row groups."""
+    panel.repartitionByRange(*keys).sortWithinPartitions(*keys, "year", "month").write.mode("overwrite").parquet(path)
+
+
+def load_panel(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

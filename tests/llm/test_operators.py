@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tidewright.llm import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, pieces, ppm_langid, queries, spaced_seeds, suffix_repeats, url_reputation  # noqa: E402
+from tidewright.llm import bpe, graph, huffman_ids, licenses, line_join, minhash_hamming, mpeg, pieces, ppm_langid, queries, spaced_seeds, suffix_repeats, url_reputation  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -151,7 +151,7 @@ def test_short_lines_are_judged_for_copies(spark):
     line = "a line that is long enough to be judged"
     texts = [f"Menu\nx\n\n{line}\nMenu", f"Menu\nMenv\n\n{line}!\ny", None, "", "x"]
     lines = corpus_pipeline.lines(spark, docs_of(spark, texts), SMALL).orderBy("doc_id")
-    assert [r.text for r in lines.collect()] == [f"Menu\nx\n\n{line}", "Menv\n\ny", None, "", ""]
+    assert [(r.doc_id, r.text, r.n_chars) for r in lines.collect()] == [(0, f"Menu\nx\n\n{line}", 47), (1, "Menv\n\ny", 7), (2, None, 0), (3, "", 0)]
     links = {(r.doc_id, r.line_no): (r.copy, r.near, r.n_links) for r in line_join.judged_lines(docs_of(spark, texts), shortest_copies=1).collect()}
     assert links[0, 4] == (True, False, 0) and links[1, 1] == (False, False, 0) and links[1, 3] == (False, True, 1) and (0, 2) not in links
 
@@ -434,6 +434,45 @@ def test_decontamination(spark):
     assert spaced_seeds.decontaminate(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def plain_overlaps(texts, items, least=8, shortest=5):
+    """Every shift at which some mask (or, in a short item, all words) agrees, scored by the best stretch."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    out = []
+    for t in map(words, texts):
+        found = {}
+        for item_id, item in ((i, words(x)) for i, x in items):
+            if len(item) < shortest:
+                continue
+            masks = [m for m in spaced_seeds.MASKS if len(m) <= len(item)] + (["1" * len(item)] if len(item) < spaced_seeds.SPAN else [])
+            for shift in range(-len(item), len(t)):
+                if any(all(c == "0" or (0 <= p + k + shift < len(t) and t[p + k + shift] == item[p + k]) for k, c in enumerate(m)) and p + shift >= 0 and p + shift + len(m) <= len(t) for m in masks for p in range(len(item) - len(m) + 1)):
+                    same = [item[p] == t[p + shift] for p in range(max(0, -shift), min(len(item), len(t) - shift))]
+                    score, at, begin = max((sum(1 if x else -3 for x in same[a:b]), -b, -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+                    n = sum(same[-begin : -at])
+                    if n >= min(least, len(item)):
+                        found[item_id] = max(found.get(item_id, 0), n)
+        out.append((sorted(found), max(found.values(), default=0)))
+    return out
+
+
+@pytest.mark.parametrize("most_hits", [3, 1 << 20])
+def test_decontamination_against_all_shifts(spark, monkeypatch, most_hits):
+    monkeypatch.setattr(spaced_seeds, "_MOST_HITS", most_hits)
+    r = random.Random(9)
+    items = [(i, " ".join(r.choices("abcdefg", k=r.choice((3, 5, 7, 9, 14, 25))))) for i in range(12)] + [(20, None), (21, "")]
+    texts = [None, "", "a"]
+    for _ in range(25):
+        t = r.choices("abcdefgh", k=r.randrange(40))
+        for _ in range(2):
+            piece = r.choice(items[:12])[1].split()
+            piece = [r.choice((w, w, w, w, w, "ZZ", w.upper())) for w in piece]
+            at = r.randrange(len(t) + 1)
+            t[at:at] = piece
+        texts.append(" ".join(t))
+    got = spaced_seeds.decontaminate(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(x.item_ids, x.most_words) for x in got] == plain_overlaps(texts, items)
+
+
 # ---- pipeline ----
 
 def test_pipeline(spark):
@@ -444,7 +483,16 @@ def test_pipeline(spark):
     kept = cp.language(spark, docs, SMALL).cache()
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in before.items() if re.search(r"[^\W\d_]", r.text)}
     lines = cp.lines(spark, kept, SMALL).cache()
-    assert lines.columns == docs.columns and lines.count() == kept.count()
+    assert lines.columns == docs.columns and all(r.text and r.n_chars == len(r.text) for r in lines.collect())
+    plain, seen = {}, set()
+    for r in kept.orderBy("doc_id").collect():  # whatever else goes, copies of lines do
+        for i, line in enumerate(r.text.split("\n")):
+            plain.setdefault(r.doc_id, []).extend([line] if line not in seen or not line else [])
+            seen.add(line)
+    for r in lines.collect():
+        rest = iter(plain[r.doc_id])
+        assert all(line in rest for line in r.text.split("\n"))
+    assert {r.doc_id for r in lines.collect()} >= {i for i, t in plain.items() if len("".join(t)) > 400}
     near = cp.near_duplicates(spark, lines, SMALL).cache()
     rows = lines.orderBy("doc_id").collect()
     roots = [rows[c].doc_id for i, _, c, k in plain_components([r.text for r in rows]) if k]
@@ -453,3 +501,16 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and clean.count() <= near.count()
     out = cp.tokens(spark, clean, SMALL)
     assert out.count() == clean.count() and out.where("not lossless").count() == 0
+
+
+@pytest.mark.parametrize("most_at_once", [0, 1000])
+def test_components(spark, most_at_once):
+    r = random.Random(4)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
+    root = {n: n for pair in links for n in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(links, "a long, b long"), most_at_once=most_at_once).collect()}
+    assert got == {n: c for n, c in root.items() if any(n in p and p[0] != p[1] for p in links)}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), most_at_once=most_at_once).count() == 0

@@ -9,13 +9,16 @@ similarity 0.75 differs in more than 31 symbols with a probability of about 1e-5
 Links are confirmed on full sets (100 * intersection >= 75 * union). All pairs of a large group are never made:
 
 1. Texts of equal sets form a class; its smallest id stands for it (a hash, if that id has another text that does so already).
-2. In each bucket of the index every class meets only the bucket's smallest (a star); close pairs are confirmed and joined
-   to components. A second star does the same with the largest class that is still in another component.
-3. Classes that share a bucket and are still in different components are compared exactly, except where the triangle
-   inequality of the Jaccard distance to the bucket's hub, already known, or the shingles that a text shares with any other
-   of these classes (counted once for all) rule a link out: copies with many edits of their own never become pairs.
+   Only classes that share a bucket with another are read on; their sets are written once.
+2. A class of which less than 75 of 100 shingles occur in any other of these classes has no link and goes.
+3. In each bucket every class meets the bucket's hub, the class with the largest share of shingles that others have: the text
+   that the others are copies of, if it is there. Close pairs are confirmed and joined to components.
+4. What is still in other components than its hub can only be linked by shingles outside of the hub's set, or where the hub's
+   set is large enough by itself. Shingles that only one component has outside of the hub's set are dropped, then members that
+   are left with too few for any link. Of the rest each meets a second hub, chosen alike, and only what stays apart then is
+   paired, by shared outside shingles, with the counts that a link needs.
 
-So components are those of the full link graph among candidates, while the work of a group of n copies grows as n.
+So components are those of the full link graph among candidates, while the pairs of a group of n copies grow as n.
 
 Cases: null or empty texts and texts without words have an empty set, n_shingles 0, and are linked with nothing; fewer than
 five words make one shingle; repeated rows are one class, and an id with several texts is linked by each of them. Batches are bounded by bytes; skewed keys of joins are split by AQE.
@@ -24,15 +27,14 @@ five words make one shingle; repeated rows are one class, and an id with several
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, written
+from .common import discard, map_batches, written
 from .graph import components
 from .words import hashed_words, mix
 
@@ -94,11 +96,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """key, id: 64 keys of each class, one for each chunk and each symbol of it that may be wrong."""
+    """key and all columns but sig: 64 keys of each class, one for each chunk and each symbol of it that may be wrong."""
+    names = [c for c in classes.columns if c != "sig"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
             keys = []
             for skip in range(CHUNK):
                 k = np.zeros(sig.shape[:2], np.uint64)
@@ -108,111 +111,163 @@ def index_keys(classes: DataFrame) -> DataFrame:
                 k = k << np.uint64(8) | np.arange(0, SYMBOLS // CHUNK, dtype=np.uint64)[None, :] << np.uint64(2) | np.uint64(skip)
                 keys.append(k)
             keys = np.concatenate(keys, axis=1)
-            ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-            return pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+            row = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
+            return pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), *(c.take(row) for c in batch.columns[1:])], names=["key", *names])
 
         return each
 
-    return map_batches(classes.select("id", "sig"), make, "key long, id long")
+    return map_batches(classes.select("sig", *names), make, _schema(classes.select(*names), "key long"))
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the signature distance."""
-    s = classes.select("id", "sig", "n_shingles")
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
-    both = both.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    # a link needs sets of similar size
-    both = both.where("100 * least(na, nb) >= 75 * greatest(na, nb)")
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*more, *(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)])
+
+
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, shingles (sorted 64-bit hashes) and sig of each class in ids(id), one row for each, however often its text stands in docs."""
+    wanted = classes.join(ids, "id", "left_semi").select("id", "print", "sig", F.col("rep").alias("doc_id"))
+    texts = docs.join(wanted, "doc_id").select("id", "text", "print", "sig")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (2, 3))
-            keep = pa.array((x != y).sum(axis=1) <= MOST_ERRORS)
-            return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            own = pa.array([_print(s) == p for s, p in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            return pa.record_batch([batch.column(0), pa.array(sets, pa.binary()), batch.column(3)], names=["id", "shingles", "sig"]).filter(own)
 
         return each
 
-    return map_batches(both.select("a", "b", "sa", "sb"), make, "a long, b long")
-
+    return map_batches(texts, make, "id long, shingles binary, sig binary", sized_by=1, limit=1 << 20).dropDuplicates(["id"])
 
-def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """id and shingles (sorted 64-bit hashes) of each class in ids(id), one row for each, however often its text stands in docs.
 
-    Up to most_broadcast classes (32 bytes each) are sent to the texts, more are joined to them by a shuffle.
-    """
-    wanted = written(classes.select("id", "print", F.col("rep").alias("doc_id")).join(ids.distinct(), "id", "left_semi"), "ids")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted, "doc_id").select("id", "text", "print")
+def _common_sizes(sets: DataFrame) -> DataFrame:
+    """id and n_common: how many of its shingles at least one other of the sets has too."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-            own = pa.array([_print(s) == p for s, p in zip(sets, batch.column(2).to_pylist())], pa.bool_())
-            return pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"]).filter(own)
+            each_set = [np.frombuffer(raw, "<i8") for raw in batch.column(1).to_pylist()]
+            return pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in each_set])), pa.array(np.concatenate(each_set))], names=["id", "shingle"])
 
         return each
 
-    sets = map_batches(texts, make, "id long, shingles binary", sized_by=1, limit=1 << 20)
-    return sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    rows = map_batches(sets.select("id", "shingles"), make, "id long, shingle long", sized_by=1, limit=1 << 20)
+    # counts are summed before they are shuffled, and the join has a shuffle of its own that can be split where a shingle is very common
+    often = written(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "often")
+    return rows.join(often, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 500) -> DataFrame:
+    """pairs(a, b, ...) with sa, ga, sb, gb: sets and signatures of both. A class that is a in many pairs is split, so that no task has them all."""
+    w = Window.partitionBy("a")
+    salted = pairs.withColumn("slots", F.ceil(F.count("*").over(w) / most).cast("int"))
+    slots = salted.groupBy("a").agg(F.max("slots").alias("slots"))
+    left = salted.withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int")).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("sig").alias("gb")), "b")
+    right = slots.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("sig").alias("ga")), "a").select("a", "sa", "ga", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    return left.join(right, ["a", "slot"]).select(*pairs.columns, "sa", "sb", "ga", "gb")
+
+
+def _both(batch: pa.RecordBatch, at: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return tuple([np.frombuffer(raw, "<u8") for raw in batch.column(at + i).to_pylist()] for i in (0, 1))
 
 
-def _common_sizes(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and n_common: how many of its shingles at least one other of the ids(id) has too."""
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared, united of pairs within the signature distance and of sets of similar size: sizes of intersection and union of the full sets."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.frombuffer(raw, "<i8") for raw in batch.column(1).to_pylist()]
-            return pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (4, 5))
+            sizes = [pc.divide(pc.binary_length(batch.column(i)), 8).to_numpy().astype(np.int64) for i in (2, 3)]
+            near = ((x != y).sum(axis=1) <= MOST_ERRORS) & (100 * np.minimum(*sizes) >= 75 * np.maximum(*sizes))  # a link needs sets of similar size
+            batch, shared, united = batch.filter(pa.array(near)), [], []
+            for x, y in zip(*_both(batch, 2)):
+                merged = np.sort(np.concatenate([x, y]), kind="stable")
+                shared.append(int((merged[1:] == merged[:-1]).sum()))
+                united.append(len(merged) - shared[-1])
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
 
         return each
 
-    sets = map_batches(_sets(ids.select("id"), classes, docs), make, "id long, shingle long", sized_by=1, limit=1 << 20)
-    sets = written(sets, "shingles")
-    often = sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    return sets.join(often, "shingle").groupBy("id").agg(F.count("*").alias("n_common"))
+    return written(map_batches(_with_sets(pairs.select("a", "b"), sets), make, "a long, b long, shared long, united long", sized_by=2, limit=1 << 20), "pairs")
 
 
-def _outside(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """members(hub, id, ...) with a row for each shingle of the id's set that the hub's set lacks."""
-    sets = written(_sets(members.select("id").union(members.select("hub")), classes, docs), "sets")
-    both = members.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hubs")), "hub")
-    columns = members.columns
+def _outside(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members(a: hub, b: member, ...) with a row for each shingle of the member's set that the hub's set lacks."""
+    n, names = len(members.columns), members.columns
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own, hubs = ([np.frombuffer(raw, "<u8") for raw in batch.column(len(columns) + i).to_pylist()] for i in (0, 1))
-            rest = [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(own, hubs)]
+            rest = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(*_both(batch, n))]
             at = pa.array(np.repeat(np.arange(len(rest)), [len(r) for r in rest]))
-            return pa.record_batch([*(batch.column(i).take(at) for i in range(len(columns))), pa.array(np.concatenate(rest).view(np.int64))], names=[*columns, "shingle"])
+            return pa.record_batch([*(batch.column(i).take(at) for i in range(n)), pa.array(np.concatenate(rest).view(np.int64))], names=[*names, "shingle"])
 
         return each
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-    return map_batches(both.select(*columns, "own", "hubs"), make, f"{schema}, shingle long", sized_by=len(columns), limit=1 << 20)
-
-
-def _shared(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, shared, united: sizes of intersection and union of the full sets of each pair."""
-    wanted = pairs.select(F.posexplode(F.array("a", "b")).alias("side", "id"), "a", "b")
-    sets = _sets(wanted.select("id"), classes, docs)
-    sides = wanted.join(sets, "id").select("a", "b", "side", "shingles")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # the first side of a pair, maybe from the batch before
-        for batch in (part for whole in batches for part in slices(whole, 3, 8 << 20)):
-            out: list[tuple[int, int, int, int]] = []
-            for a, b, side, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if side == 0:
-                    kept = (a, b, raw)
-                if side == 0 or kept is None or kept[:2] != (a, b):
-                    continue
-                x, y, kept = np.frombuffer(kept[2], "<u8"), np.frombuffer(raw, "<u8"), None
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                n = int((merged[1:] == merged[:-1]).sum())
-                out.append((a, b, n, len(x) + len(y) - n))
-            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["a", "b", "shared", "united"])
+    return map_batches(_with_sets(members, sets).drop("ga", "gb"), make, _schema(members) + ", shingle long", sized_by=n, limit=1 << 20)
+
+
+def _peeled(outside: DataFrame) -> DataFrame:
+    """Rows of outside (a, b, comp, hub_comp, shared, n, least_n, central, shingle) that can matter for a link between components of a hub's members."""
+    w, of_member = Window.partitionBy("a", "shingle"), Window.partitionBy("a", "b")
+    rows = outside.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
+    return rows.withColumn("n_out", F.count("*").over(of_member)).where("175 * (shared + n_out) >= 75 * (n + least_n)").drop("n_out")
+
+
+def _relabelled(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+    return df.drop(name).join(comp.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sides.repartition(n, "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(meet, "a long, b long, shared long, united long")
+
+def _pivot(w: Window, node: str) -> Column:
+    """The most central of a window's rows, the least of equals."""
+    return -F.max(F.struct("central", (-F.col(node)).alias("least"))).over(w)["least"]
+
+
+def _apart(live: DataFrame, rows: DataFrame, star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Further confirmed pairs (a, b, shared, united) between classes that share a bucket but are in different components of `links`.
+
+    rows: key, id, hub. Pairs with the hub are known (star).
+    """
+    facts = live.select("id", F.col("n_shingles").alias("n"), "n_common", "central")
+    facts = written(_relabelled(facts, components(links), "id", "comp"), "facts")
+    known = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), "shared")
+    rest = rows.where("id <> hub").join(facts, "id").join(facts.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hub").join(known, ["hub", "id"], "left")
+    w = Window.partitionBy("key")
+    rest = rest.withColumn("open", F.max(F.col("comp") != F.col("hub_comp")).over(w)).where("open").drop("open")
+    rest = written(rest, "rest")
+
+    # outside of the hub's set: what members of different components have in common must make up for what the hub's set cannot give
+    members = rest.where("shared is not null").select(F.col("hub").alias("a"), F.col("id").alias("b"), "comp", "hub_comp", "shared", "n", "central").distinct()
+    w = Window.partitionBy("a")
+    members = members.withColumn("least_n", F.min("n").over(w)).withColumn("open", F.max(F.col("comp") != F.col("hub_comp")).over(w)).where("open").drop("open")
+    outside = written(_peeled(_outside(members, sets)), "outside")
+
+    # a second hub in each group of those that share an outside shingle, and of those in a bucket that are too far from the hub to be measured
+    second = outside.where("comp <> hub_comp").select(_pivot(Window.partitionBy("a", "shingle"), "b").alias("a"), "b")
+    far = rest.where("shared is null and comp <> hub_comp").select(_pivot(Window.partitionBy("key"), "id").alias("a"), F.col("id").alias("b"))
+    second = _confirmed(second.union(far).where("a <> b").distinct(), sets)
+    if not _links(second).isEmpty():
+        comp = written(components(links.union(_links(second))), "components")
+        outside = _relabelled(outside, comp, "b", "comp").withColumnRenamed("a", "hub")
+        outside = written(_peeled(_relabelled(outside, comp, "hub", "hub_comp").withColumnRenamed("hub", "a")), "outside")
+        rest = _relabelled(_relabelled(rest, comp, "id", "comp"), comp, "hub", "hub_comp")
+
+    # what is still apart; each pair once: of two that are both off the hub's component, the smaller is x
+    x, y = outside.where("comp <> hub_comp").alias("x"), outside.alias("y")
+    met = x.join(y, F.expr("x.a = y.a and x.shingle = y.shingle and x.comp <> y.comp and (y.comp = y.hub_comp or x.b < y.b)"))
+    enough = "175 * (least(first(x.shared), first(y.shared)) + count(*)) >= 75 * (first(x.n) + first(y.n))"
+    third = met.groupBy(F.col("x.a").alias("hub"), F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.expr(enough).alias("ok")).where("ok").select("a", "b")
+    # pairs without a measured hub, and those for which the hub's set alone may be enough
+    w = Window.partitionBy("key")
+    rest = rest.withColumn("least_n", F.min("n").over(w)).withColumn("far", F.max(F.col("shared").isNull()).over(w))
+    rest = written(rest.where("far or 175 * shared >= 75 * (n + least_n)"), "rest")
+    x, y = rest.where("comp <> hub_comp").alias("x"), rest.alias("y")
+    may = "x.key = y.key and x.comp <> y.comp and (y.comp = y.hub_comp or x.id < y.id) and 175 * least(x.n_common, y.n_common) >= 75 * (x.n + y.n)"
+    may += " and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) and (x.shared is null or y.shared is null or 175 * least(x.shared, y.shared) >= 75 * (x.n + y.n))"
+    third = third.union(x.join(y, F.expr(may)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return second.union(_confirmed(third, sets))
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.where("100 * shared >= 75 * united").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -223,61 +278,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = feats.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("print"))
     classes = written(classes.withColumn("id", F.when(nth == 1, F.col("rep")).otherwise(F.xxhash64("print"))), "classes")
-    keys = written(index_keys(classes), "keys")
-    # buckets of one class give no pair
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    keys = written(keys.join(hubs, "key").select("key", "id", "hub"), "buckets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_shared(_close(pairs, classes), classes, docs), "pairs")
-
-    def grouped(*tested: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        links = [t.where("100 * shared >= 75 * united").select("a", "b") for t in tested]
-        return written(components(reduce(DataFrame.union, links if more is None else [*links, more])), "components")
-
-    star = confirmed(keys.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    comp = grouped(star)
-    # classes of a bucket in more than one component, the hub aside (it has met all): a second star from the last of another component
-    left = keys.where("id <> hub").join(comp, keys["id"] == comp["node"], "left").select("key", "id", "hub", F.coalesce("component", "id").alias("comp"))
-    ends = left.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("comp", "id")).alias("far"))
-    left = left.join(ends.where("c1 < c2"), "key").select("key", "id", "hub", "comp", F.col("far.id").alias("far"), F.col("far.comp").alias("far_comp"))
-    left = written(left, "left")
-    second = left.where("comp <> far_comp").select(F.least("id", "far").alias("a"), F.greatest("id", "far").alias("b")).distinct()
-    star2 = confirmed(second.join(star, ["a", "b"], "left_anti"))
-    comp2 = grouped(star, star2)
-    # what is still in different components of a bucket; `same` is the known intersection with the bucket's hub, d the distance to it
-    known = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("shared").alias("same"), (1 - F.col("shared") / F.col("united")).alias("d"))
-    rest = left.select("key", "id", "hub").join(comp2, left["id"] == comp2["node"], "left").select("key", "id", "hub", F.coalesce("component", "id").alias("comp"))
-    several = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    rest = written(rest.join(several, "key", "left_semi").join(known, ["hub", "id"], "left"), "rest")
-    # shingles that no other class of these has are in no intersection, so they bound the similarity of every pair
-    sizes = _common_sizes(rest.select("id").distinct(), classes, docs).join(classes.select("id", "n_shingles"), "id").where("100 * n_common >= 75 * n_shingles")
-    rest = written(rest.join(sizes, "id"), "rest")
-    # outside the hub's set two classes must share enough shingles to make up for what the hub's set cannot give
-    outside = written(_outside(rest.where("d is not null").select("hub", "id", "comp", "same", "n_shingles").distinct(), classes, docs), "outside")
-    x, y = outside.alias("x"), outside.alias("y")
-    met = x.join(y, F.expr("x.hub = y.hub and x.shingle = y.shingle and x.id < y.id and x.comp <> y.comp"))
-    enough = "175 * (least(first(x.same), first(y.same)) + count(*)) >= 75 * (first(x.n_shingles) + first(y.n_shingles))"
-    third = met.groupBy(F.col("x.hub").alias("hub"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.expr(enough).alias("ok")).where("ok").select("a", "b")
-    # pairs without a common measured hub, and those for which the hub's set alone may be enough
-    x, y = rest.alias("x"), rest.alias("y")
-    near = "x.key = y.key and x.id < y.id and x.comp <> y.comp and coalesce(abs(x.d - y.d) <= 0.2500001, true)"
-    near += " and 175 * least(x.n_common, y.n_common) >= 75 * (x.n_shingles + y.n_shingles)"
-    near += " and (x.d is null or y.d is null or 175 * least(x.same, y.same) >= 75 * (x.n_shingles + y.n_shingles))"
-    third = third.union(x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
-    star3 = confirmed(third.join(star.select("a", "b").union(star2.select("a", "b")), ["a", "b"], "left_anti"))
+    # classes alone in all their buckets have no candidate
+    keys = written(index_keys(classes.select("id", "sig")), "keys")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    candidates = written(keys.join(shared, "key", "left_semi").select("id").distinct(), "candidates")
+    discard(keys, shared)
+    sets = written(_sets(candidates, classes, docs), "sets")
+    live = classes.join(_common_sizes(sets), "id").where("100 * n_common >= 75 * n_shingles")
+    live = written(live.select("id", "sig", "n_shingles", "n_common", (F.col("n_common") / F.col("n_shingles")).alias("central")), "live")
+
+    keys = written(index_keys(live.select("id", "central", "sig")), "keys")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("h")).where("n > 1")
+    rows = written(keys.join(hubs.select("key", (-F.col("h.least")).alias("hub")), "key").select("key", "id", "hub"), "buckets")
+    discard(keys)
+    star = _confirmed(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets)
+    more = _apart(live, rows, star, _links(star), sets)
+
     of_class = written(feats.join(classes.select("print", "id", "rep"), "print", "left").select("doc_id", "n_shingles", "id", "rep"), "of-class")
     # an id with several texts links their classes
     ends = of_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
     one_id = of_class.join(ends, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    comp3 = grouped(star, star2, star3, more=one_id)
-    least = comp3.join(classes.select("id", "rep"), comp3["node"] == classes["id"]).groupBy("component").agg(F.min("rep").alias("least"))
-    comp3 = comp3.join(least, "component").select("node", "least")
-    found = of_class.join(comp3, of_class["id"] == comp3["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
+    comp = written(components(_links(star.union(more)).union(one_id)), "components")
+    least = comp.join(classes.select("id", "rep"), comp["node"] == classes["id"]).groupBy("component").agg(F.min("rep").alias("least"))
+    comp = comp.join(least, "component").select("node", "least")
+    found = of_class.join(comp, of_class["id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs (all columns) that stand for their group of near duplicates; texts without words all stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti")

@@ -707,16 +707,16 @@ def _(s, d):
     return the_panel(s, d).groupBy("year").agg(F.sum(evaluate.sample_weight({1998: 0.1, 1999: 0.4})).alias("w"))
 
 
-_LEARNERS = ("ridge", "lasso", "elastic_net", "random_forest", "gbt", "gbt_sampled")
-_LEARN = ("month_sin", "month_cos", "lag_1", "lag_2", "lag_12_clean", "rolling_3_mean", "rolling_12_mean")
+_LEARNERS = ("ridge", "lasso", "elastic_net", "random_forest", "gbt", "gbt_sampled", "gbt_absolute")
 
 
 def _learnt(kind: str):
+    drop = (1998,) if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
+
     def run(s, d):
         folds = evaluate.walk_forward(the_features(s, d), FOLDS)
-        drop = (1998,) if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
-        model = models.pooled(kind, _LEARN, [f for _, f in FOLDS], drop, {1998: 0.1, 1999: 0.4})
-        return evaluate.evaluate(folds, {kind: model})
+        model = models.Pooled(kind, PORT_FEATURES, drop, {1998: 0.1, 1999: 0.4}, BREAKS.years)
+        return evaluate.evaluate_models(folds, {kind: model}, [f for _, f in FOLDS]).withColumn("features_used", F.concat_ws(",", "features_used"))
 
     return run
 
@@ -725,6 +725,26 @@ for _kind in _LEARNERS:
     query(f"h18_model_{_kind}")(_learnt(_kind))
 
 
+@query("h24_trend_seasonal")
+def _(s, d):
+    p = the_panel(s, d)
+    return models.trend_seasonal(p.where("year <= 2000"), p.where("year = 2001").select(*KEYS, "year", "month"), (1997, 1998, 1999, 2000))
+
+
+@query("h30_recursive_trees")
+def _(s, d):
+    f = the_features(s, d)
+    fitted = models.Pooled("random_forest", PORT_FEATURES, (1998,), break_years=BREAKS.years, trees=100).fit(f.where("year <= 2000"))
+    return forecast.recursive_forecast(f, fitted, 2001, clean_years=[1995, 1996, 1997, 2000], base_year=BREAKS.base_year)
+
+
+@query("h30_recursive_ridge")
+def _(s, d):
+    f = the_features(s, d)
+    fitted = models.SeriesRidge(("lag_1", "lag_12_clean", "rolling_12_mean", "month_sin", "month_cos"), 1.0).fit(f.where("year <= 2000"))
+    return forecast.recursive_forecast(f, fitted, 2001, clean_years=[1995, 1996, 1997, 2000], base_year=BREAKS.base_year)
+
+
 # ---- D35 and K: weather and marts ----------------------------------------------------------------------------------
 
 _CFG = "cfg(port_code, ht, hc, wt, wc, gt, gc, ex, sw) AS (VALUES ('click', 0.5, 1.5, 40.0, 90.0, 100.0, 150.0, 1.0, 1.0), ('view', 0.5, 1.2, 40.0, 80.0, 90.0, 140.0, 1.1, 0.9), ('purchase', 0.4, 1.5, 30.0, 90.0, 100.0, 160.0, 0.9, 1.2), ('signup', 0.6, 1.4, 35.0, 85.0, 95.0, 150.0, 1.0, 1.0))"

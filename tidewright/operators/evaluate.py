@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clamp, wavg
 from . import stats
 from .features import latest_per_key
+from .models import Model
 
 
 def seasonal_naive(limit: float = 0.2) -> Column:
@@ -70,6 +71,30 @@ def evaluate(folds: DataFrame, models: dict[str, Column | Callable[[DataFrame],
     return stats.score(reduce(DataFrame.unionByName, parts), [*keys, "fold_year", "model"])
 
 
+def evaluate_models(folds: DataFrame, models: dict[str, Model], fold_years: Sequence[int], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
+    """As evaluate() for learners: each is fitted on the training rows of each fold. With features_used and error.
+
+    A model that fails on a fold leaves one row without a series and scores, with the first 120 characters of what went wrong.
+    """
+    spark, parts, failed = folds.sparkSession, [], []
+    for name, model in models.items():
+        for year in fold_years:
+            part = folds.where(F.col("fold_year") == year)
+            try:
+                if part.where("not is_test").isEmpty():
+                    continue
+                fitted = model.fit(part.where("not is_test"))
+                rows = fitted.transform(part.where("is_test")).select(*keys, "fold_year", F.col(target).cast("double").alias("y"), F.lit(name).alias("model"), "prediction")
+                parts.append(rows.withColumn("features_used", F.array(*[F.lit(c) for c in fitted.features])))
+            except Exception as e:  # noqa: BLE001  whatever a learner raises is a result of the comparison
+                failed.append((year, name, str(e)[:120]))
+    errors = spark.createDataFrame(failed, "fold_year int, model string, error string")
+    if not parts:
+        return errors
+    scores = stats.score(reduce(DataFrame.unionByName, parts), [*keys, "fold_year", "model", "features_used"])
+    return scores.unionByName(errors, allowMissingColumns=True)
+
+
 def mean_scores(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
     """Mean error over folds, to nine decimals: models that differ only by the order of additions are equal."""
     return scores.groupBy(*keys, "model").agg(F.round(F.avg("mape"), 9).alias("cv_mape"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SEASON_CUTS
-from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, half_even, season
+from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, cyclic, half_even, quarter, season
+
+from ..sources.tables import stored
+from .models import Fitted
 
 
 def forecast_grid(params: DataFrame, horizon: int = 12) -> DataFrame:
@@ -67,8 +70,6 @@ def totals_by_model(forecasts: DataFrame, values: Sequence[str] = ("import", "ex
 
 def seed_rows(features: DataFrame, target_year: int, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
     """The rows that a recursion begins from: of the year before the target, or of a series' last twelve rows if it has none."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys)
     has = F.max((F.col("year") == target_year - 1).cast("int")).over(w)
     back = F.row_number().over(w.orderBy(F.desc("year"), F.desc("month")))
@@ -104,6 +105,49 @@ def recursive_naive(features: DataFrame, target_year: int, keys: Sequence[str] =
     return out.select(*keys, F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
 
 
+#: Features whose mean over the seed stands for the months ahead.
+STABLE = (
+    "commodity_diversity", "hs4_diversity", "country_diversity", "continent_diversity", "pct_general", "pct_bulk", "pct_refrigerated", "pct_container", "avg_value_per_shipment_usd",
+    "weight_per_shipment_mt", "avg_quantity_per_shipment", "lag_value_12", "lag_weight_12", "rolling_value_12_mean", "yoy_value_growth",
+)
+
+
+def recursive_forecast(features: DataFrame, fitted: Fitted, target_year: int, keys: Sequence[str] = ("port", "direction"), limit: float = 0.15, clean_years: Sequence[int] | None = None, base_year: int = 2005, horizon: int = 12) -> DataFrame:
+    """Recursion of any fitted model: each step builds the features of all series' next month from their last 24 values, its own predictions included.
+
+    A step is one transform over all series and is stored, so that plans do not grow; there is no loop over series. The growth and
+    the means of the stable features are those of the seed's clean rows.
+    """
+    clean = F.lit(True) if clean_years is None else F.col("year").isin(*clean_years)
+    there = [c for c in STABLE if c in features.columns]
+    seeds = seed_rows(features, target_year, keys).withColumn("_clean", clean)
+    any_clean = F.max("_clean").over(Window.partitionBy(*keys))
+    source = seeds.withColumn("_use", F.col("_clean") | ~any_clean)
+    state = source.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.col("shipment_count").cast("double").alias("v")))).alias("h"),
+        F.coalesce(clamp(F.median(F.when(F.col("_use"), F.col("yoy_growth_clean"))), -limit, limit), F.lit(0.0)).alias("g"), *[F.avg(F.when(F.col("_use"), F.col(c).cast("double"))).alias(c) for c in there],
+    )
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda total, r: total + r["v"]) / F.size(a)
+    for i in range(horizon):
+        end = F.element_at("h", -1)
+        rows = state.withColumns({"_y": end["year"], "_m": end["month"]})
+        year, month = add_months(F.col("_y"), F.col("_m"), F.lit(1))
+        rows = rows.withColumns({"year": year, "month": month}).drop("_y", "_m")
+        same = F.filter("h", lambda r: r["month"] == F.col("month"))
+        rows = rows.withColumn("lag_12", F.when(F.size(same) > 0, F.element_at(same, -1)["v"]).otherwise(mean(F.col("h"))))
+        back = lambda n: F.when(F.size("h") >= n, F.element_at("h", -n)["v"]).otherwise(F.col("lag_12"))
+        sin, cos = cyclic(F.col("month"))
+        last = lambda n: F.slice("h", -F.least(F.size("h"), F.lit(n)), n)
+        rows = rows.withColumns({
+            "lag_1": F.element_at("h", -1)["v"], "lag_2": back(2), "lag_3": back(3), "lag_12_clean": F.col("lag_12"), "rolling_3_mean": mean(last(3)), "rolling_12_mean": mean(last(12)), "yoy_growth": F.col("g"), "yoy_growth_clean": F.col("g"),
+            "month_sin": sin, "month_cos": cos, "quarter": quarter(F.col("month")), "year_index": F.col("year") - base_year, **{c: F.lit(0) for c in ("is_shock", "is_rebound", "is_aftershock", "lag_12_is_break")},
+        })
+        done = fitted.transform(rows).select(*keys, "h", "g", *there, F.struct("year", "month", F.greatest(F.lit(1.0), F.col("prediction")).alias("v")).alias("_new"))
+        state = stored(done.withColumn("h", F.slice(F.concat("h", F.array("_new")), -F.least(F.size("h") + 1, F.lit(24)), 24)).drop("_new"), f"step-{i}")
+    out = state.select(*keys, F.explode(F.slice("h", -horizon, horizon)).alias("p"))
+    return out.select(*keys, F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
+
+
 def recursive_linear(history: DataFrame, coefficients: Sequence[float], intercept: float, horizon: int = 12, keys: Sequence[str] = ("port", "direction"), target: str = "shipment_count") -> DataFrame:
     """Recursion of a linear model on the last len(coefficients) values (newest first) as a fold over the steps: its own predictions feed it.
 

@@ -1,13 +1,15 @@
-"""Learners of MLlib, fitted once over all series of a fold instead of one model for each series.
+"""Learners behind one protocol: fit(train) -> fitted, fitted.transform(rows) adds `prediction`.
 
-Targets are divided by the training mean of their series, so that large and small series weigh alike; predictions are scaled
-back and never below 1. A model is a function of the folds of walk_forward() that adds `prediction`.
+Learners of MLlib are fitted once over all series of a fold instead of one model for each series. Their targets are divided by
+the training mean of their series, so that large and small series weigh alike; predictions are scaled back and never below 1.
+SeriesRidge fits each series by itself, from sums that Spark makes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -20,50 +22,99 @@ from pyspark.sql import types as T
 SCALED = ("lag_1", "lag_2", "lag_3", "lag_12", "lag_12_clean", "rolling_3_mean", "rolling_12_mean")
 
 
-def scaled(folds: DataFrame, features: Sequence[str], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
-    """The folds with label, scale and a vector of features; features on the scale of the target are divided too, nulls are 0."""
-    w = Window.partitionBy(*keys, "fold_year")
-    df = folds.withColumn("scale", F.greatest(F.lit(1e-9), F.coalesce(F.avg(F.when(~F.col("is_test"), F.col(target).cast("double"))).over(w), F.lit(1.0))))
+class Fitted(Protocol):
+    """What fit() gives: transform(df) adds `prediction` (at least 1) to rows that hold the features."""
+
+    features: Sequence[str]
+
+    def transform(self, df: DataFrame) -> DataFrame: ...
+
+
+class Model(Protocol):
+    """A learner over all series at once: fit(train) takes training rows with keys, year, month, target and features."""
+
+    def fit(self, train: DataFrame) -> Fitted: ...
+
+
+#: Penalties that linear learners choose from, and shares of the absolute penalty of the elastic net.
+PENALTIES, SHARES = (0.001, 0.01, 0.1, 1.0, 10.0), (0.2, 0.5, 0.8)
+
+
+def _vectors(df: DataFrame, scales: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """df with scale (the training mean of its series, 1 if unknown), the vector x and, where df has the target, label. Nulls are 0."""
+    df = df.join(scales, list(keys), "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
     df = df.withColumns({f"_x_{c}": F.coalesce((F.col(c) / F.col("scale") if c in SCALED else F.col(c)).cast("double"), F.lit(0.0)) for c in features})
-    df = df.withColumn("label", F.col(target) / F.col("scale"))
+    if target in df.columns:
+        df = df.withColumn("label", F.col(target) / F.col("scale"))
     return VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="x").transform(df).drop(*[f"_x_{c}" for c in features])
 
 
-def learner(kind: str, seed: int = 42):
-    """An estimator by name: ridge, lasso, elastic_net, random_forest, gbt, gbt_sampled."""
-    linear = {"featuresCol": "x", "labelCol": "label", "standardization": True, "maxIter": 100}
-    tree = {"featuresCol": "x", "labelCol": "label", "seed": seed}
-    return {
-        "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, weightCol="weight", **linear),
-        "lasso": lambda: LinearRegression(regParam=0.01, elasticNetParam=1.0, weightCol="weight", **linear),
-        "elastic_net": lambda: LinearRegression(regParam=0.01, elasticNetParam=0.5, weightCol="weight", **linear),
-        "random_forest": lambda: RandomForestRegressor(numTrees=40, minInstancesPerNode=2, featureSubsetStrategy="sqrt", **tree),
-        "gbt": lambda: GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, weightCol="weight", **tree),
-        "gbt_sampled": lambda: GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", weightCol="weight", **tree),
-    }[kind]()
+@dataclass(frozen=True)
+class Pooled:
+    """One learner of MLlib for all series: ridge, lasso, elastic_net, random_forest, gbt, gbt_sampled or gbt_absolute.
 
+    Features that correlate beyond `limit` with an earlier one in the training rows are left out. Linear learners choose their
+    penalty by the error on the inner validation rows and are fitted again on all; boosted trees stop early by these rows.
+    """
 
-def pooled(kind: str, features: Sequence[str], fold_years: Sequence[int], drop_years: Sequence[int] = (), weights: dict[int, float] | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A model for evaluate(): one fit for each fold over all series."""
+    kind: str
+    features: Sequence[str]
+    drop_years: Sequence[int] = ()
+    weights: dict[int, float] = field(default_factory=dict)
+    break_years: Sequence[int] = ()
+    keys: Sequence[str] = ("port", "direction")
+    target: str = "shipment_count"
+    rounds: int = 500
+    trees: int = 400
+    depth: int = 5
+    limit: float = 0.95
+    seed: int = 42
+
+    def _estimators(self) -> list:
+        linear = {"featuresCol": "x", "labelCol": "label", "weightCol": "weight", "standardization": True, "maxIter": 100}
+        tree = {"featuresCol": "x", "labelCol": "label", "seed": self.seed, "maxDepth": self.depth}
+        boosted = {**tree, "maxIter": self.rounds, "stepSize": 0.05, "weightCol": "weight", "validationIndicatorCol": "is_valid", "validationTol": 0.001}
+        if self.kind in ("ridge", "lasso", "elastic_net"):
+            shares = {"ridge": (0.0,), "lasso": (1.0,), "elastic_net": SHARES}[self.kind]
+            return [LinearRegression(regParam=a, elasticNetParam=r, **linear) for r in shares for a in PENALTIES]
+        return {
+            "random_forest": lambda: [RandomForestRegressor(numTrees=self.trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", **tree)],
+            "gbt": lambda: [GBTRegressor(**boosted)],
+            "gbt_sampled": lambda: [GBTRegressor(subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted)],
+            "gbt_absolute": lambda: [GBTRegressor(lossType="absolute", subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted)],
+        }[self.kind]()
+
+    def fit(self, train: DataFrame) -> FittedPooled:
+        from .evaluate import inner_validation, sample_weight
+        from .stats import select_features
+
+        train = train.where(F.col(self.target).isNotNull() & ~F.col("year").isin(*self.drop_years)) if self.drop_years else train.where(F.col(self.target).isNotNull())
+        used = select_features(train, self.features, self.limit)
+        scales = train.groupBy(*self.keys).agg(F.greatest(F.lit(1e-9), F.avg(F.col(self.target).cast("double"))).alias("scale"))
+        rows = _vectors(train, scales, used, self.target, self.keys).withColumn("weight", sample_weight(self.weights)).withColumn("is_test", F.lit(False))
+        rows = inner_validation(rows, self.break_years, self.keys).select("x", "label", "weight", "is_valid").cache()
+        try:
+            best, tries = None, self._estimators()
+            if len(tries) > 1:
+                inner, valid = rows.where("not is_valid"), rows.where("is_valid")
+                error = lambda m: m.transform(valid).agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
+                best = min(range(len(tries)), key=lambda i: (error(tries[i].fit(inner)) or 0.0, i))
+            return FittedPooled(tries[best or 0].fit(rows), scales, used, self)
+        finally:
+            rows.unpersist()
 
-    def run(folds: DataFrame) -> DataFrame:
-        from .evaluate import sample_weight
 
-        df = scaled(folds, features).withColumn("weight", sample_weight(weights or {}))
-        out = None
-        for year in fold_years:
-            part = df.where(F.col("fold_year") == year)
-            train = part.where(~F.col("is_test"))
-            if drop_years:
-                train = train.where(~F.col("year").isin(*drop_years))
-            if train.isEmpty():
-                continue
-            fitted = learner(kind).fit(train)
-            one = fitted.transform(part.where("is_test")).withColumn("prediction", F.greatest(F.lit(1.0), F.col("prediction") * F.col("scale")))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else df.limit(0).withColumn("prediction", F.lit(0.0))
+@dataclass(frozen=True)
+class FittedPooled:
+    fitted: object
+    scales: DataFrame
+    features: Sequence[str]
+    model: Pooled
 
-    return run
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = _vectors(df, self.scales, self.features, self.model.target, self.model.keys)
+        out = self.fitted.transform(rows.drop("prediction"))
+        return out.withColumn("prediction", F.greatest(F.lit(1.0), F.col("prediction") * F.col("scale"))).drop("x", "scale", "label")
 
 
 @dataclass(frozen=True)
@@ -118,6 +169,10 @@ class FittedSeries:
     model: SeriesRidge
     coefficients: DataFrame
 
+    @property
+    def features(self) -> Sequence[str]:
+        return self.model.features
+
     def transform(self, df: DataFrame) -> DataFrame:
         """df of series that were fitted, with prediction (at least 1) and sigma, the residuals' standard deviation."""
         dot = F.aggregate(F.zip_with("coefficients", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.model.features]), lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)

@@ -142,10 +142,19 @@ def df_test(df: DataFrame, column: str, keys: Sequence[str] = ("port", "directio
 
 
 def select_features(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> list[str]:
-    """Columns in order, without those that correlate with an earlier kept or dropped one beyond the limit; nulls count as 0."""
+    """Columns in order, without those that correlate with an earlier kept or dropped one beyond the limit; nulls count as 0.
+
+    One pass over the rows makes the k x k correlations; a column that does not vary correlates with none.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    rho = {(r["a"], r["b"]): r["rho"] for r in corr_matrix(filled, columns).collect()}  # k x k numbers
-    return [b for j, b in enumerate(columns) if not any((v := rho.get((a, b))) is not None and v == v and abs(v) > limit for a in columns[:j])]
+    rows = VectorAssembler(inputCols=list(columns), outputCol="x").transform(filled).select("x")
+    if len(rows.head(2)) < 2:
+        return list(columns)
+    rho = Correlation.corr(rows, "x").first()[0].toArray()
+    return [b for j, b in enumerate(columns) if not any(rho[i, j] == rho[i, j] and abs(rho[i, j]) > limit for i in range(j))]
 
 
 def leaderboard(scores: DataFrame, fold: int | None = None, weight: str = "avg_volume", series: Sequence[str] = ("port", "direction")) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -155,3 +158,20 @@ def save_panel(panel: DataFrame, path: str, keys: Sequence[str] = ("port", "dire
 
 def load_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage of df: written once to the folder in spark.checkpoint.dir and read again.
+
+    Where that is unset, a session of a single process gets a new folder; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="tidewright-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def extract_fields(pages: DataFrame, pair: str, keywords: dict[str, Sequence[str
     found = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(pair), 0)).alias("pos", "_p"))
     label, value = F.lower(F.trim(F.regexp_extract("_p", pair, 1))), F.trim(F.regexp_extract("_p", pair, 2))
     found = found.select("page_id", "pos", label.alias("label"), F.when(~value.isin("", "-"), value).alias("value"))
-    hits = {name: reduce(lambda a, b: a | b, [F.col("label").contains(w.lower()) for w in words]) for name, words in keywords.items()}
+    hits = {name: reduce(lambda a, b: a | b, [F.col("label").contains(w.lower()) for w in words]) for name, words in ((n, (w,) if isinstance(w, str) else w) for n, w in keywords.items())}
     field = F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in hits.items()])
     found = found.withColumn("field", F.when(F.col("value").isNotNull(), field))
     return found.groupBy("page_id").agg(*[F.max_by("value", F.when(F.col("field") == n, F.col("pos"))).alias(n) for n in keywords])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.snapshots import SNAPSHOT, flatten_snapshots
-from ..sources.tables import replace_partition
+from ..sources.tables import replace_partition, stored
 
 
 def windowed_rollup(events: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -27,8 +27,13 @@ def stream_snapshots(spark: SparkSession, folder: str, late: str = "1 day") -> D
     return rows.dropDuplicatesWithinWatermark(["port_code", "list", "imo", "scraped_at"])
 
 
-def stream_scores(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest score of each (port_code, ts): each batch replaces the days it touches, merged with what is there."""
+def stream_scores(scored: DataFrame, path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keeps the latest score of each (port_code, ts): each batch replaces the days it touches, merged with what is there.
+
+    Rows of a batch are later than those of earlier batches. Within a batch the greatest value of the column `order` is the
+    latest (an ingest time, say); where that is equal or not given, the row with the greatest values, so the result is the same
+    in every run. The merged days are stored in the shared folder before the files that they were read from are replaced.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -41,9 +46,8 @@ def stream_scores(scored: DataFrame, path: str, checkpoint: str) -> StreamingQue
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         columns = [c for c in new.columns if c not in ("port_code", "ts", "_n")]
-        best = new.groupBy("port_code", "ts").agg(F.max_by(F.struct(*columns), F.struct("_n")).alias("s")).select("port_code", "ts", "s.*")
-        best = best.checkpoint() if spark.sparkContext.getCheckpointDir() else best.persist()
-        best.count()
-        replace_partition(best, path, "day")
+        rank = F.struct("_n", *([order] if order else []), *columns)
+        best = new.groupBy("port_code", "ts").agg(F.max_by(F.struct(*columns), rank).alias("s")).select("port_code", "ts", "s.*")
+        replace_partition(stored(best, "scores"), path, "day")
 
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

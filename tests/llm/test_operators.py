@@ -83,16 +83,59 @@ def test_media_round_trip(spark):
 def test_media_reader_resynchronises():
     stream = mpeg.encode(mpeg.payload_of(b"hello" * 300), 1500)
     clean = mpeg.parse(stream)
-    assert clean.crc_bad == 0 and clean.lost == 0 and clean.samples == 1152 * 3 and clean.xing_frames == 3 and len(clean.kbps) == 2 and clean.tags["n_bytes"] == "1500"
+    assert clean.crc_bad == 0 and clean.lost == 0 and clean.samples == 1152 * 3 and clean.table_frames == 3 and clean.duration * 48_000 == 3456 and len(clean.kbps) == 2 and clean.tags["n_bytes"] == "1500"
     at = clean.offsets[1]
     dirty = mpeg.parse(stream[:at] + b"\xff\xfbjunk\xff" + stream[at:])
     assert dirty.payload == clean.payload and dirty.lost == 7
     broken = bytearray(stream)
     broken[at + 10] ^= 1
-    assert mpeg.parse(bytes(broken)).crc_bad == 1
+    bad = mpeg.parse(bytes(broken))
+    assert bad.crc_bad == 1 and len(bad.payload) == len(clean.payload) and bad.payload[:576] == clean.payload[:576] and bad.payload[1152:] == clean.payload[1152:]
+    assert mpeg.seek(stream, clean.offsets, clean.duration / 2, clean.rate) == clean.payload[576:1152]
     assert mpeg.parse(b"").offsets == [] and mpeg.parse(b"\xff" * 99).rate is None
 
 
+def test_media_with_a_lost_header_in_frames_like_bytes():
+    # payloads full of headers of another kind, and of the stream's own kind without a checksum that holds
+    r = random.Random(6)
+    for fake in (b"\xff\xfb\x90\x64", b"\xff\xfa\x54\x04", b"\xff\xfd\x84\x00"):
+        payload = mpeg.payload_of(b"".join(fake + r.randbytes(r.randrange(60)) for _ in range(200)))
+        stream = mpeg.encode(payload, len(payload))
+        clean = mpeg.parse(stream)
+        assert clean.payload == payload and clean.lost == 0
+        at = clean.offsets[2]
+        broken = mpeg.parse(stream[:at] + b"\0\0\0\0" + stream[at + 4 :])
+        assert broken.offsets == clean.offsets[:2] + clean.offsets[3:] and broken.lost == clean.offsets[3] - at
+
+
+def test_tags_and_tables_of_other_writers():
+    def frame(name, body, major):
+        return name + (mpeg.synchsafe(len(body)) if major == 4 else len(body).to_bytes(4 if major == 3 else 3, "big")) + (b"\0\0" if major > 2 else b"") + body
+
+    text = b"\x03" + "Ñandú".encode()
+    for major, name, extended in ((2, b"TT2", b""), (3, b"TIT2", (6).to_bytes(4, "big") + bytes(6)), (4, b"TIT2", mpeg.synchsafe(6) + b"\1\0")):
+        body = extended + frame(name, text * 30 if major == 4 else text, major) + bytes(20)
+        tags, end = mpeg._id3v2(b"ID3" + bytes((major, 0, 0x40 if extended else 0)) + mpeg.synchsafe(len(body)) + body + b"rest")
+        assert tags[name.decode()].startswith("Ñandú") and end == 10 + len(body)
+    wide = frame(b"TALB", b"\x01" + "\ufeffabÿA".encode("utf-16-le"), 3).replace(b"\xff\x00", b"\xff\x00\x00")  # unsynchronised
+    assert mpeg._id3v2(b"ID3\x03\0\x80" + mpeg.synchsafe(len(wide)) + wide)[0]["TALB"] == "abÿA"
+    # a VBRI table in the first frame; two frames behind it
+    head = mpeg._head(128, protected=False)
+    vbri = b"VBRI" + bytes(6) + (999).to_bytes(4, "big") + (2).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (128).to_bytes(2, "big") * 2
+    found = mpeg.parse((head + bytes(32) + vbri).ljust(384, b"\0") + (head + bytes(380)) * 2)
+    assert (found.table, found.table_frames, found.table_bytes, found.toc, len(found.offsets), found.crc_unchecked) == ("VBRI", 2, 999, [0, 384, 768], 2, 0)
+    # layer I: the bit allocation is protected
+    kind = bytes((0xFF, 0xFE, 0x44, 0x00))
+    one = mpeg.header(kind)
+    body = bytes(range(32)) + bytes(one.size - 38)
+    good = kind + mpeg.crc16(kind[2:] + bytes(range(32))).to_bytes(2, "big") + body
+    assert (one.layer, one.checked) == (1, 32) and mpeg.parse(good * 3).crc_ok == 3 and mpeg.parse(good + kind + b"\0\0" + body + good).crc_bad == 1
+    # two rates in one stream cannot be: the second kind is passed over, and the duration stays that of the first
+    other = bytes((0xFF, 0xFB, 0x90, 0x00))
+    mixed = mpeg.parse((head + bytes(380)) * 3 + (other + bytes(mpeg.header(other).size - 4)) * 2)
+    assert mixed.rate == 48_000 and mixed.samples == 3 * 1152 and mixed.lost == 2 * mpeg.header(other).size
+
+
 # ---- op3 ----
 
 def edit(a, b):

@@ -218,8 +218,9 @@ def line_report(docs: DataFrame, **how) -> DataFrame:
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with the removed lines taken out of the column text; all other columns and all rows stay."""
-    gone = judged_lines(docs, **how).where("copy or near").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    gone = judged_lines(docs, **how).where("copy or near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    d, g = docs.alias("d"), gone.alias("g")
+    joined = d.join(g, F.expr("d.doc_id <=> g.doc_id"), "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda line, i: ~F.array_contains("g.gone", i)), "\n")
+    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

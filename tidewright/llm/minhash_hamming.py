@@ -257,7 +257,7 @@ def _apart(live: DataFrame, rows: DataFrame, star: DataFrame, links: DataFrame,
     # pairs without a measured hub, and those for which the hub's set alone may be enough
     w = Window.partitionBy("key")
     rest = rest.withColumn("least_n", F.min("n").over(w)).withColumn("far", F.max(F.col("shared").isNull()).over(w))
-    rest = written(rest.where("far or 175 * shared >= 75 * (n + least_n)"), "rest")
+    rest = rest.where("far or 175 * shared >= 75 * (n + least_n)")
     x, y = rest.where("comp <> hub_comp").alias("x"), rest.alias("y")
     may = "x.key = y.key and x.comp <> y.comp and (y.comp = y.hub_comp or x.id < y.id) and 175 * least(x.n_common, y.n_common) >= 75 * (x.n + y.n)"
     may += " and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) and (x.shared is null or y.shared is null or 175 * least(x.shared, y.shared) >= 75 * (x.n + y.n))"
@@ -281,16 +281,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes alone in all their buckets have no candidate
     keys = written(index_keys(classes.select("id", "sig")), "keys")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    candidates = written(keys.join(shared, "key", "left_semi").select("id").distinct(), "candidates")
-    discard(keys, shared)
+    candidates = keys.join(shared, "key", "left_semi").select("id").distinct()
     sets = written(_sets(candidates, classes, docs), "sets")
+    discard(keys, shared)
     live = classes.join(_common_sizes(sets), "id").where("100 * n_common >= 75 * n_shingles")
     live = written(live.select("id", "sig", "n_shingles", "n_common", (F.col("n_common") / F.col("n_shingles")).alias("central")), "live")
 
-    keys = written(index_keys(live.select("id", "central", "sig")), "keys")
+    keys = index_keys(live.select("id", "central", "sig"))
     hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("h")).where("n > 1")
     rows = written(keys.join(hubs.select("key", (-F.col("h.least")).alias("hub")), "key").select("key", "id", "hub"), "buckets")
-    discard(keys)
     star = _confirmed(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets)
     more = _apart(live, rows, star, _links(star), sets)
 

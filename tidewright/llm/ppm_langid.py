@@ -12,11 +12,13 @@ and 8 bits below order 0. The language of the shortest code wins; ties go to the
 Frozen costs are looked up for whole batches: each order has an open-addressing table of grams (context and byte) with the
 complete cost in every language, and one of contexts with the escape cost in every language for grams that none has seen.
 
-The sample is bounded by `rows_per_language` (chosen by a hash of doc_id, so it is the same in every run); scoring covers every
-byte of every text. Training is one grouped task for each language on that sample; scoring is mapInArrow without a shuffle.
+The sample is bounded by `rows_per_language` and `bytes_per_language` (chosen by a hash of doc_id, so it is the same in every
+run) and by `most_languages`; scoring covers every byte of every text. Training is one grouped task for each language on that sample; scoring is mapInArrow without a shuffle.
 
 Cases: null text, or text without any letter, is `und` with score 0; rows without label or text are not learnt from; without
-any row to learn from, everything is `und`; extra columns are ignored by predict() and kept by keep_known().
+any row to learn from, everything is `und`; a null doc_id is never held out and its held_out is false; a very long text is
+scored in a batch of its own, with some 100 bytes of memory for each of its bytes; extra columns are ignored by predict() and
+kept by keep_known().
 """
 
 from __future__ import annotations
@@ -167,17 +169,28 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, rows_per_language: int = 1000) -> Model | None:
-    """A model of the labelled rows (text, lang) outside the held-out fold, from about rows_per_language rows of each language and never more than 1.5 times that."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(10_000).collect()}
+def _some(rows: DataFrame, per_language: int, languages: int) -> DataFrame | None:
+    """About per_language rows of each of the `languages` most frequent labels (equal counts: first in order of name), drawn by a hash of doc_id."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, rows_per_language / n))) for name, n in sorted(counts.items())])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where(draw < share)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = some.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= int(1.5 * rows_per_language))
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))) for r in counts])
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
+
+
+def train(docs: DataFrame, rows_per_language: int = 1000, bytes_per_language: int = 16 << 20, most_languages: int = 1000) -> Model | None:
+    """A model of the labelled rows (text, lang) outside the held-out fold.
+
+    Learnt are about rows_per_language rows of each language, never more than 1.5 times that nor texts beyond bytes_per_language
+    bytes together (a longer text is not learnt from), and the most_languages most frequent labels.
+    """
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("doc_id", "text", "lang")
+    some = _some(rows, rows_per_language, most_languages)
+    if some is None:
+        return None
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    some = some.where(F.octet_length("text") <= bytes_per_language).withColumns({"_n": F.row_number().over(first), "_bytes": F.sum(F.octet_length("text").cast("long")).over(first)})
+    some = some.where((F.col("_n") <= int(1.5 * rows_per_language)) & (F.col("_bytes") <= bytes_per_language)).drop("_bytes")
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         found = count_grams([t.encode() for t in part["text"]])
@@ -223,15 +236,32 @@ def identify(docs: DataFrame, rows_per_language: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte of every row of docs(doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang")
     found = predict(docs, train(docs, rows_per_language))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
 
+def most_bits(docs: DataFrame, model: Model | None, rows_per_language: int = 1000, share: float = 0.999, margin: float = 1.25) -> dict[str, float]:
+    """For each language the bits a byte that `margin` times all but 1 - share of the labelled texts of the held-out fold need (about rows_per_language of each label)."""
+    if model is None:
+        return {}
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    some = _some(rows, rows_per_language, len(model.languages))
+    if some is None:
+        return {}
+    found = predict(some, model).where("bits_per_byte is not null").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", share, 10_000).alias("b"), F.count("*").alias("n"))
+    return {r["lang_pred"]: margin * r["b"] for r in found.where("n >= 50").collect()}  # one row for each language
 
-def keep_known(docs: DataFrame, rows_per_language: int = 1000, most_bits_per_byte: float = 12.0) -> DataFrame:
-    """The rows of docs (doc_id, text, lang and others) whose text is in a learnt language: not `und`, and no dearer a byte than the bound.
 
-    The default bound is above anything but bytes that no learnt text has; lower it to refuse unlike languages.
+def keep_known(docs: DataFrame, rows_per_language: int = 1000, slack: int = 200) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) whose text is in a learnt language.
+
+    Refused are `und` and texts whose code in their best language is more than `slack` bits longer than that language's bound of
+    most_bits() allows: other languages and scripts, random characters. Short texts cannot be that much longer and stay. A
+    language with fewer than 50 labelled texts in the held-out fold has no bound.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
+    model = train(docs, rows_per_language)
+    bound = most_bits(docs, model, rows_per_language)
+    limits = np.array([bound.get(name, np.inf) for name in model.languages]) if model else None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def keep(texts: pa.Array) -> pa.Array:
@@ -239,8 +269,10 @@ def keep_known(docs: DataFrame, rows_per_language: int = 1000, most_bits_per_byt
             if shared.value is None:
                 return pa.array([False] * len(texts))
             raw = utf8(texts)
-            cost = shared.value.bits(raw).min(axis=1) / np.maximum(1, [len(t) for t in raw])
-            return pc.and_(known, pa.array(cost <= most_bits_per_byte))
+            bits = shared.value.bits(raw)
+            best = bits.argmin(axis=1)
+            enough = bits[np.arange(len(bits)), best] <= limits[best] * np.maximum(1, [len(t) for t in raw]) + slack
+            return pc.and_(known, pa.array(enough))
 
         return keep
 

@@ -11,6 +11,8 @@ Items are read in blocks of at most `block_words` words, so what is broadcast is
 are passed over once for each block. Texts are handled by mapInArrow in batches bounded by bytes, without a shuffle; only texts
 with overlaps are joined back. Items shorter than the widest mask are found by a hash of all their words.
 
+Other columns of both tables are not read (drop_contaminated() keeps those of the texts). A very long text is a batch of its own.
+
 Cases: null or empty texts and items have no words and overlap with nothing; items of fewer than `shortest_item` words are not
 looked for; repeated items count once for each item_id; rows of one doc_id share their overlaps; an empty benchmark leaves every text clean.
 """
@@ -36,6 +38,7 @@ SHORTEST_ITEM = 5
 SPAN = max(map(len, MASKS))
 _STEP = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
 _BITS = 20
+_MOST_HITS = 1 << 20
 
 
 def seed_hashes(words: np.ndarray, places: list[int], salt: int) -> np.ndarray:
@@ -82,15 +85,18 @@ class Items:
             maybe = np.flatnonzero(bitmap[(own >> np.uint64(64 - _BITS)).astype(np.int64)])
             low, high = np.searchsorted(hashes, own[maybe], "left"), np.searchsorted(hashes, own[maybe], "right")
             n = high - low
-            if n.any():
-                place = np.repeat(maybe, n)
-                pairs.append(np.stack([place, at[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]]))
+            # a template that many items share hits all of them at once: expanded in runs of some _MOST_HITS, each reduced to its distinct shifts
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // _MOST_HITS)) + 1).tolist(), len(n)]
+            for a, b in zip(cuts, cuts[1:]):
+                if k := int(n[a:b].sum()):
+                    place = np.repeat(maybe[a:b], n[a:b])
+                    seed = at[np.repeat(low[a:b] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b]) + np.arange(k)]
+                    text, item = np.searchsorted(first, place, "right") - 1, np.searchsorted(self.first, seed, "right") - 1
+                    pairs.append(np.unique(np.stack([text, item, place - seed], axis=1), axis=0))
         if not pairs:
             return []
-        place, seed = np.concatenate(pairs, axis=1)
-        text, item = np.searchsorted(first, place, "right") - 1, np.searchsorted(self.first, seed, "right") - 1
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, i, shift in np.unique(np.stack([text, item, place - seed], axis=1), axis=0).tolist():
+        for t, i, shift in np.unique(np.concatenate(pairs), axis=0).tolist():
             # all words of the item that fall into the text at this shift
             a, b = max(int(self.first[i]), int(first[t]) - shift), min(int(self.first[i + 1]), int(first[t + 1]) - shift)
             if b <= a:

@@ -232,9 +232,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, word: int = WORD, most_group: int = 1000) -> DataFrame:
     """doc_id, th, begin, end of covered spans of docs(doc_id, th, text); spans may overlap."""
     every = written(find_anchors(docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text"), length, word), "anchors")
-    repeated = every.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
+    # written, so that the join below has a shuffle of its own and adaptive execution can split a word that very many texts share
+    repeated = written(every.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word"), "words")
     found = written(every.join(repeated, "word", "left_semi"), "repeated")
-    discard(every)
+    discard(every, repeated)
     kinds = written(found.groupBy("word", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one")).select("word", "run", "n", "one.*"), "kinds")
     at, left, right = (F.expr(e) for e in ("shiftright(place, 24)", "shiftright(place, 12) & 4095", "place & 4095"))
     whole = found.join(kinds.where("n > 1").select("word", "run"), ["word", "run"], "left_semi")

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -97,8 +99,9 @@ def _prior_weight(children: DataFrame, keys: list[str], least: float, most: floa
 def host_reputation(hosts: DataFrame, prior_mean: float = 0.1, prior_weight: float = 10.0, least_weight: float = 2.0, most_weight: float = 200.0, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """hosts(host, n, bad): labelled pages and bad ones of each host. Returns host, n, bad, mean, sd of its posterior."""
     hosts = hosts.select("host", F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("bad"), domain_of(F.col("host"), second_level).alias("domain"), suffix_of(F.col("host"), second_level).alias("suffix"))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # each level is written once, so that none is counted again for the next
+    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + prior_mean * prior_weight) / (F.coalesce(F.sum("n"), F.lit(0)) + prior_weight)).alias("m"))
 
     def posterior(m: Column, w: Column) -> Column:
@@ -111,7 +114,7 @@ def host_reputation(hosts: DataFrame, prior_mean: float = 0.1, prior_weight: flo
     suffixes = suffixes.select("suffix", posterior(F.col("m"), F.col("w")).alias("m"))
     domains = domains.join(suffixes, "suffix")
     domains = domains.join(_prior_weight(domains, ["suffix"], least_weight, most_weight), "suffix", "left").withColumn("w", F.coalesce("w", F.lit(most_weight)))
-    domains = domains.select("suffix", "domain", posterior(F.col("m"), F.col("w")).alias("m"))
+    domains = written(domains.select("suffix", "domain", posterior(F.col("m"), F.col("w")).alias("m")), "domain-means")
     hosts = hosts.join(domains, ["suffix", "domain"])
     hosts = hosts.join(_prior_weight(hosts, ["suffix", "domain"], least_weight, most_weight), ["suffix", "domain"], "left").withColumn("w", F.coalesce("w", F.lit(most_weight)))
     a, b = F.col("bad") + F.col("w") * F.col("m"), F.col("n") - F.col("bad") + F.col("w") * (1 - F.col("m"))
@@ -126,7 +129,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], z: flo
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # a repeated label row counts once: its worst outcome
     marks = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    counted = urls.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counted = written(urls.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
     bound = host_reputation(counted, **prior).select("host", (F.col("mean") - z * F.col("sd")).alias("bad_bound"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     said = F.coalesce(*[F.when(F.col("rule") == r.text, F.lit(r.verdict)) for r in rules]) if rules else F.lit(None).cast("string")

@@ -58,8 +58,11 @@ def test_a_row_for_every_row(docs, bench, name):
         assert all(r.index_ok for r in rows) and by[2][0].n_bytes == len(ROWS[4][1])
     if name == "op4":
         assert all(r.lossless for r in rows) and sorted(r.n_tokens for r in by[1]) == [0, 0]
+    if name == "op5":
+        assert all(r[c] == "own" for r in rows for c in CLASHING if c != "licenses")
     if name == "op7":
         assert {r.component_id for r in by[3]} == {3} and {r.n_shingles for r in by[1]} == {0} and by[2][0].kept
+        assert sorted((r.n_shingles > 0, r.component_id) for r in by[None]) == [(False, None), (True, 3)] and all(r.kept for r in by[None])
     if name == "op8":
         ordered = sorted(rows, key=lambda r: r.start)
         assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:i]) for i in range(len(ordered))] and ordered[0].doc_id is None and ordered[1].doc_id is None

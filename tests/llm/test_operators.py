@@ -441,6 +441,27 @@ def test_near_duplicates(spark):
     assert minhash_hamming.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_families_of_templates_and_remnants(spark):
+    """Families around a common text: copies with own edits, copies with one of few other passages, texts of which only parts are left."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    texts = []
+    for size in (60, 90, 140):
+        base = [word() for _ in range(size)]
+        others = [[word() for _ in range(size // 4)] for _ in range(2)]
+        for _ in range(14):
+            edited = list(base)
+            for _ in range(r.randrange(5)):
+                edited[r.randrange(size)] = r.choice(("the", word()))
+            at, other = r.randrange(size // 2), r.choice(others)
+            swapped = base[:at] + other[: r.randrange(3, len(other))] + base[at + r.randrange(len(other)) :]
+            begin = r.randrange(size // 3)
+            texts += [" ".join(x) for x in (edited, swapped, base[begin : begin + r.randrange(size // 2, size)])]
+    r.shuffle(texts)
+    got = minhash_hamming.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(g) for g in got] == plain_components(texts)
+
+
 # ---- op9 ----
 
 def test_language(spark):

@@ -21,7 +21,9 @@ Links are confirmed on full sets (100 * intersection >= 75 * union). All pairs o
 So components are those of the full link graph among candidates, while the pairs of a group of n copies grow as n.
 
 Cases: null or empty texts and texts without words have an empty set, n_shingles 0, and are linked with nothing; fewer than
-five words make one shingle; repeated rows are one class, and an id with several texts is linked by each of them. Batches are bounded by bytes; skewed keys of joins are split by AQE.
+five words make one shingle; repeated rows are one class, and an id with several texts is linked by each of them; rows of a null
+id are in the group of an equal text of another id, else in none, and stay. Other columns are not read by near_duplicates() and kept by keep_first(). Batches are bounded by bytes, a very
+long text is one by itself; skewed keys of joins are split by AQE, hubs of many members by their count.
 """
 
 from __future__ import annotations
@@ -205,10 +207,10 @@ def _outside(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _peeled(outside: DataFrame) -> DataFrame:
-    """Rows of outside (a, b, comp, hub_comp, shared, n, least_n, central, shingle) that can matter for a link between components of a hub's members."""
+    """Rows of outside (a, b, comp, hub_comp, shared, n, least_n, central, shingle) that can matter for a link between components of a hub's members, with n_out: how many a member has."""
     w, of_member = Window.partitionBy("a", "shingle"), Window.partitionBy("a", "b")
     rows = outside.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
-    return rows.withColumn("n_out", F.count("*").over(of_member)).where("175 * (shared + n_out) >= 75 * (n + least_n)").drop("n_out")
+    return rows.withColumn("n_out", F.count("*").over(of_member)).where("175 * (shared + n_out) >= 75 * (n + least_n)")
 
 
 def _relabelled(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -251,7 +253,10 @@ def _apart(live: DataFrame, rows: DataFrame, star: DataFrame, links: DataFrame,
 
     # what is still apart; each pair once: of two that are both off the hub's component, the smaller is x
     x, y = outside.where("comp <> hub_comp").alias("x"), outside.alias("y")
-    met = x.join(y, F.expr("x.a = y.a and x.shingle = y.shingle and x.comp <> y.comp and (y.comp = y.hub_comp or x.b < y.b)"))
+    may = "x.a = y.a and x.shingle = y.shingle and x.comp <> y.comp and (y.comp = y.hub_comp or x.b < y.b)"
+    # the most that two members can share, inside of the hub's set and outside
+    may += " and 175 * (least(x.shared, y.shared) + least(x.n_out, y.n_out)) >= 75 * (x.n + y.n)"
+    met = x.join(y, F.expr(may))
     enough = "175 * (least(first(x.shared), first(y.shared)) + count(*)) >= 75 * (first(x.n) + first(y.n))"
     third = met.groupBy(F.col("x.a").alias("hub"), F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.expr(enough).alias("ok")).where("ok").select("a", "b")
     # pairs without a measured hub, and those for which the hub's set alone may be enough
@@ -277,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets: one class, named by its smallest id (empty sets are in none)
     classes = feats.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("print"))
-    classes = written(classes.withColumn("id", F.when(nth == 1, F.col("rep")).otherwise(F.xxhash64("print"))), "classes")
+    classes = written(classes.withColumn("id", F.when((nth == 1) & F.col("rep").isNotNull(), F.col("rep")).otherwise(F.xxhash64("print"))), "classes")
     # classes alone in all their buckets have no candidate
     keys = written(index_keys(classes.select("id", "sig")), "keys")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
@@ -301,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = comp.join(classes.select("id", "rep"), comp["node"] == classes["id"]).groupBy("component").agg(F.min("rep").alias("least"))
     comp = comp.join(least, "component").select("node", "least")
     found = of_class.join(comp, of_class["id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ The tables (about 50,000 entries) are read once in each Python worker from `path
 mapInArrow without any shuffle, in batches bounded by bytes. Ids are kept as packed little-endian 32-bit integers.
 
 Cases: null and empty texts have no ids and decode to nothing; a text of white space or of bytes outside any merge is encoded
-byte by byte; special tokens are ordinary text; ids outside the vocabulary make decode() raise KeyError.
+byte by byte; special tokens are ordinary text; ids outside the vocabulary make decode() raise KeyError. Repeated rows give
+equal rows; other columns are not read; a very long text is a batch of its own (some 100 bytes of memory for each of its bytes).
 """
 
 from __future__ import annotations

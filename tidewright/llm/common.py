@@ -87,14 +87,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
-    """The rows of df, all columns, for which make()'s function of a batch of texts is true; no shuffle."""
+def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]], limit: int = 1 << 18) -> DataFrame:
+    """The rows of df, all columns, for which make()'s function of a batch of texts (of about `limit` bytes) is true; no shuffle."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
+            for part in slices(batch, at, limit):
                 if part.num_rows:
                     yield part.filter(keep(part.column(at)))
         give_back()

@@ -11,7 +11,8 @@
    checkpoints advance together in numpy, which is what makes blocks and checkpoints independent of each other.
 
 Cases: null and empty texts hold the end id alone; several rows of one doc_id stand side by side in no fixed order of equal
-ids; a null doc_id comes first; an empty table gives no file. Work is by batches bounded in bytes; the shuffle moves coded bits.
+ids; a null doc_id comes first; an empty table gives no file; other columns are not read. Work is by batches bounded in bytes, a
+very long text is one by itself; the shuffle moves coded bits.
 """
 
 from __future__ import annotations

@@ -154,6 +154,7 @@ def scan_licenses(docs: DataFrame, rules: list[tuple[str, list[str]]] = [*RULES,
     def apply(c: Column, rule: tuple[str, list[str]]) -> Column:
         return F.replace(c, F.lit("|" + "||".join(rule[1]) + "|"), F.lit(f"|+{rule[0]}|"))
 
-    df = df.withColumn("_line", reduce(apply, rules, line))
-    hits = F.regexp_extract_all("_line", F.lit(r"\|\+([^|]+)\|"), 1)
-    return df.withColumn("licenses", F.array_sort(F.array_distinct(hits))).withColumn("n_sentences", F.size("license_ids").cast("long")).withColumn("n_rules", F.size(hits).cast("long")).drop("_line")
+    own = "_" + "_".join(df.columns)  # a name that no column of docs has
+    df = df.withColumn(own, reduce(apply, rules, line))
+    hits = F.regexp_extract_all(F.col(f"`{own}`"), F.lit(r"\|\+([^|]+)\|"), 1)
+    return df.withColumn("licenses", F.array_sort(F.array_distinct(hits))).withColumn("n_sentences", F.size("license_ids").cast("long")).withColumn("n_rules", F.size(hits).cast("long")).drop(own)

@@ -19,7 +19,8 @@ its own first place. The earliest line of a chain of links always stays.
 
 Cases: null and empty texts have no lines; lines shorter than `shortest` characters are linked with nothing, and are removed as
 copies only if they have `shortest_copies` characters (1 in the pipeline: every line but the empty one; `shortest` if not given);
-rows that repeat a doc_id are taken as one document; a null doc_id is before all others. Other columns are not touched.
+rows that repeat a doc_id are taken as one document; a null doc_id is before all others. Other columns are not touched. A very
+long text is split into its lines within its task, so it costs memory in proportion to its length.
 """
 
 from __future__ import annotations

@@ -229,7 +229,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
         return each
 
-    return map_batches(docs.select(key, text), make, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double", sized_by=1, limit=1 << 20)
+    return map_batches(docs.select(key, text), make, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double", sized_by=1, limit=1 << 18)
 
 
 def identify(docs: DataFrame, rows_per_language: int = 1000) -> DataFrame:

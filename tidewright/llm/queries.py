@@ -1,6 +1,6 @@
 """Registered queries of the text operators, with their DuckDB SQL where SQL can express them.
 
-Queries without SQL (op1, op2, op4, op7, op8, op9 and pipeline) are tested against brute force or a round trip in tests/llm.
+Queries without SQL (op1, op2, op4, op7, op8, op9, op10 and pipeline) are tested against brute force or a round trip in tests/llm.
 """
 
 from __future__ import annotations

@@ -162,6 +162,12 @@ def test_rankings(spark):
     assert [(r.hs2, r.rank) for r in marts.first_in_rank(df, ["port"], "v", 2, "hs2").where("port = 'p'").orderBy("rank").collect()] == [("b", 1), ("c", 2)]
 
 
+def test_shares_without_a_key(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.0), ("a", 1.0), ("d", None)], "name string, v double")
+    assert {(r.name, r.v, r.share_pct) for r in marts.top_n_share(df, "name", "v", 2).collect()} == {("a", 6.0, 60.0), ("b", 3.0, 30.0), ("Others", 1.0, 10.0)}
+    assert [(r.name, r.share_pct) for r in marts.top_n_share(df.where("name = 'a'"), "name", "v", 2).collect()] == [("a", 100.0)]
+
+
 def test_scores_of_one_batch_do_not_tie_by_chance(spark, tmp_path):
     rows = [("A", "2024-01-01 00:00:00", 5.0, 1), ("A", "2024-01-01 00:00:00", 3.0, 2), ("A", "2024-01-01 00:00:00", 9.0, 1)]
     spark.createDataFrame(rows, "port_code string, ts string, operability double, seen int").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "s"))

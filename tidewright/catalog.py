@@ -747,7 +747,8 @@ def _(s, d):
 
 # ---- D35 and K: weather and marts ----------------------------------------------------------------------------------
 
-_CFG = "cfg(port_code, ht, hc, wt, wc, gt, gc, ex, sw) AS (VALUES ('click', 0.5, 1.5, 40.0, 90.0, 100.0, 150.0, 1.0, 1.0), ('view', 0.5, 1.2, 40.0, 80.0, 90.0, 140.0, 1.1, 0.9), ('purchase', 0.4, 1.5, 30.0, 90.0, 100.0, 160.0, 0.9, 1.2), ('signup', 0.6, 1.4, 35.0, 85.0, 95.0, 150.0, 1.0, 1.0))"
+#: The configuration as doubles, as Spark has it: decimals would be subtracted exactly.
+_CFG = "cfg AS (SELECT port_code, CAST(ht AS DOUBLE) AS ht, CAST(hc AS DOUBLE) AS hc, CAST(wt AS DOUBLE) AS wt, CAST(wc AS DOUBLE) AS wc, CAST(gt AS DOUBLE) AS gt, CAST(gc AS DOUBLE) AS gc, CAST(ex AS DOUBLE) AS ex, CAST(sw AS DOUBLE) AS sw FROM (VALUES ('click', 0.5, 1.5, 40.0, 90.0, 100.0, 150.0, 1.0, 1.0), ('view', 0.5, 1.2, 40.0, 80.0, 90.0, 140.0, 1.1, 0.9), ('purchase', 0.4, 1.5, 30.0, 90.0, 100.0, 160.0, 0.9, 1.2), ('signup', 0.6, 1.4, 35.0, 85.0, 95.0, 150.0, 1.0, 1.0)) v(port_code, ht, hc, wt, wc, gt, gc, ex, sw))"
 WEATHER = _CFG + """, hourly AS (SELECT event_type AS port_code, date_trunc('hour', ts) AS ts, avg(value) / 100 AS wave, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 20 AS swell, avg(value) AS wind, max(value) AS gusts FROM events GROUP BY 1, 2),
     risk AS (SELECT h.*, coalesce(least(1, greatest(0, (greatest(wave * coalesce(ex, 1), swell * coalesce(sw, 1)) - ht) / (hc - ht))), 0) AS wave_risk, coalesce(least(1, greatest(0, (wind - wt) / (wc - wt))), 0) AS wind_risk, coalesce(least(1, greatest(0, (gusts - gt) / (gc - gt))), 0) AS gusts_risk, coalesce(swell > wave, false) AS swell_dominant FROM hourly h LEFT JOIN cfg USING (port_code)),
     r1 AS (SELECT *, greatest(wave_risk, wind_risk, gusts_risk) AS combined_risk FROM risk),

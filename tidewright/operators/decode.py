@@ -19,6 +19,15 @@ class Lookup:
     most_rows: int = 100_000
 
 
+def is_small(df: DataFrame, most_rows: int, sure: int = 4 << 20) -> bool:
+    """Whether df may be broadcast: the planner's estimate is at most `sure` bytes, or a count finds most_rows rows at most.
+
+    The estimate comes from the files' sizes without a job; only what it leaves open is counted.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate <= sure or df.limit(most_rows + 1).count() <= most_rows
+
+
 def decode(facts: DataFrame, lookups: list[Lookup]) -> DataFrame:
     """Facts with the labels of all lookups; the number of rows never changes.
 
@@ -29,17 +38,17 @@ def decode(facts: DataFrame, lookups: list[Lookup]) -> DataFrame:
         names = list(x.columns)
         dim = x.dim.select(F.col(x.key).alias(f"_k{i}"), *[F.col(c).alias(f"_v{i}_{j}") for j, c in enumerate(names)])
         dim = dim.where(F.col(f"_k{i}").isNotNull()).groupBy(f"_k{i}").agg(F.min(F.struct(*[f"_v{i}_{j}" for j in range(len(names))])).alias("_v")).select(f"_k{i}", "_v.*")
-        small = x.dim.limit(x.most_rows + 1).count() <= x.most_rows
-        facts = facts.join(F.broadcast(dim) if small else dim, F.col(x.on) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        facts = facts.join(F.broadcast(dim) if is_small(x.dim, x.most_rows) else dim, F.col(x.on) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         facts = facts.withColumnsRenamed({f"_v{i}_{j}": x.columns[c] for j, c in enumerate(names)})
     return facts
 
 
-def prefix_fallback(facts: DataFrame, dim: DataFrame, code: str, key: str, label: str, out: str, width: int = 4) -> DataFrame:
+def prefix_fallback(facts: DataFrame, dim: DataFrame, code: str, key: str, label: str, out: str, width: int = 4, most_rows: int = 1_000_000) -> DataFrame:
     """Label of the code, else that of the first code (in order) with the same prefix of `width` characters."""
+    hint = F.broadcast if is_small(dim, most_rows) else (lambda d: d)
     exact = dim.groupBy(F.col(key).alias("_code")).agg(F.min(label).alias("_exact"))
     near = dim.groupBy(F.substring(key, 1, width).alias("_prefix")).agg(F.min(F.struct(key, label)).alias("_near")).select("_prefix", F.col(f"_near.{label}").alias("_near"))
-    found = facts.join(exact, F.col(code) == F.col("_code"), "left").join(near, F.substring(code, 1, width) == F.col("_prefix"), "left")
+    found = facts.join(hint(exact), F.col(code) == F.col("_code"), "left").join(hint(near), F.substring(code, 1, width) == F.col("_prefix"), "left")
     return found.withColumn(out, F.coalesce("_exact", "_near")).drop("_code", "_exact", "_prefix", "_near")
 
 

@@ -49,7 +49,12 @@ def month_deviation(df: DataFrame, value: str, keys: Sequence[str], cut: float =
 def top_n_share(df: DataFrame, name: str, value: str, n: int = 5, keys: Sequence[str] = (), rest: str = "Others") -> DataFrame:
     """Shares of the n largest names of each key, the others in one row. Sums are made before anything is ranked."""
     sums = df.groupBy(*keys, name).agg(F.sum(value).alias("v"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    if not keys:  # a distributed top n; nothing is sorted in one task
+        top = sums.orderBy(F.desc("v"), name).limit(n)
+        others = sums.join(top, name, "left_anti").agg(F.sum("v").alias("v")).where("v is not null").select(F.lit(rest).alias(name), "v")
+        total = sums.agg(F.sum("v")).first()[0]
+        return top.unionByName(others).withColumn("share_pct", 100 * safe_div(F.col("v"), F.lit(total)))
+    part = Window.partitionBy(*keys)
     ranked = sums.withColumn("_r", F.row_number().over(part.orderBy(F.desc("v"), name)))
     few = ranked.groupBy(*keys, F.when(F.col("_r") <= n, F.col(name)).otherwise(F.lit(rest)).alias(name)).agg(F.sum("v").alias("v"))
     return few.withColumn("share_pct", 100 * safe_div(F.col("v"), F.sum("v").over(part)))

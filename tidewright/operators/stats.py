@@ -88,7 +88,7 @@ def head_to_head(scores: DataFrame, a: str, b: str, keys: Sequence[str], metric:
 
 
 def label_dist(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("pct", 100 * safe_div(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
+    return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("pct", 100 * safe_div(F.col("n"), F.lit(df.count())))
 
 
 def residual_stats(df: DataFrame, y: str = "y", p: str = "prediction") -> DataFrame:

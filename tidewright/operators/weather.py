@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_label, clamp, safe_div
+from .decode import is_small
 
 LEVELS = ((0.25, 0.5, 1.0), ("Open", "Watch", "Warning", "Closed"))
 DRIVERS = ("wave", "wind", "gusts")
@@ -24,9 +25,9 @@ def score_operability(hourly: DataFrame, config: DataFrame) -> DataFrame:
 
     Ports without a row of config have no risk. The formula is this library's own: risk = clamp((x - threshold) / (closure -
     threshold)), waves are weighted by exposure and swell by sensitivity, operability is 100 * (1 - greatest risk).
-    config holds a row for each port; ports number thousands at most, which decode() checks.
+    config holds a row for each port; it is broadcast if is_small() says so.
     """
-    df = hourly.join(config, "port_code", "left")
+    df = hourly.join(F.broadcast(config) if is_small(config, 100_000) else config, "port_code", "left")
     sea = F.greatest(F.col("wave") * F.coalesce("exposure", F.lit(1.0)), F.col("swell") * F.coalesce("swell_sensitivity", F.lit(1.0)))
     df = df.withColumns({
         "wave_risk": _risk(sea, F.col("hs_threshold"), F.col("hs_closure")), "wind_risk": _risk(F.col("wind"), F.col("wind_threshold"), F.col("wind_closure")),

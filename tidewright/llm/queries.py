@@ -1,6 +1,6 @@
 """Registered queries of the text operators, with their DuckDB SQL where SQL can express them.
 
-Queries without SQL (op1, op2, op4, op7, op8, op9, op10 and pipeline) are tested against brute force or a round trip in tests/llm.
+Queries without SQL (op1, op2, op4, op7 to op13 and pipeline) are tested against brute force or a round trip in tests/llm.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
+from . import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, packing, period_runs, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,3 +177,17 @@ ORACLES["op3_line_edit_join"] = """
     SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n_copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(sums.n_links, 0) AS BIGINT) AS n_links
     FROM documents d LEFT JOIN sums USING (doc_id)
 """
+
+
+def op11_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(packing.pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES["op11_ffd_packing"] = op11_ffd_packing
+
+
+def op13_lcp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digest(period_runs.periodic_runs(period_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+QUERIES["op13_lcp_runs"] = op13_lcp_runs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,6 +65,17 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[begin]) * _pow(_INVERSE, n + 1)[begin] + (end - begin).astype(np.uint64))
 
 
+def exact_word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word as it stands; the sum of powers is left to words of up to 64 bytes, as long ones can be made to agree."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _pow(_BASE, n), out=sums[1:])
+    out = mix((sums[end] - sums[begin]) * _pow(_INVERSE, n + 1)[begin] + (end - begin).astype(np.uint64))
+    for w in np.flatnonzero(end - begin > 64).tolist():
+        out[w] = xxhash.xxh3_64_intdigest(data[begin[w] : end[w]].tobytes())
+    return out
+
+
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the first word of each text (one more entry than texts)."""
     data, bounds = text_bytes(column)

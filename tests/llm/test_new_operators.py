@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
-from tidewright.llm import packing, period_runs, queries  # noqa: E402
+from tidewright.llm import packing, period_runs, queries, token_align  # noqa: E402
 
 JSON = P.path("byte_bpe_50k.json")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -182,3 +182,84 @@ def test_groups_lose_nothing(least_piece):
         assert all(sum(n for _, _, n in b) <= 2048 for b in bins)
         if least_piece == 1:
             assert padding([sum(n for _, _, n in b) for b in bins]) == 0
+
+
+def plain_tokens(text, a, b, of_byte):
+    """Ids and byte ends of both tokenizers over blank + text, or None."""
+    want = (" " + text).encode()
+    ids_a = a.encode(" " + text, add_special_tokens=False).ids
+    bytes_a = [bytes(of_byte[c] for c in a.id_to_token(i)) for i in ids_a]
+    ids_b = b.encode(text)
+    pieces = [b.id_to_piece(i) for i in ids_b]
+    bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in zip(ids_b, pieces)]
+    if not text or b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+        return None
+    return [list(zip(ids, np.cumsum([len(x) for x in got]).tolist())) for ids, got in ((ids_a, bytes_a), (ids_b, bytes_b))]
+
+
+def plain_alignment(texts):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(JSON)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    of_byte, counts, links, rows = token_align.byte_alphabet(), {}, [], []
+    for text in texts:
+        found = plain_tokens(text or "", a, b, of_byte)
+        mine, groups = [], ""
+        if found:
+            ta, tb = found
+            cuts = sorted({e for _, e in ta} & {e for _, e in tb})
+            parts, low = [], 0
+            for high in cuts:
+                parts.append("|".join(",".join(str(i) for i, e in t if low < e <= high) for t in (ta, tb)))
+                low = high
+            groups, start_a = ";".join(parts), 0
+            for i, e in ta:
+                start_b = 0
+                for j, f in tb:
+                    if start_b < e and start_a < f:
+                        mine.append((i, j))
+                    start_b = f
+                start_a = e
+        links.append(mine)
+        for pair in set(mine):
+            counts[pair] = counts.get(pair, 0) + 1
+        rows.append((len(ta), len(tb), len(cuts)) if found else (0, 0, 0))
+        rows[-1] += (groups,)
+    best = {}
+    for (i, _), n in counts.items():
+        best[i] = max(best.get(i, 0), n)
+    return [(na, nb, g, len(m), sum(counts[x] == best[x[0]] for x in m), sum(counts[x] for x in m), groups) for (na, nb, g, groups), m in zip(rows, links)]
+
+
+ALIGNED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def test_alignment_of_two_tokenizers(spark, tmp_path):
+    r = random.Random(11)
+    parts = ["the", "Tide's", "harbour.", "élève,", "naïve!", "日本", "𝒳y", "e\u0301.", "¿qué?", "3.14", "a;b:c", "\r\n", "\n", "\n\n", "\t", "  ", "\u00a0", "\u2028x", "()", "×.", "--", "<|endoftext|>", "<s>", "<0x41>", "\x00", "I'll.", "Ω.", "ž,"]
+    rows = [x for x in HARD if x[0] not in (4, 6, 9)] + [(20, "a\u2581b"), (21, "\u2581"), (22, "x " * 300), (23, "w" * 400)]
+    for i in range(300, 520):
+        rows.append((i, "".join(r.choice(parts) + r.choice(("", " ", " ", "\n")) for _ in range(r.randint(1, 25)))))
+    got = queries.op12_token_alignment(spark, documents(spark, tmp_path, rows)).collect()
+    want = plain_alignment([t for _, t in rows])
+    assert order((x.doc_id, *(x[c] for c in ALIGNED), x.groups_sha256) for x in got) == order((i, *w[:6], w[6] and hashlib.sha256(w[6].encode()).hexdigest()) for (i, _), w in zip(rows, want))
+    assert sum(x.n_a == 0 for x in got) >= 5 and max(x.n_links for x in got) > 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = token_align.align(docs, JSON, P.path("piece_bpe_32k.model"), keep_groups=True, chunk_bytes=200).collect()
+    assert order((x.doc_id, *(x[c] for c in ALIGNED), x.groups) for x in texts) == order((i, *w) for (i, _), w in zip(rows, want))
+    assert token_align.align(docs.limit(0), JSON, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_a_full_memory_of_units_starts_again():
+    import pyarrow as pa
+
+    store = token_align.UnitStore(JSON, P.path("piece_bpe_32k.model"), most=20)
+    texts = [prose(i, 60) + f" n{i}" for i in range(30)]
+    want = plain_alignment(texts)
+    for i, text in enumerate(texts):
+        row = token_align._chunk(store, pa.array([i]), pa.array([text]), True).to_pylist()[0]
+        assert [row[c][0] for c in token_align.FIGURES] == list(want[i][:4]) and row["groups"] == [want[i][6]]
+    assert store.n <= 20

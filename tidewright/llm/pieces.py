@@ -150,13 +150,15 @@ class PieceStore:
             h[more] = mix(h[more] ^ self.keys[j][entry[more]])
         return h
 
+    def begins(self, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        if not self.cut:
+            return np.unique(bounds[:-1][np.diff(bounds) > 0])
+        return piece_starts(data, bounds, None if self.keep_whole is None else self.keep_whole(texts))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin and the last end. Null is as empty."""
         data, bounds = text_bytes(texts)
-        if not self.cut:
-            begin = np.unique(bounds[:-1][np.diff(bounds) > 0])
-        else:
-            begin = piece_starts(data, bounds, None if self.keep_whole is None else self.keep_whole(texts))
+        begin = self.begins(texts, data, bounds)
         size = np.diff(np.append(begin, len(data)))
         where = np.full(len(begin), -1, np.int64)
         short = size <= 8 * _LANES

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, packing, period_runs, ppm_langid, spaced_seeds, suffix_repeats, url_reputation
+from . import bpe, huffman_ids, licenses, line_join, minhash_hamming, mpeg, packing, period_runs, ppm_langid, spaced_seeds, suffix_repeats, token_align, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,3 +191,11 @@ def op13_lcp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_lcp_runs"] = op13_lcp_runs
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES["op12_token_alignment"] = op12_token_alignment

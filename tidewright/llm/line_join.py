@@ -19,7 +19,9 @@ its own first place. The earliest line of a chain of links always stays.
 
 Cases: null and empty texts have no lines; lines shorter than `shortest` characters are linked with nothing, and are removed as
 copies only if they have `shortest_copies` characters (1 in the pipeline: every line but the empty one; `shortest` if not given);
-rows that repeat a doc_id are taken as one document; a null doc_id is before all others. Other columns are not touched. A very
+rows that
+repeat a doc_id are one document to the order of lines, so equal lines at one number of such rows are no copies of each other, and
+each row loses only lines of its own text; a null doc_id is before all others. Other columns are not touched. A very
 long text is split into its lines within its task, so it costs memory in proportion to its length.
 """
 
@@ -36,8 +38,8 @@ _SHIFT = 1 << 31
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line of every line of docs(doc_id, text)."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """line_no (from 0) and line of every line of docs(doc_id, text), with the other columns of docs."""
+    return docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _keys(line: Column, length: Column, segments: int) -> Column:
@@ -185,22 +187,23 @@ def line_links(docs: DataFrame, lines: DataFrame, shortest: int, most_bucket: in
     return out.select("lid", (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_same", F.lit(0))).alias("n_links"), F.least("least", "least_same").alias("least"))
 
 
-def judged_lines(docs: DataFrame, shortest: int = SHORTEST, most_bucket: int = 32, most_broadcast: int = 2_000_000, shortest_copies: int | None = None) -> DataFrame:
-    """doc_id, line_no, copy (an equal line stands before), near (a linked line does) and n_links of every line of `shortest` or `shortest_copies` characters or more."""
+def judged_lines(docs: DataFrame, shortest: int = SHORTEST, most_bucket: int = 32, most_broadcast: int = 2_000_000, shortest_copies: int | None = None, by_text: bool = False) -> DataFrame:
+    """doc_id (and text_hash, if by_text), line_no, copy (an equal line stands before), near (a linked line does) and n_links of every line of `shortest` or `shortest_copies` characters or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = ["doc_id", "text_hash"] if by_text else ["doc_id"]
     length = F.length("line")
-    every = lines_of(docs).where(length >= min(shortest, shortest if shortest_copies is None else shortest_copies))
+    every = lines_of(docs.withColumn("text_hash", F.xxhash64("text")) if by_text else docs).where(length >= min(shortest, shortest if shortest_copies is None else shortest_copies))
     keys = _keys(F.col("line"), length, LEVELS[0])
     if shortest_copies is not None:  # short lines have no keys, so no pairs
         keys = F.when(length >= shortest, keys).otherwise(F.filter(keys, lambda k: F.lit(False)))
     place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).cast("decimal(38,0)") * F.lit(_SHIFT).cast("decimal(12,0)") + F.col("line_no")
-    every = written(every.select("doc_id", "line_no", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("lid"), keys.alias("keys")), "lines")
+    every = written(every.select(*ids, "line_no", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("lid"), keys.alias("keys")), "lines")
     distinct = every.groupBy("lid", "keys").agg(F.min("place").alias("first"))
     distinct = written(distinct, "distinct-lines")
     linked = written(line_links(docs, distinct, shortest, most_bucket, most_broadcast), "linked")
     facts = distinct.select("lid", "first").join(linked, "lid", "left")
-    return every.select("doc_id", "line_no", "place", "lid").join(facts, "lid").select(
-        "doc_id", "line_no", (F.col("place") > F.col("first")).alias("copy"), (F.coalesce(F.col("least") < F.col("first"), F.lit(False))).alias("near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return every.select(*ids, "line_no", "place", "lid").join(facts, "lid").select(
+        *ids, "line_no", (F.col("place") > F.col("first")).alias("copy"), (F.coalesce(F.col("least") < F.col("first"), F.lit(False))).alias("near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -218,10 +221,13 @@ def line_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
-    """docs with the removed lines taken out of the column text; all other columns and all rows stay."""
-    gone = judged_lines(docs, **how).where("copy or near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    """docs with the removed lines taken out of the column text; all other columns and all rows stay.
+
+    Lines are told by doc_id and a hash of their text, so rows of one id, or of none, that hold different texts lose only their own.
+    """
+    gone = judged_lines(docs, by_text=True, **how).where("copy or near").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     d, g = docs.alias("d"), gone.alias("g")
-    joined = d.join(g, F.expr("d.doc_id <=> g.doc_id"), "left")
+    joined = d.join(g, F.expr("cast(d.doc_id AS long) <=> g.doc_id AND xxhash64(d.text) = g.text_hash"), "left")
     kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda line, i: ~F.array_contains("g.gone", i)), "\n")
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -22,8 +22,9 @@ So components are those of the full link graph among candidates, while the pairs
 
 Cases: null or empty texts and texts without words have an empty set, n_shingles 0, and are linked with nothing; fewer than
 five words make one shingle; repeated rows are one class, and an id with several texts is linked by each of them; rows of a null
-id are in the group of an equal text of another id, else in none, and stay. Other columns are not read by near_duplicates() and kept by keep_first(). Batches are bounded by bytes, a very
-long text is one by itself; skewed keys of joins are split by AQE, hubs of many members by their count.
+id are in the group of similar texts, component_id is null if none of them has an id; which rows of one id, or of none, stay is told at
+keep_first(). Other columns are not read by near_duplicates() and kept by keep_first(). Batches are bounded by bytes, a very long
+text is one by itself; skewed keys of joins are split by AQE, hubs of many members by their count.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, map_batches, written
 from .graph import components
@@ -129,6 +131,9 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, shingles (sorted 64-bit hashes) and sig of each class in ids(id), one row for each, however often its text stands in docs."""
     wanted = classes.join(ids, "id", "left_semi").select("id", "print", "sig", F.col("rep").alias("doc_id"))
     texts = docs.join(wanted, "doc_id").select("id", "text", "print", "sig")
+    # classes without any id are read by the hash of their set; where no row lacks an id, statistics of the files spare the scan
+    lone = _with_print(docs.where("doc_id is null")).join(wanted.where("doc_id is null").drop("doc_id"), F.col("_print") == F.col("print"))
+    texts = texts.union(lone.select("id", "text", "print", "sig"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -275,13 +280,13 @@ def _links(pairs: DataFrame) -> DataFrame:
     return pairs.where("100 * shared >= 75 * united").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept (doc_id = component_id)."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Of every row: doc_id, n_shingles, component_id, its class and its group (both null for empty sets)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = written(features(docs), "features")
     # equal sets: one class, named by its smallest id (empty sets are in none)
     classes = feats.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("print"))
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("rep", F.xxhash64("print"))).orderBy("print"))
     classes = written(classes.withColumn("id", F.when((nth == 1) & F.col("rep").isNotNull(), F.col("rep")).otherwise(F.xxhash64("print"))), "classes")
     # classes alone in all their buckets have no candidate
     keys = written(index_keys(classes.select("id", "sig")), "keys")
@@ -304,12 +309,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one_id = of_class.join(ends, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     comp = written(components(_links(star.union(more)).union(one_id)), "components")
     least = comp.join(classes.select("id", "rep"), comp["node"] == classes["id"]).groupBy("component").agg(F.min("rep").alias("least"))
-    comp = comp.join(least, "component").select("node", "least")
-    found = of_class.join(comp, of_class["id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
+    comp = comp.join(least, "component").select("node", "component", "least")
+    found = of_class.join(comp, of_class["id"] == comp["node"], "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"), F.col("id").alias("class"), F.coalesce("component", "id").alias("group"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept (doc_id = component_id)."""
+    found = _grouped(docs).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def _with_print(docs: DataFrame) -> DataFrame:
+    """docs with _print, the hash of the set (null for an empty one), as features() makes it."""
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())])
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column(at))
+            return pa.record_batch([*batch.columns, pa.array((_print(s.tobytes()) if len(s) else None for s in sets), pa.binary())], names=schema.names)
+
+        return each
+
+    return map_batches(docs, make, schema, sized_by=at, limit=1 << 20)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) that stand for their group of near duplicates; texts without words all stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti")
+    """The rows of docs (all columns) that stand for their group of near duplicates; texts without words all stay.
+
+    Of rows that repeat a doc_id and a set one stays (the least text). Rows without an id go if their group has a row with one;
+    of a group that has none, one row stays.
+    """
+    found = written(_grouped(docs), "groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti")
+    many = written(found.where("n_shingles > 0 and (doc_id is null or doc_id = component_id)").groupBy("doc_id", "class").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id").distinct(), "repeated")
+    if many.isEmpty():  # no row without an id and no repeated one: nothing else to choose from
+        return stay
+    s, m = stay.alias("s"), many.alias("m")
+    once = s.join(m, F.expr("s.doc_id <=> m.doc_id"), "left_anti")
+    again = _with_print(s.join(m, F.expr("s.doc_id <=> m.doc_id"), "left_semi"))
+    empty = again.where("_print is null").select(*docs.columns)
+    # groups without any id: their classes, known by one of their prints
+    lone = features(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text")).select("print").distinct()
+    of_print = lone.join(found.where("doc_id is null and component_id is null").select("class", "group").distinct(), F.xxhash64("print") == F.col("class")).select(F.col("print").alias("_of"), F.col("group").alias("_group"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(row, "text").alias("_row")).select("_row.*")
+    named = least(again.where("_print is not null and doc_id is not null"), "doc_id", "_print")
+    nameless = again.where("_print is not null and doc_id is null").join(of_print, F.col("_print") == F.col("_of"))
+    return once.union(empty).union(named).union(least(nameless, "_group"))

@@ -14,7 +14,9 @@ with overlaps are joined back. Items shorter than the widest mask are found by a
 Other columns of both tables are not read (drop_contaminated() keeps those of the texts). A very long text is a batch of its own.
 
 Cases: null or empty texts and items have no words and overlap with nothing; items of fewer than `shortest_item` words are not
-looked for; repeated items count once for each item_id; rows of one doc_id share their overlaps; an empty benchmark leaves every text clean.
+looked for; repeated items count once for each item_id; every row has the
+overlaps of its own text, with and without a doc_id; an item without an id makes texts contaminated and is not among their
+item_ids; item ids may be of any type that can be ordered; an empty benchmark leaves every text clean.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import keep_rows, slices, written
 from .words import hashed_words, mix
@@ -125,9 +128,11 @@ def _item_blocks(benchmark: DataFrame, shortest_item: int, block_words: int) ->
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, shortest_item: int = SHORTEST_ITEM, block_words: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, n_equal and first_word of every verified overlap of docs(doc_id, text) with benchmark(item_id, text)."""
-    docs = docs.select("doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, n_equal long, first_word long"
+    """doc_id, text_hash, item_id, n_equal and first_word of every verified overlap of docs(doc_id, text) with benchmark(item_id, text)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    items = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, item_id {items.simpleString()}, n_equal long, first_word long"
+    of_item = to_arrow_type(items)
     found = docs.sparkSession.createDataFrame([], schema)
     for made in _item_blocks(benchmark, shortest_item, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(made)
@@ -136,8 +141,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WOR
             for whole in batches:
                 for batch in slices(whole, 1, 4 << 20):
                     rows = shared.value.overlaps(*hashed_words(pc.utf8_lower(batch.column(1))), least_words) if batch.num_rows else []
-                    ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                    yield pa.record_batch([ids, pa.array([shared.value.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "n_equal", "first_word"])
+                    at = pa.array([r[0] for r in rows], pa.int64())
+                    item = pa.array([shared.value.ids[r[1]] for r in rows], of_item)
+                    yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), item, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "text_hash", "item_id", "n_equal", "first_word"])
 
         found = found.union(docs.mapInArrow(run, schema))
     return found
@@ -161,11 +167,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id of every row, n_items (benchmark items it overlaps with), item_ids (sorted), most_words (longest overlap) and contaminated."""
+    """doc_id of every row, n_items (benchmark items it overlaps with), item_ids (sorted), most_words (longest overlap) and contaminated.
+
+    Overlaps are those of the row's own text, whatever other rows its doc_id has.
+    """
     hits = written(overlaps(docs, benchmark, **how), "overlaps")
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_equal").alias("most_words"))
-    none = F.array().cast("array<long>")
-    return docs.select("doc_id").join(hits, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"),
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_equal").alias("most_words"))
+    d, h = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).alias("d"), hits.alias("h")
+    none = F.array().cast(hits.schema["item_ids"].dataType)
+    return d.join(h, F.expr("d.doc_id <=> h.doc_id AND d.text_hash = h.text_hash"), "left").select(
+        "d.doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("most_words", F.lit(0).cast("long")).alias("most_words"), F.col("item_ids").isNotNull().alias("contaminated"),
     )

@@ -421,11 +421,24 @@ WALK = FEATURES + """, folds(train_end, fold_year) AS (VALUES (1998, 1999), (199
 _NAIVE = "greatest(1.0, coalesce(lag_12_clean, 1) * (1 + coalesce(least(0.2, greatest(-0.2, yoy_growth_clean)), 0)))"
 _FALLBACK = "greatest(1.0, coalesce(nullif(lag_12_clean, 0), nullif(rolling_12_mean, 0), 1) * (1 + coalesce(least(0.2, greatest(-0.2, yoy_growth_clean)), 0)))"
 _ROLL = "greatest(1.0, coalesce(rolling_12_mean, 1.0))"
-SCORES = WALK + ", preds AS (" + " UNION ALL ".join(f"SELECT port, direction, fold_year, '{n}' AS model, shipment_count::DOUBLE AS y, {e} AS p FROM wf WHERE is_test" for n, e in (("naive", _NAIVE), ("naive_fallback", _FALLBACK), ("rolling", _ROLL))) + """),
-    scores AS (SELECT port, direction, fold_year, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 100 * avg(CASE WHEN y > 0 THEN abs(y - p) / y END) AS mape, CASE WHEN count(*) > 1 THEN 1 - sum((y - p) ** 2) / nullif(regr_sxx(y, y), 0) END AS r2, count(*) AS n FROM preds GROUP BY 1, 2, 3, 4),
-    vol AS (SELECT port, direction, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2),
-    cv AS (SELECT port, direction, model, round(avg(mape), 9) AS m FROM scores GROUP BY 1, 2, 3), best AS (SELECT port, direction, arg_min(model, (m, model)) AS best_model, min(m) AS best_cv_mape FROM cv WHERE m IS NOT NULL GROUP BY 1, 2),
-    sel AS (SELECT b.port, b.direction, avg_volume, CASE WHEN avg_volume >= 15 THEN 'naive' ELSE best_model END AS selected_model, best_model, best_cv_mape, c.m AS baseline_cv_mape, CASE WHEN avg_volume >= 15 THEN c.m ELSE best_cv_mape END AS final_cv_mape FROM best b LEFT JOIN vol USING (port, direction) LEFT JOIN cv c ON c.port = b.port AND c.direction = b.direction AND c.model = 'naive')"""
+_EXPRESSIONS = {"naive": _NAIVE, "naive_fallback": _FALLBACK, "rolling": _ROLL}
+
+
+def _predictions_sql(names, keys: str = "port, direction") -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, fold_year, '{n}' AS model, shipment_count::DOUBLE AS y, {_EXPRESSIONS[n]} AS p FROM wf WHERE is_test" for n in names)
+
+
+def _scores_sql(predictions: str, keys: str = "port, direction", panel_name: str = "panel", threshold: float = 15) -> str:
+    """Scores of the predictions, mean scores, best model and hybrid selection."""
+    same = " AND ".join(f"c.{k} = b.{k}" for k in keys.split(", "))
+    return f""", preds AS ({predictions}),
+    scores AS (SELECT {keys}, fold_year, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 100 * avg(CASE WHEN y > 0 THEN abs(y - p) / y END) AS mape, CASE WHEN count(*) > 1 THEN 1 - sum((y - p) ** 2) / nullif(regr_sxx(y, y), 0) END AS r2, count(*) AS n FROM preds GROUP BY {keys}, fold_year, model),
+    vol AS (SELECT {keys}, avg(shipment_count) AS avg_volume FROM {panel_name} GROUP BY {keys}),
+    cv AS (SELECT {keys}, model, round(avg(mape), 9) AS m FROM scores GROUP BY {keys}, model), best AS (SELECT {keys}, arg_min(model, (m, model)) AS best_model, min(m) AS best_cv_mape FROM cv WHERE m IS NOT NULL GROUP BY {keys}),
+    sel AS (SELECT {', '.join(f'b.{k}' for k in keys.split(', '))}, avg_volume, CASE WHEN avg_volume >= {threshold} THEN 'naive' ELSE best_model END AS selected_model, best_model, best_cv_mape, c.m AS baseline_cv_mape, CASE WHEN avg_volume >= {threshold} THEN c.m ELSE best_cv_mape END AS final_cv_mape FROM best b LEFT JOIN vol USING ({keys}) LEFT JOIN cv c ON {same} AND c.model = 'naive')"""
+
+
+SCORES = WALK + _scores_sql(_predictions_sql(_EXPRESSIONS))
 
 
 def the_scores(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -569,10 +582,12 @@ def _(s, d):
 
 
 #: The recursion is run step by step: a month takes the latest value of its kind, or the mean of all rows so far.
-RECURSE = "RECURSIVE " + FEATURES + """, sd AS (SELECT * FROM feats WHERE year < 2001 QUALIFY CASE WHEN max(CAST(year = 2000 AS INT)) OVER (PARTITION BY port, direction) = 1 THEN year = 2000 ELSE row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12 END),
-    seed AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, list(month::INT ORDER BY year, month) AS m, max(year * 12 + month - 1) AS p, coalesce(least(0.15, greatest(-0.15, coalesce(median(yoy_growth_clean) FILTER (year NOT IN (1998, 1999)), CASE WHEN count(*) FILTER (year NOT IN (1998, 1999)) = 0 THEN median(yoy_growth_clean) END))), 0) AS g FROM sd GROUP BY 1, 2),
+_SEED = """, sd AS (SELECT * FROM feats WHERE year < 2001 QUALIFY CASE WHEN max(CAST(year = 2000 AS INT)) OVER (PARTITION BY port, direction) = 1 THEN year = 2000 ELSE row_number() OVER (PARTITION BY port, direction ORDER BY year DESC, month DESC) <= 12 END),
+    seed AS (SELECT port, direction, list(shipment_count::DOUBLE ORDER BY year, month) AS v, list(month::INT ORDER BY year, month) AS m, max(year * 12 + month - 1) AS p, coalesce(least(0.15, greatest(-0.15, coalesce(median(yoy_growth_clean) FILTER (year NOT IN (1998, 1999)), CASE WHEN count(*) FILTER (year NOT IN (1998, 1999)) = 0 THEN median(yoy_growth_clean) END))), 0) AS g FROM sd GROUP BY 1, 2)"""
+_SAME = "coalesce(v[len(m) - list_position(list_reverse(m), CAST((p + 1) % 12 + 1 AS INT)) + 1], list_avg(v))"
+RECURSE = "RECURSIVE " + FEATURES + _SEED + f""",
     steps AS (SELECT port, direction, v, m, p, g, 0 AS i FROM seed UNION ALL SELECT port, direction,
-        list_append(v, greatest(1.0, coalesce(v[len(m) - list_position(list_reverse(m), CAST((p + 1) % 12 + 1 AS INT)) + 1], list_avg(v)) * (1 + g))), list_append(m, CAST((p + 1) % 12 + 1 AS INT)), p + 1, g, i + 1 FROM steps WHERE i < 12),
+        list_append(v, greatest(1.0, {_SAME} * (1 + g))), list_append(m, CAST((p + 1) % 12 + 1 AS INT)), p + 1, g, i + 1 FROM steps WHERE i < 12),
     rec AS (SELECT port, direction, CAST(p // 12 AS INT) AS year, CAST(p % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM steps WHERE i > 0)"""
 
 
@@ -628,10 +643,10 @@ def _(s, d):
     return the_commodity_forecast(s, d).withColumns({"pred_value_usd": F.round("pred_value_usd", 0), "pred_weight_mt": F.round("pred_weight_mt", 1)})
 
 
-@query("h31_active_commodities", f"WITH {COMMODITY_FORECAST}, act AS (SELECT DISTINCT hs2, port, direction FROM cpanel WHERE year >= 2001), ld AS (SELECT hs2, arg_max(dominant_description, (year, month, dominant_description)) AS latest FROM cpanel GROUP BY 1) SELECT hs2, port, direction, year, month, pred_shipment_count, latest AS description FROM cout SEMI JOIN act USING (hs2, port, direction) LEFT JOIN ld USING (hs2)")
+@query("h31_active_commodities", f"WITH {COMMODITY_FORECAST}, act AS (SELECT DISTINCT hs2, port, direction FROM cpanel WHERE year * 12 + month >= 2001 * 12 + 10), ld AS (SELECT hs2, port, direction, arg_max(dominant_description, (year, month, dominant_description)) AS latest FROM cpanel GROUP BY 1, 2, 3) SELECT hs2, port, direction, year, month, pred_shipment_count, latest AS description FROM cout SEMI JOIN act USING (hs2, port, direction) LEFT JOIN ld USING (hs2, port, direction)")
 def _(s, d):
     p = the_commodities(s, d)
-    found = the_commodity_forecast(s, d).drop("dominant_description").join(forecast.active_series(p, 2001), CK, "left_semi")
+    found = the_commodity_forecast(s, d).drop("dominant_description").join(forecast.active_series(p, 2001, month=10), CK, "left_semi")
     return evaluate.with_descriptions(found, p).select(*CK, "year", "month", "pred_shipment_count", F.col("dominant_description").alias("description"))
 
 
@@ -695,11 +710,13 @@ def _(s, d):
     return stats.df_test(the_panel(s, d), "shipment_count")
 
 
-@query("h15_inner_validation", f"""WITH {WALK}, v AS (SELECT *, max(CASE WHEN NOT is_test AND year NOT IN (1998, 1999) THEN year END) OVER (PARTITION BY port, direction, fold_year) AS vy, row_number() OVER (PARTITION BY port, direction, fold_year ORDER BY is_test, year DESC, month DESC) AS b FROM wf)
-    SELECT fold_year, CAST(count(*) FILTER (NOT is_test AND coalesce(year = vy, b <= 12)) AS BIGINT) AS n_valid FROM v GROUP BY 1""")
+_INNER = """v AS (SELECT *, CASE WHEN CY0 < CY1 THEN CY1 END AS vy, row_number() OVER (PARTITION BY port, direction, fold_year ORDER BY is_test, year DESC, month DESC) AS b FROM wf)""".replace("CY0", "min(CASE WHEN NOT is_test AND year NOT IN (1998, 1999) THEN year END) OVER (PARTITION BY port, direction, fold_year)").replace("CY1", "max(CASE WHEN NOT is_test AND year NOT IN (1998, 1999) THEN year END) OVER (PARTITION BY port, direction, fold_year)")
+
+
+@query("h15_inner_validation", f"WITH {WALK}, {_INNER} SELECT fold_year, year, count(*) FILTER (NOT is_test AND coalesce(year < vy, b > 12)) AS n_train, count(*) FILTER (NOT is_test AND coalesce(year = vy, b <= 12)) AS n_valid, count(*) AS n FROM v GROUP BY 1, 2")
 def _(s, d):
-    rows = evaluate.inner_validation(evaluate.walk_forward(the_features(s, d), FOLDS), (1998, 1999))
-    return rows.groupBy("fold_year").agg(F.count_if("is_valid").alias("n_valid"))
+    rows = evaluate.inner_validation(evaluate.walk_forward(the_features(s, d), FOLDS), BREAKS.years)
+    return rows.groupBy("fold_year", "year").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_valid").alias("n_valid"), F.count("*").alias("n"))
 
 
 @query("h12_sample_weight", f"WITH {PANEL} SELECT year, sum(CASE year WHEN 1998 THEN 0.1 WHEN 1999 THEN 0.4 ELSE 1.0 END) AS w FROM panel GROUP BY 1", "w")
@@ -711,7 +728,7 @@ _LEARNERS = ("ridge", "lasso", "elastic_net", "random_forest", "gbt", "gbt_sampl
 
 
 def _learnt(kind: str):
-    drop = (1998,) if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
+    drop = BREAKS.years if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
 
     def run(s, d):
         folds = evaluate.walk_forward(the_features(s, d), FOLDS)
@@ -731,18 +748,157 @@ def _(s, d):
     return models.trend_seasonal(p.where("year <= 2000"), p.where("year = 2001").select(*KEYS, "year", "month"), (1997, 1998, 1999, 2000))
 
 
+_CLEAN = [y for y in range(BREAKS.base_year, 2001) if y not in BREAKS.years]
+
+
 @query("h30_recursive_trees")
 def _(s, d):
     f = the_features(s, d)
-    fitted = models.Pooled("random_forest", PORT_FEATURES, (1998,), break_years=BREAKS.years, trees=100).fit(f.where("year <= 2000"))
-    return forecast.recursive_forecast(f, fitted, 2001, clean_years=[1995, 1996, 1997, 2000], base_year=BREAKS.base_year)
+    fitted = models.Pooled("random_forest", PORT_FEATURES, BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000"))
+    return forecast.recursive_forecast(f, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
 
 
 @query("h30_recursive_ridge")
 def _(s, d):
     f = the_features(s, d)
-    fitted = models.SeriesRidge(("lag_1", "lag_12_clean", "rolling_12_mean", "month_sin", "month_cos"), 1.0).fit(f.where("year <= 2000"))
-    return forecast.recursive_forecast(f, fitted, 2001, clean_years=[1995, 1996, 1997, 2000], base_year=BREAKS.base_year)
+    fitted = models.SeriesRidgePath(PORT_FEATURES, drop_years=BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000"))
+    return forecast.recursive_forecast(f, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
+
+
+# ---- H14, H21, H26 to H34 over learners: each series is scored, selected and forecast by a model of its own ----------------------
+
+def _ridge_sql(name: str, source: str, keys: str) -> str:
+    """CTEs of the ridge path of each series on two features: {name}_c has keys, penalty, slopes k1 and k2 and the intercept k0."""
+
+    def slopes(f: str, a: str) -> str:
+        n, b1, b2, z = f"n{f}", f"(n{f} * c1{f} / s1{f})", f"(n{f} * c2{f} / s2{f})", f"(n{f} * c12{f} / (s1{f} * s2{f}))"
+        u1, u2 = f"s1{f} > 1e-9 * greatest(1, abs(m1{f}))", f"(s2{f} > 1e-9 * greatest(1, abs(m2{f})) AND NOT twin)"
+        det = f"(({n} + {a}) * ({n} + {a}) - {z} * {z})"
+        return f"""CASE WHEN {u1} AND {u2} THEN (({n} + {a}) * {b1} - {z} * {b2}) / {det} / s1{f} WHEN {u1} THEN {b1} / ({n} + {a}) / s1{f} ELSE 0 END AS k1,
+            CASE WHEN {u1} AND {u2} THEN (({n} + {a}) * {b2} - {z} * {b1}) / {det} / s2{f} WHEN {u2} THEN {b2} / ({n} + {a}) / s2{f} ELSE 0 END AS k2"""
+
+    def moments(f: str, only: str) -> str:
+        parts = {"n": "count(*)", "m1": "avg(x1)", "m2": "avg(x2)", "my": "avg(y)", "s1": "stddev_pop(x1)", "s2": "stddev_pop(x2)", "c1": "covar_pop(x1, y)", "c2": "covar_pop(x2, y)", "c12": "covar_pop(x1, x2)"}
+        return ", ".join(f"{e}{only}{'::DOUBLE' if k == 'n' else ''} AS {k}{f}" for k, e in parts.items())
+
+    return f""", {name}_t AS (SELECT {keys}, year, month, coalesce(lag_12_clean, 0)::DOUBLE AS x1, coalesce(rolling_12_mean, 0)::DOUBLE AS x2, shipment_count::DOUBLE AS y FROM {source} WHERE year NOT IN (1998, 1999)),
+    {name}_v AS (SELECT *, CASE WHEN y0 < y1 THEN year < y1 ELSE b > 12 END AS fit, CASE WHEN y0 < y1 THEN year = y1 ELSE b <= 12 END AS valid FROM (SELECT *, min(year) OVER (PARTITION BY {keys}) AS y0, max(year) OVER (PARTITION BY {keys}) AS y1, row_number() OVER (PARTITION BY {keys} ORDER BY year DESC, month DESC) AS b FROM {name}_t)),
+    {name}_g AS (SELECT *, coalesce(s1 > 1e-9 * greatest(1, abs(m1)) AND s2 > 1e-9 * greatest(1, abs(m2)) AND abs(c12 / (s1 * s2)) > 0.95, false) AS twin FROM (SELECT {keys}, {moments('', '')}, {moments('_f', ' FILTER (fit)')} FROM {name}_v GROUP BY {keys})),
+    {name}_k AS (SELECT *, {slopes('_f', 'a')} FROM {name}_g, (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0), (100.0)) p(a) WHERE n_f >= 2),
+    {name}_e AS (SELECT {keys}, a, avg((y - my_f - k1 * (x1 - m1_f) - k2 * (x2 - m2_f)) ** 2) AS e FROM {name}_v JOIN {name}_k USING ({keys}) WHERE valid GROUP BY {keys}, a),
+    {name}_b AS (SELECT {keys}, arg_min(a, (e, a)) AS a FROM {name}_e GROUP BY {keys}),
+    {name}_c AS (SELECT {keys}, penalty, k1, k2, my - k1 * m1 - k2 * m2 AS k0 FROM (SELECT *, {slopes('', 'penalty')} FROM (SELECT g.*, coalesce(a, 1.0::DOUBLE) AS penalty FROM {name}_g g LEFT JOIN {name}_b USING ({keys}))))"""
+
+
+def _learned_sql(keys: str, walk: str, panel_name: str, threshold: float) -> str:
+    ridge = f"SELECT {keys}, fold_year, 'ridge' AS model, shipment_count::DOUBLE AS y, greatest(1.0, k0 + k1 * coalesce(lag_12_clean, 0) + k2 * coalesce(rolling_12_mean, 0)) AS p FROM wf JOIN cvr_c USING ({keys}, fold_year) WHERE is_test"
+    return walk + _ridge_sql("cvr", "(SELECT * FROM wf WHERE NOT is_test)", f"{keys}, fold_year") + _scores_sql(_predictions_sql(("naive", "rolling"), keys) + " UNION ALL " + ridge, keys, panel_name, threshold)
+
+
+LEARNED = _learned_sql("port, direction", WALK, "panel", 15)
+_TWO = ("lag_12_clean", "rolling_12_mean")
+
+
+def the_models(keys=KEYS) -> dict:
+    """Two expressions, and a ridge of each series that chooses its penalty."""
+    return {"naive": evaluate.seasonal_naive(), "rolling": evaluate.rolling_mean(), "ridge": models.SeriesRidgePath(_TWO, drop_years=BREAKS.years, break_years=BREAKS.years, keys=keys)}
+
+
+def the_learned(s, d, models_of=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, scores and selection; panel and features are written once, as each fit and fold reads them."""
+    p = tables.stored(the_panel(s, d), "panel")
+    f = tables.stored(features.build_features(p, breaks=BREAKS), "features")
+    found = evaluate.cross_validate(evaluate.walk_forward(f, FOLDS), models_of or the_models(), [y for _, y in FOLDS])
+    return f, found, evaluate.select_hybrid(found, p.groupBy(*KEYS).agg(F.avg("shipment_count").alias("avg_volume")), THRESHOLD)
+
+
+@query("h21_ridge_path", f"WITH {WALK}{_ridge_sql('cvr', '(SELECT * FROM wf WHERE NOT is_test)', 'port, direction, fold_year')} SELECT port, direction, fold_year, penalty, k0 AS intercept, k1 AS slope_lag_12, k2 AS slope_rolling_12 FROM cvr_c", "intercept slope_lag_12 slope_rolling_12")
+def _(s, d):
+    train = evaluate.walk_forward(the_features(s, d), FOLDS).where("not is_test")
+    found = models.SeriesRidgePath(_TWO, drop_years=BREAKS.years, break_years=BREAKS.years, keys=(*KEYS, "fold_year")).fit(train).coefficients
+    return found.select(*KEYS, "fold_year", "penalty", "intercept", F.col("coefficients")[0].alias("slope_lag_12"), F.col("coefficients")[1].alias("slope_rolling_12"))
+
+
+@query("h14_learner_scores", f"WITH {LEARNED} SELECT * FROM scores", "mae rmse mape r2")
+def _(s, d):
+    return the_learned(s, d)[1]
+
+
+@query("h26_learner_selection", f"WITH {LEARNED} SELECT * FROM sel", "avg_volume best_cv_mape baseline_cv_mape final_cv_mape")
+def _(s, d):
+    return the_learned(s, d)[2]
+
+
+#: Every model's recursion of every series; the selected ones are those of the hybrid.
+LEARNED_RECURSE = "RECURSIVE " + LEARNED + _SEED + _ridge_sql("fin", "(SELECT * FROM feats WHERE year <= 2000)", "port, direction") + f""",
+    steps AS (SELECT s.port, s.direction, model, v, m, p, g, k0, k1, k2, 0 AS i FROM seed s CROSS JOIN (VALUES ('naive'), ('rolling'), ('ridge')) a(model) LEFT JOIN fin_c c ON c.port = s.port AND c.direction = s.direction UNION ALL SELECT port, direction, model,
+        list_append(v, greatest(1.0, CASE model WHEN 'naive' THEN {_SAME} * (1 + g) WHEN 'rolling' THEN list_avg(v[-12:]) ELSE k0 + k1 * {_SAME} + k2 * list_avg(v[-12:]) END)), list_append(m, CAST((p + 1) % 12 + 1 AS INT)), p + 1, g, k0, k1, k2, i + 1 FROM steps WHERE i < 12),
+    every AS (SELECT port, direction, model, CAST(p // 12 AS INT) AS year, CAST(p % 12 + 1 AS INT) AS month, v[-1] AS prediction FROM steps WHERE i > 0),
+    chosen AS (SELECT every.* FROM every LEFT JOIN sel USING (port, direction) WHERE model = coalesce(selected_model, 'naive'))"""
+
+
+def the_selected(s, d) -> DataFrame:
+    f, _scores, selection = the_learned(s, d)
+    fitted = evaluate.fit_models(f.where("year <= 2000"), the_models())
+    return forecast.forecast_selected(f, selection, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
+
+
+@query("h30_selected_forecast", f"WITH {LEARNED_RECURSE} SELECT * FROM chosen", "prediction")
+def _(s, d):
+    return the_selected(s, d)
+
+
+@query("h33_selected_totals", f"WITH {LEARNED_RECURSE} SELECT direction, model, sum(prediction) AS total FROM chosen GROUP BY 1, 2", "total")
+def _(s, d):
+    return forecast.forecast_totals(the_selected(s, d), by=("direction", "model"))
+
+
+@query("h34_learner_totals", f"WITH {LEARNED_RECURSE} SELECT model, sum(prediction) FILTER (direction = 'import') AS import, sum(prediction) FILTER (direction = 'export') AS export, coalesce(sum(prediction) FILTER (direction = 'import'), 0) + coalesce(sum(prediction) FILTER (direction = 'export'), 0) AS total FROM (SELECT * FROM every UNION ALL SELECT * REPLACE ('hybrid' AS model) FROM chosen) GROUP BY 1", "import export total")
+def _(s, d):
+    f, _scores, selection = the_learned(s, d)
+    fitted = evaluate.fit_models(f.where("year <= 2000"), the_models())
+    series = f.select(*KEYS).distinct()
+    wanted = series.withColumn("model", F.explode(F.array(*[F.lit(n) for n in fitted])))
+    every = forecast.forecast_by_model(f, wanted, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
+    hybrid = every.join(selection.select(*KEYS, "selected_model"), KEYS, "left").where(F.col("model") == F.coalesce("selected_model", F.lit("naive"))).drop("selected_model").withColumn("model", F.lit("hybrid"))
+    return forecast.totals_by_model(every.unionByName(hybrid))
+
+
+_COMMODITY_WALK = COMMODITY_FEATURES + WALK[len(FEATURES):].replace("PARTITION BY port, direction", "PARTITION BY hs2, port, direction").replace("FROM feats JOIN folds", "FROM (SELECT * FROM feats QUALIFY count(*) OVER (PARTITION BY hs2, port, direction) >= 36) feats JOIN folds")
+COMMODITY_LEARNED = _learned_sql("hs2, port, direction", _COMMODITY_WALK, "cpanel", 1e300)
+
+
+def the_commodity_scores(s, d) -> DataFrame:
+    f = tables.stored(features.build_features(the_commodities(s, d), CK, BREAKS, mix=()), "features")
+    long = panel.eligible_series(f, CK)
+    folds = evaluate.walk_forward(f.join(long, CK, "left_semi"), FOLDS, CK)
+    return evaluate.cross_validate(folds, the_models(CK), [y for _, y in FOLDS], keys=CK)
+
+
+@query("h14_commodity_scores", f"WITH {COMMODITY_LEARNED} SELECT * FROM scores", "mae rmse mape r2")
+def _(s, d):
+    return the_commodity_scores(s, d)
+
+
+@query("h27_commodity_selection", f"WITH {COMMODITY_LEARNED} SELECT hs2, port, direction, best_model, best_cv_mape FROM best", "best_cv_mape")
+def _(s, d):
+    return evaluate.best_model(the_commodity_scores(s, d), CK)
+
+
+def the_learners(kinds=("ridge", "gbt")) -> dict:
+    """The seasonal naive model, the ridge of each series, and learners over all series, with all features of ports."""
+    drop = {"gbt": ()}
+    pooled = {k: models.Pooled(k, PORT_FEATURES, drop.get(k, BREAKS.years), {1998: 0.1, 1999: 0.4}, BREAKS.years) for k in kinds}
+    return {"naive": evaluate.seasonal_naive(), "series_ridge": models.SeriesRidgePath(PORT_FEATURES, drop_years=BREAKS.years, break_years=BREAKS.years), **pooled}
+
+
+@query("h30_learned_forecast")
+def _(s, d):
+    f, found, selection = the_learned(s, d, the_learners())
+    selection = tables.stored(selection, "selection")
+    used = {r[0] for r in selection.select("selected_model").distinct().collect()} | {"naive"}  # one row for each model
+    fitted = evaluate.fit_models(f.where("year <= 2000"), {n: m for n, m in the_learners().items() if n in used})
+    return forecast.forecast_selected(f, selection, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
 
 
 # ---- D35 and K: weather and marts ----------------------------------------------------------------------------------

@@ -49,8 +49,19 @@ PORT_FEATURES = (
     "pct_general", "pct_bulk", "pct_refrigerated", "pct_container", "avg_value_per_shipment_usd", "weight_per_shipment_mt", "avg_quantity_per_shipment",
     "rolling_3_mean", "rolling_12_mean", "rolling_value_12_mean", "is_shock", "is_rebound", "is_aftershock", "lag_12_is_break",
 )
-#: The same at commodity level, which has no diversity and no cargo mix.
-COMMODITY_FEATURES = tuple(c for c in PORT_FEATURES if not c.endswith("_diversity") and not c.startswith("pct_"))
+#: The features of learners at commodity level, in the order that decides which of two alike ones stays.
+COMMODITY_FEATURES = (
+    "lag_1", "lag_2", "lag_3", "lag_12_clean", "lag_value_12", "lag_weight_12", "yoy_growth_clean", "yoy_value_growth", "rolling_3_mean", "rolling_12_mean", "rolling_value_12_mean",
+    "month_sin", "month_cos", "quarter", "year_index", "avg_value_per_shipment_usd", "weight_per_shipment_mt", "avg_quantity_per_shipment", "is_shock", "is_rebound", "is_aftershock", "lag_12_is_break",
+)
+
+#: Penalties that ridge and lasso choose from, those of the elastic net, and its shares of the absolute penalty.
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
+NET_PENALTIES = (0.01, 0.1, 1.0, 10.0)
+NET_SHARES = (0.1, 0.5, 0.7, 0.9)
+
+#: Rounds of boosted trees, rounds without a gain that end them, trees of a forest; at port and at commodity level.
+BOOSTING_ROUNDS, PATIENCE, FOREST_TREES = {"port": 500, "commodity": 300}, 50, {"port": 400, "commodity": 300}
 
 
 def clean_years(first: int, last: int, breaks: Breaks = Breaks(), incomplete: tuple[int, ...] = ()) -> list[int]:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, wavg
 from . import stats
 from .features import latest_per_key
-from .models import Model
+from .models import Fitted, Model
 
 
 def seasonal_naive(limit: float = 0.2) -> Column:
@@ -42,13 +46,24 @@ def walk_forward(features: DataFrame, folds: Sequence[tuple[int, int]], keys: Se
     return rows.where((F.col("_train") >= least_train) & (F.col("_test") > 0)).drop("_train", "_test")
 
 
-def inner_validation(rows: DataFrame, break_years: Sequence[int], keys: Sequence[str] = ("port", "direction", "fold_year"), last: int = 12) -> DataFrame:
-    """is_valid: training rows of the last year that is no break year; series whose training lacks one take their last rows."""
+def inner_validation(rows: DataFrame, break_years: Sequence[int], keys: Sequence[str] = ("port", "direction", "fold_year"), last: int = 12, short: tuple[int, int, int] | None = None) -> DataFrame:
+    """is_train and is_valid among training rows (neither for test rows).
+
+    A series with two or more years that are no break years validates on the last of them and trains on the rows before it; what
+    comes after it is left out. Other series validate on their last rows. short = (train, valid, n): a series that is left with
+    fewer training or validation rows validates on its last n rows.
+    """
     w = Window.partitionBy(*keys)
     train = ~F.col("is_test")
-    year = F.max(F.when(train & ~F.col("year").isin(*break_years), F.col("year"))).over(w)
+    clean = F.when(train & ~F.col("year").isin(*break_years), F.col("year"))
     back = F.row_number().over(w.orderBy(F.col("is_test"), F.desc("year"), F.desc("month")))
-    return rows.withColumn("_y", year).withColumn("_b", back).withColumn("is_valid", train & F.coalesce(F.col("year") == F.col("_y"), F.col("_b") <= last)).drop("_y", "_b")
+    df = rows.withColumns({"_y": F.when(F.min(clean).over(w) < F.max(clean).over(w), F.max(clean).over(w)), "_b": back})
+    df = df.withColumns({"is_train": train & F.coalesce(F.col("year") < F.col("_y"), F.col("_b") > last), "is_valid": train & F.coalesce(F.col("year") == F.col("_y"), F.col("_b") <= last)})
+    if short is not None:
+        enough = (F.count_if("is_train").over(w) >= short[0]) & (F.count_if("is_valid").over(w) >= short[1])
+        df = df.withColumn("_enough", enough)
+        df = df.withColumns({"is_train": F.when(F.col("_enough"), F.col("is_train")).otherwise(train & (F.col("_b") > short[2])), "is_valid": F.when(F.col("_enough"), F.col("is_valid")).otherwise(train & (F.col("_b") <= short[2]))}).drop("_enough")
+    return df.drop("_y", "_b")
 
 
 def sample_weight(weights: dict[int, float]) -> Column:
@@ -71,23 +86,39 @@ def evaluate(folds: DataFrame, models: dict[str, Column | Callable[[DataFrame],
     return stats.score(reduce(DataFrame.unionByName, parts), [*keys, "fold_year", "model"])
 
 
-def evaluate_models(folds: DataFrame, models: dict[str, Model], fold_years: Sequence[int], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction")) -> DataFrame:
+#: What a learner raises that cannot handle its data; failures of the cluster are no result and go on.
+LEARNER_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
+
+
+def at_once(spark: SparkSession, jobs: Sequence[Callable], most: int) -> list:
+    """Results of independent jobs in their order; up to `most` run as concurrent Spark jobs."""
+    if most <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(most, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def evaluate_models(folds: DataFrame, models: dict[str, Model], fold_years: Sequence[int], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction"), most_at_once: int = 4) -> DataFrame:
     """As evaluate() for learners: each is fitted on the training rows of each fold. With features_used and error.
 
-    A model that fails on a fold leaves one row without a series and scores, with the first 120 characters of what went wrong.
+    Fits are independent, so up to most_at_once of them run at the same time. A model that cannot fit a fold leaves one row
+    without a series and scores, with the first 120 characters of what went wrong.
     """
-    spark, parts, failed = folds.sparkSession, [], []
-    for name, model in models.items():
-        for year in fold_years:
-            part = folds.where(F.col("fold_year") == year)
-            try:
-                if part.where("not is_test").isEmpty():
-                    continue
-                fitted = model.fit(part.where("not is_test"))
-                rows = fitted.transform(part.where("is_test")).select(*keys, "fold_year", F.col(target).cast("double").alias("y"), F.lit(name).alias("model"), "prediction")
-                parts.append(rows.withColumn("features_used", F.array(*[F.lit(c) for c in fitted.features])))
-            except Exception as e:  # noqa: BLE001  whatever a learner raises is a result of the comparison
-                failed.append((year, name, str(e)[:120]))
+    spark = folds.sparkSession
+
+    def fit(name: str, year: int) -> tuple[DataFrame | None, tuple | None]:
+        part = folds.where(F.col("fold_year") == year)
+        try:
+            if part.where("not is_test").isEmpty():
+                return None, None
+            fitted = models[name].fit(part.where("not is_test"))
+            rows = fitted.transform(part.where("is_test")).select(*keys, "fold_year", F.col(target).cast("double").alias("y"), F.lit(name).alias("model"), "prediction")
+            return rows.withColumn("features_used", F.array(*[F.lit(c) for c in fitted.features])), None
+        except LEARNER_ERRORS as e:
+            return None, (year, name, str(e)[:120])
+
+    found = at_once(spark, [partial(fit, name, year) for name in models for year in fold_years], most_at_once)
+    parts, failed = [rows for rows, _ in found if rows is not None], [error for _, error in found if error is not None]
     errors = spark.createDataFrame(failed, "fold_year int, model string, error string")
     if not parts:
         return errors
@@ -95,6 +126,29 @@ def evaluate_models(folds: DataFrame, models: dict[str, Model], fold_years: Sequ
     return scores.unionByName(errors, allowMissingColumns=True)
 
 
+def fit_models(train: DataFrame, models: dict[str, Model | Column], most_at_once: int = 4) -> dict[str, Fitted | Column]:
+    """Every learner fitted on all of train, several at the same time, and its tables written; expressions stay as they are."""
+
+    def fit(name: str) -> Fitted:
+        fitted = models[name].fit(train)
+        return fitted.settled() if hasattr(fitted, "settled") else fitted
+
+    names = [n for n, m in models.items() if not isinstance(m, Column)]
+    fitted = at_once(train.sparkSession, [partial(fit, n) for n in names], most_at_once)
+    return {n: m for n, m in models.items() if isinstance(m, Column)} | dict(zip(names, fitted))
+
+
+def cross_validate(folds: DataFrame, models: dict[str, Model | Column], fold_years: Sequence[int], target: str = "shipment_count", keys: Sequence[str] = ("port", "direction"), most_at_once: int = 4) -> DataFrame:
+    """Scores of expressions and learners in one table, as selection takes them; folds that a learner failed on have no row."""
+    plain = {n: m for n, m in models.items() if isinstance(m, Column)}
+    learners = {n: m for n, m in models.items() if not isinstance(m, Column)}
+    parts = [evaluate(folds, plain, target, keys)] if plain else []
+    if learners:
+        found = evaluate_models(folds, learners, fold_years, target, keys, most_at_once)
+        parts += [found.where("error is null").drop("error", "features_used")] if "mape" in found.columns else []
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mean_scores(scores: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
     """Mean error over folds, to nine decimals: models that differ only by the order of additions are equal."""
     return scores.groupBy(*keys, "model").agg(F.round(F.avg("mape"), 9).alias("cv_mape"))
@@ -145,8 +199,9 @@ def winner(scores: DataFrame, fold: int, weight: str = "avg_volume") -> DataFram
     return sums.where("wmape is not null").agg(F.min(F.struct("wmape", "model")).alias("w")).select(F.col("w.model").alias("winner"), F.col("w.wmape").alias("wmape"))
 
 
-def with_descriptions(df: DataFrame, panel: DataFrame, key: str = "hs2", label: str = "dominant_description") -> DataFrame:
-    return df.join(latest_per_key(panel, [key], label), key, "left")
+def with_descriptions(df: DataFrame, panel: DataFrame, keys: Sequence[str] = ("hs2", "port", "direction"), label: str = "dominant_description") -> DataFrame:
+    """df with the latest label of each series."""
+    return df.join(latest_per_key(panel, list(keys), label), list(keys), "left")
 
 
 def with_default(df: DataFrame, lookup: DataFrame, keys: Sequence[str], column: str, default: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import SEASON_CUTS
 from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, cyclic, half_even, quarter, season
 
-from ..sources.tables import stored
+from ..sources.tables import discard, stored
 from .models import Fitted
 
 
@@ -52,9 +52,9 @@ def commodity_forecast(params: DataFrame, seasonal: DataFrame, keys: Sequence[st
     )
 
 
-def active_series(panel: DataFrame, since: int, keys: Sequence[str] = ("hs2", "port", "direction")) -> DataFrame:
-    """The keys of series that were seen in or after a year."""
-    return panel.where(F.col("year") >= since).select(*keys).distinct()
+def active_series(panel: DataFrame, since: int, keys: Sequence[str] = ("hs2", "port", "direction"), month: int = 1) -> DataFrame:
+    """The keys of series that were seen in or after a month of a year."""
+    return panel.where(F.col("year") * 12 + F.col("month") >= since * 12 + month).select(*keys).distinct()
 
 
 def forecast_all(forecasts: dict[str, DataFrame], keys: Sequence[str] = ("port", "direction")) -> DataFrame:
@@ -105,7 +105,7 @@ def recursive_naive(features: DataFrame, target_year: int, keys: Sequence[str] =
     return out.select(*keys, F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
 
 
-#: Features whose mean over the seed stands for the months ahead.
+#: Features whose mean over the seed stands for the months ahead.
 STABLE = (
     "commodity_diversity", "hs4_diversity", "country_diversity", "continent_diversity", "pct_general", "pct_bulk", "pct_refrigerated", "pct_container", "avg_value_per_shipment_usd",
     "weight_per_shipment_mt", "avg_quantity_per_shipment", "lag_value_12", "lag_weight_12", "rolling_value_12_mean", "yoy_value_growth",
@@ -113,11 +113,38 @@ STABLE = (
 
 
 def recursive_forecast(features: DataFrame, fitted: Fitted, target_year: int, keys: Sequence[str] = ("port", "direction"), limit: float = 0.15, clean_years: Sequence[int] | None = None, base_year: int = 2005, horizon: int = 12) -> DataFrame:
-    """Recursion of any fitted model: each step builds the features of all series' next month from their last 24 values, its own predictions included.
-
-    A step is one transform over all series and is stored, so that plans do not grow; there is no loop over series. The growth and
-    the means of the stable features are those of the seed's clean rows.
+    """Recursion of one fitted model over all series; see forecast_by_model()."""
+    every = features.select(*keys).distinct().withColumn("model", F.lit("fitted"))
+    return forecast_by_model(features, every, {"fitted": fitted}, target_year, keys, limit, clean_years, base_year, horizon).drop("model")
+
+
+def _by_model(rows: DataFrame, models: dict[str, Fitted | Column]) -> DataFrame:
+    """rows with `prediction` by the model that their column `model` names: all expressions in one pass, one transform for each learner."""
+    plain = {n: m for n, m in models.items() if isinstance(m, Column)}
+    parts = []
+    if plain:
+        value = reduce(lambda e, item: F.when(F.col("model") == item[0], item[1].cast("double")).otherwise(e), plain.items(), F.lit(None).cast("double"))
+        parts.append(rows.where(F.col("model").isin(*plain)).withColumn("prediction", value))
+    for name, fitted in models.items():
+        if name not in plain:
+            parts.append(fitted.transform(rows.where(F.col("model") == name)))
+    columns = [*rows.columns, "prediction"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
+def forecast_by_model(features: DataFrame, assigned: DataFrame, models: dict[str, Fitted | Column], target_year: int, keys: Sequence[str] = ("port", "direction"), limit: float = 0.15, clean_years: Sequence[int] | None = None, base_year: int = 2005, horizon: int = 12) -> DataFrame:
+    """Recursion of each series by the models assigned to it: keys, model, year, month, prediction.
+
+    assigned: keys and model, a row for each forecast that is wanted, so a series may have several; series that features lack have
+    none. models: a fitted learner or an expression over the features for each name. A step builds the features of all series'
+    next month from their last 24 values, their own predictions included, makes one pass over the expressions and one transform
+    for each learner, and is stored, so that plans do not grow; there is no loop over series. The growth and the means of the
+    stable features are those of the seed's clean rows.
     """
+    names = [r["model"] for r in assigned.select("model").distinct().limit(len(models) + 1).collect()]
+    if set(names) - set(models):
+        raise ValueError(f"no model is given for {sorted(set(names) - set(models))}")
+    models = {n: m for n, m in models.items() if n in names}
     clean = F.lit(True) if clean_years is None else F.col("year").isin(*clean_years)
     there = [c for c in STABLE if c in features.columns]
     seeds = seed_rows(features, target_year, keys).withColumn("_clean", clean)
@@ -127,8 +154,9 @@ def recursive_forecast(features: DataFrame, fitted: Fitted, target_year: int, ke
         F.array_sort(F.collect_list(F.struct(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.col("shipment_count").cast("double").alias("v")))).alias("h"),
         F.coalesce(clamp(F.median(F.when(F.col("_use"), F.col("yoy_growth_clean"))), -limit, limit), F.lit(0.0)).alias("g"), *[F.avg(F.when(F.col("_use"), F.col(c).cast("double"))).alias(c) for c in there],
     )
+    state = stored(state.join(assigned.select(*keys, "model").distinct(), list(keys)), "step")
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda total, r: total + r["v"]) / F.size(a)
-    for i in range(horizon):
+    for _ in range(horizon if models else 0):
         end = F.element_at("h", -1)
         rows = state.withColumns({"_y": end["year"], "_m": end["month"]})
         year, month = add_months(F.col("_y"), F.col("_m"), F.lit(1))
@@ -142,10 +170,17 @@ def recursive_forecast(features: DataFrame, fitted: Fitted, target_year: int, ke
             "lag_1": F.element_at("h", -1)["v"], "lag_2": back(2), "lag_3": back(3), "lag_12_clean": F.col("lag_12"), "rolling_3_mean": mean(last(3)), "rolling_12_mean": mean(last(12)), "yoy_growth": F.col("g"), "yoy_growth_clean": F.col("g"),
             "month_sin": sin, "month_cos": cos, "quarter": quarter(F.col("month")), "year_index": F.col("year") - base_year, **{c: F.lit(0) for c in ("is_shock", "is_rebound", "is_aftershock", "lag_12_is_break")},
         })
-        done = fitted.transform(rows).select(*keys, "h", "g", *there, F.struct("year", "month", F.greatest(F.lit(1.0), F.col("prediction")).alias("v")).alias("_new"))
-        state = stored(done.withColumn("h", F.slice(F.concat("h", F.array("_new")), -F.least(F.size("h") + 1, F.lit(24)), 24)).drop("_new"), f"step-{i}")
-    out = state.select(*keys, F.explode(F.slice("h", -horizon, horizon)).alias("p"))
-    return out.select(*keys, F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
+        done = _by_model(rows, models).select(*keys, "model", "h", "g", *there, F.struct("year", "month", F.greatest(F.lit(1.0), F.col("prediction")).alias("v")).alias("_new"))
+        before, state = state, stored(done.withColumn("h", F.slice(F.concat("h", F.array("_new")), -F.least(F.size("h") + 1, F.lit(24)), 24)).drop("_new"), "step")
+        discard(before)
+    out = state.select(*keys, "model", F.explode(F.slice("h", -horizon, horizon)).alias("p"))
+    return out.select(*keys, "model", F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))
+
+
+def forecast_selected(features: DataFrame, selection: DataFrame, models: dict[str, Fitted | Column], target_year: int, default: str = "naive", keys: Sequence[str] = ("port", "direction"), **how) -> DataFrame:
+    """Recursion of every series of features by the model selected for it (selected_model), by the default where nothing is selected."""
+    chosen = features.select(*keys).distinct().join(selection.select(*keys, F.col("selected_model").alias("model")), list(keys), "left")
+    return forecast_by_model(features, chosen.withColumn("model", F.coalesce("model", F.lit(default))), models, target_year, keys, **how)
 
 
 def recursive_linear(history: DataFrame, coefficients: Sequence[float], intercept: float, horizon: int = 12, keys: Sequence[str] = ("port", "direction"), target: str = "shipment_count") -> DataFrame:

@@ -161,17 +161,31 @@ def load_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df: written once to the folder in spark.checkpoint.dir and read again.
+    """Cuts the lineage of df: written once to the folder in spark.checkpoint.dir and read again."""
+    path = stored_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir, which the driver and all executors see.
 
     Where that is unset, a session of a single process gets a new folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() has made, once the last step that reads it is itself stored."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.stored_at
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -65,7 +65,8 @@ def test_learners_beat_nothing_and_errors_are_rows(spark, kind):
     got = evaluate.evaluate_models(folds, {kind: model, "broken": Broken()}, (1999, 2000)).collect()
     bad = [r for r in got if r.error]
     assert {(r.model, r.fold_year) for r in bad} == {("broken", 1999), ("broken", 2000)} and all(len(r.error) == 120 and r.port is None for r in bad)
-    assert len(got) == 6 and all(r.mape < 30 and r.features_used == ["lag_1", "lag_12_clean", "rolling_12_mean", "month_sin"] for r in got if not r.error)
+    # boosted trees see nothing from the validation year on, and trees do not follow a trend beyond what they have seen
+    assert len(got) == 6 and all(r.mape < {"ridge": 30, "gbt": 50}[kind] and r.features_used == ["lag_1", "lag_12_clean", "rolling_12_mean", "month_sin"] for r in got if not r.error)
 
 
 class Naive:
@@ -175,3 +176,113 @@ def test_scores_of_one_batch_do_not_tie_by_chance(spark, tmp_path):
     for name, order, want in (("o1", "seen", 3.0), ("o2", None, 9.0)):
         rollup.stream_scores(stream, str(tmp_path / name), str(tmp_path / f"{name}-ck"), order).awaitTermination(120)
         assert [r.operability for r in spark.read.parquet(str(tmp_path / name)).collect()] == [want]
+
+
+# ---- early stopping, penalty paths, routing, importance ----
+
+def test_patience_outlasts_a_plateau():
+    plateau = [9.0, 8.0, 7.0, 7.0, 7.1, 7.0, 6.5, 6.6, 6.7, 6.8, 6.9]
+    assert models.best_round(plateau, 2) == (3, True)  # stops on the plateau
+    assert models.best_round(plateau, 4) == (7, True)  # the best round lies behind it
+    assert models.best_round(plateau, 5) == (7, False) and models.best_round([5.0], 3) == (1, False)
+
+
+def test_trees_are_cut_at_the_best_round(spark):
+    f = feature_rows(spark).where("year < 2000")
+    model = models.Pooled("gbt", ("lag_12_clean", "month_sin"), break_years=BREAKS.years, rounds=12, patience=3, limit=2.0)
+    fitted = model.fit(f)
+    assert 1 <= fitted.chosen["rounds"] <= 12 and fitted.fitted.getNumTrees == fitted.chosen["rounds"]
+    table = models.importance(fitted)
+    rows = {r.feature: r for r in table.collect()}
+    splits = sum(t.numNodes // 2 for t in fitted.fitted.trees)
+    assert sum(r.split_count for r in rows.values()) == splits > 0 and sum(r.gain for r in rows.values()) == pytest.approx(1)
+    one = models.Pooled("random_forest", ("lag_12_clean", "month_sin"), trees=1, depth=1, limit=2.0).fit(f)
+    assert sorted(r.split_count for r in models.importance(one).collect()) == [0, 1]
+    of_commodities = models.Pooled.of_commodities("gbt")
+    assert (of_commodities.rounds, of_commodities.short, len(of_commodities.features)) == (300, (12, 3, 6), 22)
+
+
+def test_penalty_path_of_a_series():
+    rng = np.random.default_rng(5)
+    for case in range(20):
+        n, k = 40, 4
+        x = rng.normal(size=(n, k)) * [1, 10, 0.1, 1] + [5, 0, 1, 3]
+        x[:, 3] = x[:, 1] * 2 + (0 if case % 2 else 30) * rng.normal(size=n)  # a twin in half of the cases
+        y = 3 + x @ [1, 0.2, -4, 0] + rng.normal(size=n) * (1 + case)
+        train, valid = np.arange(n) < 25, (np.arange(n) >= 25) & (np.arange(n) < 35)
+        keep = [0, 1, 2] if abs(np.corrcoef(x[:, 1], x[:, 3])[0, 1]) > 0.95 else [0, 1, 2, 3]
+
+        def plain(rows, a):
+            z = (x[rows][:, keep] - x[rows][:, keep].mean(0)) / x[rows][:, keep].std(0)
+            w = np.linalg.solve(z.T @ z + a * np.eye(len(keep)), z.T @ (y[rows] - y[rows].mean())) / x[rows][:, keep].std(0)
+            return y[rows].mean() - w @ x[rows][:, keep].mean(0), w
+
+        penalties = (0.01, 0.1, 1.0, 10.0, 100.0)
+        errors = [np.mean((y[valid] - b - x[valid][:, keep] @ w) ** 2) for b, w in (plain(train, a) for a in penalties)]
+        b, w = plain(np.ones(n, bool), penalties[int(np.argmin(errors))])
+        got = models.ridge_path(x, y, train, valid, penalties)
+        assert got[3] == penalties[int(np.argmin(errors))] and got[0] == pytest.approx(b) and got[1][keep] == pytest.approx(w) and (len(keep) == 4 or got[1][3] == 0)
+    none = np.zeros(n, bool)
+    assert models.ridge_path(x, y, none, valid, penalties)[3] == models.ridge_path(x, y, train, none, penalties)[3] == 1.0
+    assert models.ridge_path(np.ones((3, 2)), np.array([1.0, 2.0, 3.0]), none[:3], none[:3], penalties)[:1] == (2.0,)
+
+
+def test_validation_rows_follow_all_training_rows(spark):
+    rows = [(p, "d", y, m, t) for p, years in (("two", (1995, 1996, 1997, 1998)), ("one", (1997, 1998))) for y in years for m in range(1, 13) for t in [False]] + [("two", "d", 1999, 1, True)]
+    df = spark.createDataFrame(rows, "port string, direction string, year int, month int, is_test boolean")
+    got = evaluate.inner_validation(df, (1998,), KEYS).collect()
+    pick = lambda flag, port: sorted({r.year for r in got if r[flag] and r.port == port})
+    assert pick("is_train", "two") == [1995, 1996] and pick("is_valid", "two") == [1997]  # 1998 follows and is in neither
+    assert pick("is_train", "one") == [1997] and pick("is_valid", "one") == [1998]
+    assert not any(r.is_train or r.is_valid for r in got if r.is_test)
+    brief = evaluate.inner_validation(df.where("port = 'one' and month < 9"), (1998,), KEYS, short=(12, 3, 6)).collect()
+    assert sum(r.is_valid for r in brief) == 6 and sum(r.is_train for r in brief) == 10
+
+
+def test_series_are_forecast_by_their_own_model(spark):
+    f = feature_rows(spark)
+    years = clean_years(1995, 1999, BREAKS)
+    kinds = {"naive": evaluate.seasonal_naive(), "rolling": evaluate.rolling_mean(), "ridge": models.SeriesRidgePath(("lag_1", "lag_12_clean"), break_years=BREAKS.years), "other": Naive()}
+    fitted = evaluate.fit_models(f.where("year < 2000"), {n: m for n, m in kinds.items() if n != "other"}) | {"other": kinds["other"]}
+    how = {"clean_years": years, "base_year": 1995}
+    every = forecast.forecast_by_model(f, f.select(*KEYS).distinct().withColumn("model", F.explode(F.array(*map(F.lit, fitted)))), fitted, 2000, **how)
+    plain = {(r.port, r.model, r.month): r.prediction for r in every.collect()}
+    assert len(plain) == 2 * 4 * 12
+    for name, model in fitted.items():
+        if name in ("ridge", "other"):
+            alone = {(r.port, r.month): r.prediction for r in forecast.recursive_forecast(f, model, 2000, **how).collect()}
+            assert alone == pytest.approx({(p, m): v for (p, n, m), v in plain.items() if n == name})
+    naive = {(r.port, r.month): r.prediction for r in forecast.recursive_naive(f, 2000, clean_years=years).collect()}
+    assert naive == pytest.approx({(p, m): v for (p, n, m), v in plain.items() if n == "naive"})
+    selection = spark.createDataFrame([("P", "import", "ridge")], "port string, direction string, selected_model string")
+    chosen = forecast.forecast_selected(f, selection, fitted, 2000, **how).collect()
+    assert {(r.port, r.model) for r in chosen} == {("P", "ridge"), ("Q", "naive")} and all(r.prediction == pytest.approx(plain[r.port, r.model, r.month]) for r in chosen)
+    with pytest.raises(ValueError):
+        forecast.forecast_selected(f, selection, {"naive": kinds["naive"]}, 2000)
+
+
+def test_scores_of_expressions_and_learners_stand_together(spark):
+    folds = evaluate.walk_forward(feature_rows(spark), ((1998, 1999), (1999, 2000)))
+    got = evaluate.cross_validate(folds, {"naive": evaluate.seasonal_naive(), "ridge": models.SeriesRidgePath(("lag_1", "lag_12_clean"), break_years=BREAKS.years)}, (1999, 2000))
+    assert sorted((r.port, r.model, r.fold_year) for r in got.collect()) == sorted((p, m, y) for p in "PQ" for m in ("naive", "ridge") for y in (1999, 2000))
+
+    class Lost:
+        def fit(self, train):
+            raise RuntimeError("the cluster is gone")
+
+    with pytest.raises(RuntimeError):  # no result of a comparison
+        evaluate.evaluate_models(folds, {"lost": Lost()}, (1999,))
+
+
+def test_attribution_adds_up(spark):
+    f = feature_rows(spark)
+    fitted = models.SeriesRidgePath(("lag_1", "lag_12_clean", "month_sin")).fit(f.where("year < 2000"))
+    parts = models.linear_attribution(fitted, f)
+    sums = parts.groupBy(*KEYS, "year", "month").agg(F.sum("contribution").alias("c"))
+    rows = fitted.transform(f).join(sums, [*KEYS, "year", "month"]).collect()
+    for port in "PQ":
+        mine = [r for r in rows if r.port == port]
+        mean = np.mean([r.prediction for r in mine])  # no prediction is at the floor
+        assert all(r.prediction - mean == pytest.approx(r.c, abs=1e-6) for r in mine)
+    rise = {r.feature: r.rise for r in models.permutation_importance(Naive(), f.where("yoy_growth_clean is not null")).collect()}
+    assert set(rise) == {"lag_12_clean", "yoy_growth_clean"} and rise["lag_12_clean"] > 5

@@ -156,22 +156,23 @@ def forecast_by_model(features: DataFrame, assigned: DataFrame, models: dict[str
     )
     state = stored(state.join(assigned.select(*keys, "model").distinct(), list(keys)), "step")
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda total, r: total + r["v"]) / F.size(a)
-    for _ in range(horizon if models else 0):
-        end = F.element_at("h", -1)
-        rows = state.withColumns({"_y": end["year"], "_m": end["month"]})
-        year, month = add_months(F.col("_y"), F.col("_m"), F.lit(1))
-        rows = rows.withColumns({"year": year, "month": month}).drop("_y", "_m")
-        same = F.filter("h", lambda r: r["month"] == F.col("month"))
-        rows = rows.withColumn("lag_12", F.when(F.size(same) > 0, F.element_at(same, -1)["v"]).otherwise(mean(F.col("h"))))
-        back = lambda n: F.when(F.size("h") >= n, F.element_at("h", -n)["v"]).otherwise(F.col("lag_12"))
-        sin, cos = cyclic(F.col("month"))
-        last = lambda n: F.slice("h", -F.least(F.size("h"), F.lit(n)), n)
-        rows = rows.withColumns({
-            "lag_1": F.element_at("h", -1)["v"], "lag_2": back(2), "lag_3": back(3), "lag_12_clean": F.col("lag_12"), "rolling_3_mean": mean(last(3)), "rolling_12_mean": mean(last(12)), "yoy_growth": F.col("g"), "yoy_growth_clean": F.col("g"),
-            "month_sin": sin, "month_cos": cos, "quarter": quarter(F.col("month")), "year_index": F.col("year") - base_year, **{c: F.lit(0) for c in ("is_shock", "is_rebound", "is_aftershock", "lag_12_is_break")},
-        })
-        done = _by_model(rows, models).select(*keys, "model", "h", "g", *there, F.struct("year", "month", F.greatest(F.lit(1.0), F.col("prediction")).alias("v")).alias("_new"))
-        before, state = state, stored(done.withColumn("h", F.slice(F.concat("h", F.array("_new")), -F.least(F.size("h") + 1, F.lit(24)), 24)).drop("_new"), "step")
+    end = F.element_at("h", -1)
+    year, month = add_months(F.col("_y"), F.col("_m"), F.lit(1))
+    same = F.filter("h", lambda r: r["month"] == F.col("month"))
+    lag_12 = F.when(F.size(same) > 0, F.element_at(same, -1)["v"]).otherwise(mean(F.col("h")))
+    back = lambda n: F.when(F.size("h") >= n, F.element_at("h", -n)["v"]).otherwise(F.col("lag_12"))
+    last = lambda n: F.slice("h", -F.least(F.size("h"), F.lit(n)), n)
+    sin, cos = cyclic(F.col("month"))
+    known = {
+        "lag_1": end["v"], "lag_2": back(2), "lag_3": back(3), "lag_12_clean": F.col("lag_12"), "rolling_3_mean": mean(last(3)), "rolling_12_mean": mean(last(12)), "yoy_growth": F.col("g"), "yoy_growth_clean": F.col("g"),
+        "month_sin": sin, "month_cos": cos, "quarter": quarter(F.col("month")), "year_index": F.col("year") - base_year, **{c: F.lit(0) for c in ("is_shock", "is_rebound", "is_aftershock", "lag_12_is_break")},
+    }
+    new = F.struct("year", "month", F.greatest(F.lit(1.0), F.col("prediction")).alias("v"))
+    longer = F.slice(F.concat("h", F.array("_new")), -F.least(F.size("h") + 1, F.lit(24)), 24)
+    for _ in range(horizon if models else 0):  # the same expressions over another state
+        rows = state.withColumns({"_y": end["year"], "_m": end["month"]}).withColumns({"year": year, "month": month}).drop("_y", "_m").withColumn("lag_12", lag_12).withColumns(known)
+        done = _by_model(rows, models).select(*keys, "model", "h", "g", *there, new.alias("_new"))
+        before, state = state, stored(done.withColumn("h", longer).drop("_new"), "step")
         discard(before)
     out = state.select(*keys, "model", F.explode(F.slice("h", -horizon, horizon)).alias("p"))
     return out.select(*keys, "model", F.col("p.year").alias("year"), F.col("p.month").alias("month"), F.col("p.v").alias("prediction"))

@@ -346,14 +346,13 @@ def importance(fitted: FittedPooled) -> DataFrame:
     if not hasattr(model, "featureImportances"):
         rows = [(n, float(c), bool(c != 0)) for n, c in zip(names, model.coefficients.toArray())]
         return spark.createDataFrame(rows, "feature string, coefficient double, selected boolean").orderBy(F.desc(F.abs("coefficient")), "feature")
-    splits = _tree_nodes(model).where("split >= 0").groupBy(F.col("split").alias("i")).agg(F.count("*").alias("split_count"))
+    splits = _tree_nodes(spark, model).where("split >= 0").groupBy(F.col("split").alias("i")).agg(F.count("*").alias("split_count"))
     rows = spark.createDataFrame([(i, n, float(g)) for i, (n, g) in enumerate(zip(names, model.featureImportances.toArray()))], "i int, feature string, gain double")
     return rows.join(splits, "i", "left").select("feature", "gain", F.coalesce("split_count", F.lit(0)).alias("split_count")).orderBy(F.desc("gain"), "feature")
 
 
-def _tree_nodes(model) -> DataFrame:
+def _tree_nodes(spark: SparkSession, model) -> DataFrame:
     """tree and split (number of the feature, -1 for a leaf) of every node of an ensemble, read from its stored form."""
-    spark = SparkSession.getActiveSession()
     path = stored_path(spark, "ensemble")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")

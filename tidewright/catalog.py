@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import MAP_SIZES, PORT_FEATURES, SEASON_CUTS
+from .config import CLOSURE_CUTS, MAP_SIZES, PORT_FEATURES, SEASON_CUTS
 from .functions import exprs as x
 from .operators import decode, evaluate, features, forecast, marts, models, panel, stats, weather
 from .plans.declarations import BREAKS, CARGO, FOLDS, THRESHOLD, declarations, hourly_weather, table, weather_config
@@ -241,11 +241,6 @@ def _(s, d):
     return panel.seasonal_index_two_level(panel.commodity_panel(declarations(s, d)))
 
 
-@query("d12_trend_params", f"WITH {FEATURES} SELECT port, direction, CAST(max(year * 100 + month) // 100 AS INT) AS last_year, CAST(max(year * 100 + month) % 100 AS INT) AS last_month, avg(shipment_count) AS avg_shipment_count, avg(total_value_usd) AS avg_total_value_usd, avg(yoy_growth) AS avg_yoy_growth, count(*) AS n_obs FROM feats WHERE year >= 1996 GROUP BY 1, 2 HAVING count(*) >= 24", "avg_shipment_count avg_total_value_usd avg_yoy_growth")
-def _(s, d):
-    return panel.trend_params(the_features(s, d), ["shipment_count", "total_value_usd", "yoy_growth"], year_floor=1996)
-
-
 @query("d13_positive_growth", f"WITH {PANEL}, g AS (SELECT port, direction, shipment_count, total_value_usd, lag(shipment_count, 12) OVER w AS a, lag(total_value_usd, 12) OVER w AS b FROM panel WINDOW w AS (PARTITION BY port, direction ORDER BY year, month)) SELECT port, direction, avg(CASE WHEN a > 0 THEN shipment_count / a::DOUBLE - 1 END) AS growth_shipment_count, avg(CASE WHEN b > 0 THEN total_value_usd / b - 1 END) AS growth_total_value_usd, count(*) AS n_obs, avg(shipment_count) * count(*) AS weight FROM g GROUP BY 1, 2 HAVING count(*) >= 48", "growth_shipment_count growth_total_value_usd weight")
 def _(s, d):
     return panel.mean_positive_growth(the_panel(s, d), ["shipment_count", "total_value_usd"], KEYS)
@@ -373,6 +368,36 @@ def _(s, d):
     return features.build_features(the_commodities(s, d), CK, BREAKS, mix=()).select(*CK, "year", "month", "avg_value_per_shipment_usd", *_FEATURE_SQL)
 
 
+_AVERAGES = ("yoy_growth", "yoy_value_growth", "shipment_count", "total_value_usd", "total_weight_mt", "commodity_diversity", "hs4_diversity", "country_diversity", "pct_general", "pct_bulk", "pct_refrigerated", "pct_container", "weight_per_shipment_mt", "avg_quantity_per_shipment")
+
+
+@query("d12_trend_params", f"WITH {FEATURES} SELECT port, direction, CAST(max(year * 100 + month) // 100 AS INT) AS last_year, CAST(max(year * 100 + month) % 100 AS INT) AS last_month, {', '.join(f'avg({_PORT_SQL.get(c, c) if c != _AVERAGES[4] else f'coalesce({c}, 0)'}) AS avg_{c}' for c in _AVERAGES)}, count(*) AS n_obs FROM feats WHERE year >= 1996 GROUP BY 1, 2 HAVING count(*) >= 24", " ".join(f"avg_{c}" for c in _AVERAGES))
+def _(s, d):
+    f = the_features(s, d).withColumn("total_weight_mt", F.coalesce("total_weight_mt", F.lit(0.0)))
+    return panel.trend_params(f, _AVERAGES, year_floor=1996)
+
+
+@query("d12_trend_modes", f"WITH {DECL}, md AS (SELECT {_PK}, {', '.join(f'{c}.v AS {c}' for c in _MODES)} FROM (SELECT DISTINCT {_PK} FROM decl) {' '.join(f'LEFT JOIN {_mode_sql(of, chr(100) + chr(101) + chr(99) + chr(108), _PK)} {c} USING ({_PK})' for c, of in _MODES.items())}) SELECT port, direction, {', '.join(f'arg_min({c}, (-n_{c}, {c})) FILTER ({c} IS NOT NULL) AS {c}' for c in _MODES)} FROM (SELECT *, {', '.join(f'count(*) OVER (PARTITION BY port, direction, {c}) AS n_{c}' for c in _MODES)} FROM md) GROUP BY 1, 2 HAVING count(*) >= 24")
+def _(s, d):
+    return panel.trend_params(the_panel(s, d), (), list(_MODES)).select(*KEYS, *_MODES)
+
+
+@query("b9_year_filter", f"WITH {PANEL} SELECT {_PK}, shipment_count FROM panel WHERE year BETWEEN 1996 AND 1999")
+def _(s, d):
+    return panel.monthly_panel(declarations(s, d), cargo=CARGO, years=(1996, 1999)).select(*KEYS, "year", "month", "shipment_count")
+
+
+@query("e11_largest_series", f"WITH {PANEL} SELECT port, direction, count(*) AS n_months, avg(shipment_count) AS avg_volume FROM panel GROUP BY 1, 2 HAVING count(*) >= 36 ORDER BY avg_volume DESC, port, direction LIMIT 12", "avg_volume")
+def _(s, d):
+    return panel.eligible_series(the_panel(s, d), largest=12)
+
+
+@query("a18_overall", "SELECT 2::BIGINT AS n_tables, CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 0 AS BIGINT) AS n_different, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') = 0 AS all_same")
+def _(s, d):
+    o, n = table(s, d, "orders"), table(s, d, "nation")
+    return tables.all_same(tables.reconcile({"orders": o, "nation": n}, {"orders": o.where("o_orderstatus <> 'P'"), "nation": n}))
+
+
 @query("h5_trend_clean_lag", f"""WITH {FEATURES}, g AS (SELECT *, avg(CASE WHEN year < 1998 THEN shipment_count END) OVER (PARTITION BY port, direction, month) AS base, coalesce(median(CASE WHEN year NOT IN (1998, 1999) AND year - 1 NOT IN (1998, 1999) THEN yoy_growth END) OVER (PARTITION BY port, direction), 0.03) AS g FROM feats)
     SELECT {_PK}, CASE WHEN year - 1 IN (1998, 1999) AND base IS NOT NULL THEN greatest(1.0, base * pow(1 + least(0.15, greatest(-0.15, g)), year - 1 - 1997)) ELSE lag_12::DOUBLE END AS lag_12_trend, CASE WHEN year - 1 IN (1998, 1999) THEN g ELSE yoy_growth END AS growth_trend FROM g""", "lag_12_trend growth_trend")
 def _(s, d):
@@ -398,9 +423,9 @@ def _(s, d):
 
 
 @query("e13_acf", f"""WITH {PANEL}, z AS (SELECT port, direction, row_number() OVER (PARTITION BY port, direction ORDER BY year, month) AS i, shipment_count - avg(shipment_count) OVER (PARTITION BY port, direction) AS v FROM panel), q AS (SELECT port, direction, sum(v * v) AS q, count(*) AS n FROM z GROUP BY 1, 2)
-    SELECT port, direction, CAST(k AS INT) AS lag, (SELECT sum(a.v * b.v) FROM z a JOIN z b ON a.port = b.port AND a.direction = b.direction AND b.i = a.i + k WHERE a.port = q.port AND a.direction = q.direction) / nullif(q, 0) AS acf FROM q, range(0, 13) r(k) WHERE k < n""", "acf")
+    SELECT port, direction, CAST(k AS INT) AS lag, (SELECT sum(a.v * b.v) FROM z a JOIN z b ON a.port = b.port AND a.direction = b.direction AND b.i = a.i + k WHERE a.port = q.port AND a.direction = q.direction) / nullif(q, 0) AS acf FROM q, range(0, 37) r(k) WHERE k < n""", "acf")
 def _(s, d):
-    return features.acf(the_panel(s, d), "shipment_count", 12)
+    return features.acf(the_panel(s, d), "shipment_count")
 
 
 _DENSE = f"WITH {PANEL}, r AS (SELECT port, direction, min(year * 12 + month - 1) AS a, max(year * 12 + month - 1) AS b FROM panel GROUP BY 1, 2), sp AS (SELECT port, direction, unnest(range(a, b + 1)) AS p FROM r) SELECT sp.port, sp.direction, CAST(p // 12 AS INT) AS year, CAST(p % 12 + 1 AS INT) AS month, shipment_count FROM sp LEFT JOIN panel x ON x.port = sp.port AND x.direction = sp.direction AND x.year = p // 12 AND x.month = p % 12 + 1"
@@ -875,6 +900,37 @@ def the_commodity_scores(s, d) -> DataFrame:
     return evaluate.cross_validate(folds, the_models(CK), [y for _, y in FOLDS], keys=CK)
 
 
+@query("h39_leak_report", f"""WITH {LEARNED}, r AS (SELECT abs(corr(shipment_count, rolling_3_inclusive)) > 0.999 AS one, corr(shipment_count, rolling_3_inclusive) AS rho FROM feats GROUP BY port, direction), r2 AS (SELECT abs(corr(shipment_count, lag_1)) > 0.999 AS one, corr(shipment_count, lag_1) AS rho FROM feats GROUP BY port, direction),
+    w AS (SELECT model, sum(mape * avg_volume) FILTER (mape IS NOT NULL) / sum(avg_volume) FILTER (mape IS NOT NULL) AS wmape FROM scores JOIN vol USING (port, direction) GROUP BY 1), g AS (SELECT least(min(wmape) FILTER (model = 'naive'), min(wmape) FILTER (model = 'rolling')) - min(wmape) FILTER (model = 'ridge') AS v FROM w)
+    SELECT 'share_one_rolling_3_inclusive' AS "check", avg(one::INT) AS value, coalesce(avg(one::INT), 0) > 0 AS alarm FROM r WHERE rho IS NOT NULL AND NOT isnan(rho) UNION ALL SELECT 'share_one_lag_1', avg(one::INT), coalesce(avg(one::INT), 0) > 0 FROM r2 WHERE rho IS NOT NULL AND NOT isnan(rho)
+    UNION ALL SELECT 'identity_rolling_3_inclusive', max(abs(shipment_count - (3 * rolling_3_inclusive - lag_1 - lag_2))), max(abs(shipment_count - (3 * rolling_3_inclusive - lag_1 - lag_2))) < 1e-6 FROM feats UNION ALL SELECT 'simple_beats_tuned', v, coalesce(v > 2, false) FROM g""", "value")
+def _(s, d):
+    p = the_panel(s, d)
+    f = features.build_features(p.withColumn("rolling_3_inclusive", features.rolling_inclusive("shipment_count", 3, KEYS)), breaks=BREAKS)
+    scores = the_learned(s, d)[1].join(p.groupBy(*KEYS).agg(F.avg("shipment_count").alias("avg_volume")), KEYS)
+    return stats.leak_report(f, scores, ("rolling_3_inclusive", "lag_1"), ("ridge",), ("naive", "rolling"), roll="rolling_3_inclusive")
+
+
+@query("h36_linear_attribution", f"WITH {FEATURES}{_ridge_sql('fin', '(SELECT * FROM feats WHERE year <= 2000)', 'port, direction')}, a AS (SELECT port, direction, k1 * (coalesce(lag_12_clean, 0) - avg(coalesce(lag_12_clean, 0)) OVER w) AS c1, k2 * (coalesce(rolling_12_mean, 0) - avg(coalesce(rolling_12_mean, 0)) OVER w) AS c2 FROM feats JOIN fin_c USING (port, direction) WINDOW w AS (PARTITION BY port, direction)) SELECT port, direction, 'lag_12_clean' AS feature, avg(abs(c1)) AS mean_abs FROM a GROUP BY 1, 2 UNION ALL SELECT port, direction, 'rolling_12_mean', avg(abs(c2)) FROM a GROUP BY 1, 2", "mean_abs")
+def _(s, d):
+    f = tables.stored(the_features(s, d), "features")
+    return models.mean_attribution(models.linear_attribution(the_models()["ridge"].fit(f.where("year <= 2000")), f), KEYS)
+
+
+@query("h35_importance")
+def _(s, d):
+    f = tables.stored(the_features(s, d).where("year <= 2000"), "features")
+    forest = models.Pooled("random_forest", PORT_FEATURES, BREAKS.years, break_years=BREAKS.years).fit(f)
+    lasso = models.Pooled("lasso", PORT_FEATURES, BREAKS.years, break_years=BREAKS.years).fit(f)
+    return models.importance(forest).withColumn("model", F.lit("random_forest")).unionByName(models.importance(lasso).withColumn("model", F.lit("lasso")), allowMissingColumns=True)
+
+
+@query("h36_permutation_importance")
+def _(s, d):
+    f = tables.stored(the_features(s, d), "features")
+    return models.permutation_importance(the_models()["ridge"].fit(f.where("year <= 2000")), f.where("year = 2001"))
+
+
 @query("h14_commodity_scores", f"WITH {COMMODITY_LEARNED} SELECT * FROM scores", "mae rmse mape r2")
 def _(s, d):
     return the_commodity_scores(s, d)
@@ -943,6 +999,14 @@ def _(s, d):
     return weather.weather_climatology(weather.weather_monthly(weather.weather_daily(the_scored(s, d))))
 
 
+@query("k13_weather_ranking", f"WITH {WEATHER}, every AS (SELECT port_code FROM cfg UNION SELECT n_name FROM nation), y AS (SELECT port_code, 100 * avg(closed) AS closed_pct FROM every LEFT JOIN clim USING (port_code) GROUP BY 1) SELECT port_code, closed_pct, CAST(rank() OVER (ORDER BY coalesce(round(closed_pct, 9), -1) DESC) AS INT) AS rank, CASE WHEN closed_pct IS NULL THEN 'No data' WHEN closed_pct < 1 THEN 'Low' WHEN closed_pct < 3 THEN 'Moderate' WHEN closed_pct < 8 THEN 'High' ELSE 'Critical' END AS label FROM y", "closed_pct")
+def _(s, d):
+    clim = weather.weather_climatology(weather.weather_monthly(weather.weather_daily(the_scored(s, d))))
+    ports = weather_config(s).select("port_code").union(table(s, d, "nation").select("n_name")).distinct()
+    year = ports.join(clim, "port_code", "left").groupBy("port_code").agg(F.round(100 * F.avg("closed"), 9).alias("closed_pct"))
+    return marts.mode_ranking(year, "closed_pct", CLOSURE_CUTS, "port_code")
+
+
 @query("d38_driver_split", f"WITH {WEATHER} SELECT port_code, avg(closed) AS annual_closed, avg(share_wave) AS share_wave, avg(share_wind) AS share_wind, avg(share_gusts) AS share_gusts FROM clim GROUP BY 1", "annual_closed share_wave share_wind share_gusts")
 def _(s, d):
     return weather.driver_split(weather.weather_climatology(weather.weather_monthly(weather.weather_daily(the_scored(s, d)))))

@@ -129,3 +129,12 @@ def mart_commodity_month(forecast: DataFrame, index: DataFrame, keys: Sequence[s
     months = forecast.select(*keys).distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     sums = forecast.groupBy(*keys, "month").agg(F.sum(value).alias("forecast"))
     return months.join(sums, [*keys, "month"], "left").withColumn("forecast", F.coalesce("forecast", F.lit(0))).join(index.select("port", "month", "ci_raw", "ci_adjusted"), ["port", "month"], "left")
+
+
+def mode_ranking(df: DataFrame, value: str, cuts: tuple, *ties: str, missing: str = "No data") -> DataFrame:
+    """Ports (a row for each) from the greatest value down, those without one last, with rank and label; the rank of a missing value is shared."""
+    c = F.coalesce(F.col(value), F.lit(-1.0))
+    sorted_values = df.agg(F.sort_array(F.collect_list(c), asc=False).alias("_all"))  # one number for each port
+    rank = F.array_position("_all", c)
+    out = df.join(F.broadcast(sorted_values)).withColumns({"rank": rank.cast("int"), "label": F.coalesce(bin_label(F.col(value), *cuts), F.lit(missing))}).drop("_all")
+    return out.orderBy(c.desc(), *ties)

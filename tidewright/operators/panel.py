@@ -91,8 +91,10 @@ def national_totals(panel: DataFrame, measure: str = "shipment_count") -> DataFr
     return rolled.select("year", F.when(F.col("_g") == 1, "total").otherwise(F.col("direction")).alias("direction"), measure)
 
 
-def eligible_series(panel: DataFrame, keys: Sequence[str] = ("port", "direction"), least: int = 36, measure: str = "shipment_count") -> DataFrame:
-    return panel.groupBy(*keys).agg(F.count("*").alias("n_months"), F.avg(measure).alias("avg_volume")).where(F.col("n_months") >= least)
+def eligible_series(panel: DataFrame, keys: Sequence[str] = ("port", "direction"), least: int = 36, measure: str = "shipment_count", largest: int | None = None) -> DataFrame:
+    """Series of at least `least` months with their mean volume; only the `largest` of them by volume if that is given."""
+    found = panel.groupBy(*keys).agg(F.count("*").alias("n_months"), F.avg(measure).alias("avg_volume")).where(F.col("n_months") >= least)
+    return found if largest is None else found.orderBy(F.desc("avg_volume"), *keys).limit(largest)
 
 
 def densify(panel: DataFrame, keys: Sequence[str] = ("port", "direction")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,3 +165,21 @@ def leaderboard(scores: DataFrame, fold: int | None = None, weight: str = "avg_v
         *[F.round(wavg(F.col(m), F.col(weight)), d).alias(f"w{m}") for m, d in (("mape", 2), ("mae", 0), ("r2", 3))], F.count_distinct(F.struct(*series)).alias("n_series"),
     )
     return out.orderBy(F.col("wmape").asc_nulls_last(), "model")
+
+
+def leak_report(features: DataFrame, scores: DataFrame, suspects: Sequence[str], simple: Sequence[str], tuned: Sequence[str], target: str = "shipment_count", roll: str | None = None, margin: float = 2.0, keys: Sequence[str] = ("port", "direction")) -> DataFrame:
+    """check, value, alarm: one row for each guardrail against features that give the target away.
+
+    share_one_<feature>: share of series in which a suspect feature is the target on another scale (alarm above 0).
+    identity_<roll>: greatest residual of the target rebuilt from an inclusive mean of three and two lags (alarm if there is none).
+    simple_beats_tuned: by how many points of volume-weighted error the best simple model beats the best tuned one (alarm beyond
+    the margin; such a margin on noisy data is seldom earned). scores holds avg_volume.
+    """
+    parts = [leak_corr(features, keys, target, c).select(F.lit(f"share_one_{c}").alias("check"), F.col("share_one").alias("value"), (F.coalesce("share_one", F.lit(0.0)) > 0).alias("alarm")) for c in suspects]
+    if roll:
+        parts.append(leak_identity(features, target, roll).select(F.lit(f"identity_{roll}").alias("check"), F.col("max_residual").alias("value"), F.coalesce(F.col("max_residual") < 1e-6, F.lit(False)).alias("alarm")))
+    errors = summarise(scores, ("model",), series=keys)
+    best = lambda names: F.min(F.when(F.col("model").isin(*names), F.col("wmape")))
+    gap = errors.agg((best(tuned) - best(simple)).alias("value"))
+    parts.append(gap.select(F.lit("simple_beats_tuned").alias("check"), "value", F.coalesce(F.col("value") > margin, F.lit(False)).alias("alarm")))
+    return reduce(DataFrame.unionByName, parts)

@@ -143,6 +143,11 @@ def reconcile(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFr
     return both.withColumn("same", F.col("n_left").eqNullSafe(F.col("n_right")))
 
 
+def all_same(report: DataFrame) -> DataFrame:
+    """One row over a reconcile() report: how many tables there are, how many differ, and whether all are the same."""
+    return report.agg(F.count("*").alias("n_tables"), F.count_if(~F.col("same")).alias("n_different"), F.coalesce(F.bool_and("same"), F.lit(True)).alias("all_same"))
+
+
 def panel_meta(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
     return panel.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("n_rows"), F.count_distinct(F.struct(*keys)).alias("n_series"))
 

@@ -1,4 +1,4 @@
-"""Stream jobs: snapshot intake, latest scores, windowed rollups."""
+"""Stream jobs: snapshot intake, latest scores, scores kept exactly once, windowed rollups."""
 
 from __future__ import annotations
 
@@ -27,6 +27,17 @@ def stream_snapshots(spark: SparkSession, folder: str, late: str = "1 day") -> D
     return rows.dropDuplicatesWithinWatermark(["port_code", "list", "imo", "scraped_at"])
 
 
+def _latest(old: DataFrame | None, new: DataFrame, order: str | None) -> DataFrame:
+    """The days that new touches, merged with what old has of them: one row for each (port_code, ts), rows of new being later."""
+    rows = new.withColumn("_n", F.lit(1))
+    if old is not None:
+        before = old.join(new.select("day").distinct(), "day", "left_semi").withColumn("_n", F.lit(0))
+        rows = before.unionByName(rows, allowMissingColumns=True)
+    columns = [c for c in rows.columns if c not in ("port_code", "ts", "_n")]
+    rank = F.struct("_n", *([order] if order else []), *columns)
+    return rows.groupBy("port_code", "ts").agg(F.max_by(F.struct(*columns), rank).alias("s")).select("port_code", "ts", "s.*")
+
+
 def stream_scores(scored: DataFrame, path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Keeps the latest score of each (port_code, ts): each batch replaces the days it touches, merged with what is there.
 
@@ -37,17 +48,61 @@ def stream_scores(scored: DataFrame, path: str, checkpoint: str, order: str | No
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("day", F.to_date("ts").cast("string")).withColumn("_n", F.lit(1))
+        new = batch.withColumn("day", F.to_date("ts").cast("string"))
         try:
-            days = new.select("day").distinct()
-            old = spark.read.parquet(path).withColumn("day", F.col("day").cast("string")).join(days, "day", "left_semi").withColumn("_n", F.lit(0))
-            new = old.unionByName(new, allowMissingColumns=True)
+            old = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        columns = [c for c in new.columns if c not in ("port_code", "ts", "_n")]
-        rank = F.struct("_n", *([order] if order else []), *columns)
-        best = new.groupBy("port_code", "ts").agg(F.max_by(F.struct(*columns), rank).alias("s")).select("port_code", "ts", "s.*")
-        replace_partition(stored(best, "scores"), path, "day")
+            old = None
+        replace_partition(stored(_latest(old, new, order), "scores"), path, "day")
 
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """batch and day of every batch that is in; None before the first."""
+    try:
+        return spark.read.schema("batch long, day string").json(f"{path}/ledger")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
+    """What keep_scores_once() has kept: of each day the version of the last batch in the ledger; None before the first batch."""
+    ledger = _ledger(spark, path)
+    if ledger is None:
+        return None
+    current = ledger.groupBy("day").agg(F.max("batch").alias("version"))
+    data = spark.read.parquet(f"{path}/data").withColumns({"day": F.col("day").cast("string"), "version": F.col("version").cast("long")})
+    return data.join(current, ["day", "version"], "left_semi").drop("version")
+
+
+def keep_scores_once(batch: DataFrame, batch_id: int, path: str, order: str | None = None) -> bool:
+    """Merges one batch into the scores below path, exactly once; False if the ledger says that it is in already.
+
+    The days that the batch touches are written whole as data/day=D/version=<batch>; no earlier version is changed, so readers
+    see the old days until the ledger names the new ones. The ledger entry is one file for a batch and is written last: a failure
+    before it leaves the old state, and the replay writes the same version over what the failure left.
+    """
+    spark = batch.sparkSession
+    ledger = _ledger(spark, path)
+    if ledger is not None and not ledger.where(F.col("batch") == batch_id).isEmpty():
+        return False
+    best = _latest(read_scores(spark, path), batch.withColumn("day", F.to_date("ts").cast("string")), order)
+    best.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(f"{path}/data")
+    days = batch.select(F.lit(batch_id).cast("long").alias("batch"), F.to_date("ts").cast("string").alias("day")).distinct()
+    days.coalesce(1).write.mode("append").json(f"{path}/ledger")  # one file, which appears at once
+    return True
+
+
+def stream_scores_once(scored: DataFrame, path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """stream_scores() with a ledger: replayed batches change nothing, and readers (read_scores) never see half a batch."""
+    return scored.writeStream.foreachBatch(lambda batch, i: keep_scores_once(batch, i, path, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows (states of windows, if they were pre-aggregated) that a finished query dropped as later than its watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -749,6 +749,8 @@ def _(s, d):
     return the_panel(s, d).groupBy("year").agg(F.sum(evaluate.sample_weight({1998: 0.1, 1999: 0.4})).alias("w"))
 
 
+#: Boosted rounds of registered queries; a tree costs MLlib six Spark jobs, about 0.3 s however small the table is. Pooled itself goes up to 500.
+_ROUNDS = 100
 _LEARNERS = ("ridge", "lasso", "elastic_net", "random_forest", "gbt", "gbt_sampled", "gbt_absolute")
 
 
@@ -756,8 +758,8 @@ def _learnt(kind: str):
     drop = BREAKS.years if kind in ("ridge", "lasso", "elastic_net", "random_forest") else ()
 
     def run(s, d):
-        folds = evaluate.walk_forward(the_features(s, d), FOLDS)
-        model = models.Pooled(kind, PORT_FEATURES, drop, {1998: 0.1, 1999: 0.4}, BREAKS.years)
+        folds = evaluate.walk_forward(tables.stored(the_features(s, d), "features"), FOLDS)
+        model = models.Pooled(kind, PORT_FEATURES, drop, {1998: 0.1, 1999: 0.4}, BREAKS.years, rounds=_ROUNDS)
         return evaluate.evaluate_models(folds, {kind: model}, [f for _, f in FOLDS]).withColumn("features_used", F.concat_ws(",", "features_used"))
 
     return run
@@ -778,15 +780,15 @@ _CLEAN = [y for y in range(BREAKS.base_year, 2001) if y not in BREAKS.years]
 
 @query("h30_recursive_trees")
 def _(s, d):
-    f = the_features(s, d)
-    fitted = models.Pooled("random_forest", PORT_FEATURES, BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000"))
+    f = tables.stored(the_features(s, d), "features")
+    fitted = models.Pooled("random_forest", PORT_FEATURES, BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000")).settled()
     return forecast.recursive_forecast(f, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
 
 
 @query("h30_recursive_ridge")
 def _(s, d):
-    f = the_features(s, d)
-    fitted = models.SeriesRidgePath(PORT_FEATURES, drop_years=BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000"))
+    f = tables.stored(the_features(s, d), "features")
+    fitted = models.SeriesRidgePath(PORT_FEATURES, drop_years=BREAKS.years, break_years=BREAKS.years).fit(f.where("year <= 2000")).settled()
     return forecast.recursive_forecast(f, fitted, 2001, clean_years=_CLEAN, base_year=BREAKS.base_year)
 
 
@@ -944,7 +946,7 @@ def _(s, d):
 def the_learners(kinds=("ridge", "gbt")) -> dict:
     """The seasonal naive model, the ridge of each series, and learners over all series, with all features of ports."""
     drop = {"gbt": ()}
-    pooled = {k: models.Pooled(k, PORT_FEATURES, drop.get(k, BREAKS.years), {1998: 0.1, 1999: 0.4}, BREAKS.years) for k in kinds}
+    pooled = {k: models.Pooled(k, PORT_FEATURES, drop.get(k, BREAKS.years), {1998: 0.1, 1999: 0.4}, BREAKS.years, rounds=_ROUNDS) for k in kinds}
     return {"naive": evaluate.seasonal_naive(), "series_ridge": models.SeriesRidgePath(PORT_FEATURES, drop_years=BREAKS.years, break_years=BREAKS.years), **pooled}
 
 

@@ -13,8 +13,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,14 +113,14 @@ class Pooled:
             inner = rows
             return grow(self.rounds), {"rounds": self.rounds}
         # the first rounds of a longer run are those of a shorter one, so runs are doubled until the best round is behind
-        n = min(self.rounds, 2 * self.patience)
+        n = min(self.rounds, 3 * self.patience)
         while True:
             model = grow(n)
             best, over = best_round(model.evaluateEachIteration(valid, loss), self.patience)
             if over or n == self.rounds:
                 break
             n = min(2 * n, self.rounds)
-        return (model if best == n else grow(best)), {"rounds": best}
+        return _first_rounds(model, best), {"rounds": best}
 
     def fit(self, train: DataFrame) -> FittedPooled:
         from .evaluate import inner_validation, sample_weight
@@ -144,6 +145,21 @@ class Pooled:
             rows.unpersist()
 
 
+def _first_rounds(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first n trees, by the public constructor of the JVM's class."""
+    if n == model.getNumTrees:
+        return model
+    java = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights))
+    cut._java_obj.setFeaturesCol(java.getFeaturesCol())
+    return cut
+
+
 def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     """Number of rounds (from 1) that early stopping keeps, and whether it would have stopped: the best round, once `patience` rounds have not bettered it."""
     best = 0
@@ -347,7 +363,8 @@ def importance(fitted: FittedPooled) -> DataFrame:
         rows = [(n, float(c), bool(c != 0)) for n, c in zip(names, model.coefficients.toArray())]
         return spark.createDataFrame(rows, "feature string, coefficient double, selected boolean").orderBy(F.desc(F.abs("coefficient")), "feature")
     splits = _tree_nodes(spark, model).where("split >= 0").groupBy(F.col("split").alias("i")).agg(F.count("*").alias("split_count"))
-    rows = spark.createDataFrame([(i, n, float(g)) for i, (n, g) in enumerate(zip(names, model.featureImportances.toArray()))], "i int, feature string, gain double")
+    gains = dict(enumerate(model.featureImportances.toArray()))  # a cut ensemble knows its features up to the last one that it splits
+    rows = spark.createDataFrame([(i, n, float(gains.get(i, 0.0))) for i, n in enumerate(names)], "i int, feature string, gain double")
     return rows.join(splits, "i", "left").select("feature", "gain", F.coalesce("split_count", F.lit(0)).alias("split_count")).orderBy(F.desc("gain"), "feature")
 
 

@@ -5,6 +5,7 @@ Names begin with the number of the operator in the inventory. Doubles are rounde
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -117,6 +118,12 @@ def _(s, d):
     return tables.reconcile({"orders": o, "nation": n}, {"orders": o.where("o_orderstatus <> 'P'"), "nation": n})
 
 
+@query("a10_bucketed_features", f"WITH {FEATURES} SELECT {_PK}, lag_1, lag_12, lag_12_clean, rolling_12_mean, yoy_growth_clean FROM feats", "rolling_12_mean yoy_growth_clean")
+def _(s, d):
+    cache = tables.save_bucketed(the_panel(s, d), f"panel_{uuid.uuid4().hex}")
+    return features.build_features(cache, breaks=BREAKS).select(*KEYS, "year", "month", "lag_1", "lag_12", "lag_12_clean", "rolling_12_mean", "yoy_growth_clean")
+
+
 @query("a20_panel_meta", f"WITH {PANEL} SELECT min(year) AS first_year, max(year) AS last_year, count(*) AS n_rows, count(DISTINCT (port, direction)) AS n_series FROM panel")
 def _(s, d):
     return tables.panel_meta(the_panel(s, d), KEYS)
@@ -601,6 +608,28 @@ def _(s, d):
     return the_forecast(s, d)
 
 
+_PORT_PROFILE = {c: _PORT_SQL.get(c, c) for c in forecast.PROFILE}
+_GROWN = "pow(1 + least(0.4, greatest(-0.3, coalesce(nullif({}, 0), 0.025))), k / 12.0)"
+PORT_FORECAST = INDEX + f""", md AS (SELECT {_PK}, {', '.join(f'{c}.v AS {c}' for c in forecast.PROFILE_MODES)} FROM (SELECT DISTINCT {_PK} FROM decl) {' '.join(f"LEFT JOIN {_mode_sql(_MODES[c], 'decl', _PK)} {c} USING ({_PK})" for c in forecast.PROFILE_MODES)}),
+    recent AS (SELECT ci.*, {', '.join(f'count(*) OVER (PARTITION BY port, direction, {c}) AS n_{c}, {c}' for c in forecast.PROFILE_MODES)} FROM ci JOIN md USING ({_PK}) WHERE year >= 1997),
+    lastp AS (SELECT port, direction, max(year * 100 + month) // 100 AS ly, max(year * 100 + month) % 100 AS lm FROM ci GROUP BY 1, 2),
+    pp AS (SELECT port, direction, avg(yoy_growth) FILTER (lag_12 > 0) AS g, avg(yoy_value_growth) AS gv, avg(shipment_count) AS a_n, avg(total_value_usd) AS a_v, avg(coalesce(total_weight_mt, 0)) AS a_w, avg(total_quantity / shipment_count) AS a_q,
+        {', '.join(f'avg({e}) AS avg_{c}' for c, e in _PORT_PROFILE.items())}, {', '.join(f'arg_min({c}, (-n_{c}, {c})) FILTER ({c} IS NOT NULL) AS {c}' for c in forecast.PROFILE_MODES)} FROM recent GROUP BY 1, 2 HAVING count(*) >= 24),
+    s0 AS (SELECT port, direction, month, avg(shipment_count) AS a, avg(coalesce(total_weight_mt, 0)) AS b, avg(congestion_index) AS h FROM ci WHERE year >= 1996 GROUP BY 1, 2, 3),
+    s1 AS (SELECT port, direction, month, a / nullif(avg(a) OVER w, 0) AS fa, b / nullif(avg(b) OVER w, 0) AS fb, h FROM s0 WINDOW w AS (PARTITION BY port, direction)),
+    pg AS (SELECT pp.*, k, CAST((ly * 12 + lm - 1 + k) // 12 AS INT) AS year, CAST((ly * 12 + lm - 1 + k) % 12 + 1 AS INT) AS month FROM pp JOIN lastp USING (port, direction), range(1, 13) r(k)),
+    pf AS (SELECT pg.*, least(3.0, greatest(0.1, coalesce(fa, 1.0))) AS sn, least(3.0, greatest(0.1, coalesce(fb, 1.0))) AS sw, coalesce(h, 0.35) AS h, {_GROWN.format('g')} AS xn, {_GROWN.format('gv')} AS xv FROM pg LEFT JOIN s1 USING (port, direction, month)),
+    pi AS (SELECT *, least(1.0, greatest(0.0, h * least(1.5, greatest(0.5, sn)) * least(1.1, greatest(0.95, xn)))) AS i FROM pf)"""
+
+
+@query("h7_port_forecast", f"""WITH {PORT_FORECAST} SELECT port, direction, year, month, ['Summer', 'Autumn', 'Winter', 'Spring'][(month % 12) // 3 + 1] AS season, CAST(greatest(1, round_even(a_n * sn * xn, 0)) AS INT) AS pred_shipment_count, CASE WHEN direction = 'export' THEN a_w * sw * xv END AS pred_weight_mt,
+    a_q * a_n * sn * xn AS pred_total_quantity, a_v * sn * xv AS pred_value_usd, i AS congestion_index, CASE WHEN i < 0.25 THEN 'Low' WHEN i < 0.5 THEN 'Moderate' WHEN i < 0.75 THEN 'High' ELSE 'Critical' END AS congestion_label, {', '.join(f'avg_{c}' for c in forecast.PROFILE)}, {', '.join(forecast.PROFILE_MODES)} FROM pi""",
+    "pred_weight_mt pred_total_quantity pred_value_usd congestion_index " + " ".join(f"avg_{c}" for c in forecast.PROFILE), 3)
+def _(s, d):
+    indexed = the_index(s, d)
+    return forecast.port_forecast(forecast.port_params(indexed, year_floor=1997), forecast.port_seasons(indexed, year_floor=1996), digits=False)
+
+
 @query("k8_forecast_index", f"WITH {PARAMS}, h AS (SELECT port, direction, min(shipment_count) AS lo, max(shipment_count) AS hi FROM panel GROUP BY 1, 2) SELECT fc.port, fc.direction, year, month, least(1.0, greatest(0.0, (pred_shipment_count - lo) / nullif(hi - lo, 0))) AS hist_index, pred_shipment_count >= hi AS at_or_above_hist_peak FROM fc JOIN h ON h.port = fc.port AND h.direction = fc.direction", "hist_index")
 def _(s, d):
     return forecast.forecast_index(the_forecast(s, d), the_panel(s, d), "pred_shipment_count", "shipment_count").select(*KEYS, "year", "month", "hist_index", "at_or_above_hist_peak")
@@ -1031,10 +1060,16 @@ def the_bridge(s, d) -> DataFrame:
     return table(s, d, "nation").select(F.col("n_name").alias("port"), F.element_at(codes, F.col("n_nationkey") % 5 + 1).alias("port_code"))
 
 
-def the_adjusted(s, d) -> DataFrame:
+def the_months(s, d, label: str | None = None) -> DataFrame:
+    """The declarations by commodity, port and month, read and joined once; marts over both levels are derived from it."""
+    return tables.stored(panel.commodity_months(declarations(s, d), cargo=CARGO, label=label), "months")
+
+
+def the_adjusted(s, d, ports: DataFrame | None = None) -> DataFrame:
     """The weather of the given month stands for that calendar month of all years."""
     months = weather.weather_monthly(weather.weather_daily(the_scored(s, d))).groupBy("port_code", "month").agg(F.avg("pct_closed").alias("pct_closed"), F.avg("pct_warning").alias("pct_warning"))
-    return weather.weather_adjust(the_index(s, d), months, the_bridge(s, d), on=("month",))
+    index = the_index(s, d) if ports is None else features.congestion_index(features.build_features(ports, breaks=BREAKS))
+    return weather.weather_adjust(index, months, the_bridge(s, d), on=("month",))
 
 
 @query("k7_weather_adjust", f"WITH {_ADJ} SELECT port, direction, year, month, weather_multiplier, ci_adjusted, CASE WHEN weather_multiplier < 1.01 THEN 'none' WHEN weather_multiplier < 1.03 THEN 'minor' WHEN weather_multiplier < 1.08 THEN 'moderate' ELSE 'severe' END AS adjustment_type FROM adj2", "weather_multiplier ci_adjusted")
@@ -1045,8 +1080,8 @@ def _(s, d):
 _OVER = _ADJ + ", ov AS (SELECT port, avg(congestion_index) AS ci_raw, avg(ci_adjusted) AS ci_adjusted, 100 * avg(pct_closed) AS closed_pct FROM adj2 GROUP BY 1)"
 
 
-def the_overview(s, d) -> DataFrame:
-    months = the_adjusted(s, d).select("port", F.col("congestion_index").alias("ci_raw"), "ci_adjusted", F.coalesce("pct_closed", F.lit(0.0)).alias("pct_closed"))
+def the_overview(s, d, ports: DataFrame | None = None) -> DataFrame:
+    months = the_adjusted(s, d, ports).select("port", F.col("congestion_index").alias("ci_raw"), "ci_adjusted", F.coalesce("pct_closed", F.lit(0.0)).alias("pct_closed"))
     return marts.mart_port_overview(months, the_bridge(s, d), ["KENYA"])
 
 
@@ -1056,12 +1091,22 @@ def _(s, d):
     return the_overview(s, d)
 
 
+@query("k9_map_ports", f"""WITH {_ADJ}, places AS (SELECT n_name AS port, -20.0 - n_nationkey AS lat, -70.0 - n_regionkey / 10.0 AS lng FROM nation WHERE n_regionkey <> 4), mp AS (SELECT direction, port, avg(congestion_index) AS ci_raw, avg(ci_adjusted) AS ci_adjusted, 100 * avg(pct_closed) AS closed_pct FROM adj2 WHERE port <> 'KENYA' GROUP BY 1, 2)
+    SELECT mp.*, lat, lng, port_code, CASE WHEN ci_adjusted < 0.15 THEN 'Low' WHEN ci_adjusted < 0.25 THEN 'Moderate' WHEN ci_adjusted < 0.4 THEN 'High' ELSE 'Critical' END AS congestion_label, CASE WHEN ci_adjusted >= 0.4 OR closed_pct >= 8 THEN 'Critical' WHEN ci_adjusted >= 0.25 OR closed_pct >= 3 THEN 'High' WHEN ci_adjusted >= 0.15 OR closed_pct >= 1 THEN 'Moderate' ELSE 'Low' END AS delay_label FROM mp JOIN places USING (port) LEFT JOIN bridge USING (port)""", "ci_raw ci_adjusted closed_pct lat lng")
+def _(s, d):
+    months = the_adjusted(s, d).select(*KEYS, F.col("congestion_index").alias("ci_raw"), "ci_adjusted", "pct_closed")
+    places = table(s, d, "nation").where("n_regionkey <> 4").select(F.col("n_name").alias("port"), (-20.0 - F.col("n_nationkey")).alias("lat"), (-70.0 - F.col("n_regionkey") / 10.0).alias("lng"))
+    codes = the_bridge(s, d).withColumn("port_code", F.concat("port_code", F.lit("001")))
+    return marts.map_ports(months.withColumn("pct_closed", F.coalesce("pct_closed", F.lit(0.0))), codes, places, ["KENYA"])
+
+
 _COMPARE = _OVER + ", cm AS (SELECT hs2, direction, port, count(*) AS volume FROM decl GROUP BY 1, 2, 3), cmp AS (SELECT cm.*, ci_adjusted, closed_pct, rank() OVER (PARTITION BY hs2, direction ORDER BY volume * (1 - coalesce(ci_adjusted, 0)) DESC) AS rank_in_commodity FROM cm LEFT JOIN (SELECT * FROM ov WHERE port <> 'KENYA') USING (port))"
 
 
 def the_compare(s, d) -> DataFrame:
-    volume = declarations(s, d).groupBy("hs2", "direction", "port").agg(F.count("*").alias("shipments"))
-    return marts.mart_port_compare(volume, the_overview(s, d))
+    months = the_months(s, d)
+    volume = months.select("hs2", "direction", "port", F.col("shipment_count").alias("shipments"))
+    return marts.mart_port_compare(volume, the_overview(s, d, panel.ports_of(months, CARGO)))
 
 
 @query("k10_port_compare", f"WITH {_COMPARE} SELECT hs2, direction, port, CAST(volume AS BIGINT) AS volume, ci_adjusted, closed_pct, CAST(rank_in_commodity AS INT) AS rank_in_commodity FROM cmp", "ci_adjusted closed_pct")
@@ -1076,8 +1121,11 @@ def _(s, d):
 
 @query("k12_commodity_month", f"WITH {COMMODITY_FORECAST}, {_ADJ[len(DECL) + 2:]}, im AS (SELECT port, month, avg(congestion_index) AS ci_raw, avg(ci_adjusted) AS ci_adjusted FROM adj2 GROUP BY 1, 2), ck AS (SELECT DISTINCT hs2, port, direction FROM cout) SELECT ck.hs2, ck.port, ck.direction, CAST(k AS INT) AS month, CAST(coalesce(f.v, 0) AS BIGINT) AS forecast, ci_raw, ci_adjusted FROM ck CROSS JOIN range(1, 13) r(k) LEFT JOIN (SELECT hs2, port, direction, month, sum(pred_shipment_count) AS v FROM cout GROUP BY 1, 2, 3, 4) f ON f.hs2 = ck.hs2 AND f.port = ck.port AND f.direction = ck.direction AND f.month = k LEFT JOIN im ON im.port = ck.port AND im.month = k", "ci_raw ci_adjusted")
 def _(s, d):
-    index = the_adjusted(s, d).groupBy("port", "month").agg(F.avg("congestion_index").alias("ci_raw"), F.avg("ci_adjusted").alias("ci_adjusted"))
-    return marts.mart_commodity_month(the_commodity_forecast(s, d), index).withColumn("forecast", F.col("forecast").cast("long"))
+    months = the_months(s, d, "hs6")
+    index = the_adjusted(s, d, panel.ports_of(months, CARGO)).groupBy("port", "month").agg(F.avg("congestion_index").alias("ci_raw"), F.avg("ci_adjusted").alias("ci_adjusted"))
+    p = panel.commodities_of(months)
+    found = forecast.commodity_forecast(panel.series_params(p, _CM), panel.seasonal_index(p, CK, _CM[:2]))
+    return marts.mart_commodity_month(found, index).withColumn("forecast", F.col("forecast").cast("long"))
 
 
 @query("k14_map_sizes", f"WITH {_OVER} SELECT port, CAST(CASE WHEN ci_adjusted > 0.3 THEN 10 WHEN ci_adjusted > 0.15 THEN 7 ELSE 5 END AS INT) AS size_by_index, CAST(CASE WHEN closed_pct >= 8 THEN 10 WHEN closed_pct >= 3 THEN 7 ELSE 5 END AS INT) AS size_by_weather FROM ov WHERE port <> 'KENYA'")

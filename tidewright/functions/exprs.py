@@ -151,3 +151,8 @@ def size_class(value: Column, cuts: tuple[float, float], inclusive: bool = False
 def correlation(a: Column | str, b: Column | str) -> Column:
     """Correlation of two columns, null where one of them does not vary."""
     return safe_div(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def normal_code(c: Column, ending: str = "001") -> Column:
+    """The code of a port without the number of its terminal: CLSAI001 is CLSAI."""
+    return F.replace(c, F.lit(ending), F.lit(""))

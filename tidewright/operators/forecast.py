@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import SEASON_CUTS
-from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, cyclic, half_even, quarter, season
+from ..config import CONGESTION_CUTS, SEASON_CUTS
+from ..functions.exprs import activity_index, add_months, bin_label, clamp, compound, cyclic, half_even, quarter, safe_div, season
 
 from ..sources.tables import discard, stored
 from .models import Fitted
@@ -52,6 +52,56 @@ def commodity_forecast(params: DataFrame, seasonal: DataFrame, keys: Sequence[st
     )
 
 
+#: Averages that a port's closed form publishes beside its predictions, with their digits.
+PROFILE = {"commodity_diversity": 1, "hs4_diversity": 1, "country_diversity": 1, "pct_general": 4, "pct_bulk": 4, "pct_refrigerated": 4, "pct_container": 4}
+PROFILE_MODES = ("dominant_hs2", "dominant_cargo_type", "dominant_continent")
+
+
+def port_params(indexed: DataFrame, keys: Sequence[str] = ("port", "direction"), year_floor: int = 2018, least: int = 24) -> DataFrame:
+    """Of each series with at least `least` months from year_floor on: its last period, and over these months growths, means and modes."""
+    recent = F.col("year") >= year_floor
+    weight = F.coalesce(F.col("total_weight_mt"), F.lit(0.0))
+    means = {"shipment_count": F.col("shipment_count"), "total_value_usd": F.col("total_value_usd"), "total_weight_mt": weight, "quantity_per_shipment": F.col("avg_quantity_per_shipment"), **{c: F.col(c) for c in PROFILE}}
+    out = indexed.groupBy(*keys).agg(
+        F.max(F.struct("year", "month")).alias("_last"), F.count_if(recent).alias("n_obs"),
+        F.avg(F.when(recent & (F.col("lag_12") > 0), F.col("yoy_growth"))).alias("growth_count"), F.avg(F.when(recent, F.col("yoy_value_growth"))).alias("growth_value"),
+        *[F.avg(F.when(recent, c)).alias(f"avg_{name}") for name, c in means.items()], *[F.mode(F.when(recent, F.col(c)), True).alias(c) for c in PROFILE_MODES],
+    ).where(F.col("n_obs") >= least)
+    return out.withColumns({"last_year": F.col("_last.year"), "last_month": F.col("_last.month")}).drop("_last")
+
+
+def port_seasons(indexed: DataFrame, keys: Sequence[str] = ("port", "direction"), year_floor: int = 2015) -> DataFrame:
+    """keys, month, season_count, season_weight (the month's mean over the mean of the months) and season_index (mean index of the month)."""
+    weight = F.coalesce(F.col("total_weight_mt"), F.lit(0.0))
+    means = indexed.where(F.col("year") >= year_floor).groupBy(*keys, "month").agg(F.avg("shipment_count").alias("_n"), F.avg(weight).alias("_w"), F.avg("congestion_index").alias("season_index"))
+    whole = Window.partitionBy(*keys)
+    return means.select(*keys, "month", safe_div(F.col("_n"), F.avg("_n").over(whole)).alias("season_count"), safe_div(F.col("_w"), F.avg("_w").over(whole)).alias("season_weight"), "season_index")
+
+
+def port_forecast(params: DataFrame, seasons: DataFrame, keys: Sequence[str] = ("port", "direction"), horizon: int = 12, default_growth: float = 0.025, bounds: tuple[float, float] = (-0.30, 0.40), default_index: float = 0.35, digits: bool = True) -> DataFrame:
+    """Closed-form forecast of a port: counts, weight (null for imports), quantity, value, congestion index with label, and the series' profile.
+
+    params: port_params(); seasons: port_seasons(). Factors are held between 0.1 and 3 (1 if unknown), counts are at least 1. The
+    index is that of the month (default_index if unknown) times the factor of counts within 0.5 and 1.5 and its growth within
+    0.95 and 1.1, from 0 to 1. digits=False leaves sums and means unrounded.
+    """
+    df = forecast_grid(params, horizon).join(seasons, [*keys, "month"], "left")
+    s_count, s_weight = (clamp(F.coalesce(F.col(c), F.lit(1.0)), 0.1, 3.0) for c in ("season_count", "season_weight"))
+    g_count, g_value = (compound(F.lit(1.0), clamp(F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(default_growth)), *bounds), F.col("step")) for c in ("growth_count", "growth_value"))
+    counts = F.col("avg_shipment_count") * s_count * g_count
+    index = clamp(F.coalesce(F.col("season_index"), F.lit(default_index)) * clamp(s_count, 0.5, 1.5) * clamp(g_count, 0.95, 1.1), 0.0, 1.0)
+
+    def shown(c: Column, n: int) -> Column:
+        return F.round(c, n) if digits else c
+
+    return df.select(
+        *keys, "year", "month", season(F.col("month")).alias("season"), F.greatest(F.lit(1), half_even(counts)).cast("int").alias("pred_shipment_count"),
+        F.when(F.col("direction") == "export", shown(F.col("avg_total_weight_mt") * s_weight * g_value, 2)).alias("pred_weight_mt"), shown(F.col("avg_quantity_per_shipment") * counts, 2).alias("pred_total_quantity"),
+        shown(F.col("avg_total_value_usd") * s_count * g_value, 2).alias("pred_value_usd"), index.alias("congestion_index"), bin_label(index, *CONGESTION_CUTS).alias("congestion_label"),
+        *[shown(F.col(f"avg_{c}"), n).alias(f"avg_{c}") for c, n in PROFILE.items()], *PROFILE_MODES,
+    )
+
+
 def active_series(panel: DataFrame, since: int, keys: Sequence[str] = ("hs2", "port", "direction"), month: int = 1) -> DataFrame:
     """The keys of series that were seen in or after a month of a year."""
     return panel.where(F.col("year") * 12 + F.col("month") >= since * 12 + month).select(*keys).distinct()

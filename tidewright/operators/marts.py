@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLOSURE_CUTS, MAP_CUTS
-from ..functions.exprs import bin_label, delay_label, safe_div
+from ..functions.exprs import bin_label, delay_label, normal_code, safe_div
 
 
 def port_overview(months: DataFrame) -> DataFrame:
@@ -22,6 +22,20 @@ def mart_port_overview(months: DataFrame, bridge: DataFrame, junk: Sequence[str]
     return df.withColumns({"congestion_label": bin_label(F.col("ci_adjusted"), *MAP_CUTS), "closure_label": bin_label(F.col("closed_pct"), *CLOSURE_CUTS), "delay_label": delay_label(F.col("ci_adjusted"), F.col("closed_pct")), "exposed": F.coalesce(F.col("closed_pct") >= 1, F.lit(False))})
 
 
+def map_ports(months: DataFrame, bridge: DataFrame, coordinates: DataFrame, junk: Sequence[str] = (), keys: Sequence[str] = ("direction", "port")) -> DataFrame:
+    """The marks of the map: annual means and labels of each direction's ports that have coordinates, from the most congested down.
+
+    bridge(port, port_code): codes with or without the number of a terminal; coordinates(port, lat, lng). Both have a row for
+    each port at most, so no row is doubled. Ports without a code keep a null code.
+    """
+    rows = months.where(~F.col("port").isin(*junk)) if junk else months
+    df = rows.groupBy(*keys).agg(F.avg("ci_raw").alias("ci_raw"), F.avg("ci_adjusted").alias("ci_adjusted"), (100 * F.avg("pct_closed")).alias("closed_pct"))
+    codes = bridge.select("port", normal_code(F.col("port_code")).alias("port_code"))
+    df = df.join(coordinates.select("port", "lat", "lng"), "port").join(codes, "port", "left")
+    out = df.withColumns({"congestion_label": bin_label(F.col("ci_adjusted"), *MAP_CUTS), "delay_label": delay_label(F.col("ci_adjusted"), F.col("closed_pct"))})
+    return out.orderBy(F.desc("ci_adjusted"), *keys)
+
+
 def peak_month(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Months of the greatest and the least value; of equal values the earliest month."""
     hi = F.max_by("month", F.struct(F.col(value), -F.col("month")))

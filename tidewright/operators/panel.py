@@ -49,6 +49,40 @@ def commodity_panel(decl: DataFrame, keys: Sequence[str] = ("hs2", "port", "dire
     )
 
 
+def commodity_months(decl: DataFrame, keys: Sequence[str] = ("port", "direction"), by: str = "hs2", cargo: dict[str, str] = CARGO, label: str | None = "hs6") -> DataFrame:
+    """Counts and sums of declarations by commodity, keys and month, from which ports_of() and commodities_of() derive both panels.
+
+    Nothing is left out and sums stay null where all is null, so that the panels can decide. label=None saves its count.
+    """
+    return decl.groupBy(by, *keys, "year", "month").agg(
+        F.count("*").alias("shipment_count"), F.count("value_usd").alias("n_values"), *[F.sum(c).alias(c) for c in ("value_usd", "weight_kg", "quantity")],
+        *[F.count_if(contains_any_case(F.col("cargo"), word)).alias(name) for name, word in cargo.items()], *([F.mode(label, True).alias("dominant_description")] if label else []),
+    )
+
+
+def _complete(months: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        months = months.where(F.col(c).isNotNull())
+    return months
+
+
+def ports_of(months: DataFrame, cargo: dict[str, str] = CARGO, keys: Sequence[str] = ("port", "direction"), by: str = "hs2") -> DataFrame:
+    """The monthly panel of a commodity_months() table, without the columns that it cannot tell: other diversities and modes."""
+    zero = F.lit(0.0)
+    return _complete(months, [*keys, "year", "month"]).groupBy(*keys, "year", "month").agg(
+        F.sum("shipment_count").alias("shipment_count"), F.coalesce(F.sum("value_usd"), zero).alias("total_value_usd"), (F.sum("weight_kg") / 1000).alias("total_weight_mt"), F.coalesce(F.sum("quantity"), zero).alias("total_quantity"),
+        F.count(by).alias("commodity_diversity"), *[F.sum(c).alias(c) for c in cargo], safe_div(F.sum("value_usd"), F.sum("n_values")).alias("avg_value_per_shipment_usd"),
+    )
+
+
+def commodities_of(months: DataFrame, keys: Sequence[str] = ("hs2", "port", "direction")) -> DataFrame:
+    """commodity_panel() of a commodity_months() table: a projection, no further aggregate."""
+    zero = F.lit(0.0)
+    return _complete(months, [*keys, "year", "month"]).select(
+        *keys, "year", "month", "shipment_count", F.coalesce("value_usd", zero).alias("total_value_usd"), F.coalesce(F.col("weight_kg") / 1000, zero).alias("total_weight_mt"), F.coalesce("quantity", zero).alias("total_quantity"), "dominant_description",
+    )
+
+
 def seasonal_index(panel: DataFrame, keys: Sequence[str] = ("port", "direction"), measures: Sequence[str] = ("shipment_count",), year_floor: int | None = None) -> DataFrame:
     """Mean of each calendar month over the mean of the series' months, for each measure: factor_<measure>."""
     rows = panel if year_floor is None else panel.where(F.col("year") >= year_floor)

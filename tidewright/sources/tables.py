@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,16 +30,48 @@ def read_staging(spark: SparkSession, base: str, year: int | None = None) -> Dat
     return df if year is None else df.where(F.col("year") == year)
 
 
+#: Names of the files of a year, by kind.
+FILE_NAMES = {"ingresos": "ingresos{year}.csv", "salidas": "salidas_{year}.csv"}
+
+
+def land_files(spark: SparkSession, source: str, target: str, kind: str, years: Sequence[int], schema: StructType, sep: str = ",", force: bool = False) -> DataFrame:
+    """Lands the yearly files of a kind from a folder as target/kind/year=Y/, for read_raw.
+
+    Returns year, state: uploaded; skipped (there already, and no force); missing (the folder has no such file, whether the
+    target has the year or not). Files of other names are left alone. Landing a year again with force replaces it.
+    """
+    before, after = FILE_NAMES[kind].split("{year}")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    pattern = f"^{re.escape(before)}(\\d{{4}}){re.escape(after)}$"
+    found = spark.read.format("binaryFile").load(source).select("path", F.regexp_extract(name, pattern, 1).alias("_y")).where("_y <> ''")
+    there = landed_years(spark, f"{target}/{kind}", "csv").withColumn("_t", F.lit(True))
+    wanted = spark.createDataFrame([(y,) for y in sorted(set(years))], "year int")
+    report = wanted.join(found.select(F.col("_y").cast("int").alias("year"), "path"), "year", "left").join(there, "year", "left")
+    state = F.when(F.col("path").isNull(), "missing").when(F.col("_t") & F.lit(not force), "skipped").otherwise("uploaded")
+    done = report.select("year", state.alias("state"), "path").collect()  # a row for each year
+    new = [r["path"] for r in done if r["state"] == "uploaded"]
+    if new:
+        rows = spark.read.schema(schema).option("header", True).option("sep", sep).csv(new)
+        year = F.regexp_extract("_metadata.file_name", pattern, 1).cast("int")
+        rows.withColumn("year", year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).option("sep", sep).partitionBy("year").csv(f"{target}/{kind}")
+    return spark.createDataFrame([(r["year"], r["state"]) for r in done], "year int, state string")
+
+
+def landed_years(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """The years of a partitioned folder, none if it is not there yet."""
+    try:
+        return spark.read.format(fmt).load(path).select(F.col("year").cast("int").alias("year")).distinct()
+    except AnalysisException as e:  # the first landing finds no folder
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "year int")
+
+
 def land_partitions(df: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Writes the years that path lacks, all with force. Returns year, state (uploaded or skipped)."""
     spark = df.sparkSession
     years = df.select("year").distinct()
-    try:
-        there = spark.read.parquet(path).select(F.col("year").cast("int").alias("year")).distinct()
-    except Exception as e:  # the first landing finds no folder
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = years.limit(0)
+    there = landed_years(spark, path, "parquet")
     report = years.join(there.withColumn("_t", F.lit(True)), "year", "left").select("year", F.when(F.col("_t") & F.lit(not force), "skipped").otherwise("uploaded").alias("state"))
     done = report.collect()  # a row for each year
     new = [r["year"] for r in done if r["state"] == "uploaded"]
@@ -165,6 +199,32 @@ def load_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str] = ("port", "direction"), rows_per_bucket: int = 2_000_000, path: str | None = None) -> DataFrame:
+    """Keeps a panel as a table in buckets of its series, so that windows, groupings and joins over the keys need no exchange.
+
+    df is computed once: it is stored, counted, and then cut into as many buckets as rows_per_bucket asks for. Each bucket is one
+    file. The table lies in `path` (a new one in the shared folder by default) and is registered as `name`; open_bucketed()
+    finds it again in another session. Saving a name again replaces the table. An empty df gives one bucket.
+    """
+    spark = df.sparkSession
+    once = stored(df, f"{name}-rows")
+    n = max(1, -(-once.count() // rows_per_bucket))
+    path = path or stored_path(spark, name)
+    once.repartition(n, *keys).write.format("parquet").mode("overwrite").bucketBy(n, *keys).sortBy(*keys, *[c for c in ("year", "month") if c in df.columns]).option("path", f"{path}/rows").saveAsTable(name)
+    spark.createDataFrame([(n, list(keys), df.schema.json())], "n int, keys array<string>, schema string").write.mode("overwrite").json(f"{path}/layout")
+    discard(once)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The table that save_bucketed() has put in a folder, under a name of this session."""
+    layout = spark.read.schema("n int, keys array<string>, schema string").json(f"{path}/layout").first()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(layout["schema"])).fields)
+    keys = ", ".join(f"`{k}`" for k in layout["keys"])
+    spark.sql(f"CREATE TABLE `{name}` ({columns}) USING parquet CLUSTERED BY ({keys}) INTO {layout['n']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df: written once to the folder in spark.checkpoint.dir and read again."""
     path = stored_path(df.sparkSession, name)

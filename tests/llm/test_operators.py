@@ -363,6 +363,50 @@ def test_wrapped_licences(spark):
     assert got[0].license_ids == ["GPL2Later", "NoWarranty"] and got[3].license_ids == ["MITGrant", "MITNotice", "MITAsIs"] and got[7].license_ids == ["Apache20", "ApacheFull", "ApacheAsIs"]
 
 
+LGPL = GPL.replace("program is free", "library is free").replace("GNU General Public License\n# as", "GNU Lesser General Public\n# License as")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+BOOST = """//          Distributed under the Boost Software License, Version 1.0.
+//    (See accompanying file LICENSE_1_0.txt or copy at a page)"""
+BOOST_TEXT = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software."""
+
+
+def test_more_licences(spark):
+    project = "Prose before.\n\nThis project is licensed under the {} - see the LICENSE file for details.\n\nProse after."
+    cases = [
+        (LGPL.format("2.1"), ["LGPL"]), (LGPL.format("3"), ["LGPL"]), (GPL.replace("General", "Affero General", 1).format(3), ["AGPL-3.0"]),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", ["GPL-2.0-only"]),
+        (ISC, ["ISC"]), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["0BSD"]), (ZLIB, ["Zlib"]), (ZLIB.replace("\n", "\r\n"), ["Zlib"]), (EPL, ["EPL-2.0"]),
+        (EPL.replace("2.0", "v1.0"), ["EPL-1.0"]), (BOOST, ["BSL-1.0"]), (BOOST_TEXT, ["BSL-1.0"]), (project.format("MIT License"), ["MIT"]), (project.format("Apache License 2.0"), ["Apache-2.0"]), (project.format("BSD 3-Clause License"), ["BSD-3-Clause"]),
+        (project.format("GNU General Public License v3.0"), ["GPL-3.0-only"]), (project.format("GNU General Public License v3.0 or later"), ["GPL-3.0-or-later"]), (project.format("ISC License"), ["ISC"]), (project.format("Mozilla Public License 2.0"), ["MPL-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]), ("Licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]), ("Except where otherwise noted, this work is licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("SPDX-License-Identifier: ISC OR EPL-2.0", ["EPL-2.0", "ISC"]), ("This project is licensed under the terms of a contract.", []), ("The MIT License is short. Boost software is fast.", []), ("licensed under the MIT\n\nlicense", []), ("permission is granted to anyone to use this software", []),
+    ]
+    got = licenses.scan_licenses(docs_of(spark, [t for t, _ in cases])).orderBy("doc_id").collect()
+    assert [(t, r.licenses) for (t, _), r in zip(cases, got)] == cases
+    known = {name for name, _ in licenses.SENTENCES}
+    assert all(i in known for _, ids in licenses.RULES for i in ids) and all(any(n in ids for _, ids in licenses.RULES) for n in known - {"SPDX", "ISCAsIs", "ZlibAsIs", "MITGrant", "MITNotice", "MITAsIs", "ApacheFull", "ApacheAsIs", "NoWarranty", "BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse"})
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://b.com/en/"), (3, None), (4, "no scheme"), (5, "x://h#f"), (6, "http://example.net/de/8"), (7, "http://q.net/de/1"), (8, "http://z.org/es/?"), (9, "http://bad.xyz/a")]
     pages = spark.createDataFrame(rows, "page_id long, url string")

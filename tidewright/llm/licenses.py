@@ -52,8 +52,48 @@ SENTENCES: list[tuple[str, str]] = [
     ("CC0", r".*cc0 1\.0 universal( license)?.*"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("Proprietary", r"all rights reserved( worldwide)?"),
+    ("LGPLLater", r"this (program|work|library|file|software) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.* version (2|2\.1|3)( of the license)?( or at your option any later version)?"),
+    ("AGPL3Later", r"this (program|work|library|file|software) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.* version 3( of the license)?( or at your option any later version)?"),
+    ("GPL2Only", r"this (program|work|library|file|software) is free software you can redistribute it and or modify it under the terms of (the gnu general public license version 2|version 2 of the gnu general public license)( only)? as published by the free software foundation"),
+    ("ISCGrant", r"permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0BSDGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISCAsIs", r"the software is provided as is and the author disclaims all warranties.*"),
+    ("ZlibAsIs", r"this software is provided as is without any express or implied warranty"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("EPL20", r"this program and the accompanying materials are made available under the terms of the eclipse public license (v|v\. |version )?2\.0.*"),
+    ("EPL10", r"this program and the accompanying materials are made available under the terms of the eclipse public license (v|v\. |version )?1\.0.*"),
+    ("Boost", r"(use modification and distribution are subject to|distributed under) the boost software license version 1\.0"),
+    ("BoostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
     ("SPDX", r"spdx license identifier [a-z0-9. ]+"),
 ]
+#: Names of licences as sentences write them behind `licensed under the`; each holds the word license.
+NAMES: list[tuple[str, str]] = [
+    ("MITNamed", r"mit (open source )?license"),
+    ("Apache20", r"apache (software )?(2\.0 license|license (version |v)?2\.0)"),
+    ("BSD3Named", r"((new|modified) bsd|bsd 3 clause|3 clause bsd) license"),
+    ("BSD2Named", r"(simplified bsd|bsd 2 clause|2 clause bsd) license"),
+    ("GPL3NamedLater", r"gnu general public license (version |v)?3(\.0)? or later"),
+    ("GPL2NamedLater", r"gnu general public license (version |v)?2(\.0)? or later"),
+    ("GPL3Named", r"gnu general public license (version |v)?3(\.0)?( only)?"),
+    ("GPL2Named", r"gnu general public license (version |v)?2(\.0)?( only)?"),
+    ("LGPLNamed", r"gnu lesser general public license (version |v)?(2\.1|3|3\.0)( or later| only)?"),
+    ("AGPLNamed", r"gnu affero general public license (version |v)?3(\.0)?( or later| only)?"),
+    ("MPL20", r"mozilla public license (version |v)?2\.0"),
+    ("EPL20", r"eclipse public license (version |v)?2\.0"),
+    ("EPL10", r"eclipse public license (version |v)?1\.0"),
+    ("Boost", r"boost software license( (version |v)?1\.0)?"),
+    ("ISCNamed", r"isc license"),
+    ("ZlibNamed", r"zlib license"),
+    ("Unlicense", r"unlicense"),
+]
+_WHAT = r"(this (project|work|software|program|library|file|code|package|repository|document|dataset) is |this is )?"
+SENTENCES += [(name, rf"{_WHAT}(released|licensed|distributed|available) under the (terms of the )?{p}( see .*)?") for name, p in NAMES]
+#: Creative Commons licences in words and letters: identifier, elements.
+COMMONS: dict[str, tuple[str, str]] = {
+    "CCBY4": ("attribution", "by"), "CCBYSA4": ("attribution share ?alike", "by sa"), "CCBYND4": ("attribution no ?deriv(ative)?s", "by nd"), "CCBYNC4": ("attribution non ?commercial", "by nc"),
+    "CCBYNCSA4": ("attribution non ?commercial share ?alike", "by nc sa"), "CCBYNCND4": ("attribution non ?commercial no ?deriv(ative)?s", "by nc nd"),
+}
+SENTENCES += [(name, rf"(except where otherwise noted )?{_WHAT}licensed under (a |the )?(creative commons {words}|cc {letters}) 4\.0( international)?( public)?( license)?( see .*)?") for name, (words, letters) in COMMONS.items()]
 
 #: Ordered rules: licence, identifiers that must stand together. Longer sequences come before the shorter ones they contain.
 RULES: list[tuple[str, list[str]]] = [
@@ -80,6 +120,29 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC0-1.0", ["CC0"]),
     ("Unlicense", ["Unlicense"]),
     ("Proprietary", ["Proprietary"]),
+    ("LGPL", ["LGPLLater"]),
+    ("AGPL-3.0", ["AGPL3Later"]),
+    ("GPL-2.0-only", ["GPL2Only"]),
+    ("GPL-2.0-or-later", ["GPL2NamedLater"]),
+    ("GPL-3.0-or-later", ["GPL3NamedLater"]),
+    ("BSD-3-Clause", ["BSD3Named"]),
+    ("BSD-2-Clause", ["BSD2Named"]),
+    ("ISC", ["ISCGrant", "ISCAsIs"]),
+    ("ISC", ["ISCGrant"]),
+    ("ISC", ["ISCNamed"]),
+    ("0BSD", ["0BSDGrant", "ISCAsIs"]),
+    ("0BSD", ["0BSDGrant"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("Zlib", ["ZlibNamed"]),
+    ("EPL-2.0", ["EPL20"]),
+    ("EPL-1.0", ["EPL10"]),
+    ("BSL-1.0", ["BoostGrant", "MITAsIs"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["Boost"]),
+    ("CC-BY-ND-4.0", ["CCBYND4"]),
+    ("CC-BY-NC-SA-4.0", ["CCBYNCSA4"]),
+    ("CC-BY-NC-ND-4.0", ["CCBYNCND4"]),
 ]
 
 #: SPDX ids after normalisation (`+` as `or later`), and their licences. An expression gives an identifier for each id of it;
@@ -91,6 +154,7 @@ SPDX_IDS: dict[str, str] = {
     **{f"lgpl {v}{end}": "LGPL" for v in ("2.0", "2.1", "3.0") for end in ("", " only", " or later")},
     **{f"agpl 3.0{end}": "AGPL-3.0" for end in ("", " only", " or later")},
     "mpl 2.0": "MPL-2.0", "cc by nc 4.0": "CC-BY-NC-4.0", "cc by sa 4.0": "CC-BY-SA-4.0", "cc by 4.0": "CC-BY-4.0", "cc0 1.0": "CC0-1.0", "unlicense": "Unlicense",
+    "isc": "ISC", "0bsd": "0BSD", "zlib": "Zlib", "epl 2.0": "EPL-2.0", "epl 1.0": "EPL-1.0", "bsl 1.0": "BSL-1.0", "cc by nd 4.0": "CC-BY-ND-4.0", "cc by nc sa 4.0": "CC-BY-NC-SA-4.0", "cc by nc nd 4.0": "CC-BY-NC-ND-4.0",
 }
 SPDX_RULES: list[tuple[str, list[str]]] = [(name, [f"SPDX-{name}"]) for name in sorted(set(SPDX_IDS.values()))]
 

@@ -420,6 +420,16 @@ def test_urls(spark):
     assert verdicts == {"bad.xyz": "block", "good.xyz": "allow"}
 
 
+def test_huffman_files_grow_with_the_bytes(spark):
+    assert huffman_ids.file_count(0, 0) == 1 and huffman_ids.file_count(1 << 20, 6) == 6 and huffman_ids.file_count((1 << 40) + 1, 200) == 4097
+    ids = spark.range(0, 600_000, 1, 4).select((F.col("id") * 7 - 1_000_000).alias("doc_id"))
+    bounds = huffman_ids.file_bounds(ids, 10_000)
+    rows = np.diff(np.concatenate(([-1], (bounds + 1_000_000) // 7, [599_999])))
+    assert len(bounds) == 9_999 and rows.sum() == 600_000 and rows.min() >= 30 and rows.max() <= 90  # 60 each, a quarter of a file off at both ends
+    same = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"))
+    assert huffman_ids.file_bounds(same, 50).tolist() == [5] and len(huffman_ids.file_bounds(same.select(F.lit(None).cast("long").alias("doc_id")), 50)) == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -229,20 +229,35 @@ class Code:
         return parts
 
 
-def make_code(counts: DataFrame, longest: int = LONGEST) -> Code:
+def make_code(counts: DataFrame, longest: int = LONGEST) -> tuple[Code, int]:
+    """The code of ids with so many occurrences, and the bytes that all of them take in it."""
     rows = sorted(counts.collect())  # at most one row for each id of the vocabulary
     ids, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    return Code(ids, code_lengths(n, longest))
+    lengths = code_lengths(n, longest)
+    return Code(ids, lengths), sum(int(a) * int(b) for a, b in zip(n, lengths)) // 8
 
 
 BLOCK_SCHEMA = "file int, block int, start long, doc_ids array<long>, n_tokens array<long>, n_bytes array<long>, checks array<array<long>>, bits binary"
 
 
+def file_count(n_bytes: int, least: int, file_bytes: int = 256 << 20) -> int:
+    """Files for so many coded bytes: as many as tasks run side by side, more where these would hold over file_bytes each."""
+    return max(1, least, -(-n_bytes // file_bytes))
+
+
+def file_bounds(tokens: DataFrame, files: int) -> np.ndarray:
+    """Ids at which files end, ascending and distinct; the error of the quantiles is a quarter of a file at most."""
+    if files < 2:
+        return np.array([], np.int64)
+    cuts = tokens.approxQuantile("doc_id", [i / files for i in range(1, files)], min(0.001, 0.25 / files))
+    return np.array(sorted({int(x) for x in cuts}), np.int64)
+
+
 def write_blocks(tokens: DataFrame, code: Code, files: int, block_bytes: int = 1 << 20) -> DataFrame:
     """Blocks of coded texts in ascending doc_id order; `start` counts the ids of all texts before a block."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(code)  # bounded by the vocabulary
-    bounds = np.array(sorted({int(x) for x in tokens.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.001)}) if files > 1 else [], np.int64)
+    bounds = file_bounds(tokens, files)
 
     def file_of(doc_id: pa.Array) -> np.ndarray:
         """The number of bounds that are below doc_id; 0 for null."""
@@ -327,8 +342,8 @@ def read_blocks(blocks: DataFrame, code: Code) -> DataFrame:
 def store_ids(docs: DataFrame, path: str, end: int = 0, longest: int = LONGEST) -> tuple[DataFrame, Code]:
     """The blocks of all texts of docs(doc_id, text), and the code to read them with."""
     tokens = written(encode_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, end), "tokens")
-    code = make_code(count_ids(tokens), longest)
-    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    code, n_bytes = make_code(count_ids(tokens), longest)
+    files = file_count(n_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return write_blocks(tokens, code, files), code
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewright.config import Breaks
+from tidewright.functions import exprs
 from tidewright.operators import evaluate, features, forecast, marts, panel
-from tidewright.sources import tables
+from tidewright.sources import snapshots, tables
 
 KEYS = ["port", "direction"]
 BREAKS = Breaks(1998, 1999, 9999, 1995)
@@ -111,3 +112,18 @@ def test_map_ports(spark):
     places = spark.createDataFrame([("A", -33.0, -71.0), ("B", -20.0, -70.0), ("JUNK", 0.0, 0.0), (None, 1.0, 1.0)], "port string, lat double, lng double")
     got = [(r["port"], r["port_code"], r["lat"], round(r["ci_adjusted"], 6), round(r["closed_pct"], 6), r["congestion_label"], r["delay_label"]) for r in marts.map_ports(months, bridge, places, ["JUNK"]).collect()]
     assert got == [("A", "CLAAA", -33.0, 0.3, 5.0, "High", "High"), ("B", None, -20.0, 0.2, 0.0, "Moderate", "Moderate")]
+
+
+def test_vessels_without_a_number_stay_apart(spark):
+    rows = [("f1", "A", "t", "expected_vessels", "Mar Azul", None), ("f2", "A", "t", "expected_vessels", "MAR AZUL", None), ("f1", "A", "t", "expected_vessels", "Mar Azul II", None), ("f1", "A", "t", "expected_vessels", "Mar Bravo", " "), ("f1", "A", "t", "expected_vessels", "Mar Bravo II", ""), ("f1", "A", "t", "expected_vessels", None, "7")]
+    df = spark.createDataFrame(rows, "file_name string, port_code string, scrape_timestamp string, list string, vessel_name string, imo string")
+    got = sorted((r["vessel_name"], r["file_name"]) for r in snapshots.search_vessels(df, "mar").collect())
+    assert got == [("MAR AZUL", "f2"), ("Mar Azul II", "f1"), ("Mar Bravo", "f1"), ("Mar Bravo II", "f1")]
+    assert [r["imo"] for r in snapshots.search_vessels(df, "7").collect()] == ["7"]
+
+
+def test_periods_and_weights(spark):
+    df = spark.createDataFrame([(2020, 12), (2021, 1), (2022, 6), (2019, 10), (None, 3)], "year int, month int")
+    year, month = exprs.of_period(exprs.period(F.col("year"), F.col("month")))
+    got = [tuple(r) for r in df.select("year", "month", year, month, evaluate.sample_weight()).collect()]
+    assert [g[2:4] for g in got] == [(2020, 12), (2021, 1), (2022, 6), (2019, 10), (None, None)] and [g[4] for g in got] == [0.1, 0.2, 0.4, 1.0, 1.0]

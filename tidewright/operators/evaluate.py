@@ -12,6 +12,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import YEAR_WEIGHTS
 from ..functions.exprs import clamp, wavg
 from . import stats
 from .features import latest_per_key
@@ -66,7 +67,8 @@ def inner_validation(rows: DataFrame, break_years: Sequence[int], keys: Sequence
     return df.drop("_y", "_b")
 
 
-def sample_weight(weights: dict[int, float]) -> Column:
+def sample_weight(weights: dict[int, float] = YEAR_WEIGHTS) -> Column:
+    """The weight of a row's year in training; years that are not listed, and null, count 1."""
     out = F.lit(1.0)
     for year, value in weights.items():
         out = F.when(F.col("year") == year, F.lit(value)).otherwise(out)

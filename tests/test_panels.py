@@ -2,6 +2,9 @@
 
 import math
 
+import pytest
+from tidewright import catalog
+from tidewright.plans import declarations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -127,3 +130,35 @@ def test_periods_and_weights(spark):
     year, month = exprs.of_period(exprs.period(F.col("year"), F.col("month")))
     got = [tuple(r) for r in df.select("year", "month", year, month, evaluate.sample_weight()).collect()]
     assert [g[2:4] for g in got] == [(2020, 12), (2021, 1), (2022, 6), (2019, 10), (None, None)] and [g[4] for g in got] == [0.1, 0.2, 0.4, 1.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["c19_default_model", "d49_top_commodities", "h7_port_forecast", "h34_forecast_all"])
+def test_declarations_are_read_once(spark, name):
+    """What reads a panel more than once reads a stored one: the plan of the result holds no line items."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_partkey" not in plan
+
+
+def test_names_are_looked_up_behind_the_last_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = declarations.declarations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    where = {k: next(i for i, line in enumerate(joins) if f"{k}#" in line) for k in ("s_nationkey", "c_nationkey", "l_partkey", "l_orderkey")}
+    assert max(where["s_nationkey"], where["c_nationkey"]) < where["l_partkey"] < where["l_orderkey"]  # outer joins stand first
+
+
+def test_declarations_of_odd_rows(spark, tmp_path):
+    one = {"nation": "select 1L n_nationkey, 'PERU' n_name, 2L n_regionkey", "region": "select 2L r_regionkey, 'AMERICA' r_name", "supplier": "select 3L s_suppkey, 1L s_nationkey", "customer": "select 4L c_custkey, 1L c_nationkey",
+           "part": "select 5L p_partkey, 't' p_type, 'b' p_brand, 'n' p_name", "orders": "select 6L o_orderkey, 4L o_custkey, 'low' o_orderpriority union all select 7L, 99L, 'low'",
+           "lineitem": "select * from values (6L, 5L, 3L, date'1998-12-31', 'O', 2D), (6L, 5L, 3L, date'1998-01-01', 'F', 3D), (6L, 5L, 3L, null, null, 4D), (7L, 5L, 3L, date'1998-01-01', 'F', 5D), (6L, 55L, 3L, null, 'F', 6D), (6L, 5L, null, null, 'F', 7D) t(l_orderkey, l_partkey, l_suppkey, l_shipdate, l_linestatus, l_quantity)"}
+    for name, sql in one.items():
+        df = spark.sql(sql)
+        (df.selectExpr("*", "l_quantity * 1.5D l_extendedprice", "'R' l_returnflag") if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = declarations.declarations(spark, str(tmp_path)).orderBy("quantity").collect()
+    assert [(r.year, r.month, r.direction, r.weight_kg, r.quantity, r.port, r.continent) for r in rows] == [
+        (1998, 12, "import", None, 2.0, "PERU", "AMERICA"), (1998, 1, "export", 30.0, 3.0, "PERU", "AMERICA"), (None, None, "export", None, 4.0, "PERU", "AMERICA"),
+    ]

@@ -286,3 +286,20 @@ def test_attribution_adds_up(spark):
         assert all(r.prediction - mean == pytest.approx(r.c, abs=1e-6) for r in mine)
     rise = {r.feature: r.rise for r in models.permutation_importance(Naive(), f.where("yoy_growth_clean is not null")).collect()}
     assert set(rise) == {"lag_12_clean", "yoy_growth_clean"} and rise["lag_12_clean"] > 5
+
+
+def test_training_rows_lie_in_few_partitions(spark, monkeypatch):
+    """A tree is several jobs over the training rows: they must not have a task for each shuffle partition."""
+    seen = []
+
+    def grown(self, rows):
+        seen.append(rows.rdd.getNumPartitions())
+        return None, {}
+
+    monkeypatch.setattr(models.Pooled, "_fit_boosted", grown)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        models.Pooled("gbt", ("lag_1", "lag_12_clean"), break_years=BREAKS.years).fit(feature_rows(spark))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert seen == [1]

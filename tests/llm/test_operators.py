@@ -632,3 +632,13 @@ def test_components(spark, most_at_once):
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(links, "a long, b long"), most_at_once=most_at_once).collect()}
     assert got == {n: c for n, c in root.items() if any(n in p and p[0] != p[1] for p in links)}
     assert graph.components(spark.createDataFrame([], "a long, b long"), most_at_once=most_at_once).count() == 0
+
+
+def test_language_bounds_read_every_held_out_text(spark):
+    """No text of the held-out fold is left out of the bounds, however many there are."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the rain in spain falls "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    model = ppm_langid.train(docs, 100)
+    every = ppm_langid.predict(docs.where(ppm_langid.held_out(F.col("doc_id"))), model).agg(F.max("bits_per_byte")).first()[0]
+    assert ppm_langid.most_bits(docs, model, share=1.0, margin=1.0) == {"en": every}
+    odd = docs.withColumn("text", F.when(F.col("doc_id") == docs.where(ppm_langid.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id").desc()).first()[0], "zqxjvk" * 9).otherwise(F.col("text")))
+    assert ppm_langid.most_bits(odd, model, share=1.0, margin=1.0)["en"] > every

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep_rows, map_batches, utf8
+from .common import give_back, keep_rows, map_batches, utf8
 
 ORDER = 4
 _START = b"\n" * ORDER  # every text begins in this context
@@ -239,15 +239,12 @@ def identify(docs: DataFrame, rows_per_language: int = 1000) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def most_bits(docs: DataFrame, model: Model | None, rows_per_language: int = 1000, share: float = 0.999, margin: float = 1.25) -> dict[str, float]:
-    """For each language the bits a byte that `margin` times all but 1 - share of the labelled texts of the held-out fold need (about rows_per_language of each label)."""
+def most_bits(docs: DataFrame, model: Model | None, share: float = 0.999, margin: float = 1.25) -> dict[str, float]:
+    """For each language the bits a byte that `margin` times all but 1 - share of the labelled texts of the held-out fold need; every one of them is read."""
     if model is None:
         return {}
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    some = _some(rows, rows_per_language, len(model.languages))
-    if some is None:
-        return {}
-    found = predict(some, model).where("bits_per_byte is not null").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", share, 10_000).alias("b"), F.count("*").alias("n"))
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & held_out(F.col("doc_id"))).select("doc_id", "text")
+    found = predict(rows, model).where("bits_per_byte is not null").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", share, 10_000).alias("b"), F.count("*").alias("n"))
     return {r["lang_pred"]: margin * r["b"] for r in found.where("n >= 50").collect()}  # one row for each language
 
 
@@ -259,9 +256,11 @@ def keep_known(docs: DataFrame, rows_per_language: int = 1000, slack: int = 200)
     language with fewer than 50 labelled texts in the held-out fold has no bound.
     """
     model = train(docs, rows_per_language)
-    bound = most_bits(docs, model, rows_per_language)
+    bound = most_bits(docs, model)
     limits = np.array([bound.get(name, np.inf) for name in model.languages]) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    give_back()  # the driver needs the tables no more
 
     def make():
         def keep(texts: pa.Array) -> pa.Array:

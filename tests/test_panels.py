@@ -139,6 +139,26 @@ def test_declarations_are_read_once(spark, name):
     assert "lineitem" not in plan and "l_partkey" not in plan
 
 
+@pytest.mark.parametrize("name, labels", [
+    ("c19_default_model", set()), ("h18_model_elastic_net", set()), ("h18_model_gbt_absolute", set()), ("h18_model_gbt_sampled", set()), ("h36_linear_attribution", set()),
+    ("h7_port_forecast", {"dominant_hs2", "dominant_cargo_type", "dominant_continent"}),
+])
+def test_labels_that_nobody_reads_are_not_stored(spark, monkeypatch, name, labels):
+    """What is stored is computed: the most frequent labels of a month are dear, so queries of numbers must not write them."""
+    class Seen(Exception):
+        pass
+
+    def stored(df, _name):
+        raise Seen(df)
+
+    monkeypatch.setattr(catalog.tables, "stored", stored)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df = seen.value.args[0]
+    assert {c for c in df.columns if c.startswith("dominant_")} == labels
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("mode(") == len(labels)
+
+
 def test_names_are_looked_up_behind_the_last_shuffle(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidewright.config import VESSEL_FIELDS, Breaks, clean_years
 from tidewright.functions import exprs as x
+from tidewright import catalog
 from tidewright.operators import evaluate, features, forecast, marts, models, panel, stats
 from tidewright.sources import pages, tables
 from tidewright.streaming import rollup
@@ -303,3 +304,23 @@ def test_training_rows_lie_in_few_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert seen == [1]
+
+
+# ---- rows of boosted learners ----
+
+def test_sampled_trees_do_not_depend_on_the_layout_of_rows(spark):
+    f = feature_rows(spark).where("year < 2000")
+    model = models.Pooled("gbt_sampled", ("lag_1", "lag_12_clean", "month_sin"), break_years=BREAKS.years, rounds=4, patience=1, limit=2.0)
+    found = []
+    for n in (1, 7):
+        spread = f.repartition(n, "month").cache()  # no shuffle of its own brings these in one order
+        found.append(sorted((r.port, r.direction, r.year, r.month, r.prediction) for r in model.fit(spread).transform(f).collect()))
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("kind", ["gbt_absolute", "gbt_sampled"])
+def test_folds_and_scales_are_stored(spark, monkeypatch, kind):
+    """Fitting reads a fold many times, so neither its windows nor the means of its series are computed with each reading."""
+    monkeypatch.setattr(catalog, "_ROUNDS", 2)
+    plan = catalog.QUERIES[f"h18_model_{kind}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1  # the scores

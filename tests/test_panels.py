@@ -182,3 +182,14 @@ def test_declarations_of_odd_rows(spark, tmp_path):
     assert [(r.year, r.month, r.direction, r.weight_kg, r.quantity, r.port, r.continent) for r in rows] == [
         (1998, 12, "import", None, 2.0, "PERU", "AMERICA"), (1998, 1, "export", 30.0, 3.0, "PERU", "AMERICA"), (None, None, "export", None, 4.0, "PERU", "AMERICA"),
     ]
+
+
+@pytest.mark.parametrize("name", ["d49_top_commodities", "h14_commodity_scores", "k12_commodity_month"])
+def test_descriptions_that_nobody_reads_are_not_counted(spark, monkeypatch, name):
+    """What is stored without its descriptions needs no names of parts, and no sort of all line items to count them."""
+    plans = []
+    kept = tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, what))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    of_items = [p for p in plans if "l_partkey" in p]
+    assert len(of_items) == 1 and "p_type" in of_items[0] and "p_name" not in of_items[0]

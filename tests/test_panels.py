@@ -193,3 +193,11 @@ def test_descriptions_that_nobody_reads_are_not_counted(spark, monkeypatch, name
     catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     of_items = [p for p in plans if "l_partkey" in p]
     assert len(of_items) == 1 and "p_type" in of_items[0] and "p_name" not in of_items[0]
+
+
+def test_bucketed_features_count_no_labels(spark, monkeypatch):
+    plans = []
+    kept = tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, what))
+    catalog.QUERIES["a10_bucketed_features"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "collect_set" in plans[0] and "mode(" not in plans[0]

@@ -201,3 +201,47 @@ def test_bucketed_features_count_no_labels(spark, monkeypatch):
     monkeypatch.setattr(tables, "stored", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, what))
     catalog.QUERIES["a10_bucketed_features"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and "collect_set" in plans[0] and "mode(" not in plans[0]
+
+
+#: Line items with and without dates, states, measures and labels; two nations of one name.
+_ODD = {"nation": "select 1L n_nationkey, 'PERU' n_name, 2L n_regionkey union all select 8L, 'CHILE', 2L union all select 9L, 'CHILE', 2L", "region": "select 2L r_regionkey, 'AMERICA' r_name",
+        "supplier": "select * from values (3L, 1L), (31L, 8L), (32L, 9L) t(s_suppkey, s_nationkey)", "customer": "select 4L c_custkey, 1L c_nationkey union all select 41L, 8L union all select 42L, 77L",
+        "part": "select * from values (5L, 't', 'b', 'n'), (51L, null, 'b', 'n'), (52L, 'a', 'c', 'n') t(p_partkey, p_type, p_brand, p_name)",
+        "orders": "select * from values (6L, 4L, 'low'), (61L, 41L, null), (62L, 41L, 'urgent') t(o_orderkey, o_custkey, o_orderpriority)",
+        "lineitem": "select * from values (6L, 5L, 3L, date'1998-12-31', 'O', 2D), (61L, 51L, 31L, date'1998-01-01', 'F', 3D), (61L, 52L, 32L, date'1998-01-01', null, 4D), (62L, 52L, 31L, date'1998-01-02', 'F', null), (6L, 5L, 3L, null, null, 4D) t(l_orderkey, l_partkey, l_suppkey, l_shipdate, l_linestatus, l_quantity)"}
+
+
+@pytest.mark.parametrize("more, whole", [
+    ({}, True), ({"orders": "select 62L, 42L, 'low'"}, False),  # the second order has a customer of no nation
+    ({"orders": "select 62L, 4L, 'low'"}, False), ({"part": "select 5L, 'u', 'b', 'n'"}, False), ({"nation": "select 1L, 'CUBA', 2L"}, False), ({"customer": "select 4L, 8L"}, False),
+    ({"lineitem": "select 6L, 55L, 3L, date'1998-12-31', 'O', 6D union all select 6L, null, 3L, date'1998-12-31', 'O', 6D"}, False), ({"lineitem": "select 66L, 5L, 3L, date'1998-12-31', 'O', 7D"}, False),
+    # one line item is lost and one is doubled, so that the counts agree
+    ({"lineitem": "select 66L, 52L, 31L, date'1998-01-02', 'F', 7D", "orders": "select 62L, 4L, 'low'"}, False), ({"lineitem": "select 6L, 5L, null, date'1998-12-31', 'O', 8D"}, True),
+])
+def test_panels_of_declarations_apart_are_those_of_the_joined_ones(spark, tmp_path, more, whole):
+    for name, sql in _ODD.items():
+        df = spark.sql(f"{sql} union all {more[name]}" if name in more else sql)
+        (df.selectExpr("*", "l_quantity * 1.5D l_extendedprice", "'R' l_returnflag") if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    apart = panel.monthly_panel_apart(*declarations.declarations_apart(spark, str(tmp_path)), cargo=declarations.CARGO)
+    assert apart.where("not whole").isEmpty() == whole
+    joined = panel.monthly_panel(declarations.declarations(spark, str(tmp_path)), cargo=declarations.CARGO)
+    for modes in (tuple(panel.MODES), ("dominant_continent",), ()):
+        got = catalog.the_panel(spark, str(tmp_path), modes)
+        want = joined.drop(*[m for m in panel.MODES if m not in modes])
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["d1_monthly_panel", "h1_features", "k7_weather_adjust", "k9_map_ports", "k9_port_overview", "d12_trend_params", "h36_permutation_importance"])
+def test_measures_are_not_shuffled_with_orders_or_parts(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def stored(df, _name):
+        raise Seen(df)
+
+    monkeypatch.setattr(catalog.tables, "stored", stored)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = seen.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Project [" in line and ("l_orderkey#" in line or "l_partkey#" in line)]
+    assert rows and not any("l_extendedprice" in line or "l_quantity" in line or ("l_orderkey#" in line and "l_partkey#" in line) for line in rows)

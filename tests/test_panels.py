@@ -245,3 +245,22 @@ def test_measures_are_not_shuffled_with_orders_or_parts(spark, monkeypatch, name
     plan = seen.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
     rows = [line for line in plan.splitlines() if "Project [" in line and ("l_orderkey#" in line or "l_partkey#" in line)]
     assert rows and not any("l_extendedprice" in line or "l_quantity" in line or ("l_orderkey#" in line and "l_partkey#" in line) for line in rows)
+
+
+def test_ports_are_compared_by_counts_of_goods(spark, tmp_path, monkeypatch):
+    plans = []
+    kept = tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, what: plans.append((what, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, what))
+    catalog.QUERIES["k10_port_compare"](spark, "/root/testdata/sf0.001")
+    assert [name for name, _ in plans] == ["items", "buyers", "goods"]
+    assert not any("l_extendedprice" in line for name, plan in plans[1:] for line in plan.splitlines() if "Project [" in line)
+    for part, whole in (("", True), (" union all select 5L, 'u', 'b', 'n'", False)):
+        for name, sql in _ODD.items():
+            df = spark.sql(sql + (part if name == "part" else ""))
+            (df.selectExpr("*", "l_quantity * 1.5D l_extendedprice", "'R' l_returnflag") if name == "lineitem" else df).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+        apart = declarations.declarations_apart(spark, str(tmp_path))
+        assert panel.is_whole(*apart) == whole and panel.is_whole(*[view.limit(0) for view in apart])
+        if whole:  # a line item without a date counts
+            joined = declarations.declarations(spark, str(tmp_path)).groupBy("hs2", "direction", "port").count()
+            goods = apart[2].where("first").groupBy("hs2", "direction", "port").sum("n")
+            assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, goods.collect()), key=str)
